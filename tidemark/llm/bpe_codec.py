@@ -24,9 +24,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tidemark.llm.common import table, text_of
-from tidemark.llm.token_counts import RankMerger, byte_symbols, splitter, vocabulary_bytes
+from tidemark.llm.token_counts import RankMerger, byte_symbols, has_newer, splitter, vocabulary_bytes
 
 #: What the vocabulary's own description splits by (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -121,6 +122,7 @@ class Codec:
         self.names.update({i: t for t, i in self.specials.items()})
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) + ")")
         self.words = splitter(PATTERN)
+        self.normalizer = Tokenizer.from_buffer(raw).normalizer  # for texts with characters newer than this Python
         self.known: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def learn(self, words: list[str]) -> None:
@@ -135,6 +137,10 @@ class Codec:
 
     def normal(self, text: str) -> str:
         """Composed characters, each lower-cased for itself (so a final sigma is like any other)."""
+        if text.isascii():
+            return text.lower()
+        if has_newer(text):
+            return self.normalizer.normalize_str(text)
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
 

@@ -99,22 +99,50 @@ class RankMerger:
         return left, kept
 
 
+@lru_cache(maxsize=1)
+def newer() -> str:
+    """Letters, numbers and marks that the regex module knows and this Python's own tables don't."""
+    unknown = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
+    return "".join(regex.findall(r"[\p{L}\p{N}\p{M}]+", unknown))
+
+
+def ranges(chars: str) -> str:
+    """A set of characters as a regex class has it."""
+    at = np.array(sorted(map(ord, chars)), np.int64)
+    return "".join(f"\\U{r[0]:08X}-\\U{r[-1]:08X}" for r in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1) if len(r))
+
+
+def has_newer(text: str) -> bool:
+    """Whether a text has any of the newer characters; all are past Latin-1."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+        return False
+    except UnicodeEncodeError:
+        return bool(newer_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
+@lru_cache(maxsize=1)
+def newer_table() -> np.ndarray:
+    out = np.zeros(0x110000, bool)
+    out[list(map(ord, newer()))] = True
+    return out
+
+
 def splitter(pattern: str):
-    """pattern's findall, with the letters and numbers that both this Python's and the library's character tables have.
+    """pattern's findall, with the letters and numbers that the tokenizers library has.
+
+    The regex module knows newer ones, which are symbols to the library; texts with any of them go a slower way."""
+    from tokenizers import Regex, pre_tokenizers
 
-    The regex module knows newer ones, which the tokenizers library takes for symbols; texts with any go a slower way."""
     plain = regex.compile(pattern).findall
-    unknown = "".join(chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
-    runs = [(m.start(), m.end() - 1) for m in regex.finditer(r"[\p{L}\p{N}]+", unknown)]
-    if not runs:
+    if not (maybe := newer()):
         return plain
-    points = sorted(ord(c) for a, b in runs for c in unknown[a : b + 1])
-    at = np.array(points)
-    cuts = np.split(at, np.flatnonzero(np.diff(at) != 1) + 1)
-    newer = "".join(f"\\U{r[0]:08X}-\\U{r[-1]:08X}" for r in cuts)
-    strict = regex.compile("(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{newer}]]").replace(r"\p{N}", rf"[\p{{N}}--[{newer}]]")).findall
-    any_newer = regex.compile(f"[{newer}]").search
-    return lambda text: plain(text) if text.isascii() or not any_newer(text) else strict(text)
+    theirs = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed", invert=True).pre_tokenize_str(maybe)
+    symbols = ranges(set(maybe) - {t for t, _ in theirs} - set(regex.findall(r"\p{M}", maybe)))
+    strict = regex.compile("(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{symbols}]]").replace(r"\p{N}", rf"[\p{{N}}--[{symbols}]]")).findall
+    return lambda text: strict(text) if has_newer(text) else plain(text)
 
 
 @lru_cache(maxsize=2)
