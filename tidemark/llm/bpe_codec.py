@@ -164,7 +164,9 @@ class Codec:
             yield (f[0] for f in found), " ".join([f[1] for f in found])
 
 
-codec = lru_cache(maxsize=2)(Codec)
+@lru_cache(maxsize=2)
+def codec(raw: bytes) -> Codec:
+    return Codec(raw)
 
 
 def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
