@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_codec, exact_dedup, token_counts
+from tidemark.llm import bpe_codec, exact_dedup, language_id, quality, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_bpe_codec": bpe_codec.op5_bpe_codec,
+    "op7_toxicity": toxicity.op7_toxicity,
+    "op8_quality": quality.op8_quality,
+    "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
