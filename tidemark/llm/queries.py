@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_codec, exact_dedup, language_id, quality, token_counts, toxicity
+from tidemark.llm import bpe_codec, decontaminate, exact_dedup, language_id, quality, simhash, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_simhash": simhash.op3_simhash,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_bpe_codec": bpe_codec.op5_bpe_codec,
     "op7_toxicity": toxicity.op7_toxicity,
