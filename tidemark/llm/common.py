@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,12 +38,23 @@ def unit_hash(id_col: str, seed: int = 42) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that all executors share, and go on from those files."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> None:
+    """Sees to a checkpoint folder: the one that the session names, or else one of our own."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         local = sc.master.startswith("local[") or sc.master == "local"
-        shared = df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        shared = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
         sc.setCheckpointDir(named or (tempfile.mkdtemp(prefix="tidemark-") if local else shared))
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """A new folder's path inside the checkpoint folder."""
+    shared_folder(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tidemark-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the checkpoint folder that all executors share, and go on from those files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

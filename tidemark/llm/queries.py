@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_codec, decontaminate, exact_dedup, language_id, quality, simhash, token_counts, toxicity
+from tidemark.llm import bpe_codec, chat_format, decontaminate, exact_dedup, language_id, quality, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": chat_format.op1_chat_format,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_simhash": simhash.op3_simhash,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_bpe_codec": bpe_codec.op5_bpe_codec,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_quality": quality.op8_quality,
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
-SQL: dict[str, str] = {**exact_dedup.SQL}
+SQL: dict[str, str] = {**chat_format.SQL, **exact_dedup.SQL}
