@@ -161,7 +161,10 @@ def c17(spark, d):
 RULES = [("licence", "(?i)licen[sc]e"), ("secret", "(?i)(token|password|api[_ ]?key)"), ("contact", r"[\w.]+@[\w.]+"), ("shout", "!!")]
 
 
-@add("C19_text_rules", f"SELECT doc_id, CASE {' '.join(f'WHEN regexp_matches(text, '{p}') THEN {k!r}' for k, p in RULES)} ELSE 'none' END AS category, upper(lang) AS region FROM documents")
+RULE_SQL = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{k}'" for k, p in RULES)
+
+
+@add("C19_text_rules", f"SELECT doc_id, CASE {RULE_SQL} ELSE 'none' END AS category, upper(lang) AS region FROM documents")
 def c19(spark, d):
     rule = F.lit("none")
     for k, p in reversed(RULES):
