@@ -1,9 +1,9 @@
 """Exact dedup by content-defined chunk recipes, with DataFrame operations only.
 
 A text is lower-cased (A-Z only) and cut where its own content says so: after the first sentence end or line break at
-256 characters or more, at 16384 characters at the latest. Every distinct chunk gets an identifier, its SHA-256,
-which counts only once it is verified: all chunks under one identifier are compared as strings, and the query fails
-if they differ. A document is then its recipe, the ordered list of identifiers, and documents are equal when recipes
+256 characters or more, at 16384 characters at the latest. Every distinct chunk gets an identifier, 128 bits of
+its SHA-256, which counts only once it is verified: the chunks under one identifier are compared as strings, and the
+query fails if they differ. A document is then its recipe, the ordered list of identifiers, and documents are equal when recipes
 are. The text itself moves once, as chunks that are combined on the map side; all later shuffles carry identifiers.
 
 Defined cases: a null text counts as empty, and empty texts are equal to each other (their recipe is the empty list).
@@ -13,7 +13,7 @@ ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import UPPER, ascii_lower, table, text_of
@@ -25,37 +25,39 @@ CHUNK = r"(?s).{255,16383}?[.!?\n]|.{1,16384}"
 def recipes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: str = CHUNK) -> DataFrame:
     """One row for each distinct (id, text): doc_id, text_sha256, recipe (ordered verified chunk ids), copies (rows)."""
     norm = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(text_of(text_col)).alias("norm"))
-    cut = norm.select(
-        "doc_id",
-        F.unhex(F.sha2("norm", 256)).alias("sha"),
-        F.posexplode_outer(F.regexp_extract_all("norm", F.lit(chunk), F.lit(0))).alias("ix", "chunk"),
-    ).withColumn("digest", F.unhex(F.sha2("chunk", 256)))
+    cut = norm.select("doc_id", "norm", F.regexp_extract_all("norm", F.lit(chunk), F.lit(0)).alias("chunks"))
+    digest = lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 16)
+    # each distinct chunk moves once; a digest with two contents stops the query
     verified = (
-        cut.filter(F.col("chunk").isNotNull())
+        cut.select(F.explode("chunks").alias("chunk"))
+        .groupBy(digest(F.col("chunk")).alias("digest"), "chunk")
+        .agg(F.lit(1).alias("one"))
         .groupBy("digest")
-        .agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi"))
+        .agg(F.count("one").alias("contents"))
         .select(
-            "digest",
-            F.when(F.col("lo") == F.col("hi"), F.col("digest"))
-            .otherwise(F.unhex(F.raise_error(F.lit("two chunks share one digest")).cast("string")))
-            .alias("chunk_id"),
+            F.col("digest").alias("at"),
+            F.when(F.col("contents") == 1, F.col("digest")).otherwise(F.raise_error(F.lit("two chunks share one digest")).cast("binary")).alias("chunk_id"),
         )
     )
-    return (
-        cut.groupBy("doc_id", "sha", "ix", "digest")
+    listed = (
+        cut.select("doc_id", F.unhex(F.sha2("norm", 256)).alias("sha"), F.transform("chunks", digest).alias("digests"))
+        .groupBy("doc_id", "sha", "digests")
         .agg(F.count(F.lit(1)).alias("copies"))
-        .join(verified, "digest", "left")
-        .groupBy("doc_id", "sha")
+    )
+    # the digest of the whole text and the copies ride on the first chunk's row; tag tells rows of one id apart
+    first = F.col("ix").isNull() | (F.col("ix") == 0)
+    steps = listed.select("doc_id", F.xxhash64("sha").alias("tag"), "sha", "copies", F.posexplode_outer("digests").alias("ix", "digest")).select(
+        "doc_id", "tag", "ix", "digest", F.when(first, F.col("sha")).alias("sha"), F.when(first, F.col("copies")).alias("copies")
+    )
+    return (
+        steps.join(verified, F.col("digest") == F.col("at"), "left")
+        .groupBy("doc_id", "tag")
         .agg(
-            F.sort_array(F.collect_list(F.struct("ix", "chunk_id"))).alias("parts"),
+            F.sort_array(F.collect_list(F.when(F.col("ix").isNotNull(), F.struct("ix", "chunk_id")))).alias("parts"),
+            F.max("sha").alias("sha"),
             F.max("copies").alias("copies"),
         )
-        .select(
-            "doc_id",
-            F.lower(F.hex("sha")).alias("text_sha256"),
-            F.transform(F.filter("parts", lambda p: p.chunk_id.isNotNull()), lambda p: p.chunk_id).alias("recipe"),
-            "copies",
-        )
+        .select("doc_id", F.lower(F.hex("sha")).alias("text_sha256"), F.transform("parts", lambda p: p.chunk_id).alias("recipe"), "copies")
     )
 
 
@@ -82,13 +84,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of docs that exact dedup keeps, with all their columns.
 
     A row that repeats, id and text alike, stays once."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    sha = F.sha2(ascii_lower(text_of(text_col)), 256)
-    found = docs.withColumn("_sha", sha).join(
-        kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi"
-    )
-    # of repeated rows one stays: ids are unique but for those, so this moves few rows' worth of state
-    return found.dropDuplicates([id_col, "_sha"]).drop("_sha")
+    key = lambda i, sha: F.concat_ws(":", sha, F.col(i).cast("string"))
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(key("doc_id", F.col("text_sha256")).alias("_key"))
+    found = docs.withColumn("_key", key(id_col, F.sha2(ascii_lower(text_of(text_col)), 256))).join(kept, "_key", "left_semi")
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # the rows lie by this key already
+    return found.withColumn("_nth", nth).filter("_nth = 1").drop("_key", "_nth")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
