@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return marked.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, max_bits: int = MAX_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6) -> DataFrame:
     """The row with the smallest id of each component of docs, with all its columns.
 
     Rows that share this id and fingerprint (an id on several texts) all stay, for they are one document."""
