@@ -86,9 +86,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A row that repeats, id and text alike, stays once."""
     key = lambda i, sha: F.concat_ws(":", sha, F.col(i).cast("string"))
     kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(key("doc_id", F.col("text_sha256")).alias("_key"))
-    found = docs.withColumn("_key", key(id_col, F.sha2(ascii_lower(text_of(text_col)), 256))).join(kept, "_key", "left_semi")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(key(id_col, F.sha2(ascii_lower(text_of(text_col)), 256)).alias("_key"), whole)
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))  # the rows lie by this key already
-    return found.withColumn("_nth", nth).filter("_nth = 1").drop("_key", "_nth")
+    return rows.join(kept, "_key", "left_semi").withColumn("_nth", nth).filter("_nth = 1").select("_row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,12 +90,11 @@ def telling_words(labelled: DataFrame, least_z: float, max_words: int) -> tuple[
 def counterfactuals(text: str, vocabulary: dict[str, int]) -> list[tuple[set[int], set[int]]]:
     """For each sentence of a text that has identity terms: its model words, and those after each swap."""
     out = []
-    for sentence in re.split(r"[.!?\n]+", text):
-        own = words_of(sentence)
-        for term in sorted(own & SWAPS.keys()):
-            before = {vocabulary[w] for w in own if w in vocabulary}
+    known = lambda words: {vocabulary[w] for w in words if w in vocabulary}
+    for sentence in re.split(r"[.!?\n]+", text.lower()):
+        for term in sorted(set(WORD.findall(sentence)) & SWAPS.keys()):
             for other in SWAPS[term]:
-                out.append((before, {vocabulary[w] for w in (own - {term}) | {other} if w in vocabulary}))
+                out.append((known(words_of(sentence)), known(words_of(re.sub(rf"\b{term}\b", other, sentence)))))
     return out
 
 
