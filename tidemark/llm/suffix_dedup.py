@@ -3,9 +3,9 @@
 A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id. Work is dealt so
 that equal strings meet and unique text stays where it is:
 
-1. Documents are dealt into shards. Every window of `length` bytes picks as its anchor the substring of half the length
-   with the least hash in it, so equal windows pick equal anchors at equal places; a run of windows with one anchor is
-   a stretch of length to 1.5 * length bytes. Only anchor hashes are shuffled, each once for a shard, and those that two
+1. Documents are dealt into shards. Every window of `length` bytes picks as its anchor the substring of a third of the
+   length with the least hash in it, so equal windows pick equal anchors at equal places; a run of windows with one
+   anchor is a stretch of length to 1.7 * length bytes. Only anchor hashes are shuffled, each once for a shard, and those that two
    documents share come back to their shards.
 2. Stretches at shared anchors, each distinct one of a shard once with the least and largest id that has it, are
    shuffled by anchor. There the collection is sorted: its Burrows-Wheeler transform and common-prefix array are built
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table, text_of
+from tidemark.llm.common import table, text_of
 
 LENGTH = 50
 #: Bytes of text in a shard, of text that is hashed at once, and stretches that are sorted together (whole anchors).
@@ -79,12 +79,11 @@ def runs(data: bytes, length: int, hasher: Hasher) -> Iterator[tuple[np.ndarray,
     """The stretches of a text in order: anchor hash, first byte, end; each window of length bytes lies in one of them by its start."""
     if len(data) < length:
         return
-    half = hasher.size
     whole = np.frombuffer(data, np.uint8)
     for at in range(0, len(data) - length + 1, SLICE):
         part = whole[at : at + SLICE + length - 1]
         h = hasher(part)
-        anchor = least_in(h, length - half + 1)
+        anchor = least_in(h, length - hasher.size + 1)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         last = np.append(first[1:], len(anchor)) - 1
         yield h[anchor[first]].view(np.int64), at + first, at + last + length
@@ -194,29 +193,46 @@ class Columns:
         return who, self.size[who] - length - ids[at] // self.m, np.cumsum(lcp < length)[at]
 
 
-def sort_stretches(strings: list[bytes], low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For stretches with the least and largest id that has each: string, first start, last start, least id, for runs of
-    windows whose class has a smaller id than the string's largest."""
+def sort_stretches(strings: list[bytes], anchors: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For stretches with the least and largest id that has each: row, first start, last start, least id, for runs of
+    windows whose class has a smaller id than the row's largest. Equal windows have equal anchors.
+
+    Rows of equal bytes go into the order as one. Where all rows of an anchor are equal, that one has no other to be
+    compared with, and its windows' least id is the rows'."""
     distinct: dict[bytes, int] = {}
     at = np.array([distinct.setdefault(s, len(distinct)) for s in strings], np.int64)
-    least = np.full(len(distinct), np.iinfo(np.int64).max)
+    most = np.iinfo(np.int64).max
+    least, anchor = np.full(len(distinct), most), np.zeros(len(distinct), np.int64)
     np.minimum.at(least, at, low)
-    with tempfile.TemporaryDirectory() as folder:
-        who, start, group = Columns(list(distinct), folder).equal_windows(length)
-    best = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(best, group, least[who])
-    order = np.lexsort((start, who))
-    who, start, value = who[order], start[order], best[group[order]]
-    first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (value[1:] != value[:-1]) | (start[1:] != start[:-1] + 1)))
-    last = np.append(first[1:], len(who)) - 1
-    # runs of each distinct string, given to each of its rows that an id above the least has
-    runs_of = np.searchsorted(who[first], np.arange(len(distinct) + 1))
-    count = np.diff(runs_of)[at]
+    anchor[at] = anchors
+    _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(members[group] > 1)
+    alone = np.flatnonzero(members[group] == 1)
+    texts = list(distinct)
+    # runs: string, first and last start, least id
+    size = np.array([len(t) for t in texts], np.int64)
+    found = [(alone, np.zeros(len(alone), np.int64), size[alone] - length, least[alone])]
+    if len(several):
+        with tempfile.TemporaryDirectory() as folder:
+            who, start, name = Columns([texts[i] for i in several.tolist()], folder).equal_windows(length)
+        best = np.full(int(name.max()) + 1, most)
+        np.minimum.at(best, name, least[several[who]])
+        order = np.lexsort((start, who))
+        who, start, value = who[order], start[order], best[name[order]]
+        first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (value[1:] != value[:-1]) | (start[1:] != start[:-1] + 1)))
+        last = np.append(first[1:], len(who)) - 1
+        found.append((several[who[first]], start[first], start[last], value[first]))
+    who, first, last, value = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(who, kind="stable")
+    who, first, last, value = who[order], first[order], last[order], value[order]
+    # each row gets its string's runs, if an id above the least has it
+    begin = np.searchsorted(who, np.arange(len(distinct) + 1))
+    count = np.diff(begin)[at]
     row = np.repeat(np.arange(len(at)), count)
-    run = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + runs_of[at[row]]
-    keep = value[first[run]] < high[row]
+    run = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begin[at[row]]
+    keep = value[run] < high[row]
     row, run = row[keep], run[keep]
-    return row, start[first[run]], start[last[run]], value[first[run]]
+    return row, first[run], last[run], value[run]
 
 
 def shards_of(docs: DataFrame) -> DataFrame:
@@ -232,7 +248,7 @@ def shared_anchors(sharded: DataFrame, length: int) -> DataFrame:
     """shard, h: the anchor hashes of each shard that two or more documents have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(length // 2)
+        hasher = Hasher(length // 3)
         for batch in batches:
             held: dict[int, list[tuple[np.ndarray, int]]] = {}
             for n, (doc_id, data, shard) in enumerate(zip(batch.column(0), batch.column(1), batch.column(2))):
@@ -252,11 +268,11 @@ def shared_anchors(sharded: DataFrame, length: int) -> DataFrame:
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of start and end), kept (the other bytes) for each row of docs (doc_id, text)."""
-    sharded = shards_of(docs)
-    shared = cut(shared_anchors(sharded, length))
+    sharded = shards_of(docs)  # one plan to the end: its shuffle is made once and read three times
+    shared = shared_anchors(sharded, length)
 
     def stretches(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        hasher, docs_in = Hasher(length // 2), in_order(left)
+        hasher, docs_in = Hasher(length // 3), in_order(left)
         seen: dict[bytes, list] = {}
         for n, h, data, start, _ in at_shared(docs_in, np.unique(right["h"].to_numpy()), length, hasher):
             doc_id = docs_in[n][0]
@@ -273,7 +289,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sort(t: pa.Table) -> pa.RecordBatch:
-            row, a, b, least = sort_stretches(t["data"].to_pylist(), t["low"].to_numpy(), t["high"].to_numpy(), length)
+            row, a, b, least = sort_stretches(t["data"].to_pylist(), t["h"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy(), length)
             columns = [t[c].take(pa.array(row)).combine_chunks() for c in ("shard", "h", "doc", "start")]
             made = [pa.array(a.astype(np.int16)), pa.array(b.astype(np.int16)), pa.array(least)]
             return pa.RecordBatch.from_arrays([*columns, *made], ["shard", "h", "doc", "start", "first", "last", "least"])
@@ -294,10 +310,9 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield sort(held)
 
     found = parts.repartition("h").sortWithinPartitions("h").mapInArrow(classes, "shard int, h long, doc int, start long, first short, last short, least long")
-    found = cut(found)
 
     def mark(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        hasher, docs_in = Hasher(length // 2), in_order(left)
+        hasher, docs_in = Hasher(length // 3), in_order(left)
         told: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         for doc, start, first, last, least in zip(*(right[c].to_pylist() for c in ("doc", "start", "first", "last", "least"))):
             told.setdefault((doc, start), []).append((first, last, least))
