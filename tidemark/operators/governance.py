@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,12 +25,13 @@ class Contract:
     allowed: dict[str, list[str]] = field(default_factory=dict)
     invariants: dict[str, str] = field(default_factory=dict)
 
-    def rules(self) -> dict[str, Column]:
-        """Each rule and when a row breaks it."""
-        out = {f"not_null:{x}": c(x).isNull() for x in self.not_null}
-        out |= {f"bounds:{x}": ~c(x).between(a, b) for x, (a, b) in self.bounds.items()}
-        out |= {f"allowed:{x}": ~c(x).isin(v) for x, v in self.allowed.items()}
-        return out | {f"invariant:{k}": ~F.expr(e) for k, e in self.invariants.items()}
+    def rules(self, without: list[str]) -> dict[str, Column]:
+        """Each rule and when a row breaks it, but for rules on columns that are absent or of another type."""
+        out = {f"not_null:{x}": c(x).isNull() for x in self.not_null if x not in without}
+        out |= {f"bounds:{x}": ~c(x).between(a, b) for x, (a, b) in self.bounds.items() if x not in without}
+        out |= {f"allowed:{x}": ~c(x).isin(v) for x, v in self.allowed.items() if x not in without}
+        usable = {k: e for k, e in self.invariants.items() if not set(re.findall(r"\w+", e)) & set(without)}
+        return out | {f"invariant:{k}": ~F.expr(e) for k, e in usable.items()}
 
     def missing(self, df: DataFrame) -> list[str]:
         """Columns that are absent or of another type."""
@@ -38,11 +40,12 @@ class Contract:
 
     def check(self, df: DataFrame) -> DataFrame:
         """rule, violations: a row for each rule."""
-        counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(r, F.lit(False))).alias(k) for k, r in self.rules().items()])
-        pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), c(f"`{k}`").alias("violations")) for k in self.rules()]))
-        schema = [F.struct(F.lit(f"schema:{x}").alias("rule"), F.lit(1).cast("long").alias("violations")) for x in self.missing(df)]
-        out = counts.select(pairs.alias("p")).select("p.*")
-        return out.unionByName(counts.select(F.explode(F.array(*schema)).alias("p")).select("p.*")) if schema else out
+        missing = self.missing(df)
+        rules = self.rules(missing)
+        counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.coalesce(r, F.lit(False))).alias(k) for k, r in rules.items()])
+        found = [F.struct(F.lit(k).alias("rule"), c(f"`{k}`").alias("violations")) for k in rules]
+        found += [F.struct(F.lit(f"schema:{x}").alias("rule"), F.lit(1).cast("long").alias("violations")) for x in missing]
+        return counts.select(F.explode(F.array(*found)).alias("p")).select("p.*")
 
 
 #: Contracts of the library's own tables (fixed values).
