@@ -24,7 +24,7 @@ def duck(sf_dir):
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and np.isnan(x)):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and np.isnan(x)):
         return None
     if isinstance(x, (bool, np.bool_, int, np.integer, float, np.floating)):
         return round(float(x), 9) + 0.0

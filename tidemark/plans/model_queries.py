@@ -61,7 +61,7 @@ NAMES = ["click", "error", "purchase", "signup", "view"]
 @add("W69_factors")
 def w69(spark, d):
     panel = returns(spark, d).groupBy("ts").pivot("symbol", NAMES).agg(F.first("r")).dropna()
-    return M.common_factors(panel, NAMES).select("ts", "share_1", "share_2")
+    return M.common_factors(panel, NAMES, 30, 10).select("ts", "share_1", "share_2")
 
 
 COVS = ", ".join(f"covar_pop({p}, {q}) AS {p}{q}" for p, q in (("y", "y"), ("y", "y1"), ("y", "x1"), ("y1", "y1"), ("y1", "x1"), ("x1", "x1")))
@@ -181,7 +181,7 @@ def g13(spark, d):
 @add("G14_incremental", f"WITH {BARS}, r AS (SELECT symbol, ts, {ret()} AS r FROM bars), v AS (SELECT symbol, ts, {roll('stddev_samp', 'r', 20)} AS vol_20 FROM r) SELECT symbol, ts, round(vol_20, 6) + 0.0 AS vol_20 FROM v WHERE ts >= TIMESTAMP '2024-01-20'")
 def g14(spark, d):
     """New rows of a feature from the high-water mark on: only those and the warm-up before them are read."""
-    mark, warm = F.lit("2024-01-20").cast("timestamp_ntz"), F.expr("INTERVAL 6 DAYS")
+    mark, warm = F.lit("2024-01-20").cast("timestamp_ntz"), F.expr("INTERVAL 14 DAYS")
     tail = B.time_bars(ticks(spark, d).filter(c("ts") >= mark - warm))
     return I.volatility(tail, (20,)).filter(c("ts") >= mark).select("symbol", "ts", "vol_20")
 

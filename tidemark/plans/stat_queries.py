@@ -87,9 +87,9 @@ def a10(spark, d):
     return read(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(flow("purchase").alias("inflow"), flow("error").alias("outflow"), F.countDistinct("user_id").alias("users"))
 
 
-@add("A11_best_day", f"WITH {TICKS} SELECT CAST(ts AS DATE) AS day, count(*) AS ticks, count(DISTINCT symbol) AS symbols FROM ticks GROUP BY 1 ORDER BY symbols DESC, ticks DESC, day LIMIT 5")
+@add("A11_best_day", f"WITH {TICKS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS ticks, count(DISTINCT symbol) AS symbols FROM ticks GROUP BY 1 ORDER BY symbols DESC, ticks DESC, day LIMIT 5")
 def a11(spark, d):
-    return ticks(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("ticks"), F.countDistinct("symbol").alias("symbols")).orderBy(F.desc("symbols"), F.desc("ticks"), "day").limit(5)
+    return ticks(spark, d).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("ticks"), F.countDistinct("symbol").alias("symbols")).orderBy(F.desc("symbols"), F.desc("ticks"), "day").limit(5)
 
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -204,9 +204,9 @@ def a28(spark, d):
     return j.groupBy("source").agg(F.avg("quality").alias("mean_score"), F.count(F.lit(1)).alias("articles"), F.count_if(c("toxic") == 1).alias("high"), F.nullif(ids, F.lit("")).alias("high_ids"))
 
 
-@add("A29_day_completeness", f"WITH {TICKS}, n AS (SELECT CAST(ts AS DATE) AS day, symbol, count(*) AS n FROM ticks GROUP BY 1, 2), m AS (SELECT day, quantile_cont(n, 0.5) AS med FROM n GROUP BY 1) SELECT day, count(*) AS symbols, count(*) FILTER (n < 0.8 * med) AS stragglers, CAST(sum(n) AS BIGINT) AS ticks FROM n JOIN m USING (day) GROUP BY 1")
+@add("A29_day_completeness", f"WITH {TICKS}, n AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, symbol, count(*) AS n FROM ticks GROUP BY 1, 2), m AS (SELECT day, quantile_cont(n, 0.5) AS med FROM n GROUP BY 1) SELECT day, count(*) AS symbols, count(*) FILTER (n < 0.8 * med) AS stragglers, CAST(sum(n) AS BIGINT) AS ticks FROM n JOIN m USING (day) GROUP BY 1")
 def a29(spark, d):
-    n = ticks(spark, d).groupBy(F.to_date("ts").alias("day"), "symbol").agg(F.count(F.lit(1)).alias("n"))
+    n = ticks(spark, d).groupBy(F.to_date("ts").cast("string").alias("day"), "symbol").agg(F.count(F.lit(1)).alias("n"))
     return n.join(n.groupBy("day").agg(F.percentile("n", 0.5).alias("med")), "day").groupBy("day").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(c("n") < 0.8 * c("med")).alias("stragglers"), F.sum("n").alias("ticks"))
 
 
@@ -323,13 +323,13 @@ def t16(spark, d):
     return S.calibration(read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select(p.alias("p"), c("quality").alias("y")))
 
 
-@add("T17_threshold_sweep", f"WITH s AS (SELECT {SCORE} AS p, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END AS r FROM documents JOIN labels USING (doc_id)), t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8]) AS threshold) SELECT threshold, count(*) AS n, round(avg(r) / stddev_samp(r), 6) + 0.0 AS sharpe FROM s JOIN t ON p >= threshold GROUP BY 1")
+@add("T17_threshold_sweep", f"WITH s AS (SELECT {SCORE} AS p, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END AS r FROM documents JOIN labels USING (doc_id)), t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8]) AS threshold) SELECT threshold, count(*) AS n, round(avg(r) / nullif(stddev_samp(r), 0), 6) + 0.0 AS sharpe FROM s JOIN t ON p >= threshold GROUP BY 1")
 def t17(spark, d):
     """Each row counts for every threshold that it passes: rows times a fixed list, without a join."""
     p = 1 / (1 + F.exp(-(c("n_chars") - 1500.0) / 1500.0))
     s = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select(p.alias("p"), F.when(c("quality") == 1, 1.0).otherwise(-1.0).alias("r"))
     t = F.filter(F.array(*[F.lit(x) for x in (0.3, 0.4, 0.5, 0.6, 0.7, 0.8)]), lambda x: x <= c("p"))
-    return s.select("r", F.explode(t).alias("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), (F.avg("r") / F.stddev_samp("r")).alias("sharpe"))
+    return s.select("r", F.explode(t).alias("threshold")).groupBy("threshold").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.avg("r"), F.stddev_samp("r")).alias("sharpe"))
 
 
 PERF = "(l_discount - 0.05 + 0.001 * (l_linenumber - 3))"

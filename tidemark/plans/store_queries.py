@@ -146,7 +146,7 @@ def st6(spark, d):
     return J.to_files(J.keyed_state(stream_ticks(spark, d), J.ema_step(20), [0.0] * 4, ["ema", "mean", "std"]))
 
 
-@add("ST7_page_hinkley", f"WITH {TICKS}, a AS (SELECT *, mid - avg(mid) OVER w - 0.5 AS dv FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)), b AS (SELECT *, sum(dv) OVER w AS s FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)) SELECT symbol, id, round(s - least(min(s) OVER w, 0.0), 6) + 0.0 AS ph FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)")
+@add("ST7_page_hinkley", f"WITH {TICKS}, a AS (SELECT *, mid - avg(mid) OVER w - 0.5 AS dv FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)), b AS (SELECT *, sum(dv) OVER w AS s FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)) SELECT symbol, id, round(s - least(min(s) OVER w, 0.0), 4) + 0.0 AS ph FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)", 4)
 def st7(spark, d):
     return J.to_files(J.keyed_state(stream_ticks(spark, d), J.page_hinkley_step(0.5), [0.0] * 4, ["ph"]))
 
