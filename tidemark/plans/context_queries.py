@@ -115,7 +115,7 @@ def w50(spark, d):
     return layers(bars(spark, d), {"x": F.log(c("ask_close") / c("close"))}, {"carry_spot_forward": Roll(30).avg(c("x")), "slope": c("ask_close") - c("bid_close")}).select("symbol", "ts", "carry_spot_forward", "slope")
 
 
-@add("W51_positioning", f"""WITH w AS (SELECT o_orderpriority AS symbol, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) + INTERVAL 11 DAY AS ts, sum(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END) AS net FROM orders GROUP BY ALL),
+@add("W51_W52_positioning", f"""WITH w AS (SELECT o_orderpriority AS symbol, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) + INTERVAL 11 DAY AS ts, sum(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END) AS net FROM orders GROUP BY ALL),
     z AS (SELECT *, net - {slag('net', 4)} AS mom_4w, (net - {roll('avg', 'net', 52)}) / ({roll('stddev_samp', 'net', 52)} + 1e-9) AS z_52w FROM w), o AS (SELECT o_orderkey, o_orderpriority AS symbol, CAST(o_orderdate AS TIMESTAMP) AS ts FROM orders)
     SELECT o.o_orderkey, round(coalesce(net, 0.0), 6) + 0.0 AS net, round(coalesce(mom_4w, 0.0), 6) + 0.0 AS mom_4w, round(coalesce(z_52w, 0.0), 6) + 0.0 AS z_52w, CASE WHEN z_52w > 2 THEN 1 WHEN z_52w < -2 THEN -1 ELSE 0 END AS extreme FROM o ASOF LEFT JOIN z ON o.symbol = z.symbol AND o.ts >= z.ts""", 5)
 def w51(spark, d):
@@ -127,7 +127,7 @@ def w51(spark, d):
     return K.positioning(w, rows, ["symbol"]).select("o_orderkey", "net", "mom_4w", "z_52w", "extreme")
 
 
-SQL["W51_positioning"] = SQL["W51_positioning"].replace(", 6) + 0.0", ", 5) + 0.0")
+SQL["W51_W52_positioning"] = SQL["W51_W52_positioning"].replace(", 6) + 0.0", ", 5) + 0.0")
 
 
 @add("W53_decay", f"""WITH {BARS}, a AS (SELECT symbol, ts, CASE WHEN close > 400 THEN close - 400 ELSE 0.0 END AS x FROM bars), b AS (SELECT *, last_value(CASE WHEN x <> 0 THEN ts END IGNORE NULLS) OVER w AS t, last_value(CASE WHEN x <> 0 THEN x END IGNORE NULLS) OVER w AS v FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING))

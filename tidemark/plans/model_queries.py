@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import Roll, lag, layers, log_return, rounded
 from tidemark.operators import asof as J
 from tidemark.operators import bars as B
+from tidemark.operators import governance as G
 from tidemark.operators import indicators as I
 from tidemark.operators import models as M
 from tidemark.operators import stats as S
@@ -147,7 +148,7 @@ def f12(spark, d):
     return M.topics(read(spark, d, "documents").select("doc_id", "text"))
 
 
-@add("F1_F6_scalars", "SELECT event_id, round(log10(value + 1), 6) + 0.0 AS lg, round(1 / (1 + exp(-value / 100)), 6) + 0.0 AS logistic, greatest(least(CAST(floor(value) AS BIGINT), 400), 50) AS clipped, isodow(ts) - 1 AS weekday, strftime(ts, '%Y-%m') AS month, upper(event_type[1:3]) AS tag, TRY_CAST(event_type AS DOUBLE) AS number FROM events")
+@add("F1_F2_F3_F4_F5_F6_scalars", "SELECT event_id, round(log10(value + 1), 6) + 0.0 AS lg, round(1 / (1 + exp(-value / 100)), 6) + 0.0 AS logistic, greatest(least(CAST(floor(value) AS BIGINT), 400), 50) AS clipped, isodow(ts) - 1 AS weekday, strftime(ts, '%Y-%m') AS month, upper(event_type[1:3]) AS tag, TRY_CAST(event_type AS DOUBLE) AS number FROM events")
 def f1(spark, d):
     v = c("value")
     return read(spark, d, "events").select("event_id", F.log10(v + 1).alias("lg"), (1 / (1 + F.exp(-v / 100))).alias("logistic"), F.greatest(F.least(F.floor(v), F.lit(400)), F.lit(50)).alias("clipped"), F.weekday("ts").cast("long").alias("weekday"), F.date_format("ts", "yyyy-MM").alias("month"), F.upper(F.substring("event_type", 1, 3)).alias("tag"), c("event_type").try_cast("double").alias("number"))
@@ -167,6 +168,16 @@ def g5(spark, d):
     return j.select("symbol", "ts", F.least(F.greatest("close", "a"), "b").alias("close"), F.least(c("spread"), 1.1 * c("s")).alias("spread"), F.greatest("high", "open", "close").alias("high"), F.least("low", "open", "close").alias("low"))
 
 
+@add("G6_schema_drift", f"""WITH m AS (SELECT 'l_quantity' AS feature, l_quantity AS x, l_shipdate >= TIMESTAMP '1998-06-01' AS live FROM lineitem), e AS (SELECT list_sort(list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges FROM m WHERE NOT live), b AS (SELECT len(list_filter(edges, lambda v: v < x)) AS bin, count(*) FILTER (NOT live) AS r, count(*) FILTER (live) AS l FROM m, e GROUP BY 1),
+    s AS (SELECT greatest(l / sum(l) OVER (), 1e-4) AS p, greatest(r / sum(r) OVER (), 1e-4) AS q FROM b) SELECT 'l_quantity' AS "column", CASE WHEN sum((p - q) * ln(p / q)) > 0.1 THEN 'moved' ELSE 'stable' END AS change FROM s UNION ALL SELECT 'l_tax', 'removed' UNION ALL SELECT 'l_linenumber', 'type' UNION ALL SELECT 'tax_rate', 'added'""")
+def g6(spark, d):
+    """Columns that came, went or changed type against an expected schema, and whether a column that stayed has moved."""
+    x = read(spark, d, "lineitem")
+    now = x.withColumnRenamed("l_tax", "tax_rate").withColumn("l_linenumber", c("l_linenumber").cast("string"))
+    moved = S.psi(x.select(F.lit("l_quantity").alias("column"), c("l_quantity").alias("x"), "l_shipdate"), "x", ["column"], c("l_shipdate") >= F.lit("1998-06-01").cast("timestamp"))
+    return G.schema_drift(dict(x.dtypes), now).unionByName(moved.select("column", F.when(c("psi") > 0.1, "moved").otherwise("stable").alias("change")))
+
+
 @add("G7_report", "SELECT o_orderstatus AS gate, o_orderpriority AS part, count(*) AS rows, count(*) FILTER (o_totalprice > 400000) AS breaches, CAST(grouping_id(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
 def g7(spark, d):
     return read(spark, d, "orders").rollup(c("o_orderstatus").alias("gate"), c("o_orderpriority").alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(c("o_totalprice") > 400000).alias("breaches"), F.grouping_id().alias("level"))

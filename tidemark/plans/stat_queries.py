@@ -386,7 +386,7 @@ def t26(spark, d):
     return B.time_bars(ticks(spark, d)).groupBy("symbol").agg(F.sqrt((F.count(F.lit(1)) - 1) / span).alias("factor"))
 
 
-@add("W45_corr_delta", f"WITH {RETURNS}, p AS (SELECT a.symbol, a.ts, a.r AS x, b.r AS y FROM r a JOIN r b ON a.ts = b.ts AND b.symbol = 'view' AND a.symbol <> 'view'), k AS (SELECT *, {corr('x', 'y', 20)} AS k FROM p), e AS (SELECT symbol, ts, k, abs(k - (CASE WHEN count(k) {over(20)} >= 20 THEN avg(k) {over(20)} END)) AS corr_break FROM k) SELECT symbol, ts, {R('k', 'corr_break')}, round(k * k, 6) + 0.0 AS dependence FROM e")
+@add("W45_W46_corr_delta", f"WITH {RETURNS}, p AS (SELECT a.symbol, a.ts, a.r AS x, b.r AS y FROM r a JOIN r b ON a.ts = b.ts AND b.symbol = 'view' AND a.symbol <> 'view'), k AS (SELECT *, {corr('x', 'y', 20)} AS k FROM p), e AS (SELECT symbol, ts, k, abs(k - (CASE WHEN count(k) {over(20)} >= 20 THEN avg(k) {over(20)} END)) AS corr_break FROM k) SELECT symbol, ts, {R('k', 'corr_break')}, round(k * k, 6) + 0.0 AS dependence FROM e")
 def w45(spark, d):
     """Rolling correlation of each symbol with one other, how far it is from its mean, and its square."""
     r, roll = returns(spark, d), Roll(20)

@@ -88,7 +88,7 @@ def s15(spark, d):
     return ticks(spark, d).groupBy("symbol").agg(F.max_by("id", F.struct("ts", "id")).alias("id"), F.max("ts").alias("ts"))
 
 
-@add("S16_S18_versions", f"WITH {BARS} SELECT symbol, ts, round(close, 6) + 0.0 AS close FROM bars WHERE {IN}")
+@add("S16_S17_S18_versions", f"WITH {BARS} SELECT symbol, ts, round(close, 6) + 0.0 AS close FROM bars WHERE {IN}")
 def s16(spark, d):
     """Two versions of a feature table by month; the newest is read."""
     path, b = S.shared(spark), S.with_parts(time_bars(ticks(spark, d)))
@@ -123,7 +123,7 @@ def stream_ticks(spark, d):
     return J.parsed(J.as_messages(J.events(spark, d)))
 
 
-@add("ST1_parse", f"WITH {TICKS} SELECT id, symbol, round(bid, 6) + 0.0 AS bid, round(ask, 6) + 0.0 AS ask FROM ticks")
+@add("S13_ST1_parse", f"WITH {TICKS} SELECT id, symbol, round(bid, 6) + 0.0 AS bid, round(ask, 6) + 0.0 AS ask FROM ticks")
 def st1(spark, d):
     return J.to_files(stream_ticks(spark, d)).select("id", "symbol", "bid", "ask")
 
@@ -151,7 +151,7 @@ def st7(spark, d):
     return J.to_files(J.keyed_state(stream_ticks(spark, d), J.page_hinkley_step(0.5), [0.0] * 4, ["ph"]))
 
 
-@add("ST9_ST14_latest_sink", f"WITH {TICKS} SELECT symbol, arg_max(id, (ts, id)) AS id FROM ticks GROUP BY 1")
+@add("ST9_S14_latest_sink", f"WITH {TICKS} SELECT symbol, arg_max(id, (ts, id)) AS id FROM ticks GROUP BY 1")
 def st9(spark, d):
     t = stream_ticks(spark, d).select("symbol", "ts", "id", F.struct("ts", "id").alias("o"))
     return J.to_latest(t, ["symbol"], "o").select("symbol", "id")
