@@ -41,8 +41,8 @@ def j2(spark, d):
     """Microseconds to the next and since the last release, at most a day; releases are error events, known to all symbols."""
     t = ticks(spark, d)
     events = t.filter("symbol = 'error'").select("ts").distinct()
-    names = t.select("symbol").distinct().filter("symbol <> 'error'")  # one row for each symbol: spread the calendar to each
-    calendar = events.withColumn("_all", F.lit(1)).join(F.broadcast(names.limit(10_000).withColumn("_all", F.lit(1))), "_all").select("symbol", "ts", F.lit(1).alias("one"))
+    names = t.select("symbol").distinct().filter("symbol <> 'error'")  # a calendar is short and so are symbols: each gets it; Spark broadcasts by size
+    calendar = events.withColumn("_all", F.lit(1)).join(names.withColumn("_all", F.lit(1)), "_all").select("symbol", "ts", F.lit(1).alias("one"))
     b = time_bars(t).filter("symbol <> 'error'").select("symbol", "ts")
     both = J.asof_next(J.asof(b, calendar, ["symbol"], [], keep_time="pv"), calendar, ["symbol"], [], keep_time="nx")
     day = F.lit(86_400_000_000)
