@@ -261,8 +261,9 @@ def test_suffix_columns_name_equal_windows(seed, tmp_path):
 def test_slices_of_long_texts_meet(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 97)
     data = bytes(np.random.default_rng(1).integers(97, 100, 1000).astype(np.uint8))
-    got = [x for h, a, b in suffix_dedup.runs(data, 50, suffix_dedup.Hasher(25)) for x in zip(a.tolist(), b.tolist())]
-    assert [s for a, b in got for s in range(a, b - 49)] == list(range(len(data) - 49))
+    texts = [data, b"", data[:49], data[:50], data[100:260]]
+    got = [x for n, h, a, b in suffix_dedup.runs(texts, 50, suffix_dedup.Hasher(16)) for x in zip(n.tolist(), a.tolist(), b.tolist())]
+    assert [(n, s) for n, a, b in got for s in range(a, b - 49)] == [(n, s) for n, t in enumerate(texts) for s in range(len(t) - 49)]
 
 
 # classifiers

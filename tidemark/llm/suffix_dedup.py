@@ -38,7 +38,9 @@ from tidemark.llm.common import table, text_of
 
 LENGTH = 50
 #: Bytes of text in a shard, of text that is hashed at once, and stretches that are sorted together (whole anchors).
-SHARD, SLICE, TOGETHER = 8 << 20, 1 << 20, 10_000
+SHARD, SLICE, TOGETHER = 8 << 20, 1 << 17, 30_000
+#: Bytes of stretches that a task holds before it packs them for the shuffle.
+PACKED = 48 << 20
 
 
 class Hasher:
@@ -75,18 +77,36 @@ def least_in(h: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
-def runs(data: bytes, length: int, hasher: Hasher) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The stretches of a text in order: anchor hash, first byte, end; each window of length bytes lies in one of them by its start."""
-    if len(data) < length:
-        return
-    whole = np.frombuffer(data, np.uint8)
-    for at in range(0, len(data) - length + 1, SLICE):
-        part = whole[at : at + SLICE + length - 1]
-        h = hasher(part)
+def runs(texts: list[bytes], length: int, hasher: Hasher) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The stretches of texts in order: text's number, anchor hash, first byte, end; each window of length bytes lies in one of them by its start.
+
+    Short texts are hashed together, long ones in slices that overlap by a window."""
+    jobs: list[list[tuple[int, int, bytes]]] = [[]]
+    held = 0
+    for n, data in enumerate(texts):
+        for at in range(0, max(0, len(data) - length + 1), SLICE):
+            part = data[at : at + SLICE + length - 1]
+            if held + len(part) > SLICE + length:
+                jobs.append([])
+                held = 0
+            jobs[-1].append((n, at, part))
+            held += len(part)
+    for job in filter(None, jobs):
+        flat = np.frombuffer(b"".join(p for _, _, p in job), np.uint8)
+        size = np.array([len(p) for _, _, p in job], np.int64)
+        begin = np.cumsum(size) - size
+        h = hasher(flat)
         anchor = least_in(h, length - hasher.size + 1)
-        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
-        last = np.append(first[1:], len(anchor)) - 1
-        yield h[anchor[first]].view(np.int64), at + first, at + last + length
+        count = size - length + 1  # windows of each part; those that would cross into the next part are left out
+        part = np.repeat(np.arange(len(job)), count)
+        start = np.arange(len(part)) - np.repeat(np.cumsum(count) - count, count) + begin[part]
+        anchor = anchor[start]
+        first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])))
+        last = np.append(first[1:], len(part)) - 1
+        own = part[first]
+        offset = np.array([at for _, at, _ in job], np.int64) - begin
+        text = np.array([n for n, _, _ in job], np.int64)[own]
+        yield text, h[anchor[first]].view(np.int64), start[first] + offset[own], start[last] + offset[own] + length
 
 
 def in_order(shard: pa.Table) -> list[tuple[int | None, bytes]]:
@@ -96,14 +116,14 @@ def in_order(shard: pa.Table) -> list[tuple[int | None, bytes]]:
 
 def at_shared(docs: list[tuple[int | None, bytes]], shared: np.ndarray, length: int, hasher: Hasher) -> Iterator[tuple[int, int, bytes, int, int]]:
     """The stretches of documents whose anchors are among shared (sorted): document's place, hash, bytes, first byte, end."""
-    for n, (doc_id, data) in enumerate(docs):
-        if doc_id is None or not len(shared):
-            continue
-        for h, start, end in runs(data, length, hasher):
-            at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
-            hit = np.flatnonzero(shared[at] == h)
-            for x, a, b in zip(h[hit].tolist(), start[hit].tolist(), end[hit].tolist()):
-                yield n, x, data[a:b], a, b
+    if not len(shared):
+        return
+    own = [n for n, d in enumerate(docs) if d[0] is not None]
+    for text, h, start, end in runs([docs[n][1] for n in own], length, hasher):
+        at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
+        hit = np.flatnonzero(shared[at] == h)
+        for k, x, a, b in zip(text[hit].tolist(), h[hit].tolist(), start[hit].tolist(), end[hit].tolist()):
+            yield own[k], x, docs[own[k]][1][a:b], a, b
 
 
 class Columns:
@@ -123,14 +143,27 @@ class Columns:
         back = np.repeat(np.cumsum(self.size), self.size) - 1 - np.arange(len(flat))
         self.column = np.zeros((self.rounds + 1, self.m), np.uint8)  # row j: each string's symbol j from its end
         self.column[back, owner] = flat
-        self.folder = folder
+        self.files = [open(os.path.join(folder, name), "w+b", buffering=0) for name, _ in self.KINDS]
+        self.n = 0
 
     def store(self, *arrays: np.ndarray) -> None:
-        for (name, _), values in zip(self.KINDS, arrays):
-            values.tofile(os.path.join(self.folder, name))
+        """Writes the files anew from their start; they only grow, so no file is cut or made again."""
+        for file, values in zip(self.files, arrays):
+            file.seek(0)
+            file.write(values.data)
+        self.n = len(arrays[0])
+
+    def load(self, windows: bool) -> list[np.ndarray]:
+        """The arrays; before there are windows, no suffix has a number."""
+        out = []
+        for file, (_, kind) in list(zip(self.files, self.KINDS))[: 3 if windows else 2]:
+            file.seek(0)
+            out.append(np.fromfile(file, kind, self.n))
+        return out if windows else [*out, np.full(self.n, -1, np.int32)]
 
-    def load(self) -> list[np.ndarray]:
-        return [np.fromfile(os.path.join(self.folder, name), kind) for name, kind in self.KINDS]
+    def close(self) -> None:
+        for file in self.files:
+            file.close()
 
     @staticmethod
     def range_least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,9 +184,9 @@ class Columns:
     def build(self, length: int) -> None:
         """All rounds. Windows are the suffixes that are at least length long; the number of one is its string plus m times its excess."""
         who = place = np.arange(self.m)  # the empty ends come first, by string
-        self.store(self.column[0], np.zeros(self.m, np.uint8), np.full(self.m, -1, np.int32))
+        self.store(self.column[0], np.zeros(self.m, np.uint8))
         for j in range(1, self.rounds + 1):
-            bwt, lcp, ids = self.load()
+            bwt, lcp, *ids = self.load(j > length)[: 3 if j >= length else 2]
             n = len(bwt)
             go = self.size[who] >= j
             who, place = who[go], place[go]
@@ -172,22 +205,24 @@ class Columns:
             down[has] = 1 + self.range_least(lcp, place[has] + 1, by[r[has] + 1] + 1)
             old = np.ones(n + len(place), bool)
             old[target] = False
-            grown = [np.empty(len(old), kind) for _, kind in self.KINDS]
-            for new, values in zip(grown, (bwt, lcp, ids)):
+            grown = [np.empty(len(old), kind) for _, kind in self.KINDS[: 2 + len(ids)]]
+            for new, values in zip(grown, (bwt, lcp, *ids)):
                 new[old] = values
             after = target + 1
             inside = after < len(old)
             grown[1][after[inside]] = down[inside]
             grown[1][target] = up  # a new suffix after a new one: its own value holds
             grown[0][target] = self.column[j, who]
-            grown[2][target] = who + (j - length) * self.m if j >= length else -1
+            if ids:
+                grown[2][target] = who + (j - length) * self.m
             self.store(*grown)
             place = target
 
     def equal_windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """string, start, class: the windows of length symbols that all strings have; equal windows have equal class."""
         self.build(length)
-        _, lcp, ids = self.load()
+        _, lcp, ids = self.load(True)
+        self.close()
         at = np.flatnonzero(ids >= 0)
         who = ids[at] % self.m
         return who, self.size[who] - length - ids[at] // self.m, np.cumsum(lcp < length)[at]
@@ -250,15 +285,20 @@ def shared_anchors(sharded: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(length // 3)
         for batch in batches:
-            held: dict[int, list[tuple[np.ndarray, int]]] = {}
-            for n, (doc_id, data, shard) in enumerate(zip(batch.column(0), batch.column(1), batch.column(2))):
+            held: dict[int, list[bytes]] = {}
+            for doc_id, data, shard in zip(batch.column(0), batch.column(1), batch.column(2)):
                 if doc_id.is_valid:
-                    mine = [h for h, _, _ in runs(data.as_py(), length, hasher)]
-                    if mine:
-                        held.setdefault(shard.as_py(), []).append((np.unique(np.concatenate(mine)), n))
-            for shard, found in held.items():
-                h, several = np.unique(np.concatenate([f[0] for f in found]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard, np.int32)), pa.array(h), pa.array(several > 1)], ["shard", "h", "several"])
+                    held.setdefault(shard.as_py(), []).append(data.as_py())
+            for shard, texts in held.items():
+                found = [(h, text) for text, h, _, _ in runs(texts, length, hasher)]
+                if not found:
+                    continue
+                h, text = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((text, h))
+                h, text = h[order], text[order]
+                first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                h, several = h[first], np.maximum.reduceat(text, first) - text[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard, np.int32)), pa.array(h), pa.array(several > 0)], ["shard", "h", "several"])
 
     found = sharded.mapInArrow(run, "shard int, h long, several boolean")
     everywhere = Window.partitionBy("h")
@@ -287,29 +327,58 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     parts = sharded.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(stretches, "shard int, h long, doc int, start long, low long, high long, data binary")
 
+    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["shard", "h", "doc", "start", "low", "high", "data"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            bucket = (t["h"].to_numpy().view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            t, bucket = t.take(pa.array(order)).combine_chunks(), bucket[order].astype(np.int32)
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+            blobs = [as_blob(t.slice(i, j - i)) for i, j in zip(first.tolist(), [*first.tolist()[1:], len(bucket)])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size > PACKED:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sort(t: pa.Table) -> pa.RecordBatch:
-            row, a, b, least = sort_stretches(t["data"].to_pylist(), t["h"].to_numpy(), t["low"].to_numpy(), t["high"].to_numpy(), length)
-            columns = [t[c].take(pa.array(row)).combine_chunks() for c in ("shard", "h", "doc", "start")]
-            made = [pa.array(a.astype(np.int16)), pa.array(b.astype(np.int16)), pa.array(least)]
-            return pa.RecordBatch.from_arrays([*columns, *made], ["shard", "h", "doc", "start", "first", "last", "least"])
-
-        held = None
-        for batch in batches:  # whole anchors only: the last one of a batch may go on in the next
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            h = held["h"].to_numpy()
-            ends = np.flatnonzero(h[1:] != h[:-1]) + 1
+        def sort(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            t = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]).sort_by("h")
+            h = t["h"].to_numpy()
+            ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
             at = 0
-            while len(ends) and ends[-1] - at > TOGETHER:
-                to = int(ends[ends > at + TOGETHER][0]) if (ends > at + TOGETHER).any() else int(ends[-1])
-                yield sort(held.slice(at, to - at))
+            while at < len(h):  # whole anchors, about TOGETHER stretches of them
+                to = int(ends[min(np.searchsorted(ends, at + TOGETHER), len(ends) - 1)])
+                part = t.slice(at, to - at).combine_chunks()
+                row, a, b, least = sort_stretches(part["data"].to_pylist(), part["h"].to_numpy(), part["low"].to_numpy(), part["high"].to_numpy(), length)
+                columns = [part[c].combine_chunks().take(pa.array(row)) for c in names[:4]]
+                made = [pa.array(a.astype(np.int16)), pa.array(b.astype(np.int16)), pa.array(least)]
+                yield pa.RecordBatch.from_arrays([*columns, *made], [*names[:4], "first", "last", "least"])
                 at = to
-            held = held.slice(at)
-        if held is not None and len(held):
-            yield sort(held)
 
-    found = parts.repartition("h").sortWithinPartitions("h").mapInArrow(classes, "shard int, h long, doc int, start long, first short, last short, least long")
+        now, held = None, []
+        for batch in batches:
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if bucket != now and held:
+                    yield from sort(held)
+                    held = []
+                now = bucket
+                held.append(blob)
+        if held:
+            yield from sort(held)
+
+    # stretches cross the network compressed, those of a task and bucket together
+    dealt = parts.mapInArrow(pack, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
+    found = dealt.mapInArrow(classes, "shard int, h long, doc int, start long, first short, last short, least long")
 
     def mark(key, left: pa.Table, right: pa.Table) -> pa.Table:
         hasher, docs_in = Hasher(length // 3), in_order(left)
@@ -337,6 +406,13 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return sharded.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(mark, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
 
 
+def as_blob(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
 def union(spans: list[tuple[int, int]]) -> list[list[int]]:
     """Spans in order, those that overlap or touch made one."""
     out: list[list[int]] = []
