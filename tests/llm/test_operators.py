@@ -101,6 +101,28 @@ def test_simhash_keeps_one_of_each_group(clashing, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_near_stage_holds_its_similarity_both_ways(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        base = [f"w{x}" for x in rng.integers(0, 4000, 120)]
+        for changes in (0, 1, 2, 3, 4, 6):
+            own = list(base)
+            for at in rng.choice(120, changes, replace=False):
+                own[at] = f"new{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(len(rows) + k, t) for k, t in enumerate(["one two three four five six", "one two three four five seven", "", " "])]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if len(a & b) >= 0.8 * len(a | b) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(group) and 45 < len(kept) < 200
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_hierarchical_index_finds_all_components(seed, monkeypatch):
     rng = np.random.default_rng(seed)

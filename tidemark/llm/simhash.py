@@ -16,6 +16,9 @@ inside agree in one of these parts too), twice at most: after that at most 19 bi
 2^19 fingerprints whatever the data are. Components come from the forests' edges by alternating large-star and small-star
 steps, each written to the checkpoint folder.
 
+The near-dedup stage (keep_one) takes these links at six bits, and texts that share a band of least shingle hashes, as
+candidates only: each is verified by the exact Jaccard similarity of the whole texts' shingles before components form.
+
 Defined cases: a null, empty or blank text has fingerprint zero, which links like any other. A null id takes part, but
 is not a component's smallest id unless there is no other. Repeated rows get a result each; long texts are hashed
 whole, in steps; other columns are ignored; an empty table gives an empty result.
@@ -36,24 +39,39 @@ from tidemark.llm.common import ascii_lower, cut, table, text_of
 
 WORDS, SEED, MAX_BITS = 3, 42, 2
 FAN, GROUP, PAIRS = 8, 20_000, 200_000
+#: Bands of minima for candidates of the near-dedup stage: at a similarity of 0.8 no band is shared with a chance of 1e-4.
+BANDS, ROWS = 30, 6
+#: Rounds of comparing with one text of a band before pairs are compared.
+PIVOTS = 4
+_FACTORS: list[np.ndarray] = []
 
 
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED, step: int = 1 << 15) -> int:
-    """The fingerprint of a whole lower-cased text, unsigned."""
+def shingles(text: str, words: int = WORDS, seed: int = SEED, step: int = 1 << 15) -> Iterator[np.ndarray]:
+    """The XXH64 of a whole lower-cased text's word shingles, step by step; nothing for a text without a word."""
     found = text.encode("utf-8", "surrogatepass").split()
     if not found:
-        return 0
+        return
     n = max(1, len(found) - words + 1)
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, step):
         part = found[at : min(at + step, n) + words - 1]
         joined = b" ".join(part)
         ends = np.cumsum([len(w) + 1 for w in part])
         starts = (ends - [len(w) + 1 for w in part]).tolist()
         last = (ends - 1).tolist()[words - 1 :] or [len(joined)]
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, last)], "<u8")
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, last)], "<u8")
+
+
+def majority(parts: list[np.ndarray]) -> int:
+    """Bit by bit, what over half of the hashes have."""
+    ones, n = np.zeros(64, np.int64), sum(map(len, parts))
+    for h in parts:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
+
+
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED, step: int = 1 << 15) -> int:
+    """The fingerprint of a whole lower-cased text, unsigned."""
+    return majority(list(shingles(text, words, seed, step)))
 
 
 def fingerprints(docs: DataFrame, carry: str, text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -264,15 +282,116 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return marked.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6) -> DataFrame:
-    """The row with the smallest id of each component of docs, with all its columns.
+def least_hashes(parts: list[np.ndarray]) -> list[int]:
+    """For each band the hash of ROWS minima over all shingles, signed; equal sets give equal ones."""
+    if not _FACTORS:
+        _FACTORS.append(np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64))
+    mix, odd = _FACTORS[0][0], _FACTORS[0][1] | np.uint64(1)
+    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for h in parts:
+        for at in range(0, len(h), 512):
+            least = np.minimum(least, ((h[at : at + 512, None] ^ mix) * odd).min(0))
+    rows = least.reshape(BANDS, ROWS)
+    return [signed(xxhash.xxh64_intdigest(r.tobytes(), k)) for k, r in enumerate(rows)]
+
+
+def sketches(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, h (of the lower-cased text), fp and bands of each row of docs (doc_id, text)."""
 
-    Rows that share this id and fingerprint (an id on several texts) all stay, for they are one document."""
-    found = near_duplicates(docs, words, max_bits).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.concat_ws(":", "fp", "doc_id").alias("_key")).distinct()
-    whole = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    marked = fingerprints(whole, "_row", words=words)
-    return marked.withColumn("_key", F.concat_ws(":", "fp", "_row.doc_id")).join(kept, "_key", "left_semi").select("_row.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp, bands = np.zeros(batch.num_rows, np.uint64), []
+            for i, t in enumerate(batch.column(0)):
+                parts = list(shingles(t.as_py(), words))
+                fp[i] = majority(parts)
+                bands.append(least_hashes(parts))
+            made = [pa.array(fp.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *made], ["doc_id", "h", "fp", "bands"])
+
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("h", "fp")], T.StructField("bands", T.ArrayType(T.LongType()))])
+    return docs.select(ascii_lower(text_of("text")).alias("text"), "doc_id").select("text", "doc_id", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
+
+
+def similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs u, v of text hashes whose shingle sets have a Jaccard similarity of least or more; two empty sets have 1.
+
+    texts: h, text of every text that pairs can name."""
+    own = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    both = own.join(texts.select(F.col("h").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, np.zeros(0, np.uint64)
+        whole = lambda t: np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(t, words)]))
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                if (x := x.as_py()) != last:
+                    last, a = x, whole(x)
+                b = whole(y.as_py())
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(shared >= least * (len(a) + len(b) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+
+
+def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, least: float) -> DataFrame:
+    """node, root: the components of verified links among the text hashes of marked (h, fp, bands).
+
+    Candidates: the fingerprint index's links, and texts that share a band. In a band each text is first compared with one
+    pivot, which joins most of what belongs together; then what a band still holds in several components is compared,
+    after some more pivots, pair by pair. So each two texts of a band are compared or in one component."""
+    own = marked.dropDuplicates(["h"])
+    named = cut(own.groupBy("fp").agg(F.min("h").alias("first")))
+    by_fp = own.select("fp", "h").join(named, "fp").select(F.col("first").alias("u"), F.col("h").alias("v"))
+    firsts = lambda x: named.select(F.col("fp").alias(x), F.col("first").alias(f"_{x}"))
+    index = links(named.select("fp"), max_bits).join(firsts("u"), "u").join(firsts("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
+    rows = own.select("h", F.explode("bands").alias("band"))
+    several = rows.groupBy("band").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a <> z").select("band")
+    rows = cut(rows.join(several, "band", "left_semi"))
+
+    def pivots(members: DataFrame, turn: int) -> DataFrame:
+        chosen = members.groupBy("band").agg(F.min_by(F.struct("h", "root"), F.xxhash64("h", "band", F.lit(turn))).alias("p"))
+        return members.join(chosen, "band").filter("root <> p.root").select(F.col("p.h").alias("u"), F.col("h").alias("v"))
+
+    first = cut(pivots(rows.withColumn("root", F.col("h")), 0).union(index).union(by_fp).filter("u <> v").distinct())
+    # the texts that any candidate can name, moved once for all rounds
+    wanted = rows.select("h").union(first.select("u")).union(first.select("v")).distinct()
+    texts = docs.select(ascii_lower(text_of("text")).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = cut(texts.join(wanted, "h", "left_semi").dropDuplicates(["h"]))
+    edges = similar(first, texts, words, least)
+    for turn in range(1, PIVOTS + 1):
+        roots = components(edges)
+        members = rows.join(roots, F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("root", "h").alias("root"))
+        parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+        open_ = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+        open_ = cut(open_)
+        size = open_.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
+        if not size["n"]:
+            return roots
+        members = cut(members.join(open_.select("band"), "band", "left_semi"))
+        if turn == PIVOTS or size["pairs"] <= 4 * size["n"]:
+            break
+        edges = edges.union(similar(pivots(members, turn), texts, words, least))
+    other = members.select("band", F.col("h").alias("v"), F.col("root").alias("_root"))
+    left = members.join(other, "band").filter("h < v and root <> _root").select(F.col("h").alias("u"), "v")
+    return components(edges.union(similar(left, texts, words, least)))
+
+
+def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6, least: float = 0.8) -> DataFrame:
+    """The row with the smallest id of each group of near-duplicates of docs, with all its columns.
+
+    Near-duplicates have a Jaccard similarity of least or more between their word shingles, or are linked by such pairs.
+    Rows of one group that share this id (an id on several texts) all stay, for they are one document."""
+    marked = cut(sketches(docs.select("doc_id", "text"), words))
+    roots = verified(marked, docs, words, max_bits, least)
+    found = marked.select("doc_id", "h").join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
+    found = cut(found)
+    named = found.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("component_id"))
+    kept = found.join(named, F.col("root") == F.col("_root")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = kept.select(F.concat_ws(":", "h", "doc_id").alias("_key")).distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(ascii_lower(text_of("text"))).alias("_h"))
+    return whole.withColumn("_key", F.concat_ws(":", "_h", "_row.doc_id")).join(kept, "_key", "left_semi").select("_row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
