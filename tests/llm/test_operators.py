@@ -310,6 +310,18 @@ def test_language_id_edge_cases(docs, clashing, empty):
     assert {r.lang_pred for r in untaught.collect()} == {"und"}
 
 
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(4)
+    noise = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(n))
+    greek = "Η γρήγορη καφέ αλεπού πηδά πάνω από το τεμπέλικο σκυλί και τρέχει στο δάσος. "
+    strange = [greek, greek * 40, "これは学習されていない言語の文章です。", "Съешь же ещё этих мягких французских булок", "ж", "xqzvkj wqxz kjqpv", noise(300), noise(1000)]
+    more = spark.createDataFrame([(10**6 + k, t, None) for k, t in enumerate(strange)], docs.schema)
+    kept = {r.doc_id for r in language_id.keep_identified(docs.union(more)).select("doc_id").collect()}
+    clean = {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()}
+    assert not {i for i in kept if i >= 10**6} and len(clean & kept) >= 0.998 * len(clean)
+
+
 def test_toxicity_held_out(spark):
     got = toxicity.op7_toxicity(spark, "/root/testdata/sf0.1").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id")
     tp, fp, p, n = got.agg(*[F.count_if(F.expr(e)) for e in ("predicted = 1 and toxic = 1", "predicted = 1 and toxic = 0", "toxic = 1", "toxic = 0")]).first()
