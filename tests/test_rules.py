@@ -162,3 +162,12 @@ def test_incremental_refresh_touches_changed_keys_only(spark, tmp_path):
     again = spark.read.parquet(path)
     assert again.filter("k = 1").count() == 10 and again.count() == 50
     assert {r[0] for r in again.filter("k <> 1").select(F.input_file_name()).distinct().collect()} == before
+
+
+def test_gate_scores_every_week_after_the_first_by_earlier_ones(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    hours = spark.range(61 * 4).select(F.col("id").alias("event_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=F.col("id").cast("int") * 6)).cast("timestamp_ntz").alias("ts"), F.lit("view").alias("event_type"), (100 + 9 * F.sin(F.col("id") * 1.3)).alias("value"), F.lit('{"k": 1}').alias("props"))
+    hours.write.parquet(str(tmp_path / "events.parquet"))
+    days = {r.ts.date() for r in catalog.queries()["W74_gate"](spark, str(tmp_path)).select("ts").collect()}
+    assert {dt.date(2024, 1, 29), dt.date(2024, 1, 30), dt.date(2024, 1, 31), dt.date(2024, 2, 29)} <= days and len(days) >= 50

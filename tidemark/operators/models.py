@@ -122,11 +122,16 @@ def granger(returns: DataFrame) -> DataFrame:
     return s.select("a", "b", ((short - long) / (long / (c("n") - 3))).alias("f"))
 
 
-def expanding_gate(df: DataFrame, features: list[str], target: str, blocks: int = 5) -> DataFrame:
-    """A logistic score for each row by a model fitted on all blocks before its own (W74); df has a column block from 0."""
+def expanding_gate(df: DataFrame, features: list[str], target: str) -> DataFrame:
+    """A logistic score for each row by a model fitted on all blocks before its own (W74); df has a column block from 0, in time order.
+
+    Every block after the first that has rows is scored; there is a fit for each, as the rows before it differ."""
     rows = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(df)
+    blocks = sorted(r[0] for r in rows.select("block").distinct().collect())
+    if len(blocks) < 2:
+        return rows.limit(0).select(*df.columns, F.lit(0.0).alias("gate"))
     out = None
-    for b in range(1, blocks):
+    for b in blocks[1:]:
         model = LogisticRegression(featuresCol="_v", labelCol=target, regParam=0.01, maxIter=20).fit(rows.filter(c("block") < b))
         scored = model.transform(rows.filter(c("block") == b)).select(*df.columns, vector_to_array("probability")[1].alias("gate"))
         out = scored if out is None else out.unionByName(scored)

@@ -84,9 +84,11 @@ def w72(spark, d):
 
 @add("W74_gate")
 def w74(spark, d):
+    """Blocks are weeks since the first row's day, so every later block is later in time."""
     x = I.rsi(I.atr(bars(spark, d), (6,))).dropna(subset=["rsi_14", "atr_6"])
-    x = x.withColumns({"up": (F.lead("close").over(Window.partitionBy("symbol").orderBy("ts")) > c("close")).cast("double"), "block": F.floor((F.dayofmonth("ts") - 1) / 7).cast("int")}).dropna(subset=["up"])
-    return M.expanding_gate(x.select("symbol", "ts", "rsi_14", "atr_6", "up", "block"), ["rsi_14", "atr_6"], "up", 4).select("symbol", "ts", "gate")
+    x = x.withColumns({"up": (F.lead("close").over(Window.partitionBy("symbol").orderBy("ts")) > c("close")).cast("double"), "day": F.datediff("ts", F.lit("1970-01-01"))}).dropna(subset=["up"])
+    x = x.join(F.broadcast(x.agg(F.min("day").alias("first"))), F.lit(True)).withColumn("block", F.floor((c("day") - c("first")) / 7).cast("int"))
+    return M.expanding_gate(x.select("symbol", "ts", "rsi_14", "atr_6", "up", "block"), ["rsi_14", "atr_6"], "up").select("symbol", "ts", "gate")
 
 
 @add("W75_fused_sentiment", f"""WITH {TICKS}, h AS (SELECT symbol, date_trunc('hour', ts) AS ts, avg(CASE WHEN id % 2 = 0 THEN mid END) AS news, avg(CASE WHEN id % 2 = 1 THEN mid END) AS social FROM ticks GROUP BY 1, 2), z AS (SELECT symbol, ts, coalesce(news, 0.0) AS news, coalesce(social, 0.0) AS social FROM h),
