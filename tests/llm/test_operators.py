@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe_codec, chat_format, decontaminate, exact_dedup, language_id, quality, simhash, suffix_dedup, token_counts, toxicity
+from tidemark.llm import bpe_codec, chat_format, decontaminate, exact_dedup, language_id, quality, simhash, suffix_columns, suffix_dedup, token_counts, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -261,31 +261,59 @@ def repeats_brute(rows, length):
     return out
 
 
-@pytest.mark.parametrize("shard", [1 << 23, 3000])
-def test_repeated_passages_equal_brute_force(docs, rows, empty, shard, monkeypatch):
+def spans_of(docs):
+    return suffix_dedup.repeated_bytes(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long"), F.sha2("kept", 256))
+
+
+@pytest.mark.parametrize("shard, hot", [(1 << 23, 256), (3000, 256), (3000, 3)])
+def test_repeated_passages_equal_brute_force(clashing, rows, empty, shard, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
-    got = suffix_dedup.repeated_bytes(docs.select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long"), F.sha2("kept", 256))
-    assert count(got) == repeats_brute(rows, 50)
-    assert suffix_dedup.repeated_bytes(empty.select("doc_id", "text")).count() == 0
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    assert count(spans_of(clashing)) == repeats_brute(rows, 50)
+    assert spans_of(empty).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(12))
-def test_suffix_columns_name_equal_windows(seed, tmp_path):
+@pytest.mark.parametrize("shard, hot", [(2000, 256), (500, 1)])
+def test_an_anchor_with_many_surroundings(spark, shard, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BUCKET", 20_000)
+    rng = np.random.default_rng(8)
+    some = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    line, tails = some(60), [some(25) for _ in range(5)]
+    rows = [(int(i), some(rng.integers(0, 40)) + line[rng.integers(0, 40) :] + tails[rng.integers(0, 5)] + some(9)) for i in rng.permutation(1500)]
+    assert count(spans_of(spark.createDataFrame(rows, "doc_id long, text string"))) == repeats_brute(rows, 50)
+
+
+@pytest.mark.parametrize("block", [3, 7, 1 << 18])
+@pytest.mark.parametrize("seed", range(8))
+def test_suffix_columns_name_equal_windows(seed, block, tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_columns, "BLOCK", block)
     rng = np.random.default_rng(seed)
     strings = list({bytes(rng.integers(97, 98 + seed % 4, rng.integers(4, 11)).astype(np.uint8)) for _ in range(20)})
-    who, start, group = suffix_dedup.Columns(strings, str(tmp_path)).equal_windows(4)
+    flat, size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+    with suffix_columns.Files(f"file:{tmp_path}" if seed % 2 else None) as files:
+        who, start, group = suffix_columns.Columns(flat, size, 4, files).equal_windows()
     named = {}
     for w, s, g in zip(who.tolist(), start.tolist(), group.tolist()):
         assert named.setdefault(g, strings[w][s : s + 4]) == strings[w][s : s + 4]
     assert len(set(named.values())) == len(named) and len(who) == sum(len(s) - 3 for s in strings)
+    assert not list(tmp_path.iterdir())
 
 
 def test_slices_of_long_texts_meet(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 97)
     data = bytes(np.random.default_rng(1).integers(97, 100, 1000).astype(np.uint8))
     texts = [data, b"", data[:49], data[:50], data[100:260]]
-    got = [x for n, h, a, b in suffix_dedup.runs(texts, 50, suffix_dedup.Hasher(16)) for x in zip(n.tolist(), a.tolist(), b.tolist())]
-    assert [(n, s) for n, a, b in got for s in range(a, b - 49)] == [(n, s) for n, t in enumerate(texts) for s in range(len(t) - 49)]
+    found = suffix_dedup.stretches(texts, 50, suffix_dedup.Hasher())
+    got = [(n, s) for n, a, b in zip(found.text.tolist(), found.a.tolist(), found.b.tolist()) for s in range(a, b - 49)]
+    assert got == [(n, s) for n, t in enumerate(texts) for s in range(len(t) - 49)]
+
+
+def test_strings_of_one_hash_are_told_apart():
+    flat = np.frombuffer(b"abcabdabc", np.uint8)
+    group = suffix_dedup.same_bytes(flat, np.array([0, 3, 6]), np.full(3, 3), np.zeros(3, np.uint64))
+    assert group[0] == group[2] != group[1]
 
 
 # classifiers

@@ -5,28 +5,28 @@ that equal strings meet and unique text stays where it is:
 
 1. Documents are dealt into shards. Every window of `length` bytes picks as its anchor the substring of a third of the
    length with the least hash in it, so equal windows pick equal anchors at equal places; a run of windows with one
-   anchor is a stretch of length to 1.7 * length bytes. Only anchor hashes are shuffled, each once for a shard, and those that two
-   documents share come back to their shards.
+   anchor is a stretch of length to 1.7 * length bytes. Only anchor hashes are shuffled, each once for a shard, and
+   those that two documents share come back to their shards.
 2. Stretches at shared anchors, each distinct one of a shard once with the least and largest id that has it, are
-   shuffled by anchor. There the collection is sorted: its Burrows-Wheeler transform and common-prefix array are built
-   column by column, one symbol of each stretch from its end in each round; the new suffixes' places follow from the
-   last round's by counting symbols before them, and their common prefixes from range minima between equal symbols.
-   Both arrays live in sequential files that each round reads through once and writes anew, in a temporary folder that
-   the task removes. Neighbours with a common prefix of `length` or more are equal windows; each class takes its least id.
+   shuffled by anchor into buckets. An anchor that many shards have is dealt by the bytes around it instead: its stretch
+   is cut where windows start, so that each part's windows have more than the anchor in common. In a bucket, stretches
+   with nothing but the anchor in common are set apart. The suffixes of the others are put in order: Burrows-Wheeler
+   transform and common prefixes are built column by column through sequential files (suffix_columns). Neighbours with a
+   common prefix of `length` or more are equal windows; each class takes its least id.
 3. The classes that an id above their least takes part in go back to the shards, which mark and cut the bytes.
 
-An anchor is only a meeting place: whether windows are equal is decided by the common prefixes of their bytes alone.
+An anchor is only a meeting place: whether windows are equal is decided by their bytes alone. Buckets are counted from
+the bytes of the input, so what a task holds doesn't grow with it. The files lie in the shared folder that
+spark.checkpoint.dir names; each task removes its own.
 
 Defined cases: a null or empty text has no bytes; a null id is neither smaller nor larger than any, so its rows keep all
 bytes and remove none elsewhere; rows that share an id are one document, in which nothing repeats; texts shorter than
-`length` bytes stay whole. Long texts are worked through in slices that overlap; other columns are ignored; an empty
-table gives an empty result.
+`length` bytes stay whole. Long texts are hashed in slices that overlap; other columns are ignored; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,79 +34,194 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_of
+from tidemark.llm.common import checkpoint_dir, table, text_of
+from tidemark.llm.suffix_columns import Columns, Files
 
 LENGTH = 50
-#: Bytes of text in a shard, of text that is hashed at once, and stretches that are sorted together (whole anchors).
-SHARD, SLICE, TOGETHER = 8 << 20, 1 << 17, 30_000
-#: Bytes of stretches that a task holds before it packs them for the shuffle.
-PACKED = 48 << 20
+#: Bytes of text in a shard, of text that is hashed at once, and of input for each bucket of stretches.
+SHARD, SLICE, BUCKET = 4 << 20, 1 << 17, 16 << 20
+#: Shards and buckets that a partition holds where there are more than shuffle partitions.
+SHARDS, BUCKETS = 16, 8
+#: Bytes of stretches whose suffixes are put in order together (whole anchors).
+TOGETHER = 16 << 20
+#: Shards that have an anchor before it counts as hot, and the parts that its stretches are cut in.
+HOT, PARTS = 256, 4
+#: Mark of a stretch's part in place of its anchor's offset.
+PART = 255
 
 
 class Hasher:
-    """64-bit hashes of all substrings of one length, by sums of weighted bytes."""
+    """64-bit hashes of substrings, by sums of weighted bytes."""
 
-    def __init__(self, size: int, n: int = SLICE + 4096):
-        self.size = size
+    def __init__(self, n: int = SLICE + 4096):
         self.weight = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
         base = 0x9E3779B97F4A7C15
         with np.errstate(over="ignore"):
             self.up = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, base, np.uint64)))
             self.down = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)))
 
-    def __call__(self, data: np.ndarray) -> np.ndarray:
-        n = len(data)
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(data) + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum(self.weight[data] * self.up[: len(data)], out=total[1:])
+        return total
+
+    @staticmethod
+    def mixed(h: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.weight[data] * self.up[:n], out=total[1:])
-            h = (total[self.size :] - total[: -self.size]) * self.down[: n - self.size + 1]
             h ^= h >> np.uint64(29)
             h *= np.uint64(0xBF58476D1CE4E5B9)
-            return h ^ (h >> np.uint64(32))
+            h ^= h >> np.uint64(32)
+        return h
+
+    def every(self, total: np.ndarray, size: int) -> np.ndarray:
+        """Of all substrings of one size."""
+        with np.errstate(over="ignore"):
+            return self.mixed((total[size:] - total[:-size]) * self.down[: len(total) - size])
+
+    def some(self, total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the substrings from a to b."""
+        with np.errstate(over="ignore"):
+            return self.mixed((total[b] - total[a]) * self.down[a])
 
 
 def least_in(h: np.ndarray, width: int) -> np.ndarray:
-    """For each window of width hashes the place of its least, the first of several."""
-    value, place, have = h, np.arange(len(h)), 1
+    """For each window of width hashes the place of its least (by the higher bits), the first of several."""
+    low = np.uint64((1 << int(len(h)).bit_length()) - 1)
+    key, have = (h & ~low) | np.arange(len(h), dtype=np.uint64), 1
     while have < width:
         step = min(have, width - have)
-        n = len(value) - step
-        later = value[step:] < value[:n]
-        value, place = np.where(later, value[step:], value[:n]), np.where(later, place[step:], place[:n])
+        key = np.minimum(key[:-step], key[step:])
         have += step
-    return place
+    return (key & low).astype(np.int64)
 
 
-def runs(texts: list[bytes], length: int, hasher: Hasher) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The stretches of texts in order: text's number, anchor hash, first byte, end; each window of length bytes lies in one of them by its start.
+def slices(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts in flat pieces: the bytes, and of each part in them the text's number, its first byte there and here.
 
-    Short texts are hashed together, long ones in slices that overlap by a window."""
-    jobs: list[list[tuple[int, int, bytes]]] = [[]]
+    Short texts go together, long ones in slices that overlap by a window."""
+    job: list[tuple[int, int, bytes]] = []
     held = 0
+
+    def made():
+        here = np.cumsum([0, *(len(p) for _, _, p in job[:-1])])
+        return np.frombuffer(b"".join(p for _, _, p in job), np.uint8), np.array([n for n, _, _ in job]), np.array([at for _, at, _ in job]), here
+
     for n, data in enumerate(texts):
         for at in range(0, max(0, len(data) - length + 1), SLICE):
             part = data[at : at + SLICE + length - 1]
-            if held + len(part) > SLICE + length:
-                jobs.append([])
-                held = 0
-            jobs[-1].append((n, at, part))
+            if job and held + len(part) > SLICE + length:
+                yield made()
+                job, held = [], 0
+            job.append((n, at, part))
             held += len(part)
-    for job in filter(None, jobs):
-        flat = np.frombuffer(b"".join(p for _, _, p in job), np.uint8)
-        size = np.array([len(p) for _, _, p in job], np.int64)
-        begin = np.cumsum(size) - size
-        h = hasher(flat)
-        anchor = least_in(h, length - hasher.size + 1)
-        count = size - length + 1  # windows of each part; those that would cross into the next part are left out
-        part = np.repeat(np.arange(len(job)), count)
-        start = np.arange(len(part)) - np.repeat(np.cumsum(count) - count, count) + begin[part]
-        anchor = anchor[start]
-        first = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1])))
-        last = np.append(first[1:], len(part)) - 1
-        own = part[first]
-        offset = np.array([at for _, at, _ in job], np.int64) - begin
-        text = np.array([n for n, _, _ in job], np.int64)[own]
-        yield text, h[anchor[first]].view(np.int64), start[first] + offset[own], start[last] + offset[own] + length
+    if job:
+        yield made()
+
+
+class Stretches:
+    """Columns of numbers on the stretches of a shard's texts, in order: text (its number), h (the anchor's hash), key (what they
+    are dealt by), a and b (first byte and end in the text), off (of the anchor in it, or PART), hash (of the bytes)."""
+
+    NAMES = ("text", "h", "key", "a", "b", "off", "hash")
+
+    def __init__(self, found: list[tuple[np.ndarray, ...]]):
+        for k, name in enumerate(self.NAMES):
+            setattr(self, name, np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64))
+
+    def __len__(self) -> int:
+        return len(self.a)
+
+
+def contains(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among values (sorted)."""
+    if not len(values):
+        return np.zeros(len(x), bool)
+    return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
+
+
+def stretches(texts: list[bytes], length: int, hasher: Hasher, shared: np.ndarray | None = None, hot: np.ndarray | None = None) -> Stretches:
+    """The stretches of texts: each window of length bytes lies in one of them by its start.
+
+    shared: only those at these anchors (sorted hashes). hot: those at these anchors are cut in PARTS by where windows start."""
+    size = length // 3
+    found = []
+    for flat, number, there, here in slices(texts, length):
+        total = hasher.sums(flat)
+        every = hasher.every(total, size)
+        place = least_in(every, length - size + 1)
+        count = np.diff(np.append(here, len(flat))) - length + 1  # windows of each part; those that cross into the next are none
+        inside = np.repeat(np.tile((True, False), len(here)), np.column_stack((count, np.full(len(here), length - 1))).ravel())[: len(place)]
+        new = np.append(True, place[1:] != place[:-1])
+        new[here] = True
+        first = np.flatnonzero(new & inside)
+        part = np.searchsorted(here, first, "right") - 1
+        last = np.minimum(np.append(first[1:], len(place)) - 1, here[part] + count[part] - 1)
+        p = place[first]
+        h = (every[p] & np.uint64((1 << 48) - 1)).astype(np.int64)
+        if shared is not None:
+            hit = np.flatnonzero(contains(shared, h))
+            first, last, part, p, h = first[hit], last[hit], part[hit], p[hit], h[hit]
+        off, key = p - first, h
+        if hot is not None and len(hot):
+            first, last, part, off, h, key = cut_hot(first, last, part, p, h, contains(hot, h), length, hasher, total)
+        shift = there[part] - here[part]
+        found.append((number[part], h, key, first + shift, last + length + shift, off, hasher.some(total, first, last + length)))
+    return Stretches(found)
+
+
+def cut_hot(first, last, part, p, h, hot, length: int, hasher: Hasher, total: np.ndarray):
+    """Stretches with those at hot anchors in parts: windows whose starts lie in one range before the anchor have all
+    bytes of the range's windows' overlap in common, which give the part's key."""
+    free = length - length // 3
+    cuts = [i * (free + 1) // PARTS for i in range(PARTS + 1)]
+    kept = ~hot
+    out = [(first[kept], last[kept], part[kept], (p - first)[kept], h[kept], h[kept])]
+    for g, (low, high) in enumerate(zip(cuts, [c - 1 for c in cuts[1:]])):
+        a, z = np.maximum(first, p - high), np.minimum(last, p - low)
+        own = np.flatnonzero(hot & (a <= z))
+        common = hasher.some(total, p[own] - low, p[own] - high + length) ^ np.uint64(g)
+        key = (common >> np.uint64(1)).astype(np.int64)
+        out.append((a[own], z[own], part[own], np.full(len(own), PART), h[own], key))
+    made = [np.concatenate(x) for x in zip(*out)]
+    order = np.lexsort((made[0], made[2]))
+    return [x[order] for x in made]
+
+
+def same_bytes(flat: np.ndarray, start: np.ndarray, size: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The number of each string's class of equal ones: by hash, and verified byte by byte."""
+    order = np.lexsort((size, h))
+    new = np.append(True, (h[order][1:] != h[order][:-1]) | (size[order][1:] != size[order][:-1]))[: len(order)]
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    model = order[np.flatnonzero(new)][group]
+    rest = np.flatnonzero(model != np.arange(len(order)))
+    step = 1 << 14
+    for at in range(0, len(rest), step):
+        own = rest[at : at + step]
+        column = np.minimum(np.arange(size[own].max()), size[own, None] - 1)
+        if (flat[start[own, None] + column] != flat[start[model[own], None] + column]).any():  # two strings of one hash
+            numbers: dict[bytes, int] = {}
+            return np.array([numbers.setdefault(flat[a : a + n].tobytes(), len(numbers)) for a, n in zip(start.tolist(), size.tolist())])
+    return group
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of strings end to end."""
+    ends = np.cumsum(size)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+
+
+def strings_of(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.append(0, np.cumsum(size)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def flat_of(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of strings end to end, and the size of each."""
+    ends = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+    data = strings.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[ends[0] : ends[-1]], np.diff(ends)
 
 
 def in_order(shard: pa.Table) -> list[tuple[int | None, bytes]]:
@@ -114,154 +229,86 @@ def in_order(shard: pa.Table) -> list[tuple[int | None, bytes]]:
     return sorted(zip(shard["doc_id"].to_pylist(), map(bytes, shard["data"].to_pylist())), key=lambda d: (d[0] is None, d[0] or 0, d[1]))
 
 
-def at_shared(docs: list[tuple[int | None, bytes]], shared: np.ndarray, length: int, hasher: Hasher) -> Iterator[tuple[int, int, bytes, int, int]]:
-    """The stretches of documents whose anchors are among shared (sorted): document's place, hash, bytes, first byte, end."""
-    if not len(shared):
-        return
-    own = [n for n, d in enumerate(docs) if d[0] is not None]
-    for text, h, start, end in runs([docs[n][1] for n in own], length, hasher):
-        at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
-        hit = np.flatnonzero(shared[at] == h)
-        for k, x, a, b in zip(text[hit].tolist(), h[hit].tolist(), start[hit].tolist(), end[hit].tolist()):
-            yield own[k], x, docs[own[k]][1][a:b], a, b
-
-
-class Columns:
-    """The suffix order of a collection of UTF-8 strings, built column by column in sequential files.
-
-    The files hold, in suffix order: the transform (the symbol before each suffix, its byte plus one; 0 before a whole
-    string; 255 is no UTF-8 byte), the common prefix with the suffix before, and the suffix's number if it is a window."""
-
-    KINDS = (("bwt", np.uint8), ("lcp", np.uint8), ("ids", np.int32))
-
-    def __init__(self, strings: list[bytes], folder: str):
-        self.m = len(strings)
-        self.size = np.array([len(s) for s in strings], np.int64)
-        self.rounds = int(self.size.max())
-        flat = np.frombuffer(b"".join(strings), np.uint8) + np.uint8(1)
-        owner = np.repeat(np.arange(self.m), self.size)
-        back = np.repeat(np.cumsum(self.size), self.size) - 1 - np.arange(len(flat))
-        self.column = np.zeros((self.rounds + 1, self.m), np.uint8)  # row j: each string's symbol j from its end
-        self.column[back, owner] = flat
-        self.files = [open(os.path.join(folder, name), "w+b", buffering=0) for name, _ in self.KINDS]
-        self.n = 0
-
-    def store(self, *arrays: np.ndarray) -> None:
-        """Writes the files anew from their start; they only grow, so no file is cut or made again."""
-        for file, values in zip(self.files, arrays):
-            file.seek(0)
-            file.write(values.data)
-        self.n = len(arrays[0])
-
-    def load(self, windows: bool) -> list[np.ndarray]:
-        """The arrays; before there are windows, no suffix has a number."""
-        out = []
-        for file, (_, kind) in list(zip(self.files, self.KINDS))[: 3 if windows else 2]:
-            file.seek(0)
-            out.append(np.fromfile(file, kind, self.n))
-        return out if windows else [*out, np.full(self.n, -1, np.int32)]
-
-    def close(self) -> None:
-        for file in self.files:
-            file.close()
+def with_ids(docs: list[tuple[int | None, bytes]]) -> tuple[np.ndarray, list[bytes]]:
+    """Ids and texts of the documents that have an id; they come first."""
+    own = [d for d in docs if d[0] is not None]
+    return np.array([d[0] for d in own], np.int64), [d[1] for d in own]
+
+
+def with_sides(flat, start, size, off, hasher: Hasher, length: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The hash of each string, and those of its anchor with the bytes before it and with those behind it (0: has none).
+
+    Each window at an anchor holds the one or the other, so a string that shares neither with another of its key has no
+    window of theirs. Parts of hot stretches have no sides."""
+    third = length // 3
+    half = (length - third) // 2  # a window starts so many bytes before the anchor, or fewer
+    h, left, right = (np.zeros(len(size), np.uint64) for _ in range(3))
+    begins, begin = np.cumsum(size) - size, 0
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(begins, begins[begin] + SLICE)))
+        a, n, o = start[begin:end], size[begin:end], off[begin:end].astype(np.int64)
+        total = hasher.sums(gathered(flat, a, n))
+        at = begins[begin:end] - begins[begin]
+        h[begin:end] = hasher.some(total, at, at + n)
+        for side, low, high in ((left, o - half, o + third), (right, o, o + length - half + 1)):
+            fits = np.flatnonzero((low >= 0) & (high <= n) & (o != PART))
+            side[begin + fits] = hasher.some(total, at[fits] + low[fits], at[fits] + high[fits]) | np.uint64(1)
+        begin = end
+    return h, (left, right)
+
+
+def shared_sides(key: np.ndarray, sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which of distinct strings share a side (0: none) with another of their key."""
+    out = np.zeros(len(key), bool)
+    for side in sides:
+        has = np.flatnonzero(side)
+        order = has[np.lexsort((side[has], key[has]))]
+        same = (key[order][1:] == key[order][:-1]) & (side[order][1:] == side[order][:-1])
+        out[order[1:][same]] = True
+        out[order[:-1][same]] = True
+    return out
 
-    @staticmethod
-    def range_least(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The least of lcp[a:b] for non-empty ranges, by tables over powers of two."""
-        out = np.zeros(len(a), np.uint8)
-        span = np.frexp(b - a)[1] - 1  # floor of log2
-        order = np.argsort(span.astype(np.uint8), kind="stable")
-        ends = np.cumsum(np.bincount(span, minlength=1))
-        level, size = lcp, 1
-        for k, end in enumerate(ends.tolist()):
-            own = order[ends[k - 1] if k else 0 : end]
-            out[own] = np.minimum(level[a[own]], level[b[own] - size])
-            if k + 1 < len(ends):
-                level = np.minimum(level[:-size], level[size:])
-                size *= 2
-        return out
-
-    def build(self, length: int) -> None:
-        """All rounds. Windows are the suffixes that are at least length long; the number of one is its string plus m times its excess."""
-        who = place = np.arange(self.m)  # the empty ends come first, by string
-        self.store(self.column[0], np.zeros(self.m, np.uint8))
-        for j in range(1, self.rounds + 1):
-            bwt, lcp, *ids = self.load(j > length)[: 3 if j >= length else 2]
-            n = len(bwt)
-            go = self.size[who] >= j
-            who, place = who[go], place[go]
-            by = np.argsort(bwt, kind="stable")  # the places of each symbol, in order
-            rank = np.empty(n, np.int32)
-            rank[by] = np.arange(n, dtype=np.int32)
-            first = np.append(0, np.cumsum(np.bincount(bwt, minlength=256)))
-            symbol, r = bwt[place], rank[place].astype(np.int64)
-            # every symbol but the string starts has its suffix, after the ends and in the order of the transform
-            target = self.m + r - first[1]
-            # a common prefix is one more than the least between two equal symbols that follow each other in the transform
-            up, down = np.zeros(len(place), np.uint8), np.zeros(len(place), np.uint8)
-            has = np.flatnonzero(r > first[symbol])
-            up[has] = 1 + self.range_least(lcp, by[r[has] - 1] + 1, place[has] + 1)
-            has = np.flatnonzero(r + 1 < first[symbol.astype(np.int64) + 1])
-            down[has] = 1 + self.range_least(lcp, place[has] + 1, by[r[has] + 1] + 1)
-            old = np.ones(n + len(place), bool)
-            old[target] = False
-            grown = [np.empty(len(old), kind) for _, kind in self.KINDS[: 2 + len(ids)]]
-            for new, values in zip(grown, (bwt, lcp, *ids)):
-                new[old] = values
-            after = target + 1
-            inside = after < len(old)
-            grown[1][after[inside]] = down[inside]
-            grown[1][target] = up  # a new suffix after a new one: its own value holds
-            grown[0][target] = self.column[j, who]
-            if ids:
-                grown[2][target] = who + (j - length) * self.m
-            self.store(*grown)
-            place = target
-
-    def equal_windows(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """string, start, class: the windows of length symbols that all strings have; equal windows have equal class."""
-        self.build(length)
-        _, lcp, ids = self.load(True)
-        self.close()
-        at = np.flatnonzero(ids >= 0)
-        who = ids[at] % self.m
-        return who, self.size[who] - length - ids[at] // self.m, np.cumsum(lcp < length)[at]
-
-
-def sort_stretches(strings: list[bytes], anchors: np.ndarray, low: np.ndarray, high: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For stretches with the least and largest id that has each: row, first start, last start, least id, for runs of
-    windows whose class has a smaller id than the row's largest. Equal windows have equal anchors.
 
-    Rows of equal bytes go into the order as one. Where all rows of an anchor are equal, that one has no other to be
-    compared with, and its windows' least id is the rows'."""
-    distinct: dict[bytes, int] = {}
-    at = np.array([distinct.setdefault(s, len(distinct)) for s in strings], np.int64)
+def sort_stretches(flat, size, key, off, low, high, length: int, hasher: Hasher, folder: str | None) -> tuple[np.ndarray, ...]:
+    """For stretches with the least and largest id that has each: row, first start, last start, least id, for runs of
+    windows whose class has a smaller id than the row's largest. Equal windows have equal keys.
+
+    Rows of equal bytes go into the order as one. One that has no other of its key to share a window with is a class of
+    its own, whose windows' least id is the rows'."""
+    start = np.cumsum(size) - size
+    h, sides = with_sides(flat, start, size, off, hasher, length)
+    at = same_bytes(flat, start, size, h)
+    model = np.zeros(at.max() + 1, np.int64)
+    model[at[::-1]] = np.arange(len(at))[::-1]
     most = np.iinfo(np.int64).max
-    least, anchor = np.full(len(distinct), most), np.zeros(len(distinct), np.int64)
+    least = np.full(len(model), most)
     np.minimum.at(least, at, low)
-    anchor[at] = anchors
-    _, group, members = np.unique(anchor, return_inverse=True, return_counts=True)
-    several = np.flatnonzero(members[group] > 1)
-    alone = np.flatnonzero(members[group] == 1)
-    texts = list(distinct)
-    # runs: string, first and last start, least id
-    size = np.array([len(t) for t in texts], np.int64)
-    found = [(alone, np.zeros(len(alone), np.int64), size[alone] - length, least[alone])]
-    if len(several):
-        with tempfile.TemporaryDirectory() as folder:
-            who, start, name = Columns([texts[i] for i in several.tolist()], folder).equal_windows(length)
+    own = key[model]
+    _, group, members = np.unique(own, return_inverse=True, return_counts=True)
+    joint = (members[group] > 1) & (shared_sides(own, tuple(s[model] for s in sides)) | (off[model] == PART))
+    several, alone = np.flatnonzero(joint), np.flatnonzero(~joint)
+    several = several[np.argsort(own[several], kind="stable")]
+    found = [(alone, np.zeros(len(alone), np.int64), size[model[alone]] - length, least[alone])]
+    while len(several):  # whole keys, about TOGETHER bytes of them
+        ends = np.flatnonzero(np.append(own[several][1:] != own[several][:-1], True)) + 1
+        weight = np.cumsum(size[model[several]])[ends - 1]
+        end = ends[min(np.searchsorted(weight, TOGETHER), len(ends) - 1)]
+        some, several = several[:end], several[end:]
+        n = size[model[some]]
+        with Files(folder) as files:
+            who, first, name = Columns(gathered(flat, start[model[some]], n), n, length, files).equal_windows()
         best = np.full(int(name.max()) + 1, most)
-        np.minimum.at(best, name, least[several[who]])
-        order = np.lexsort((start, who))
-        who, start, value = who[order], start[order], best[name[order]]
-        first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (value[1:] != value[:-1]) | (start[1:] != start[:-1] + 1)))
-        last = np.append(first[1:], len(who)) - 1
-        found.append((several[who[first]], start[first], start[last], value[first]))
+        np.minimum.at(best, name, least[some[who]])
+        order = np.lexsort((first, who))
+        who, first, value = who[order], first[order], best[name[order]]
+        new = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (value[1:] != value[:-1]) | (first[1:] != first[:-1] + 1)))
+        last = np.append(new[1:], len(who)) - 1
+        found.append((some[who[new]], first[new], first[last], value[new]))
     who, first, last, value = (np.concatenate(x) for x in zip(*found))
     order = np.argsort(who, kind="stable")
     who, first, last, value = who[order], first[order], last[order], value[order]
     # each row gets its string's runs, if an id above the least has it
-    begin = np.searchsorted(who, np.arange(len(distinct) + 1))
+    begin = np.searchsorted(who, np.arange(len(model) + 1))
     count = np.diff(begin)[at]
     row = np.repeat(np.arange(len(at)), count)
     run = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + begin[at[row]]
@@ -270,158 +317,189 @@ def sort_stretches(strings: list[bytes], anchors: np.ndarray, low: np.ndarray, h
     return row, first[run], last[run], value[run]
 
 
-def shards_of(docs: DataFrame) -> DataFrame:
-    """doc_id, data (bytes), shard: about SHARD bytes in each."""
+def as_blobs(columns: pa.Table, by: np.ndarray, name: str) -> pa.Table:
+    """The rows of columns compressed together for each value of by: a column of that name, and blob."""
+    order = np.argsort(by, kind="stable")
+    columns, by = columns.take(pa.array(order)), by[order]
+    first = np.flatnonzero(np.append(True, by[1:] != by[:-1])[: len(by)])
+    blobs = []
+    for a, z in zip(first.tolist(), [*first.tolist()[1:], len(by)]):
+        sink = pa.BufferOutputStream()
+        part = columns.slice(a, z - a).combine_chunks()
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(part)
+        blobs.append(sink.getvalue().to_pybytes())
+    return pa.table([pa.array(by[first].astype(np.int32)), pa.array(blobs, pa.binary())], [name, "blob"])
+
+
+def from_blobs(blobs: list[bytes]) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]).combine_chunks()
+
+
+def shards_of(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, data (bytes), shard: about SHARD bytes in each; and the bytes of all."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(text_of("text"), "UTF-8").alias("data"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD))
-    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "data"), F.lit(shards)).cast("int")).repartition(spread, "shard")
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // SHARDS)
+    return rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "data"), F.lit(shards)).cast("int")).repartition(spread, "shard"), total
 
 
 def shared_anchors(sharded: DataFrame, length: int) -> DataFrame:
-    """shard, h: the anchor hashes of each shard that two or more documents have."""
+    """shard, h: the anchor hashes of each shard that two or more documents have; -1 - h where it is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(length // 3)
+        hasher = Hasher()
         for batch in batches:
             held: dict[int, list[bytes]] = {}
             for doc_id, data, shard in zip(batch.column(0), batch.column(1), batch.column(2)):
                 if doc_id.is_valid:
                     held.setdefault(shard.as_py(), []).append(data.as_py())
             for shard, texts in held.items():
-                found = [(h, text) for text, h, _, _ in runs(texts, length, hasher)]
-                if not found:
+                found = stretches(texts, length, hasher)
+                if not len(found):
                     continue
-                h, text = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((text, h))
-                h, text = h[order], text[order]
+                order = np.argsort(found.h, kind="stable")  # texts rise within a hash
+                h, text = found.h[order], found.text[order]
                 first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-                h, several = h[first], np.maximum.reduceat(text, first) - text[first]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard, np.int32)), pa.array(h), pa.array(several > 0)], ["shard", "h", "several"])
+                several = text[np.append(first[1:], len(h)) - 1] != text[first]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), shard, np.int32)), pa.array(2 * h[first] + several)], ["shard", "x"])
 
-    found = sharded.mapInArrow(run, "shard int, h long, several boolean")
+    found = sharded.mapInArrow(run, "shard int, x long").select("shard", F.shiftright("x", 1).alias("h"), F.col("x").bitwiseAND(1).alias("several"))
     everywhere = Window.partitionBy("h")
     found = found.withColumn("n", F.count(F.lit(1)).over(everywhere)).withColumn("any", F.max("several").over(everywhere))
-    return found.filter("n > 1 or any").select("shard", "h")
+    return found.filter("n > 1 or any > 0").select("shard", F.when(F.col("n") > HOT, -1 - F.col("h")).otherwise(F.col("h")).alias("h"))
 
 
 def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (array of start and end), kept (the other bytes) for each row of docs (doc_id, text)."""
-    sharded = shards_of(docs)  # one plan to the end: its shuffle is made once and read three times
+    spark = docs.sparkSession
+    sharded, total = shards_of(docs)  # one plan to the end: its shuffle is made once and read three times
     shared = shared_anchors(sharded, length)
-
-    def stretches(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        hasher, docs_in = Hasher(length // 3), in_order(left)
-        seen: dict[bytes, list] = {}
-        for n, h, data, start, _ in at_shared(docs_in, np.unique(right["h"].to_numpy()), length, hasher):
-            doc_id = docs_in[n][0]
-            if data in seen:
-                seen[data][4] = doc_id  # documents come by rising id
-            else:
-                seen[data] = [h, n, start, doc_id, doc_id]
-        rows = list(seen.values())
-        columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
-        shard = pa.array(np.full(len(rows), key[0].as_py() if rows else 0, np.int32))
-        return pa.table([shard, *columns, pa.array(list(seen), pa.binary())], ["shard", "h", "doc", "start", "low", "high", "data"])
-
-    parts = sharded.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(stretches, "shard int, h long, doc int, start long, low long, high long, data binary")
-
-    buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["shard", "h", "doc", "start", "low", "high", "data"]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            bucket = (t["h"].to_numpy().view(np.uint64) >> np.uint64(24)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            t, bucket = t.take(pa.array(order)).combine_chunks(), bucket[order].astype(np.int32)
-            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
-            blobs = [as_blob(t.slice(i, j - i)) for i, j in zip(first.tolist(), [*first.tolist()[1:], len(bucket)])]
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
-        held, size = [], 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size > PACKED:
-                yield packed(held)
-                held, size = [], 0
-        if held:
-            yield packed(held)
+    folder = checkpoint_dir(spark)
+    buckets = max(1, -(-total // BUCKET))
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // BUCKETS)
+
+    def at_shared(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        hasher = Hasher()
+        ids, texts = with_ids(in_order(left))
+        h = right["h"].to_numpy()
+        hot = np.unique(-1 - h[h < 0])
+        found = stretches(texts, length, hasher, np.union1d(h[h >= 0], hot), hot)
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        begin = np.cumsum([0, *map(len, texts)])
+        start, size = begin[found.text] + found.a, found.b - found.a
+        group = same_bytes(flat, start, size, found.hash)
+        # documents come by rising id: the first of a class has the least, the last the largest
+        first, last = np.zeros(len(set(group.tolist())), np.int64), np.zeros(len(set(group.tolist())), np.int64)
+        last[group] = np.arange(len(group))
+        first[group[::-1]] = np.arange(len(group))[::-1]
+        columns = [found.key[first], found.text[first].astype(np.int32), found.a[first], ids[found.text[first]], ids[found.text[last]], found.off[first].astype(np.uint8)]
+        table_ = pa.table([*map(pa.array, columns), strings_of(gathered(flat, start[first], size[first]), size[first])], ["key", "doc", "a", "low", "high", "off", "data"])
+        shard = pa.array(np.full(len(first), key[0].as_py() if len(first) else 0, np.int32))
+        mixed = Hasher.mixed(found.key[first].astype(np.uint64))
+        return as_blobs(table_.append_column("shard", shard), (mixed % np.uint64(buckets)).astype(np.int64), "bucket")
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+
         def sort(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-            t = pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in blobs]).sort_by("h")
-            h = t["h"].to_numpy()
-            ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
-            at = 0
-            while at < len(h):  # whole anchors, about TOGETHER stretches of them
-                to = int(ends[min(np.searchsorted(ends, at + TOGETHER), len(ends) - 1)])
-                part = t.slice(at, to - at).combine_chunks()
-                row, a, b, least = sort_stretches(part["data"].to_pylist(), part["h"].to_numpy(), part["low"].to_numpy(), part["high"].to_numpy(), length)
-                columns = [part[c].combine_chunks().take(pa.array(row)) for c in names[:4]]
-                made = [pa.array(a.astype(np.int16)), pa.array(b.astype(np.int16)), pa.array(least)]
-                yield pa.RecordBatch.from_arrays([*columns, *made], [*names[:4], "first", "last", "least"])
-                at = to
+            t = from_blobs(blobs)
+            flat, size = flat_of(t["data"].combine_chunks() if isinstance(t["data"], pa.ChunkedArray) else t["data"])
+            key, low, high, off = (t[c].to_numpy() for c in ("key", "low", "high", "off"))
+            row, a, b, least = sort_stretches(flat, size, key, off, low, high, length, hasher, folder)
+            at = pa.array(row)
+            made = {"doc": t["doc"].take(at), "a": t["a"].take(at), "size": pa.array(size[row].astype(np.int16)), "part": pa.array(off[row] == PART)}
+            made |= {"first": pa.array(a.astype(np.int16)), "last": pa.array(b.astype(np.int16)), "least": pa.array(least)}
+            yield from as_blobs(pa.table(made), t["shard"].to_numpy()[row], "shard").to_batches()
 
         now, held = None, []
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if bucket != now and held:
                     yield from sort(held)
                     held = []
                 now = bucket
-                held.append(blob)
+                held.append(blob.as_py())
         if held:
             yield from sort(held)
 
-    # stretches cross the network compressed, those of a task and bucket together
-    dealt = parts.mapInArrow(pack, "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(classes, "shard int, h long, doc int, start long, first short, last short, least long")
+    parts = sharded.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(at_shared, "bucket int, blob binary")
+    found = parts.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(classes, "shard int, blob binary")
 
     def mark(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        hasher, docs_in = Hasher(length // 3), in_order(left)
-        told: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for doc, start, first, last, least in zip(*(right[c].to_pylist() for c in ("doc", "start", "first", "last", "least"))):
-            told.setdefault((doc, start), []).append((first, last, least))
-        seen: dict[bytes, list[tuple[int, int, int]]] = {}
-        marks: dict[int, list[tuple[int, int]]] = {}
-        for n, _, data, start, _ in at_shared(docs_in, np.unique(right["h"].to_numpy()), length, hasher):
-            if (windows := seen.get(data)) is None:
-                windows = seen[data] = told.get((n, start), [])
-            for first, last, least in windows:
-                if least < docs_in[n][0]:
-                    marks.setdefault(n, []).append((start + first, start + last + length))
-        out = []
-        for n, (doc_id, data) in enumerate(docs_in):
-            spans = union(marks.get(n, []))
-            ends = [0, *(x for s in spans for x in s), len(data)]
-            kept = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])) if spans else data
-            out.append((doc_id, len(data), len(data) - len(kept), spans, kept))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
-        names = ("doc_id", "n_bytes", "n_removed", "spans", "kept")
-        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], list(names))
+        docs_in = in_order(left)
+        data = [d[1] for d in docs_in]
+        size = np.array([len(d) for d in data], np.int64)
+        begin = np.cumsum(np.append(0, size))
+        gone = np.zeros(int(begin[-1]) + 1, bool)
+        if right.num_rows:
+            told = from_blobs(right["blob"].to_pylist())
+            ids, texts = with_ids(docs_in)
+            for a, z in covered(ids, texts, begin, told, length):
+                gone[a:z] = True
+        kept = ~gone[:-1]
+        flat = np.frombuffer(b"".join(data), np.uint8)
+        # runs of removed bytes, none across documents
+        edge = gone[:-1] & ~np.append(False, gone[:-2]) if len(flat) else np.zeros(0, bool)
+        starts = begin[:-1][size > 0]
+        edge[starts] = gone[starts]
+        a = np.flatnonzero(edge)
+        stop = np.zeros(len(flat) + 1, bool)
+        stop[np.flatnonzero(gone[:-1]) + 1] = True  # after a removed byte
+        stop[: len(flat)] &= kept | edge
+        z = np.flatnonzero(stop)
+        owner = np.searchsorted(begin, a, "right") - 1
+        number = np.bincount(owner, minlength=len(size))
+        removed = np.add.reduceat(np.append(gone[:-1], False).astype(np.int64), begin[:-1]) * (size > 0) if len(size) else size
+        pairs = pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack((a - begin[owner], z - begin[owner])).ravel()), 2).cast(pa.list_(pa.int64()))
+        spans = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number)).astype(np.int32)), pairs)
+        out = [pa.array([d[0] for d in docs_in], pa.int64()), pa.array(size), pa.array(removed), spans, strings_of(flat[kept], size - removed)]
+        return pa.table(out, ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
     return sharded.groupBy("shard").cogroup(found.groupBy("shard")).applyInArrow(mark, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
 
 
-def as_blob(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
-def union(spans: list[tuple[int, int]]) -> list[list[int]]:
-    """Spans in order, those that overlap or touch made one."""
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def covered(ids: np.ndarray, texts: list[bytes], begin: np.ndarray, told: pa.Table, length: int) -> list[tuple[int, int]]:
+    """The spans to remove from a shard's texts laid end to end, from the runs of windows that the buckets tell of, each
+    for one of the equal stretches of the shard."""
+    hasher = Hasher()
+    doc, a, size, part, first, last, least = (told[c].to_numpy().astype(np.int64) for c in ("doc", "a", "size", "part", "first", "last", "least"))
+    whole = stretches(texts, length, hasher)
+    start = begin[whole.text] + whole.a
+    hot = np.flatnonzero(part)
+    if len(hot):  # the anchors whose stretches come in parts: told by where a part lies
+        at = np.searchsorted(start, begin[doc[hot]] + a[hot], "right") - 1
+        cut = np.unique(whole.h[at])
+        whole = stretches(texts, length, hasher, None, cut)
+        start = begin[whole.text] + whole.a
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    n = whole.b - whole.a
+    # a told stretch is one of the shard's: its place gives its row, that gives all rows of its bytes
+    order = np.lexsort((n, start))
+    key = start[order] * (4 * length) + n[order]
+    row = order[np.searchsorted(key, (begin[doc] + a) * (4 * length) + size)]
+    wanted = np.unique(whole.hash[row])
+    some = np.flatnonzero(contains(wanted, whole.hash))
+    group = np.full(len(n), -1)
+    group[some] = same_bytes(flat, start[some], n[some], whole.hash[some])
+    # each row meets the runs of its class
+    by = np.argsort(group[row], kind="stable")
+    low = np.searchsorted(group[row][by], group[some])
+    count = np.searchsorted(group[row][by], group[some], "right") - low
+    left = np.repeat(some, count)
+    right = by[np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    later = least[right] < ids[whole.text[left]]
+    left, right = left[later], right[later]
+    x, y = start[left] + first[right], start[left] + last[right] + length
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    if not len(x):
+        return []
+    # joined where they overlap; texts' spans may touch, which changes nothing here
+    reach = np.maximum.accumulate(y)
+    new = np.append(True, x[1:] > reach[:-1])
+    return list(zip(x[new].tolist(), np.maximum.reduceat(y, np.flatnonzero(new)).tolist()))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
