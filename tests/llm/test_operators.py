@@ -238,6 +238,40 @@ def test_tree_joins_are_exact(symbols, n):
     assert [i for w in ids for i in w] == Tokenizer.from_file(WORD_BPE).encode(word, add_special_tokens=False).ids
 
 
+@pytest.fixture(scope="module")
+def word_codec():
+    with open(WORD_BPE, "rb") as f:
+        return bpe_codec.Codec(f.read())
+
+
+@pytest.mark.parametrize("half", [1, 2, 3, 7, 4096])
+def test_texts_cut_anywhere_are_joined_exactly(word_codec, half, monkeypatch):
+    monkeypatch.setattr(bpe_codec, "HALF", half)
+    rng = np.random.default_rng(half)
+    parts = ["'", "'s", "'re", "r", "e", "ve", "don't", " ", "  ", "\n", "12", "3", "!?", "...", "ß", "日本", "é", "a", "the", "x" * 9, "\u3000"]
+    for _ in range(60):
+        text = "".join(rng.choice(parts, rng.integers(0, 40)))
+        assert word_codec.split(text) == word_codec.words(text)
+
+
+def test_long_documents_go_through_joins_and_growing_windows(word_codec, spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null").collect()
+    seen, plain, words = Counter(), Tokenizer.from_file(WORD_BPE), word_codec.words
+
+    def join(text, left, right, run=word_codec.join):
+        monkeypatch.setattr(word_codec, "words", lambda t: seen.update(windows=1) or words(t))
+        out = run(text, left, right)
+        monkeypatch.setattr(word_codec, "words", words)
+        seen.update(joins=1)
+        return out
+
+    monkeypatch.setattr(word_codec, "join", join)
+    long = [r.text for r in rows if len(r.text) > bpe_codec.HALF]
+    for text, (ids, _) in zip(long, word_codec.both(long)):
+        assert [i for w in ids for i in w] == plain.encode(text, add_special_tokens=False).ids
+    assert seen["joins"] > 100 and seen["windows"] > 1.5 * seen["joins"]
+
+
 # repeated passages
 
 

@@ -1,10 +1,15 @@
 """BPE encoding and decoding by tree concatenation.
 
-A word is encoded by its merges. A long unsplit one is cut in halves down to short leaves; all leaves of a batch are
-encoded side by side, then joined level by level. At each join a window around it is encoded anew, and grows until its
-first and last symbols fit the sides: a token sequence is the encoding of its text exactly if each two neighbours are
-the encoding of theirs, so it is enough that the pairs on both edges of the window agree. The work is thus close to
-linear in a word's length, where merging it whole is not. Encoded words are kept in a bounded dictionary.
+A long text is cut in halves, wherever the middle falls, down to pieces of at most HALF characters. The pieces of all
+texts of a batch are split into words and encoded side by side, then joined level by level. At each join a window of
+words around it is split and encoded anew, and grows until its first word is the left side's and its last word the right
+side's. That is enough for the whole to be exact: no match of the pattern holds a blank or looks behind itself, and how
+far one goes on is settled by a neighbour that stays as it is.
+
+A word is encoded by its merges, and a long one in the same way: leaves of LEAF symbols side by side, joined by windows
+of tokens that grow until their edges fit both sides. A token sequence is the encoding of its text exactly if each two
+neighbours are the encoding of theirs. The work is thus close to linear in the length of a text or word, where taking it
+whole is not. Encoded words are kept in a bounded dictionary.
 
 Defined cases: a null or empty text has no ids and decodes to an empty text; special strings in a text are single ids,
 as the library's default has it; long texts and long words are taken whole; repeated rows and null ids come back as
@@ -32,8 +37,10 @@ from tidemark.llm.token_counts import RankMerger, byte_symbols, has_newer, split
 #: What the vocabulary's own description splits by (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Symbols in a leaf, and around a join at first; words that a worker keeps.
-LEAF, WINDOW, REMEMBERED = 64, 4, 300_000
+#: Characters in a piece of a text; symbols in a leaf of a word; tokens around a join of leaves at first.
+HALF, LEAF, WINDOW = 4096, 64, 4
+#: Words, and pairs of tokens, that a worker keeps.
+REMEMBERED, PAIRS = 300_000, 1_000_000
 
 
 class TreeEncoder:
@@ -64,6 +71,8 @@ class TreeEncoder:
     def fits(self, a: int, b: int) -> bool:
         """Whether two neighbouring tokens are the encoding of their joint symbols."""
         if (known := self.agreed.get((a, b))) is None:
+            if len(self.agreed) >= PAIRS:
+                self.agreed.clear()
             known = self.agreed[a, b] = self.merge([*self.parts[a], *self.parts[b]]) == [a, b]
         return known
 
@@ -144,6 +153,40 @@ class Codec:
         text = unicodedata.normalize("NFC", text)
         return text.lower() if "Σ" not in text else "σ".join(x.lower() for x in text.split("Σ"))
 
+    def join(self, text: str, left: tuple[int, int, list[str]], right: tuple[int, int, list[str]]) -> tuple[int, int, list[str]]:
+        """The words of two neighbouring pieces of a text, from each one's start, end and words."""
+        a, middle, before = left
+        _, b, after = right
+        if not before or not after:
+            return a, b, before + after
+        i = j = 1
+        start, end = text.rindex(before[-1], a, middle), text.index(after[0], middle, b) + len(after[0])
+        while True:
+            window = self.words(text[start:end])
+            low = i == len(before) or window[0] == before[-i]
+            high = j == len(after) or window[-1] == after[j - 1]
+            if low and high:
+                return a, b, before[: len(before) - i] + window + after[j:]
+            # twice the words on a side that differs; between two words there are only blanks
+            for _ in range(0 if low else min(i, len(before) - i)):
+                i += 1
+                start = text.rindex(before[-i], a, start)
+            for _ in range(0 if high else min(j, len(after) - j)):
+                end = text.index(after[j], end, b) + len(after[j])
+                j += 1
+
+    def split(self, text: str) -> list[str]:
+        """The words of a normal text: those of its pieces, joined two by two."""
+        n = len(text)
+        if n <= HALF:
+            return self.words(text)
+        many = 1 << (-(-n // HALF) - 1).bit_length()
+        cuts = [n * k // many for k in range(many + 1)]
+        level = [(a, b, self.words(text[a:b])) for a, b in zip(cuts, cuts[1:])]
+        while len(level) > 1:
+            level = [self.join(text, *level[k : k + 2]) for k in range(0, len(level), 2)]
+        return level[0][2]
+
     def both(self, texts: list[str]) -> Iterator[tuple[Iterator[tuple[int, ...]], str]]:
         """For each text: the ids word by word, and the decoded text."""
         split: list[list[str]] = []
@@ -151,7 +194,7 @@ class Codec:
             parts = self.special.split(text) if "<|" in text else [text]
             words: list[str] = []
             for k, part in enumerate(parts):
-                words += [part] if k % 2 else self.words(self.normal(part))
+                words += [part] if k % 2 else self.split(self.normal(part))
             split.append(words)
         every = set().union(*split).difference(self.specials)
         new = every.difference(self.known)
