@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe_codec, chat_format, decontaminate, exact_dedup, language_id, quality, simhash, suffix_columns, suffix_dedup, token_counts, toxicity
+from tidemark.llm import bpe_codec, chat_format, decontaminate, exact_dedup, language_id, linear, quality, simhash, suffix_columns, suffix_dedup, token_counts, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -392,14 +392,54 @@ def test_toxicity_held_out(spark):
 
 def test_toxicity_swaps_identity_terms(spark):
     vocabulary = {w: i for i, w in enumerate(sorted({*toxicity.SWAPS, "awful"}))}
-    pairs = toxicity.counterfactuals("The women are awful. Nothing here.", vocabulary)
-    assert len(pairs) == len(toxicity.SWAPS["women"]) and all(a != b for a, b in pairs)
+    pairs = list(toxicity.counterfactuals("The women are awful. Nothing here.", vocabulary))
+    assert len(pairs) == len(toxicity.SWAPS["women"]) and all(gone == (vocabulary["women"],) and come for gone, come in pairs)
+    assert set(toxicity.counterfactuals("women and men", vocabulary)) >= {((vocabulary["women"],), ()), ((vocabulary["men"],), ())}
     rows = [(i, ("women are vile " if i % 2 else "men are kind ") + f"w{i % 7}", i % 2) for i in range(200)]
     labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     apart = [abs(m.score("women today") - m.score("men today")) for m in (toxicity.fit(labelled, pull=0.0), toxicity.fit(labelled, pull=10.0))]
     assert apart[1] < 0.5 * apart[0]
 
 
+def test_terms_of_the_rows_are_swapped_where_they_fill_the_same_places(spark):
+    rows = [(i, f"the {['cat', 'dog', 'fox'][i % 3]} is {'vile' if i % 5 == 0 else 'kind'}. so a {['cat', 'dog', 'fox'][i % 3]} goes", int(i % 5 == 0)) for i in range(300)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    counted, share = toxicity.word_counts(labelled)
+    assert share == 0.2 and {tuple(sorted([t, *o])) for t, o in toxicity.exchangeable(labelled, counted, 50, 10).items()} == {("cat", "dog", "fox")}
+    assert toxicity.fit(labelled).pairs > 0
+
+
+def test_a_fit_without_pairs_warns(spark):
+    rows = [(i, "vile thing" if i % 2 else "kind word", i % 2) for i in range(100)]
+    with pytest.warns(UserWarning, match="not regularised"):
+        toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+
+
+def test_the_penalty_works_on_documents(spark):
+    d = "/root/testdata/sf0.1/"
+    docs, labels = (spark.read.parquet(f"{d}{t}.parquet") for t in ("documents", "labels"))
+    teach = toxicity.training_rows(docs, labels, ~toxicity.held_out())
+    free, pulled = toxicity.fit(teach, pull=0.0), toxicity.fit(teach)
+    assert free.pairs == pulled.pairs > 1000 and {t for t in pulled.swaps if t not in toxicity.SWAPS}
+    before, after = (toxicity.report(docs, labels, m, toxicity.held_out()).first() for m in (free, pulled))
+    print(before, after)
+    assert after["pairs"] > 1000 and after["mean_gap"] < before["mean_gap"] and after["called_mentioning"] <= 0.01
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_regression_finds_the_least_loss(seed):
+    rng = np.random.default_rng(seed)
+    x, changes = (rng.random((80, 6)) < 0.4).astype(float), [([0], [1], 5), ([2, 3], [], 2), ([], [4], 1)]
+    y = (rng.random(80) < 0.5).astype(float)
+    w, b = linear.logistic(x, y, l2=1e-2, changes=changes, pull=0.7, rounds=3000)
+    delta = np.zeros((3, 6))
+    for k, (gone, come, _) in enumerate(changes):
+        delta[k, gone], delta[k, come] = -1, 1
+    share = np.array([5, 2, 1]) / 8
+    slope = x.T @ (linear.sigmoid(x @ w + b) - y) / 80 + 2e-2 * w + 1.4 * delta.T @ (share * (delta @ w))
+    assert np.abs(slope).max() < 1e-4
+
+
 def test_toxicity_edge_cases(spark, docs, empty):
     model = toxicity.Model({"bad": 3.0}, -1.0)
     got = toxicity.score_texts(docs, model).collect()

@@ -28,24 +28,44 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 15, seed: i
 
 
 def logistic(
-    x: np.ndarray, y: np.ndarray, l2: float = 1e-3, pairs: tuple[np.ndarray, np.ndarray] | None = None, pull: float = 0.0, rounds: int = 400
+    x: np.ndarray, y: np.ndarray, l2: float = 1e-3, changes: list[tuple[list[int], list[int], int]] | None = None, pull: float = 0.0, rounds: int = 400
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression; pairs (original rows, changed rows) should get equal scores.
+    """Weights and bias of a logistic regression. changes: columns that go from 1 to 0, columns that go from 0 to 1, how
+    often; they should leave a score as it is.
 
-    The loss is the mean log loss + l2 |w|^2 + pull times the mean squared difference of the logits of a pair.
+    The loss is the mean log loss + l2 |w|^2 + pull times the mean squared difference of the logit over the changes.
     Minimised by gradient steps with momentum, of a size that the curvature's bound allows."""
     n, d = x.shape
     w, b = np.zeros(d), 0.0
     if not n:
         return w, b
-    delta = pairs[0] - pairs[1] if pairs is not None and len(pairs[0]) else np.zeros((0, d))
-    bound = 0.25 * (np.linalg.norm(x, 2) ** 2 / n + 1) + 2 * l2 + (2 * pull * np.linalg.norm(delta, 2) ** 2 / len(delta) if len(delta) else 0)
+    changes = changes or []
+    row = np.repeat(np.arange(len(changes)), [len(g) + len(c) for g, c, _ in changes])
+    column = np.array([i for g, c, _ in changes for i in [*g, *c]], np.int64)
+    sign = np.array([v for g, c, _ in changes for v in [-1.0] * len(g) + [1.0] * len(c)])
+    share = np.array([k for _, _, k in changes], float)
+    share /= max(share.sum(), 1.0)
+
+    def pulled(v: np.ndarray) -> np.ndarray:
+        moved = np.bincount(row, sign * v[column], minlength=len(changes))
+        return np.bincount(column, sign * (share * moved)[row], minlength=d)
+
+    steep = 0.0
+    if len(changes):  # the largest curvature of the penalty, by power iteration, with some room
+        v = np.random.default_rng(0).normal(size=d)
+        for _ in range(50):
+            v = pulled(v)
+            steep = float(np.linalg.norm(v))
+            if not steep:
+                break
+            v /= steep
+    bound = 0.25 * (np.linalg.norm(x, 2) ** 2 / n + 1) + 2 * l2 + 2.4 * pull * steep
     v, u, t = w, b, 1.0
     for _ in range(rounds):
         e = sigmoid(x @ v + u) - y
         g = x.T @ e / n + 2 * l2 * v
-        if len(delta):
-            g = g + 2 * pull * delta.T @ (delta @ v) / len(delta)
+        if len(changes):
+            g = g + 2 * pull * pulled(v)
         new_w, new_b, new_t = v - g / bound, u - e.mean() / bound, (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, u = new_w + (t - 1) / new_t * (new_w - w), new_b + (t - 1) / new_t * (new_b - b)
         w, b, t = new_w, new_b, new_t
