@@ -44,10 +44,14 @@ SHARD, SLICE, BUCKET = 4 << 20, 1 << 17, 16 << 20
 SHARDS, BUCKETS = 16, 8
 #: Bytes of stretches whose suffixes are put in order together (whole anchors).
 TOGETHER = 16 << 20
+#: Compression level of what is shuffled packed.
+LEVEL = 5
 #: Shards that have an anchor before it counts as hot, and the parts that its stretches are cut in.
 HOT, PARTS = 256, 4
-#: Mark of a stretch's part in place of its anchor's offset.
-PART = 255
+#: What the number of a part of a hot stretch, from 1, adds to its anchor's offset.
+PART = 4096
+#: Bits of an anchor's hash that are kept.
+LOW = np.uint64((1 << 48) - 1)
 
 
 class Hasher:
@@ -121,7 +125,7 @@ def slices(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nda
 
 class Stretches:
     """Columns of numbers on the stretches of a shard's texts, in order: text (its number), h (the anchor's hash), key (what they
-    are dealt by), a and b (first byte and end in the text), off (of the anchor in it, or PART), hash (of the bytes)."""
+    are dealt by), a and b (first byte and end in the text), off (of the anchor in it, and PART for the part's number), hash (of the bytes)."""
 
     NAMES = ("text", "h", "key", "a", "b", "off", "hash")
 
@@ -158,7 +162,7 @@ def stretches(texts: list[bytes], length: int, hasher: Hasher, shared: np.ndarra
         part = np.searchsorted(here, first, "right") - 1
         last = np.minimum(np.append(first[1:], len(place)) - 1, here[part] + count[part] - 1)
         p = place[first]
-        h = (every[p] & np.uint64((1 << 48) - 1)).astype(np.int64)
+        h = (every[p] & LOW).astype(np.int64)
         if shared is not None:
             hit = np.flatnonzero(contains(shared, h))
             first, last, part, p, h = first[hit], last[hit], part[hit], p[hit], h[hit]
@@ -170,19 +174,27 @@ def stretches(texts: list[bytes], length: int, hasher: Hasher, shared: np.ndarra
     return Stretches(found)
 
 
+def start_ranges(length: int) -> list[tuple[int, int]]:
+    """How far before its anchor a window starts, least and most, for each part of a hot stretch."""
+    free = length - length // 3
+    cuts = [i * (free + 1) // PARTS for i in range(PARTS + 1)]
+    return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
+
+
+def part_key(common: np.ndarray, g: int) -> np.ndarray:
+    return ((common ^ np.uint64(g)) >> np.uint64(1)).astype(np.int64)
+
+
 def cut_hot(first, last, part, p, h, hot, length: int, hasher: Hasher, total: np.ndarray):
     """Stretches with those at hot anchors in parts: windows whose starts lie in one range before the anchor have all
     bytes of the range's windows' overlap in common, which give the part's key."""
-    free = length - length // 3
-    cuts = [i * (free + 1) // PARTS for i in range(PARTS + 1)]
     kept = ~hot
     out = [(first[kept], last[kept], part[kept], (p - first)[kept], h[kept], h[kept])]
-    for g, (low, high) in enumerate(zip(cuts, [c - 1 for c in cuts[1:]])):
+    for g, (low, high) in enumerate(start_ranges(length)):
         a, z = np.maximum(first, p - high), np.minimum(last, p - low)
         own = np.flatnonzero(hot & (a <= z))
-        common = hasher.some(total, p[own] - low, p[own] - high + length) ^ np.uint64(g)
-        key = (common >> np.uint64(1)).astype(np.int64)
-        out.append((a[own], z[own], part[own], np.full(len(own), PART), h[own], key))
+        key = part_key(hasher.some(total, p[own] - low, p[own] - high + length), g)
+        out.append((a[own], z[own], part[own], p[own] - a[own] + PART * (g + 1), h[own], key))
     made = [np.concatenate(x) for x in zip(*out)]
     order = np.lexsort((made[0], made[2]))
     return [x[order] for x in made]
@@ -235,14 +247,15 @@ def with_ids(docs: list[tuple[int | None, bytes]]) -> tuple[np.ndarray, list[byt
     return np.array([d[0] for d in own], np.int64), [d[1] for d in own]
 
 
-def with_sides(flat, start, size, off, hasher: Hasher, length: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """The hash of each string, and those of its anchor with the bytes before it and with those behind it (0: has none).
+def with_keys(flat, start, size, off, hasher: Hasher, length: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The hash of each string, its key, and the hashes of its anchor with the bytes before it and with those behind it (0: has none).
 
     Each window at an anchor holds the one or the other, so a string that shares neither with another of its key has no
     window of theirs. Parts of hot stretches have no sides."""
     third = length // 3
     half = (length - third) // 2  # a window starts so many bytes before the anchor, or fewer
     h, left, right = (np.zeros(len(size), np.uint64) for _ in range(3))
+    key = np.zeros(len(size), np.int64)
     begins, begin = np.cumsum(size) - size, 0
     while begin < len(size):
         end = max(begin + 1, int(np.searchsorted(begins, begins[begin] + SLICE)))
@@ -250,11 +263,17 @@ def with_sides(flat, start, size, off, hasher: Hasher, length: int) -> tuple[np.
         total = hasher.sums(gathered(flat, a, n))
         at = begins[begin:end] - begins[begin]
         h[begin:end] = hasher.some(total, at, at + n)
+        own = np.flatnonzero(o < PART)
+        key[begin + own] = (hasher.some(total, (at + o)[own], (at + o)[own] + third) & LOW).astype(np.int64)
+        for g, (low, high) in enumerate(start_ranges(length)):
+            own = np.flatnonzero(o // PART == g + 1)
+            p = (at + o % PART)[own]
+            key[begin + own] = part_key(hasher.some(total, p - low, p - high + length), g)
         for side, low, high in ((left, o - half, o + third), (right, o, o + length - half + 1)):
-            fits = np.flatnonzero((low >= 0) & (high <= n) & (o != PART))
+            fits = np.flatnonzero((low >= 0) & (high <= n) & (o < PART))
             side[begin + fits] = hasher.some(total, at[fits] + low[fits], at[fits] + high[fits]) | np.uint64(1)
         begin = end
-    return h, (left, right)
+    return h, key, (left, right)
 
 
 def shared_sides(key: np.ndarray, sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -269,14 +288,14 @@ def shared_sides(key: np.ndarray, sides: tuple[np.ndarray, np.ndarray]) -> np.nd
     return out
 
 
-def sort_stretches(flat, size, key, off, low, high, length: int, hasher: Hasher, folder: str | None) -> tuple[np.ndarray, ...]:
+def sort_stretches(flat, size, off, low, high, length: int, hasher: Hasher, folder: str | None) -> tuple[np.ndarray, ...]:
     """For stretches with the least and largest id that has each: row, first start, last start, least id, for runs of
     windows whose class has a smaller id than the row's largest. Equal windows have equal keys.
 
     Rows of equal bytes go into the order as one. One that has no other of its key to share a window with is a class of
     its own, whose windows' least id is the rows'."""
     start = np.cumsum(size) - size
-    h, sides = with_sides(flat, start, size, off, hasher, length)
+    h, key, sides = with_keys(flat, start, size, off, hasher, length)
     at = same_bytes(flat, start, size, h)
     model = np.zeros(at.max() + 1, np.int64)
     model[at[::-1]] = np.arange(len(at))[::-1]
@@ -285,7 +304,7 @@ def sort_stretches(flat, size, key, off, low, high, length: int, hasher: Hasher,
     np.minimum.at(least, at, low)
     own = key[model]
     _, group, members = np.unique(own, return_inverse=True, return_counts=True)
-    joint = (members[group] > 1) & (shared_sides(own, tuple(s[model] for s in sides)) | (off[model] == PART))
+    joint = (members[group] > 1) & (shared_sides(own, tuple(s[model] for s in sides)) | (off[model] >= PART))
     several, alone = np.flatnonzero(joint), np.flatnonzero(~joint)
     several = several[np.argsort(own[several], kind="stable")]
     found = [(alone, np.zeros(len(alone), np.int64), size[model[alone]] - length, least[alone])]
@@ -326,7 +345,7 @@ def as_blobs(columns: pa.Table, by: np.ndarray, name: str) -> pa.Table:
     for a, z in zip(first.tolist(), [*first.tolist()[1:], len(by)]):
         sink = pa.BufferOutputStream()
         part = columns.slice(a, z - a).combine_chunks()
-        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))) as out:
             out.write_table(part)
         blobs.append(sink.getvalue().to_pybytes())
     return pa.table([pa.array(by[first].astype(np.int32)), pa.array(blobs, pa.binary())], [name, "blob"])
@@ -394,8 +413,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         first, last = np.zeros(len(set(group.tolist())), np.int64), np.zeros(len(set(group.tolist())), np.int64)
         last[group] = np.arange(len(group))
         first[group[::-1]] = np.arange(len(group))[::-1]
-        columns = [found.key[first], found.text[first].astype(np.int32), found.a[first], ids[found.text[first]], ids[found.text[last]], found.off[first].astype(np.uint8)]
-        table_ = pa.table([*map(pa.array, columns), strings_of(gathered(flat, start[first], size[first]), size[first])], ["key", "doc", "a", "low", "high", "off", "data"])
+        order = np.argsort(first)  # as they lie in the texts: the columns are all but in order, and so compress well
+        first, last = first[order], last[order]
+        columns = [found.text[first].astype(np.int32), found.a[first], ids[found.text[first]], ids[found.text[last]] - ids[found.text[first]], found.off[first].astype(np.int16)]
+        table_ = pa.table([*map(pa.array, columns), strings_of(gathered(flat, start[first], size[first]), size[first])], ["doc", "a", "low", "more", "off", "data"])
         shard = pa.array(np.full(len(first), key[0].as_py() if len(first) else 0, np.int32))
         mixed = Hasher.mixed(found.key[first].astype(np.uint64))
         return as_blobs(table_.append_column("shard", shard), (mixed % np.uint64(buckets)).astype(np.int64), "bucket")
@@ -406,10 +427,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         def sort(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
             t = from_blobs(blobs)
             flat, size = flat_of(t["data"].combine_chunks() if isinstance(t["data"], pa.ChunkedArray) else t["data"])
-            key, low, high, off = (t[c].to_numpy() for c in ("key", "low", "high", "off"))
-            row, a, b, least = sort_stretches(flat, size, key, off, low, high, length, hasher, folder)
+            low, more, off = (t[c].to_numpy() for c in ("low", "more", "off"))
+            row, a, b, least = sort_stretches(flat, size, off, low, low + more, length, hasher, folder)
             at = pa.array(row)
-            made = {"doc": t["doc"].take(at), "a": t["a"].take(at), "size": pa.array(size[row].astype(np.int16)), "part": pa.array(off[row] == PART)}
+            made = {"doc": t["doc"].take(at), "a": t["a"].take(at), "size": pa.array(size[row].astype(np.int16)), "part": pa.array(off[row] >= PART)}
             made |= {"first": pa.array(a.astype(np.int16)), "last": pa.array(b.astype(np.int16)), "least": pa.array(least)}
             yield from as_blobs(pa.table(made), t["shard"].to_numpy()[row], "shard").to_batches()
 
