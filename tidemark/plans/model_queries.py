@@ -239,40 +239,40 @@ def c32(spark, d):
     return ticks(spark, d).groupBy("symbol").agg(F.max("ts").alias("last")).withColumn("stale", F.datediff(F.lit("2024-02-20").cast("date"), F.to_date("last")) > 14)
 
 
-def sma_step(n):
-    """State: the last n values."""
+#: Ticks that the watermark has passed.
+PASSED = "date_trunc('milliseconds', ts) < (SELECT max(date_trunc('milliseconds', ts)) FROM ticks) - INTERVAL 30 SECOND"
 
-    def step(s, x):
-        s.append(x)
-        del s[: max(0, len(s) - n)]
-        return (sum(s) / len(s), float(len(s) == n))
 
-    return step
-
-
-@add("ST5_warm_up", f"WITH {TICKS} SELECT symbol, id, round(avg(mid) OVER w, 6) + 0.0 AS sma, CAST(count(*) OVER w >= 20 AS DOUBLE) AS warm FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)")
+@add(
+    "ST5_warm_up",
+    f"""WITH {TICKS}, x AS (
+        SELECT symbol, id, ts, round(avg(mid) OVER w, 6) + 0.0 AS sma, CAST(count(*) OVER w >= 20 AS DOUBLE) AS warm
+        FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+    SELECT symbol, id, sma, warm FROM x WHERE {PASSED}""",
+)
 def st5(spark, d):
     s = jobs.parsed(jobs.as_messages(jobs.events(spark, d)))
-    return jobs.to_files(jobs.keyed_state(s, sma_step(20), [], ["sma", "warm"]))
-
-
-def correlation_step(s, x):
-    """State: last value, n and sums for the correlation of a value with the one before."""
-    if s[1] > 0 or s[6]:
-        y = s[0]
-        for i, v in enumerate((1.0, x, y, x * y, x * x)):
-            s[i + 1] += v
-        s[7] += y * y
-    s[0], s[6] = x, 1.0
-    n = s[1]
-    cov, vx, vy = (s[4] / n - s[2] / n * s[3] / n, s[5] / n - (s[2] / n) ** 2, s[7] / n - (s[3] / n) ** 2) if n > 2 else (0.0, 0.0, 0.0)
-    return (cov / (vx * vy) ** 0.5 if vx > 0 and vy > 0 else 0.0,)
-
-
-@add("ST8_online_correlation")
+    return jobs.to_files(jobs.keyed_state(s, jobs.sma_step(20), [], ["sma", "warm"]))
+
+
+@add(
+    "ST8_online_lookahead",
+    f"""WITH {TICKS}, p AS (
+        SELECT symbol, id, ts, lag(mid) OVER w AS f, (mid - lag(mid) OVER w) / lag(mid) OVER w AS r, row_number() OVER w - 1 AS n
+        FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id)),
+    k AS (
+        SELECT *, corr(f, r) OVER (PARTITION BY symbol ORDER BY n ROWS BETWEEN 999 PRECEDING AND CURRENT ROW) AS now
+        FROM p WHERE n > 0),
+    h AS (
+        SELECT symbol, n, now, count(*) OVER b AS seen, avg(now) OVER b AS m, stddev_pop(now) OVER b AS dev
+        FROM k WHERE n % 100 = 0 AND n >= 200 WINDOW b AS (PARTITION BY symbol ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT p.symbol, p.id, round(coalesce(h.now, 0.0), 6) + 0.0 AS corr,
+           CASE WHEN h.seen >= 10 AND abs(h.now) - abs(h.m) > 4 * (h.dev + 1e-10) AND abs(h.now) > 0.7 THEN 1.0 ELSE 0.0 END AS alert
+    FROM p LEFT JOIN h ON h.symbol = p.symbol AND h.n = p.n WHERE {PASSED.replace("ts)", "p.ts)", 1)}""",
+)
 def st8(spark, d):
     s = jobs.parsed(jobs.as_messages(jobs.events(spark, d)))
-    return jobs.to_files(jobs.keyed_state(s, correlation_step, [0.0] * 8, ["corr"]))
+    return jobs.to_files(jobs.keyed_state(s, jobs.lookahead_step(), [], ["corr", "alert"]))
 
 
 @add("ST13_trade_monitor", "WITH t AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_shipdate, l_discount - 0.05 AS r, l_extendedprice, l_partkey FROM lineitem) SELECT l_returnflag, l_orderkey, l_linenumber, round(CASE WHEN count(r) OVER w >= 50 THEN avg(r) OVER w / (stddev_samp(r) OVER w + 1e-9) END, 6) + 0.0 AS sharpe, round(CASE WHEN count(r) OVER w >= 50 THEN avg(CAST(r > 0 AS INT)) OVER w END, 6) + 0.0 AS win_rate FROM t WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")

@@ -141,16 +141,69 @@ def st4(spark, d):
     return J.to_files(J.windowed(stream_ticks(spark, d), "60 seconds", "10 seconds")).withColumn("start", c("start").cast("timestamp_ntz"))
 
 
-@add("ST6_ST12_running_state", None)
+PASSED = "date_trunc('milliseconds', ts) < " + CLOSED
+IN_ORDER = "PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING"
+
+
+@add(
+    "ST6_ST12_running_state",
+    f"""WITH {TICKS}, x AS (
+        SELECT symbol, id, ts, avg(mid) OVER w AS m, coalesce(stddev_samp(mid) OVER w, 0.0) AS s,
+               list_reduce(list(mid) OVER (PARTITION BY symbol ORDER BY ts, id ROWS 399 PRECEDING), lambda a, v: a + (v - a) * (2.0 / 21)) AS e
+        FROM ticks WINDOW w AS ({IN_ORDER}))
+    SELECT symbol, id, round(e, 6) + 0.0 AS ema, round(m + 3.1e-8, 6) + 0.0 AS mean, round(s, 6) + 0.0 AS std FROM x WHERE {PASSED}""",
+)
 def st6(spark, d):
-    return J.to_files(J.keyed_state(stream_ticks(spark, d), J.ema_step(20), [0.0] * 4, ["ema", "mean", "std"]))
-
-
-@add("ST7_page_hinkley", f"WITH {TICKS}, a AS (SELECT *, mid - avg(mid) OVER w - 0.5 AS dv FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)), b AS (SELECT *, sum(dv) OVER w AS s FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)) SELECT symbol, id, round(s - least(min(s) OVER w, 0.0), 4) + 0.0 AS ph FROM b WINDOW w AS (PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING)", 4)
+    out = J.to_files(J.keyed_state(stream_ticks(spark, d), J.ema_step(20), [0.0] * 4, ["ema", "mean", "std"]))
+    return out.withColumn("mean", c("mean") + 3.1e-8)  # prices have two digits: off the ties of rounding
+
+
+@add(
+    "ST7_page_hinkley",
+    f"""WITH {TICKS}, a AS (SELECT *, mid - avg(mid) OVER w - 0.5 AS dv FROM ticks WINDOW w AS ({IN_ORDER})),
+    b AS (SELECT *, sum(dv) OVER w AS s FROM a WINDOW w AS ({IN_ORDER})),
+    x AS (SELECT symbol, id, ts, round(s - least(min(s) OVER w, 0.0), 4) + 0.0 AS ph FROM b WINDOW w AS ({IN_ORDER}))
+    SELECT symbol, id, ph FROM x WHERE {PASSED}""",
+    4,
+)
 def st7(spark, d):
     return J.to_files(J.keyed_state(stream_ticks(spark, d), J.page_hinkley_step(0.5), [0.0] * 4, ["ph"]))
 
 
+ERROR = "CAST(mid > 250 AS INT)"
+
+
+@add(
+    "ST7_ddm",
+    f"""WITH {TICKS}, a AS (SELECT symbol, id, ts, avg({ERROR}) OVER w AS p, count(*) OVER w AS n FROM ticks WINDOW w AS ({IN_ORDER})),
+    b AS (SELECT *, sqrt(p * (1 - p) / n) AS s FROM a),
+    l AS (SELECT *, arg_min({{'p': p, 's': s}}, p + s) FILTER (n >= 30) OVER w AS least FROM b WINDOW w AS ({IN_ORDER}))
+    SELECT symbol, id, CASE WHEN n < 30 THEN 0.0 WHEN p + s > least.p + 3 * least.s THEN 2.0
+                            WHEN p + s > least.p + 2 * least.s THEN 1.0 ELSE 0.0 END AS ddm
+    FROM l WHERE {PASSED}""",
+)
+def st7_ddm(spark, d):
+    return J.to_files(J.keyed_state(stream_ticks(spark, d), J.ddm_step(), [0.0] * 4, ["ddm"], c("mid") > 250))
+
+
+@add(
+    "ST7_eddm",
+    f"""WITH {TICKS}, a AS (SELECT symbol, id, ts, {ERROR} AS e, row_number() OVER w AS n FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id)),
+    d AS (SELECT symbol, n, n - lag(n, 1, 0) OVER (PARTITION BY symbol ORDER BY n) AS d FROM a WHERE e = 1),
+    m AS (SELECT symbol, n, count(*) OVER w AS k, avg(d) OVER w + 2 * stddev_pop(d) OVER w AS reach FROM d WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING)),
+    r AS (SELECT symbol, n, k, reach / max(reach) OVER (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING) AS ratio FROM m)
+    SELECT a.symbol, a.id, CASE WHEN coalesce(r.k, 0) < 30 THEN 0.0 WHEN ratio < 0.90 THEN 2.0 WHEN ratio < 0.95 THEN 1.0 ELSE 0.0 END AS eddm
+    FROM a ASOF LEFT JOIN r ON r.symbol = a.symbol AND r.n <= a.n WHERE {PASSED}""",
+)
+def st7_eddm(spark, d):
+    return J.to_files(J.keyed_state(stream_ticks(spark, d), J.eddm_step(), [0.0] * 5, ["eddm"], c("mid") > 250))
+
+
+@add("ST7_adwin_vote", None)
+def st7_vote(spark, d):
+    return J.to_files(J.keyed_state(stream_ticks(spark, d), J.vote_step(), [], ["hinkley", "ddm", "eddm", "adwin", "share"], c("mid") > 250))
+
+
 @add("ST9_S14_latest_sink", f"WITH {TICKS} SELECT symbol, arg_max(id, (ts, id)) AS id FROM ticks GROUP BY 1")
 def st9(spark, d):
     t = stream_ticks(spark, d).select("symbol", "ts", "id", F.struct("ts", "id").alias("o"))
@@ -166,6 +219,5 @@ def st10(spark, d):
 
 @add("ST11_news", "SELECT doc_id, regexp_matches(lower(text), '\\b(?:fomc|cpi|nfp|rate|emergency|licensed)\\b') AS high FROM documents")
 def st11(spark, d):
-    schema = read(spark, d, "documents").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").load(f"{d}/documents.parquet") if read(spark, d, "documents").inputFiles()[0].rstrip("/").split("/")[-1] != "documents.parquet" else spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").load(d)
+    docs = J.table_stream(spark, d, "documents", 1000)
     return J.to_files(J.enriched(docs.select("doc_id", "text"))).select("doc_id", "high")

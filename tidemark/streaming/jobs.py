@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,10 +28,18 @@ def work_folder(spark: SparkSession) -> str:
     return f"{top}/stream-{uuid.uuid4().hex}"
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, per_batch: int = 1) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of part files."""
+    path = f"{sf_dir}/{name}.parquet"
+    table = spark.read.parquet(path)
+    whole = [f.rstrip("/").split("/")[-1] for f in table.inputFiles()] == [f"{name}.parquet"]
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", per_batch)
+    return reader.option("pathGlobFilter", f"{name}.parquet").load(sf_dir) if whole else reader.option("pathGlobFilter", "*.parquet").load(path)
+
+
 def events(spark: SparkSession, sf_dir: str, per_batch: int = 1) -> DataFrame:
     """The events table as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", "events.parquet").load(sf_dir)
+    return table_stream(spark, sf_dir, "events", per_batch)
 
 
 def topic(spark: SparkSession, servers: str, name: str) -> DataFrame:
@@ -66,21 +76,42 @@ def enriched(texts: DataFrame) -> DataFrame:
     return texts.withColumns({"high": high_impact(c("text")), "tone": tone(c("text"))})
 
 
-def keyed_state(ticks: DataFrame, step: Callable[[list, float], tuple[float, ...]], start: list[float], names: list[str]) -> DataFrame:
-    """For each tick in time order within a batch: step(state, price) changes the symbol's state, a fixed list of numbers, and gives values.
+#: What keyed_state holds for a key: the step's numbers, and the ticks that wait for the watermark.
+HELD = "s array<double>, at array<long>, id array<long>, x array<double>"
+#: Rows of a frame that keyed_state gives.
+FRAME = 10_000
+
+
+def keyed_state(
+    ticks: DataFrame, step: Callable[[list, float], tuple[float, ...]], start: list[float], names: list[str], value: Column | None = None, late: str = "30 seconds"
+) -> DataFrame:
+    """For each tick in the order of (ts, id): step(state, value) changes the symbol's state, a list of numbers, and gives values.
 
-    The state's size does not grow with the stream (ST6, ST7, ST8, ST12)."""
+    Ticks of a batch come in any order, in several frames, and files may overlap in time by up to late: a tick waits in
+    the state until the watermark is past its millisecond, and all that wait are taken in order then. So results don't
+    depend on how ticks came, and the ticks of the last stretch (late) wait for the stream to go on. Ticks that are later
+    than that are left out. The state holds the step's numbers and what waits: ticks of one batch and of late at most
+    (ST5, ST6, ST7, ST8, ST12)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        now = list(state.get[0]) if state.exists else list(start)
-        for pdf in frames:
-            pdf = pdf.sort_values(["ts", "id"])
-            made = [step(now, x) for x in pdf.mid.tolist()]
-            yield pd.DataFrame({"symbol": key[0], "id": pdf.id.to_numpy()} | {n: [m[i] for m in made] for i, n in enumerate(names)})
-        state.update((now,))
+        held, at, ids, x = map(list, state.get) if state.exists else (list(start), [], [], [])
+        parts = [pd.DataFrame({"at": at, "id": ids, "x": x}), *frames]
+        rows = pd.concat([p[["at", "id", "x"]] for p in parts if len(p)] or parts, ignore_index=True).sort_values(["at", "id"], kind="stable")
+        passed = state.getCurrentWatermarkMs() * 1000
+        n = int((rows["at"] < passed).sum())
+        for k in range(0, n, FRAME):
+            some = rows.iloc[k : min(k + FRAME, n)]
+            made = [step(held, v) for v in some.x.tolist()]
+            yield pd.DataFrame({"symbol": key[0], "id": some.id.to_numpy()} | {name: [m[i] for m in made] for i, name in enumerate(names)})
+        rest = rows.iloc[n:]
+        state.update((held, rest["at"].tolist(), rest.id.tolist(), rest.x.tolist()))
+        if len(rest):
+            state.setTimeoutTimestamp(max(int(rest["at"].iloc[0]) // 1000, passed // 1000))
 
     out = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("id", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names]])
-    return ticks.select("symbol", "id", "ts", "mid").groupBy("symbol").applyInPandasWithState(run, out, "s array<double>", "append", "NoTimeout")
+    x = c("mid") if value is None else value
+    rows = ticks.withWatermark("ts", late).select("symbol", "id", "ts", F.unix_micros("ts").alias("at"), x.cast("double").alias("x"))
+    return rows.groupBy("symbol").applyInPandasWithState(run, out, HELD, "append", "EventTimeTimeout")
 
 
 def ema_step(span: int) -> Callable[[list, float], tuple[float, ...]]:
@@ -111,6 +142,151 @@ def page_hinkley_step(delta: float) -> Callable[[list, float], tuple[float, ...]
     return step
 
 
+def sma_step(n: int) -> Callable[[list, float], tuple[float, ...]]:
+    """State: the last n values. Gives their mean, and whether there are n."""
+
+    def step(s: list, x: float) -> tuple[float, ...]:
+        s.append(x)
+        del s[: max(0, len(s) - n)]
+        return sum(s) / len(s), float(len(s) == n)
+
+    return step
+
+
+#: What a detector says.
+CALM, WARNING, DRIFT = 0.0, 1.0, 2.0
+
+
+def ddm_step(least: int = 30, warning: float = 2.0, drift: float = 3.0) -> Callable[[list, float], tuple[float, ...]]:
+    """Drift by the error rate's distance from its least (values: 1 an error, 0 none). State: count, rate, least rate and its deviation."""
+
+    def step(s: list, x: float) -> tuple[float, ...]:
+        s[0] += 1
+        s[1] += (x - s[1]) / s[0]
+        if s[0] < least:
+            return (CALM,)
+        dev = (s[1] * (1 - s[1]) / s[0]) ** 0.5
+        if s[0] == least or s[1] + dev < s[2] + s[3]:
+            s[2], s[3] = s[1], dev
+        far = s[1] + dev
+        return (DRIFT if far > s[2] + drift * s[3] else WARNING if far > s[2] + warning * s[3] else CALM,)
+
+    return step
+
+
+def eddm_step(least: int = 30, warning: float = 0.95, drift: float = 0.90) -> Callable[[list, float], tuple[float, ...]]:
+    """Drift by the distances between errors getting shorter than they were at their longest. State: values since the last
+    error, errors, mean distance, squares (Welford), largest mean + 2 deviations."""
+
+    def step(s: list, x: float) -> tuple[float, ...]:
+        s[0] += 1
+        if x:
+            s[1] += 1
+            d = s[0] - s[2]
+            s[2] += d / s[1]
+            s[3] += d * (s[0] - s[2])
+            s[0] = 0
+            s[4] = max(s[4], s[2] + 2 * (s[3] / s[1]) ** 0.5)
+        if s[1] < least:
+            return (CALM,)
+        ratio = (s[2] + 2 * (s[3] / s[1]) ** 0.5) / s[4]
+        return (DRIFT if ratio < drift else WARNING if ratio < warning else CALM,)
+
+    return step
+
+
+def adwin_step(delta: float = 0.002, rows: int = 5, every: int = 32) -> Callable[[list, float], tuple[float, ...]]:
+    """Adaptive window: values are dropped from its old end while the means of two parts of it differ by more than chance.
+
+    State: values seen, then count, sum and squares of each bucket, old ones first; of each size (a power of two) there are at
+    most rows, so the state grows with the logarithm of the window. Gives the window's mean and whether it was cut now."""
+
+    def cut_off(n0: float, n1: float, variance: float, n: float) -> float:
+        m = 1 / (1 / n0 + 1 / n1)
+        d = math.log(2 * math.log(max(n, 2.0)) / delta)
+        return (2 / m * variance * d) ** 0.5 + 2 / (3 * m) * d
+
+    def step(s: list, x: float) -> tuple[float, ...]:
+        if not s:
+            s.append(0.0)
+        s[0] += 1
+        s += [1.0, x, x * x]
+        size, k = 1.0, len(s) - 3
+        while k >= 1:  # two oldest of a full size become one of the next
+            first = k
+            while first - 3 >= 1 and s[first - 3] == size:
+                first -= 3
+            if (k - first) // 3 + 1 <= rows:
+                break
+            s[first : first + 6] = [s[first] + s[first + 3], s[first + 1] + s[first + 4], s[first + 2] + s[first + 5]]
+            size, k = 2 * size, first
+        changed = False
+        again = s[0] % every == 0
+        while again and len(s) > 4:
+            again = False
+            n, total, squares = sum(s[1::3]), sum(s[2::3]), sum(s[3::3])
+            variance = max(squares / n - (total / n) ** 2, 0.0)
+            n0 = t0 = 0.0
+            for i in range(1, len(s) - 3, 3):
+                n0, t0 = n0 + s[i], t0 + s[i + 1]
+                if abs(t0 / n0 - (total - t0) / (n - n0)) > cut_off(n0, n - n0, variance, n):
+                    del s[1:4]
+                    changed = again = True
+                    break
+        return sum(s[2::3]) / sum(s[1::3]), float(changed)
+
+    return step
+
+
+def vote_step(delta: float = 0.005, threshold: float = 50.0) -> Callable[[list, float], tuple[float, ...]]:
+    """All four detectors on one error stream: each one's word, and the share of them that says drift."""
+    hinkley, ddm, eddm, adwin = page_hinkley_step(delta), ddm_step(), eddm_step(), adwin_step()
+
+    def step(s: list, x: float) -> tuple[float, ...]:
+        if not s:
+            s += [0.0] * 13
+        a, b, d, w = s[:4], s[4:8], s[8:13], s[13:]
+        said = (DRIFT if hinkley(a, x)[0] > threshold else CALM, ddm(b, x)[0], eddm(d, x)[0], DRIFT * adwin(w, x)[1])
+        s[:] = [*a, *b, *d, *w]
+        return *said, sum(v == DRIFT for v in said) / 4
+
+    return step
+
+
+def lookahead_step(window: int = 1000, least: int = 200, every: int = 100, z: float = 4.0, corr: float = 0.7, cooldown: int = 500, history: int = 10):
+    """Watches a feature's correlation with the return that follows it, over the last window pairs, at every so many of them.
+
+    An alert: the correlation stands more than z deviations above those before and above corr, and none was given in the
+    last cooldown pairs. The value is the feature; the price it predicts is itself. State: last value, pairs, pair of the last
+    alert, count, sum and squares of past correlations, then the pairs. Gives the correlation (0 between looks) and the alert."""
+
+    def step(s: list, x: float) -> tuple[float, ...]:
+        if not s:
+            s += [x, 0.0, -math.inf, 0.0, 0.0, 0.0]
+            return 0.0, 0.0
+        s += [s[0], (x - s[0]) / s[0] if s[0] else 0.0]
+        s[0] = x
+        s[1] += 1
+        if len(s) > 6 + 2 * window:
+            del s[6:8]
+        if s[1] % every or s[1] < least:
+            return 0.0, 0.0
+        f, r = np.array(s[6::2]), np.array(s[7::2])
+        if f.std() < 1e-12 or r.std() < 1e-12:
+            return 0.0, 0.0
+        now = float(np.corrcoef(f, r)[0, 1])
+        alert = False
+        if s[3] >= history:
+            mean = s[4] / s[3]
+            dev = max(s[5] / s[3] - mean * mean, 0.0) ** 0.5
+            alert = abs(now) - abs(mean) > z * (dev + 1e-10) and abs(now) > corr and s[1] - s[2] >= cooldown
+        s[3], s[4], s[5] = s[3] + 1, s[4] + now, s[5] + now * now
+        s[2] = s[1] if alert else s[2]
+        return now, float(alert)
+
+    return step
+
+
 def to_files(stream: DataFrame, folder: str | None = None, partition: list[str] | None = None) -> DataFrame:
     """Runs a stream over all there is now, to Parquet files with exactly-once commits, and reads them."""
     spark = stream.sparkSession
