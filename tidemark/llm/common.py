@@ -58,3 +58,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that all executors share, and go on from those files."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Bytes that a row of a few narrow columns takes in a broadcast table.
+ROW_BYTES = 64
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """Narrow keys to join by: broadcast if they are few enough (counted, against BROADCAST_BYTES), shuffled otherwise.
+
+    The rows they are joined with, whole texts among them, stay where they are in the first case."""
+    return F.broadcast(keys) if keys.count() * ROW_BYTES <= BROADCAST_BYTES else keys
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, by: Column, salts: int = 16) -> DataFrame:
+    """An inner join on key for a left side with hot keys: the rows of one are dealt out by a hash of by; right has a row for each key."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    return dealt.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, "_salt"]).drop("_salt")

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ascii_lower, cut, table, text_of
+from tidemark.llm.common import ascii_lower, cut, salted_join, small, table, text_of
 
 WORDS, SEED, MAX_BITS = 3, 42, 2
 FAN, GROUP, PAIRS = 8, 20_000, 200_000
@@ -351,14 +351,15 @@ def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, leas
     rows = cut(rows.join(several, "band", "left_semi"))
 
     def pivots(members: DataFrame, turn: int) -> DataFrame:
-        chosen = members.groupBy("band").agg(F.min_by(F.struct("h", "root"), F.xxhash64("h", "band", F.lit(turn))).alias("p"))
+        # by an order that all bands share: texts that meet in several bands mostly have one pivot, so one pair, there
+        chosen = members.groupBy("band").agg(F.min_by(F.struct("h", "root"), F.xxhash64("h", F.lit(turn))).alias("p"))
         return members.join(chosen, "band").filter("root <> p.root").select(F.col("p.h").alias("u"), F.col("h").alias("v"))
 
     first = cut(pivots(rows.withColumn("root", F.col("h")), 0).union(index).union(by_fp).filter("u <> v").distinct())
     # the texts that any candidate can name, moved once for all rounds
     wanted = rows.select("h").union(first.select("u")).union(first.select("v")).distinct()
     texts = docs.select(ascii_lower(text_of("text")).alias("text")).withColumn("h", F.xxhash64("text"))
-    texts = cut(texts.join(wanted, "h", "left_semi").dropDuplicates(["h"]))
+    texts = cut(texts.join(small(cut(wanted)), "h", "left_semi").dropDuplicates(["h"]))
     edges = similar(first, texts, words, least)
     for turn in range(1, PIVOTS + 1):
         roots = components(edges)
@@ -387,11 +388,15 @@ def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6, least: float =
     roots = verified(marked, docs, words, max_bits, least)
     found = marked.select("doc_id", "h").join(roots, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("root", "h").alias("root"))
     found = cut(found)
-    named = found.groupBy(F.col("root").alias("_root")).agg(F.min("doc_id").alias("component_id"))
-    kept = found.join(named, F.col("root") == F.col("_root")).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.concat_ws(":", "h", "doc_id").alias("_key")).distinct()
+    named = found.groupBy("root").agg(
+        F.min("doc_id").alias("component_id"), F.max("doc_id").alias("_last"), F.count("doc_id").alias("_with"), F.count(F.lit(1)).alias("_all")
+    )
+    named = named.filter("component_id <> _last or _with between 1 and _all - 1").select("root", "component_id")
+    gone = salted_join(found, named, "root", F.col("h")).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = cut(gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_gone")).distinct())
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(ascii_lower(text_of("text"))).alias("_h"))
-    return whole.withColumn("_key", F.concat_ws(":", "_h", "_row.doc_id")).join(kept, "_key", "left_semi").select("_row.*")
+    met = (F.col("_h") == F.col("_gone")) & F.col("_row.doc_id").eqNullSafe(F.col("_id"))
+    return whole.join(small(gone), met, "left_anti").select("_row.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
