@@ -210,27 +210,55 @@ def w78(spark, d):
 
 
 # functions over text, arrays and sizes
-W_ = lambda words, s="": r"\b(?:" + "|".join(words) + ")" + s + r"\b"
-COUNT = lambda words: f"len(regexp_extract_all(lower(text), '{W_(words)}'))"
-#: Java's word bounds know all letters, so the SQL counts among the text's words.
-AMONG = lambda words: "len(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w IN (" + ", ".join(f"'{w}', '{w}s'" for w in words) + ")))"
-UPW, DNW = ["the", "la", "der", "el"], ["of", "de", "und", "no"]
+#: Headlines that the rows of orders are given in turn.
+HEADLINES = (
+    "Fed raises interest rates as inflation rises", "ECB on hold, outlook weak", "EUR/USD jumps on strong payroll jobs", "Gold drops as dollar gains",
+    "Unemployment falls, recovery gains strength", "BOJ dovish: stimulus and quantitative easing", "GBPJPY slides on recession fears",
+    "Rate cuts boost growth, GDP beats forecasts", "FOMC minutes hawkish; taper and tightening ahead", "Bank of England holds rates, no change in CPI",
+    "Orders misses expectations, sanctions weigh on trade", "Quiet session, nothing moved", "AUD/JPY and usd/chf firm; SNB lowered rates",
+)
 
 
-@add("F9_tone", f"SELECT doc_id, round(({AMONG(UPW)} - {AMONG(DNW)}) / ({AMONG(UPW)} + {AMONG(DNW)} + 2.0), 6) + 0.0 AS tone FROM documents")
+def headlines(spark, d):
+    k = c("o_orderkey") % len(HEADLINES)
+    text = F.concat(F.array(*map(F.lit, HEADLINES))[k.cast("int")], F.lit(" "), c("o_orderpriority"))
+    return read(spark, d, "orders").select(c("o_orderkey").alias("id"), text.alias("text"))
+
+
+def quoted(x):
+    return "'" + x.replace("'", "''") + "'"
+
+
+NEWS = f"""news AS (SELECT o_orderkey AS id, ([{", ".join(map(quoted, HEADLINES))}])[o_orderkey % {len(HEADLINES)} + 1] || ' ' || o_orderpriority AS text FROM orders)"""
+
+
+def counted(patterns, any_case=True):
+    return "(" + " + ".join(f"len(regexp_extract_all(text, {quoted(p)}, 0{", 'i'" if any_case else ""}))" for p in patterns) + ")"
+
+
+@add("F9_tone", f"WITH {NEWS}, h AS (SELECT id, {counted(X.UP)} AS b, {counted(X.DOWN)} AS s FROM news) SELECT id, round((b - s) / (b + s + 2.0), 6) + 0.0 AS tone FROM h")
 def f9(spark, d):
-    """With a lexicon that the test texts have words of; the default one is of market words."""
-    return read(spark, d, "documents").select("doc_id", X.tone(c("text"), UPW, DNW).alias("tone"))
+    return headlines(spark, d).select("id", X.tone(c("text")).alias("tone"))
+
+
+PAIR_HITS = [counted(p, i == 0) for i, p in enumerate(X.pair_patterns())]
+BANK_HITS = counted([rf"\b{b}\b" for b in X.BANKS])
 
 
-@add("F10_category_counts", "SELECT doc_id, " + ", ".join(f"CAST({COUNT(v)} AS INT) AS n_{k}" for k, v in X.CATEGORIES.items()) + " FROM documents")
+@add(
+    "F10_category_counts",
+    f"WITH {NEWS} SELECT id, "
+    + ", ".join(f"CAST({counted(v)} AS INT) AS {k}" for k, v in X.CATEGORIES.items())
+    + f", CAST({PAIR_HITS[0]} + {PAIR_HITS[1]} AS INT) AS pair_mentions, CAST({BANK_HITS} AS INT) AS cb_mentions FROM news",
+)
 def f10(spark, d):
-    return read(spark, d, "documents").select("doc_id", *[X.hits(c("text"), v).alias(f"n_{k}") for k, v in X.CATEGORIES.items()])
+    all_counts = X.category_counts(c("text")) | X.mention_counts(c("text"))
+    return headlines(spark, d).select("id", *[v.alias(k) for k, v in all_counts.items()])
 
 
-@add("F11_high_impact", f"SELECT doc_id, regexp_matches(lower(text), '{W_(X.HIGH_IMPACT)}') AS high FROM documents")
+@add("F11_high_impact", f"WITH {NEWS} SELECT id, " + " OR ".join(f"contains(lower(text), {quoted(k)})" for k in X.HIGH_IMPACT) + " AS high FROM news")
 def f11(spark, d):
-    return read(spark, d, "documents").select("doc_id", X.high_impact(c("text")).alias("high"))
+    return headlines(spark, d).select("id", X.high_impact(c("text")).alias("high"))
 
 
 @add("F13_sizing", f"WITH {RETURNS}, x AS (SELECT symbol, ts, least(0.10 / ({roll('stddev_samp', 'r', 20)} * sqrt(1460) + 1e-9), 2.0) AS vol_scalar, {roll('stddev_samp', 'r', 20)} AS s FROM r) SELECT symbol, ts, {R('vol_scalar')} FROM x WHERE s IS NOT NULL")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import rounded
+from tidemark.functions.text import HIGH_IMPACT
 from tidemark.plans.sql import BARS, TICKS
 from tidemark.operators.bars import time_bars
 from tidemark.sources import store as S
@@ -217,7 +218,7 @@ def st10(spark, d):
     return J.to_files(J.without_repeats(twice)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("ST11_news", "SELECT doc_id, regexp_matches(lower(text), '\\b(?:fomc|cpi|nfp|rate|emergency|licensed)\\b') AS high FROM documents")
+@add("ST11_news", "SELECT doc_id, " + " OR ".join(f"contains(lower(coalesce(text, '')), '{k}')" for k in HIGH_IMPACT) + " AS high FROM documents")
 def st11(spark, d):
     docs = J.table_stream(spark, d, "documents", 1000)
     return J.to_files(J.enriched(docs.select("doc_id", "text"))).select("doc_id", "high")
