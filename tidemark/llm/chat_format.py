@@ -20,9 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, text_of
+from tidemark.llm.common import salted_join, table, text_of
 
-SEGMENT = 64
+#: Turn numbers in a segment, and segments in a block whose lengths are summed up first.
+SEGMENT, BLOCK = 64, 1024
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -38,7 +39,8 @@ def perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
     order = F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "text")
     parts = said.groupBy("conv_id", "segment").agg(F.sort_array(F.collect_list(order)).alias("turns"))
     speakers = said.filter("role <> 'system'").groupBy(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).agg(F.lit(1).alias("_one"))
-    views = parts.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv", "_one")
+    same = F.col("conv_id").eqNullSafe(F.col("_conv"))
+    views = salted_join(parts, speakers, same, ["segment"]).drop("_conv", "_one")
 
     own = lambda t: t.role == F.col("perspective")
     head = lambda t: F.concat(
@@ -70,21 +72,41 @@ def perspectives(turns: DataFrame, segment: int = SEGMENT) -> DataFrame:
         "perspective",
         "segment",
         F.size("pieces").alias("n_turns"),
-        F.col("walk.at").cast("long").alias("n_chars"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p.body, F.lit("\n"))), "").alias("rendered"),
         F.col("walk.spans").alias("mask"),
     )
-    earlier = Window.partitionBy("conv_id", "perspective").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    number = Window.partitionBy("conv_id", "perspective").orderBy("segment")
-    return done.select(
-        "conv_id",
-        "perspective",
-        (F.row_number().over(number) - 1).alias("segment"),
-        "n_turns",
-        F.coalesce(F.sum("n_chars").over(earlier), F.lit(0)).alias("start_char"),
-        "rendered",
-        "mask",
+    placed = places(said, speakers)
+    met = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("perspective") == F.col("_view")) & (F.col("segment") == F.col("_segment"))
+    return done.join(placed, met).select("conv_id", "perspective", F.col("nth").alias("segment"), "n_turns", "start_char", "rendered", "mask")
+
+
+def places(said: DataFrame, speakers: DataFrame) -> DataFrame:
+    """_conv, _view, _segment, nth (of the segments that the conversation has) and start_char (of its rendering), from
+    lengths alone: sums over blocks of segments first, then inside each block."""
+    name = lambda role: F.when(role == "system", F.length(role)).otherwise(F.length(role) + len("user name="))
+    frame = len(START) + len(END) + 2
+    counted = said.groupBy("conv_id", "segment", "role").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+    parts = counted.groupBy("conv_id", "segment").agg(
+        F.sum(F.col("chars") + F.col("n") * (name(F.col("role")) + frame)).alias("chars"), F.map_from_entries(F.collect_list(F.struct("role", "n"))).alias("turns")
+    )
+    own = F.coalesce(F.col("turns")[F.col("perspective")], F.lit(0)) * (len("assistant") - name(F.col("perspective")))
+    met = F.col("conv_id").eqNullSafe(F.col("_conv"))
+    sizes = salted_join(parts, speakers, met, ["segment"]).select(
+        "_conv", F.col("perspective").alias("_view"), F.col("segment").alias("_segment"), F.floor(F.col("segment") / BLOCK).alias("_block"), (F.col("chars") + own).alias("chars")
     )
+    before = lambda *key: Window.partitionBy("_conv", "_view", *key[:-1]).orderBy(key[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    count = lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0))
+    blocks = sizes.groupBy("_conv", "_view", "_block").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n"))
+    blocks = blocks.select(
+        F.col("_conv").alias("_c"), F.col("_view").alias("_v"), F.col("_block").alias("_b"),
+        count("chars", before("_block")).alias("chars_before"), count("n", before("_block")).alias("n_before"),
+    )
+    met = F.col("_conv").eqNullSafe(F.col("_c")) & (F.col("_view") == F.col("_v")) & (F.col("_block") == F.col("_b"))
+    inside = before("_block", "_segment")
+    return sizes.join(blocks, met).select(
+        "_conv", "_view", "_segment",
+        (F.col("n_before") + count(F.lit(1), inside)).cast("int").alias("nth"), (F.col("chars_before") + count("chars", inside)).alias("start_char"),
+    )
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

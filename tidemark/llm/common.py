@@ -71,7 +71,9 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() * ROW_BYTES <= BROADCAST_BYTES else keys
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, by: Column, salts: int = 16) -> DataFrame:
-    """An inner join on key for a left side with hot keys: the rows of one are dealt out by a hash of by; right has a row for each key."""
-    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
-    return dealt.join(right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, "_salt"]).drop("_salt")
+def salted_join(left: DataFrame, right: DataFrame, met: Column, by: list[str], salts: int = 16) -> DataFrame:
+    """An inner join for a left side with hot keys: the rows of one are dealt out by a hash of the columns by, and each
+    narrow row of right meets all of them. met: the condition."""
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
+    spread = right.withColumn("_other_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return dealt.join(spread, met & (F.col("_salt") == F.col("_other_salt"))).drop("_salt", "_other_salt")

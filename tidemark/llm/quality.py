@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, fold, table, text_of, unit_hash
+from tidemark.llm.common import cut, fold, salted_join, table, text_of, unit_hash
 from tidemark.llm.linear import logistic
 
 MEASURES = ["log_bytes", "upper", "digit", "symbol", "space", "sentence", "repeated_lines", "word_bytes", "repeated_words"]
@@ -126,7 +126,8 @@ def quality_scores(docs: DataFrame, sites: DataFrame, labels: DataFrame, learn_f
         ((F.col("path_good") + k * F.col("host_posterior")) / (F.col("path_n") + k)).alias("path_posterior"),
     )
     moved = logit(F.col("evidence")) + logit(F.col("path_posterior")) - float(np.log(share / (1 - share)))
-    return rows.join(paths, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))).select(
+    met = F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path"))
+    return salted_join(rows, paths, met, ["doc_id", "evidence"]).select(
         "doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", (1 / (1 + F.exp(-moved))).alias("quality")
     )
 

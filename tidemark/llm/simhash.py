@@ -391,8 +391,8 @@ def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6, least: float =
     named = found.groupBy("root").agg(
         F.min("doc_id").alias("component_id"), F.max("doc_id").alias("_last"), F.count("doc_id").alias("_with"), F.count(F.lit(1)).alias("_all")
     )
-    named = named.filter("component_id <> _last or _with between 1 and _all - 1").select("root", "component_id")
-    gone = salted_join(found, named, "root", F.col("h")).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.filter("component_id <> _last or _with between 1 and _all - 1").select(F.col("root").alias("_root"), "component_id")
+    gone = salted_join(found, named, F.col("root") == F.col("_root"), ["h"]).filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     gone = cut(gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_gone")).distinct())
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(ascii_lower(text_of("text"))).alias("_h"))
     met = (F.col("_h") == F.col("_gone")) & F.col("_row.doc_id").eqNullSafe(F.col("_id"))
