@@ -172,3 +172,57 @@ def test_gate_scores_every_week_after_the_first_by_earlier_ones(spark, tmp_path)
     hours.write.parquet(str(tmp_path / "events.parquet"))
     days = {r.ts.date() for r in catalog.queries()["W74_gate"](spark, str(tmp_path)).select("ts").collect()}
     assert {dt.date(2024, 1, 29), dt.date(2024, 1, 30), dt.date(2024, 1, 31), dt.date(2024, 2, 29)} <= days and len(days) >= 50
+
+
+def test_refresh_sees_repeated_rows_and_vanished_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    before = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("c/d", 3), (None, 4)], "k string, v int")
+    after = spark.createDataFrame([("a", 9), ("a", 9), ("b", 2), (None, 4)], "k string, v int")
+    manifest = store.refresh(before, path, None, "k", ["v"])
+    assert spark.read.parquet(path).count() == 5
+    store.refresh(after, path, manifest, "k", ["v"])
+    spark.catalog.refreshByPath(path)
+    assert sorted((str(r.k), r.v) for r in spark.read.parquet(path).collect()) == [("None", 4), ("a", 9), ("a", 9), ("b", 2)]
+
+
+def test_event_windows_keep_equal_rows_and_rows_without_a_time(spark):
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    rows = spark.createDataFrame([("s", t(10), "x"), ("s", t(10), "x"), ("s", t(50), "y"), ("s", None, "z"), ("s", t(20), "w")], "k string, ts timestamp_ntz, note string")
+    events = spark.createDataFrame([("s", t(20)), ("s", t(20))], "k string, ts timestamp_ntz")
+    got = sorted((r.note, r.near_before, r.near_after) for r in asof.in_event_windows(rows, events, 15, 5, key=["k"]).collect())
+    assert got == [("w", 0, 1), ("x", 1, 0), ("x", 1, 0), ("y", 0, 0), ("z", 0, 0)]
+
+
+def test_ancestors_of_chains_diamonds_and_cycles(spark):
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(60)]
+    diamonds = [e for i in range(24) for e in ((f"d{i}", f"l{i}"), (f"d{i}", f"r{i}"), (f"l{i}", f"d{i + 1}"), (f"r{i}", f"d{i + 1}"))]
+    edges = spark.createDataFrame(chain + diamonds + [("x", "y"), ("y", "x")], "node string, needs string")
+    got = {r.node: r.depth for r in governance.ancestors(edges, ["c0", "d0", "x"]).collect()}
+    assert {n: d for n, d in got.items() if n[0] == "c"} == {f"c{i}": i for i in range(1, 61)}
+    assert got["d24"] == 48 and got["l3"] == 7 and len(got) == 60 + 72 + 2 and (got["y"], got["x"]) == (1, 2)
+    assert governance.ancestors(edges, ["nothing"]).count() == 0
+
+
+def test_exports_of_several_forms(spark, tmp_path):
+    forms = {
+        "a": "<DATE>\t<TIME>\t<OPEN>\t<HIGH>\t<LOW>\t<CLOSE>\t<TICKVOL>\n2024.01.02\t03:04:05\t1\t3\t0.5\t2\t7\n",
+        "b": "20240102 03:04:05.123;1.99;2.01;7\nbroken;1;2;3\n",
+        "c": "2024.01.02,03:04:05,1.99,2.01,7\n",
+        "d": "timestamp_utc,ask,bid,spare,volume\n2024-01-02T03:04:05Z,2.01,1.99,x,7\n2024-01-02T03:04:06Z,,1.99,x,7\n",
+        "e": "",
+    }
+    for name, text in forms.items():
+        (tmp_path / name).write_text(text)
+        got = [tuple(r) for r in store.read_export(spark, str(tmp_path / name), "S", 0.01).collect()]
+        assert got == ([] if name == "e" else [("S", dt.datetime(2024, 1, 2, 3, 4, 5), pytest.approx(1.99), pytest.approx(2.01), 7.0)]), name
+    with pytest.raises(ValueError):
+        store.export_format("1,2")
+
+
+def test_depth_is_scaled_and_inverted(spark):
+    row = {"ts_event": "2024-01-02 00:00:00", "bid_px_00": 2e9, "ask_px_00": 4e9, "bid_sz_00": 3, "ask_sz_00": 5}
+    df = spark.createDataFrame([row]).withColumn("ts_event", F.col("ts_event").cast("timestamp_ntz"))
+    r = store.depth(df, "ts_event").first()
+    assert (r.bid, r.ask, r.volume, r.mid, r.spread, len(r.levels)) == (2.0, 4.0, 4.0, 3.0, 2.0, 1)
+    r = store.depth(df, "ts_event", inverted=True).first()
+    assert (r.bid, r.ask) == (0.25, 0.5) and store.depth(df, "ts_event", "2024-01-03").count() == 0

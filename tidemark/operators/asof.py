@@ -47,17 +47,20 @@ def asof_next(left: DataFrame, right: DataFrame, key: list[str], values: list[st
 def in_event_windows(rows: DataFrame, events: DataFrame, before_min: int, after_min: int, cell_min: int = 60, key: list[str] | None = None) -> DataFrame:
     """Flags near_before and near_after: an event follows within before_min minutes, or came at most after_min ago.
 
-    Events go to the time cells that their windows touch, so the join is by equal cell; flags are combined by row."""
+    Events go to the time cells that their windows touch, so the join is by equal cell. Flags are made once for each time
+    of a key and joined to the rows, so equal rows all stay and wide ones are no key; a row without a time is near nothing."""
     key = key or []
     cell = lambda t: F.floor(F.unix_timestamp(t.cast("timestamp")) / (60 * cell_min))
     lo, hi = F.col("ev") - F.expr(f"INTERVAL {before_min} MINUTES"), F.col("ev") + F.expr(f"INTERVAL {after_min} MINUTES")
     spread = events.select(*key, F.col("ts").alias("ev")).distinct().withColumn("_cell", F.explode(F.sequence(cell(lo), cell(hi))))
-    at = rows.withColumn("_cell", cell(F.col("ts")))
+    at = rows.select(*key, "ts").filter("ts is not null").distinct().withColumn("_cell", cell(F.col("ts")))
     hit = at.join(spread, [*key, "_cell"], "left")
     after = (F.col("ts") >= F.col("ev")) & (F.col("ts") <= hi)
     ahead = (F.col("ts") < F.col("ev")) & (F.col("ts") >= lo)
     flag = lambda x: F.max(F.coalesce(x, F.lit(False)).cast("int"))
-    return hit.groupBy(*rows.columns).agg(flag(ahead).alias("near_before"), flag(after).alias("near_after"))
+    flags = hit.groupBy(*key, "ts").agg(flag(ahead).alias("near_before"), flag(after).alias("near_after"))
+    none = {x: F.coalesce(F.col(x), F.lit(0)) for x in ("near_before", "near_after")}
+    return rows.join(flags, [*key, "ts"], "left").select(*rows.columns, *none).withColumns(none)
 
 
 def forward_fill(df: DataFrame, columns: list[str], key: list[str], order: list[str]) -> DataFrame:

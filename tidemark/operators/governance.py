@@ -6,9 +6,11 @@ import itertools
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import kept
+
 
 def c(name: str) -> Column:
     return F.col(name)
@@ -127,17 +129,26 @@ def purged_kfold(df: DataFrame, folds: int, embargo: int) -> DataFrame:
     return combinatorial(df, folds, 1, embargo)
 
 
-def ancestors(edges: DataFrame, start: list[str]) -> DataFrame:
-    """node, depth: what the start nodes depend on, directly or not, by recursive SQL (G12, G13); edges: node, needs."""
-    spark: SparkSession = edges.sparkSession
-    edges.createOrReplaceTempView("_dependency_edges")
-    first = ", ".join("'" + s.replace("'", "''") + "'" for s in start)
-    return spark.sql(
-        f"""WITH RECURSIVE up(node, depth) AS (
-            SELECT needs, 1 FROM _dependency_edges WHERE node IN ({first})
-            UNION ALL SELECT e.needs, up.depth + 1 FROM up JOIN _dependency_edges e ON e.node = up.node WHERE up.depth < 50)
-        SELECT node, min(depth) AS depth FROM up GROUP BY node"""
-    )
+def ancestors(edges: DataFrame, start: list[str] | DataFrame) -> DataFrame:
+    """node, depth: what the start nodes depend on, directly or not, and by how many steps at least (G12, G13); edges: node, needs.
+
+    Each round goes one step on from the nodes that the last one found and leaves out those that were reached before, so
+    cycles and many ways to a node do no harm, and there is no greatest depth. start: names, or a table with a column node."""
+    edges = kept(edges.select("node", "needs").distinct())
+    if isinstance(start, list):
+        start = edges.sparkSession.createDataFrame([(s,) for s in start], "node string")
+    found, reached, depth = start.select("node").distinct(), None, 0
+    while True:
+        depth += 1
+        step = edges.join(found, "node", "left_semi").select(c("needs").alias("node")).filter("node is not null").distinct()
+        if reached is not None:
+            step = step.join(reached, "node", "left_anti")
+        found = kept(step.withColumn("depth", F.lit(depth)))
+        if found.isEmpty():
+            return reached if reached is not None else found
+        reached = found if reached is None else reached.unionByName(found)
+        if depth % 10 == 0:
+            reached = kept(reached)
 
 
 def fingerprint(df: DataFrame) -> DataFrame:

@@ -78,10 +78,35 @@ def s10(spark, d):
     return S.quotes_from_ohlc(time_bars(ticks(spark, d)), {"view": 0.05}, 0.01).select("symbol", "ts", "bid", "ask")
 
 
-@add("S12_depth_range", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS size_1, round(CAST(embedding[2] AS DOUBLE), 6) + 0.0 AS size_2 FROM embeddings WHERE vec_id BETWEEN 100 AND 299")
+@add("S11_tick_export", f"""SELECT event_type AS symbol, make_timestamp(2024, 1, 1 + event_id % 28, 10, 0, 0) AS ts, round(round(value, 2) - 0.01, 6) + 0.0 AS bid,
+    round(round(value, 2) + 0.01, 6) + 0.0 AS ask, CAST(event_id % 7 AS DOUBLE) AS volume FROM events WHERE event_type IN ('click', 'view')""")
+def s11(spark, d):
+    """Two exports of different forms, written and read again: one with a header and one time column, one without and with two."""
+    e, path = read(spark, d, "events"), S.shared(spark)
+    day = F.lpad((1 + c("event_id") % 28).cast("string"), 2, "0")
+    price = F.round("value", 2)
+    cells = [F.round(price - 0.01, 2).cast("string"), F.round(price + 0.01, 2).cast("string"), (c("event_id") % 7).cast("string")]
+    named = e.filter("event_type = 'click'").select(F.concat_ws(",", F.concat(F.lit("2024-01-"), day, F.lit("T10:00:00.000Z")), *cells).alias("l"))
+    header = spark.createDataFrame([("Gmt time,Bid,Ask,Volume",)], "l string")
+    header.unionByName(named).coalesce(1).write.text(path + "/click")  # a file has its header first
+    e.filter("event_type = 'view'").select(F.concat_ws(";", F.concat(F.lit("2024.01."), day), F.lit("10:00:00"), *cells)).write.text(path + "/view")
+    return S.read_export(spark, path + "/click", "click").unionByName(S.read_export(spark, path + "/view", "view"))
+
+
+@add("S12_depth_range", f"""WITH {TICKS}, w AS (SELECT avg(epoch_us(ts)) AS m FROM ticks)
+    SELECT id, round(bid, 6) + 0.0 AS bid, round(ask, 6) + 0.0 AS ask, round((volume + id % 9) / 2.0, 6) + 0.0 AS volume, round((bid + ask) / 2, 6) + 0.0 AS mid,
+           round(ask + 0.02, 6) + 0.0 AS second_ask FROM ticks, w WHERE ts >= make_timestamp(CAST(floor(m / 1000000) * 1000000 AS BIGINT))""")
 def s12(spark, d):
-    level = lambda i: F.element_at("embedding", i).cast("double").alias(f"size_{i}")
-    return read(spark, d, "embeddings").filter(c("vec_id").between(100, 299)).select("vec_id", level(1), level(2))
+    """A wide depth table out of the ticks, prices in units of 1e-9; its later half is read."""
+    t, path = ticks(spark, d), S.shared(spark)
+    level = lambda i: {f"bid_px_{i:02d}": (c("bid") - 0.02 * i) * 1e9, f"ask_px_{i:02d}": (c("ask") + 0.02 * i) * 1e9, f"bid_sz_{i:02d}": c("volume"), f"ask_sz_{i:02d}": c("id") % 9}
+    wide = t.select("id", c("ts").alias("ts_event"), *[x.alias(n) for i in (0, 1) for n, x in level(i).items()])
+    wide.write.parquet(path)
+    start = t.agg(F.avg(F.unix_micros(c("ts").cast("timestamp"))).alias("m")).select(F.timestamp_seconds(F.floor(c("m") / 1000000)).cast("timestamp_ntz").cast("string")).first()[0]
+    rows = spark.read.parquet(path)
+    q = S.depth(rows, "ts_event", start)
+    ids = rows.select("id", c("ts_event").alias("ts"), "bid_px_00")
+    return q.join(ids.withColumn("bid", c("bid_px_00") / 1e9).drop("bid_px_00"), ["ts", "bid"]).select("id", "bid", "ask", "volume", "mid", c("levels")[1]["ask"].alias("second_ask"))
 
 
 @add("S15_latest", f"WITH {TICKS} SELECT symbol, arg_max(id, (ts, id)) AS id, max(ts) AS ts FROM ticks GROUP BY 1")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,46 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], order: list[str],
     laid.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written to a new shared folder and read again: later steps don't compute it anew."""
+    path = shared(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_partitions(spark: SparkSession, path: str, key: str, stay: set[str]) -> list[str]:
+    """Deletes the folders of a store laid out by key whose values are not among stay; returns the values. A listing of folders, not of rows."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = []
+    for status in fs.listStatus(top) if fs.exists(top) else []:
+        name = status.getPath().getName()
+        value = unquote(name.removeprefix(f"{key}="))
+        if name.startswith(f"{key}=") and value not in stay:
+            fs.delete(status.getPath(), True)
+            gone.append(value)
+    return gone
+
+
 def refresh(source: DataFrame, path: str, manifest: DataFrame | None, key: str, order: list[str]) -> DataFrame:
-    """Writes the keys whose row count or content hash changed since the manifest, and returns the new one."""
-    now = source.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64(*source.columns)).alias("hash"))
-    changed = now if manifest is None else now.join(manifest, [key, "rows", "hash"], "left_anti")
-    write_partitioned(source.join(changed.select(key), key, "left_semi"), path, [key], order)
+    """Brings a store laid out by key up to date and returns the new manifest (key, rows, hash).
+
+    Keys whose row count or hash changed since the manifest are written anew, keys that the source no longer has are
+    deleted, the rest isn't touched. The hash is a sum over rows, so repeated rows count each time. A null key is a key."""
+    rows = F.sum(F.xxhash64(*source.columns).cast("decimal(38,0)")).cast("string")
+    now = kept(source.groupBy(key).agg(F.count(F.lit(1)).alias("rows"), rows.alias("hash")))
+    if manifest is None:
+        changed = now
+    else:
+        old = manifest.select(F.col(key).alias("_key"), F.col("rows").alias("_rows"), F.col("hash").alias("_hash"))
+        same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("rows") == F.col("_rows")) & (F.col("hash") == F.col("_hash"))
+        changed = now.join(old, same, "left_anti")
+    changed = changed.select(F.col(key).alias("_key"))
+    write_partitioned(source.join(changed, F.col(key).eqNullSafe(F.col("_key")), "left_semi"), path, [key], order)
+    missing = "__HIVE_DEFAULT_PARTITION__"
+    stay = {missing if r[0] is None else r[0] for r in now.select(F.col(key).cast("string")).collect()}  # as many as there are folders
+    drop_partitions(source.sparkSession, path, key, stay)
     return now
 
 
@@ -66,6 +102,84 @@ def diagonal(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Names that exports give their columns, by what they are; and the columns of files without a header, by how many there are (fixed values).
+NAMES = {
+    "date": ("date", "day"),
+    "time": ("time", "hour"),
+    "datetime": ("datetime", "timestamp", "timestamp_utc", "ts", "gmt time", "date/time", "time (utc)", "ts_event"),
+    "bid": ("bid", "bid_px_00"),
+    "ask": ("ask", "ask_px_00"),
+    "open": ("open", "o"),
+    "high": ("high", "h"),
+    "low": ("low", "l"),
+    "close": ("close", "c", "adjusted_close"),
+    "volume": ("volume", "vol", "tickvol", "tick volume", "v"),
+}
+HEADLESS = {4: ("datetime", "bid", "ask", "volume"), 5: ("date", "time", "bid", "ask", "volume"), 6: ("datetime", "open", "high", "low", "close", "volume"), 7: ("date", "time", "open", "high", "low", "close", "volume")}
+#: Date forms of exports, tried in turn.
+FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy.MM.dd HH:mm:ss", "yyyyMMdd HH:mm:ss", "dd.MM.yyyy HH:mm:ss", "yyyy.MM.dd HH:mm", "yyyy-MM-dd HH:mm", "yyyyMMdd HH:mm", "yyyy-MM-dd", "yyyy.MM.dd", "yyyyMMdd")
+
+
+def export_format(first: str) -> dict:
+    """What the first line of an export tells: sep, header (whether it is one), and columns, what each of them is (None: something else)."""
+    sep = max(";\t,", key=first.count)
+    cells = [x.strip().strip('"').strip("<>").lower() for x in first.split(sep)]
+    known = {n: what for what, names in NAMES.items() for n in names}
+    columns = [known.get(x) for x in cells]
+    if "bid" in columns or "close" in columns:
+        return {"sep": sep, "header": True, "columns": columns}
+    if len(cells) not in HEADLESS:
+        raise ValueError(f"an export of {len(cells)} columns without names: {first!r}")
+    return {"sep": sep, "header": False, "columns": list(HEADLESS[len(cells)])}
+
+
+def read_export(spark: SparkSession, path: str, symbol: str, half_spread: float = 0.0) -> DataFrame:
+    """symbol, ts, bid, ask, volume from a tick or bar export of any of the known forms.
+
+    The form is told from the first line; files of one path have one form. Bars get a bid and an ask around their close,
+    half_spread away. Rows without a time or a price are left out."""
+    first = spark.read.text(path).limit(1).collect()
+    if not first:
+        return spark.createDataFrame([], "symbol string, ts timestamp_ntz, bid double, ask double, volume double")
+    form = export_format(first[0][0])
+    names = [f"_{i}" for i in range(len(form["columns"]))]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path, sep=form["sep"], header=form["header"], mode="PERMISSIVE", enforceSchema=True)
+    at = {what: F.trim(F.col(n)) for n, what in zip(names, form["columns"]) if what}
+    text = at["datetime"] if "datetime" in at else F.concat_ws(" ", at["date"], at.get("time", F.lit(None)))
+    text = F.regexp_replace(F.regexp_replace(text, "(\\d)T(\\d)", "$1 $2"), r"(\.\d+)?( ?(Z|UTC|GMT))?$", "") if "datetime" in at else text
+    clean = F.regexp_replace(text, r"(\d\d:\d\d:\d\d)[.,]\d+$", "$1")
+    ts = F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)).cast("timestamp_ntz") for f in FORMS])
+    number = lambda what: at[what].try_cast("double")
+    bid, ask = (number("bid"), number("ask")) if "bid" in at else (number("close") - half_spread, number("close") + half_spread)
+    volume = number("volume") if "volume" in at else F.lit(None).cast("double")
+    out = rows.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), bid.alias("bid"), ask.alias("ask"), volume.alias("volume"))
+    return out.filter("ts is not null and bid is not null and ask is not null")
+
+
+def depth(df: DataFrame, ts: str, start: str | None = None, end: str | None = None, inverted: bool = False) -> DataFrame:
+    """Quotes and levels from a market-by-price table with wide columns bid_px_00, bid_sz_00, ask_px_00 and so on.
+
+    ts, bid, ask, volume (mean size of the first level), mid, spread, and levels, an array with price and size of both sides
+    for each level that the table has. Prices in units of 1e-9 (above 10,000) are scaled, row by row; inverted: quotes of the other
+    currency. Only the range [start, end] is read."""
+    n = sum(f"bid_px_{i:02d}" in df.columns for i in range(100))
+    t = F.col(ts)
+    if start:
+        df = df.filter(t >= F.lit(start).cast(dict(df.dtypes)[ts]))
+    if end:
+        df = df.filter(t <= F.lit(end).cast(dict(df.dtypes)[ts]))
+    scale = F.when(F.col("bid_px_00") > 10_000, 1e9).otherwise(1.0)
+    price = lambda side, i: F.col(f"{side}_px_{i:02d}") / scale
+    level = lambda i: F.struct(*[x.cast("double").alias(n) for s in ("bid", "ask") for x, n in ((price(s, i), f"{s}"), (F.col(f"{s}_sz_{i:02d}"), f"{s}_size"))])
+    bid, ask = price("bid", 0), price("ask", 0)
+    if inverted:
+        df = df.filter((F.col("bid_px_00") > 1e-12) & (F.col("ask_px_00") > 1e-12))
+        bid, ask = 1 / ask, 1 / bid
+    volume = (F.col("bid_sz_00") + F.col("ask_sz_00")) / 2.0
+    out = df.select(t.alias("ts"), bid.alias("bid"), ask.alias("ask"), volume.alias("volume"), F.array(*map(level, range(n))).alias("levels"))
+    return out.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid")})
+
+
 def quotes_from_ohlc(df: DataFrame, half_spread: dict[str, float], default: float) -> DataFrame:
     """Bid and ask around a close, by a half spread for each symbol."""
     table = F.create_map(*[x for k, v in half_spread.items() for x in (F.lit(k), F.lit(v))])
