@@ -69,6 +69,21 @@ def fractal_dimension(df: DataFrame, x: str, n: int = 64, step: int = 8, most: i
     return slope.select("symbol", "ts", F.least(F.greatest(-c("s"), F.lit(1.0)), F.lit(2.0)).alias("fractal_dimension"))
 
 
+def segment_dimension(df: DataFrame, x: str, n: int = 30) -> DataFrame:
+    """Dimension of each window of n rows from the mean moves over segments of 1 to n / 2 - 1 rows, each from the window's start on, within 1 and 2."""
+    w = windows_at(df, x, n, 1)
+
+    def length(k: int) -> Column:
+        starts = range(0, n - k, k)
+        moves = [F.abs(c("w")[j + k] - c("w")[j]) for j in starts]
+        return sum(moves[1:], moves[0]) / len(starts) * (n - 1) / (len(starts) * k * k)
+
+    lengths = F.explode(F.array(*[F.struct(F.lit(float(k)).alias("k"), length(k).alias("len")) for k in range(1, n // 2)]))
+    rows = w.select("symbol", "ts", lengths.alias("l")).select("symbol", "ts", "l.k", F.greatest("l.len", F.lit(1e-12)).alias("len"))
+    slope = rows.groupBy("symbol", "ts").agg(F.regr_slope(F.log("len"), F.log("k")).alias("s"))
+    return slope.select("symbol", "ts", F.least(F.greatest(-c("s"), F.lit(1.0)), F.lit(2.0)).alias("segment_dimension"))
+
+
 def mixture_regime(df: DataFrame, features: list[str], until: Column, k: int = 3) -> DataFrame:
     """Probabilities of the components of a Gaussian mixture fitted on the rows before a cut, lagged by a bar."""
     rows = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(df)

@@ -11,7 +11,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import context as K
 from tidemark.operators import indicators as I
 from tidemark.plans.label_queries import ATR
-from tidemark.plans.sql import BARS, TICKS, corr, cov, nearest, ret, roll
+from tidemark.plans.sql import BARS, TICKS, corr, cov, nearest, query, ret, roll
 from tidemark.plans.sql import lag as slag
 from tidemark.plans.stat_queries import RETURNS, returns
 from tidemark.sources.tables import read, ticks
@@ -198,7 +198,24 @@ def w71(spark, d):
     return K.lead_lag(returns(spark, d))
 
 
-@add("W73_no_trade", None)
+QUANTILE = lambda x, q: roll(f"q{q}", x, 60, 20, 1)
+
+
+@add(
+    "W73_no_trade",
+    query(
+        [
+            {"pc": slag("close")},
+            {"tr": "greatest(high - low, coalesce(abs(high - pc), high - low), coalesce(abs(low - pc), high - low))", "u": f"high - {slag('high')}", "d": f"{slag('low')} - low"},
+            {"atr_6": roll("avg", "tr", 6), "pu": "CASE WHEN u > d AND u > 0 THEN u ELSE 0.0 END", "pd": "CASE WHEN d > u AND d > 0 THEN d ELSE 0.0 END", "st": roll("sum", "tr", 14, 5)},
+            {"pi": f"100 * {roll('sum', 'pu', 14, 5)} / (st + 1e-9)", "mi": f"100 * {roll('sum', 'pd', 14, 5)} / (st + 1e-9)"},
+            {"dx": "100 * abs(pi - mi) / (pi + mi + 1e-9)"},
+            {"adx_14": roll("avg", "dx", 14, 5)},
+            {"no_trade": f"(coalesce(CAST(atr_6 > {QUANTILE('atr_6', 0.9)} AS INT), 0) + coalesce(CAST(spread > {QUANTILE('spread', 0.9)} AS INT), 0) + coalesce(CAST(adx_14 < {QUANTILE('adx_14', 0.1)} AS INT), 0)) / 3.0"},
+        ],
+        ["no_trade"],
+    ),
+)
 def w73(spark, d):
     return K.no_trade(I.directional_regime(I.atr(bars(spark, d), (6,)))).select("symbol", "ts", "no_trade")
 

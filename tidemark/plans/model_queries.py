@@ -15,7 +15,8 @@ from tidemark.operators import stats as S
 from tidemark.plans.indicator_queries import s_ema
 from tidemark.plans.sql import BARS, TICKS, ret, roll
 from tidemark.plans.sql import lag as slag
-from tidemark.plans.stat_queries import FEATURES, RETURNS, CDF, melted, returns
+from tidemark.plans.stat_queries import CDF, FEATURES, RETURNS, melted, returns
+from tidemark.plans.stat_queries import SQL as STAT_SQL
 from tidemark.sources.tables import read, ticks
 from tidemark.streaming import jobs
 
@@ -40,16 +41,50 @@ def bars(spark, d):
     return B.time_bars(ticks(spark, d))
 
 
-@add("W65_dfa")
+def windowed(source, x, n=64, step=8):
+    """CTE w: symbol, ts, p (from 0) and v of the values in the window that ends at ts, for every step-th row."""
+    return f"""n AS (SELECT symbol, ts, {x} AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS i FROM {source}),
+    e AS (SELECT symbol, ts, i FROM n WHERE i % {step} = 0 AND i >= {n}),
+    w AS (SELECT e.symbol, e.ts, n.i - e.i + {n - 1} AS p, n.x AS v FROM e JOIN n ON n.symbol = e.symbol AND n.i BETWEEN e.i - {n - 1} AND e.i)"""
+
+
+@add(
+    "W65_dfa",
+    f"""WITH {RETURNS}, {windowed("r", "r")},
+    c AS (SELECT *, v - avg(v) OVER (PARTITION BY symbol, ts) AS d FROM w),
+    y AS (SELECT symbol, ts, p, sum(d) OVER (PARTITION BY symbol, ts ORDER BY p ROWS UNBOUNDED PRECEDING) AS y FROM c),
+    b AS (SELECT symbol, ts, k, p // k AS box, greatest(regr_syy(y, p) - regr_sxy(y, p) ** 2 / regr_sxx(y, p), 0) AS rss
+          FROM y, (SELECT unnest([4, 8, 16]) AS k) GROUP BY ALL),
+    f AS (SELECT symbol, ts, k, sqrt(sum(rss) / 64) AS f FROM b GROUP BY ALL)
+    SELECT symbol, ts, round(regr_slope(ln(f), ln(k)), 6) + 0.0 AS dfa FROM f WHERE f > 1e-12 GROUP BY 1, 2""",
+)
 def w65(spark, d):
     return M.fluctuation(returns(spark, d), "r")
 
 
-@add("W66_fractal")
+@add(
+    "W66_fractal",
+    f"""WITH {BARS}, {windowed("bars", "close")}, ks AS (SELECT unnest([1, 2, 3, 4, 5, 6]) AS k),
+    m AS (SELECT a.symbol, a.ts, k, a.p % k AS m, sum(abs(b.v - a.v)) * 63.0 / max((63 - a.p % k) // k * k * k) AS len
+          FROM w a JOIN ks ON true JOIN w b ON b.symbol = a.symbol AND b.ts = a.ts AND b.p = a.p + k GROUP BY ALL),
+    l AS (SELECT symbol, ts, k, avg(len) AS len FROM m GROUP BY ALL)
+    SELECT symbol, ts, round(least(greatest(-regr_slope(ln(len), ln(k)), 1.0), 2.0), 6) + 0.0 AS fractal_dimension FROM l WHERE len > 0 GROUP BY 1, 2""",
+)
 def w66(spark, d):
     return M.fractal_dimension(bars(spark, d), "close")
 
 
+@add(
+    "W66_segment_fractal",
+    f"""WITH {BARS}, {windowed("bars", "close", 30, 1)}, ks AS (SELECT unnest(range(1, 15)) AS k),
+    l AS (SELECT a.symbol, a.ts, k, avg(abs(b.v - a.v)) * 29.0 / (count(*) * max(k * k)) AS len
+          FROM w a JOIN ks ON a.p % k = 0 AND a.p < 30 - k JOIN w b ON b.symbol = a.symbol AND b.ts = a.ts AND b.p = a.p + k GROUP BY ALL)
+    SELECT symbol, ts, round(least(greatest(-regr_slope(ln(greatest(len, 1e-12)), ln(k)), 1.0), 2.0), 6) + 0.0 AS segment_dimension FROM l GROUP BY 1, 2""",
+)
+def w66_segment(spark, d):
+    return M.segment_dimension(bars(spark, d), "close")
+
+
 @add("W67_mixture")
 def w67(spark, d):
     x = I.volatility(bars(spark, d).withColumn("r", log_return()), (20,)).dropna(subset=["r", "vol_20"])
@@ -107,7 +142,20 @@ def w76(spark, d):
     return e.select("id", ((c("mid") - before.avg(c("mid"))) / (before.std(c("mid")) + 1e-9)).alias("surprise"))
 
 
-@add("W77_stepped_psi")
+@add(
+    "W77_stepped_psi",
+    f"""WITH {TICKS}, t AS (SELECT symbol, mid, (dayofyear(ts) - 1) // 7 AS week FROM ticks),
+    f AS (SELECT symbol, min(week) AS w0 FROM t GROUP BY 1),
+    e AS (SELECT symbol, list_sort(list_distinct(quantile_cont(mid, [{", ".join(repr(i / 10) for i in range(1, 10))}]))) AS edges FROM t JOIN f USING (symbol) WHERE week = w0 GROUP BY 1),
+    x AS (SELECT t.symbol, t.week, week > w0 AS live, len(list_filter(edges, lambda v: v < mid)) AS bin FROM t JOIN f USING (symbol) JOIN e USING (symbol)),
+    n AS (SELECT symbol, week, live, bin, count(*) AS n FROM x GROUP BY ALL),
+    g AS (SELECT DISTINCT w.symbol, w.week, b.bin FROM n w JOIN n b ON b.symbol = w.symbol WHERE w.live AND (b.week = w.week OR NOT b.live)),
+    s AS (SELECT g.symbol, g.week, coalesce(l.n, 0) AS l, coalesce(r.n, 0) AS r FROM g
+          LEFT JOIN n l ON l.symbol = g.symbol AND l.week = g.week AND l.bin = g.bin AND l.live
+          LEFT JOIN n r ON r.symbol = g.symbol AND r.bin = g.bin AND NOT r.live),
+    q AS (SELECT symbol, week, greatest(l / sum(l) OVER w, 1e-4) AS p, greatest(r / sum(r) OVER w, 1e-4) AS q FROM s WINDOW w AS (PARTITION BY symbol, week))
+    SELECT symbol, week, round(sum((p - q) * ln(p / q)), 6) + 0.0 AS psi FROM q GROUP BY 1, 2""",
+)
 def w77(spark, d):
     """Each symbol's weeks against its first week."""
     t = ticks(spark, d).withColumn("week", F.floor((F.dayofyear("ts") - 1) / 7))
@@ -131,7 +179,12 @@ def a20(spark, d):
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(c("l_quantity") * delta).alias("delta"), F.sum("l_quantity").alias("notional"))
 
 
-@add("T7_T8_drift_report")
+@add(
+    "T7_T8_drift_report",
+    f"""SELECT a.feature, a.psi, b.ks, b.p_value, b.wasserstein,
+           CASE WHEN psi >= 0.3 THEN 'critical' WHEN psi >= 0.2 THEN 'high' WHEN psi >= 0.15 THEN 'moderate' WHEN psi >= 0.1 THEN 'low' ELSE 'none' END AS severity
+    FROM ({STAT_SQL["T1_psi_quantile"]}) a JOIN ({STAT_SQL["T2_T3_ks_wasserstein"]}) b USING (feature)""",
+)
 def t7(spark, d):
     """Stability, distances and a severity for each feature."""
     x = melted(spark, d)
