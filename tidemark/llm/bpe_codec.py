@@ -40,7 +40,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters in a piece of a text; symbols in a leaf of a word; tokens around a join of leaves at first.
 HALF, LEAF, WINDOW = 4096, 64, 4
 #: Words, and pairs of tokens, that a worker keeps.
-REMEMBERED, PAIRS = 300_000, 1_000_000
+REMEMBERED, PAIRS = 200_000, 200_000
 
 
 class TreeEncoder:

@@ -39,8 +39,8 @@ from tidemark.llm.common import ascii_lower, cut, salted_join, small, table, tex
 
 WORDS, SEED, MAX_BITS = 3, 42, 2
 FAN, GROUP, PAIRS = 8, 20_000, 200_000
-#: Bands of minima for candidates of the near-dedup stage: at a similarity of 0.8 no band is shared with a chance of 1e-4.
-BANDS, ROWS = 30, 6
+#: Bands of minima for candidates of the near-dedup stage: at a similarity of 0.8 no band is shared with a chance of 4e-4.
+BANDS, ROWS = 20, 5
 #: Rounds of comparing with one text of a band before pairs are compared.
 PIVOTS = 4
 _FACTORS: list[np.ndarray] = []
@@ -312,27 +312,30 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(ascii_lower(text_of("text")).alias("text"), "doc_id").select("text", "doc_id", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
 
-def similar(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs u, v of text hashes whose shingle sets have a Jaccard similarity of least or more; two empty sets have 1.
-
-    texts: h, text of every text that pairs can name."""
-    own = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    both = own.join(texts.select(F.col("h").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("h").alias("v"), F.col("text").alias("b")), "v")
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """h and shingles, the distinct hashes of its shingles, of each row of texts (h, text lower-cased)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, a = None, np.zeros(0, np.uint64)
-        whole = lambda t: np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(t, words)]))
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                if (x := x.as_py()) != last:
-                    last, a = x, whole(x)
-                b = whole(y.as_py())
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(shared >= least * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(t.as_py(), words)])).view(np.int64) for t in part.column(1)]
+                ends = np.cumsum([0, *map(len, sets)])
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["h", "shingles"])
+
+    return texts.select("h", "text").mapInArrow(run, "h long, shingles array<long>")
 
-    return cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"))
+
+def similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs u, v of text hashes whose shingle sets have a Jaccard similarity of least or more; two empty sets have 1.
+
+    sets: h, shingles of every text that pairs can name."""
+    own = pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    a, b = (sets.select(F.col("h").alias(x), F.col("shingles").alias(f"_{x}")) for x in ("u", "v"))
+    both = own.join(a, "u").join(b, "v")
+    shared = F.size(F.array_intersect("_u", "_v"))
+    return cut(both.filter(shared >= F.lit(least) * (F.size("_u") + F.size("_v") - shared)).select("u", "v"))
 
 
 def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, least: float) -> DataFrame:
@@ -356,11 +359,12 @@ def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, leas
         return members.join(chosen, "band").filter("root <> p.root").select(F.col("p.h").alias("u"), F.col("h").alias("v"))
 
     first = cut(pivots(rows.withColumn("root", F.col("h")), 0).union(index).union(by_fp).filter("u <> v").distinct())
-    # the texts that any candidate can name, moved once for all rounds
+    # the texts that any candidate can name become shingle sets, once for all rounds
     wanted = rows.select("h").union(first.select("u")).union(first.select("v")).distinct()
     texts = docs.select(ascii_lower(text_of("text")).alias("text")).withColumn("h", F.xxhash64("text"))
-    texts = cut(texts.join(small(cut(wanted)), "h", "left_semi").dropDuplicates(["h"]))
-    edges = similar(first, texts, words, least)
+    texts = texts.join(small(cut(wanted)), "h", "left_semi").dropDuplicates(["h"])
+    sets = cut(shingle_sets(texts, words))
+    edges = similar(first, sets, least)
     for turn in range(1, PIVOTS + 1):
         roots = components(edges)
         members = rows.join(roots, F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("root", "h").alias("root"))
@@ -373,10 +377,10 @@ def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, leas
         members = cut(members.join(open_.select("band"), "band", "left_semi"))
         if turn == PIVOTS or size["pairs"] <= 4 * size["n"]:
             break
-        edges = edges.union(similar(pivots(members, turn), texts, words, least))
+        edges = edges.union(similar(pivots(members, turn), sets, least))
     other = members.select("band", F.col("h").alias("v"), F.col("root").alias("_root"))
     left = members.join(other, "band").filter("h < v and root <> _root").select(F.col("h").alias("u"), "v")
-    return components(edges.union(similar(left, texts, words, least)))
+    return components(edges.union(similar(left, sets, least)))
 
 
 def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6, least: float = 0.8) -> DataFrame:
