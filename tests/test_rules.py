@@ -101,9 +101,10 @@ def test_drift_of_equal_and_moved_samples(spark):
 
 def test_contract_counts_breaches(spark):
     df = spark.createDataFrame([("click", at(0), 10.0, 10.1, 10.05, 0.1, 1.0), ("odd", at(1), 10.2, 10.1, 10.05, 0.1, -1.0), (None, at(2), 1.0, 1.1, 1.05, 0.1, None)], "symbol string, ts timestamp_ntz, bid double, ask double, mid double, spread double, volume double")
-    got = {r.rule: r.violations for r in governance.TICK.check(df).collect()}
+    tick = governance.tick_contract(["click", "error", "purchase", "signup", "view"], (5.0, 480.0))
+    got = {r.rule: r.violations for r in tick.check(df).collect()}
     assert got["not_null:symbol"] == 1 and got["bounds:mid"] == 1 and got["bounds:volume"] == 1 and got["allowed:symbol"] == 1 and got["invariant:uncrossed"] == 1
-    assert {r.rule for r in governance.TICK.check(df.drop("volume").withColumn("volume", F.lit("x"))).filter("rule like 'schema%'").collect()} == {"schema:volume"}
+    assert {r.rule for r in tick.check(df.drop("volume").withColumn("volume", F.lit("x"))).filter("rule like 'schema%'").collect()} == {"schema:volume"}
     assert {(r.column, r.change) for r in governance.schema_drift({"a": "int", "b": "string"}, df.sparkSession.range(1).selectExpr("cast(id as string) as b", "id as c", "1 as a")).collect()} == {("c", "added")}
 
 

@@ -195,6 +195,13 @@ def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
     return layers(df, {"_l": r.min(c("low")), "_h": r.max(c("high"))}, {"stoch_k": 100 * (c("close") - c("_l")) / (c("_h") - c("_l") + EPS)}, {"stoch_d": Roll(d).avg(c("stoch_k"))}).drop("_l", "_h")
 
 
+def implied_volatility(df: DataFrame, n: int = 20, per_year: float = 252.0) -> DataFrame:
+    """iv_proxy: the yearly Garman-Klass volatility over n bars, null where the mean is below zero."""
+    own = 0.5 * F.pow(F.log("high") - F.log("low"), 2) - (2 * math.log(2) - 1) * F.pow(log_return(), 2)
+    mean = Roll(n).avg(c("_gk"))
+    return df.withColumn("_gk", own).withColumn("iv_proxy", F.when(mean >= 0, F.sqrt(mean) * math.sqrt(per_year))).drop("_gk")
+
+
 def williams(df: DataFrame, n: int = 14) -> DataFrame:
     r = Roll(n)
     top = r.max(c("high"))

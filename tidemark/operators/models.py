@@ -153,6 +153,17 @@ def expanding_gate(df: DataFrame, features: list[str], target: str) -> DataFrame
     return out
 
 
+def logistic_score(x: Column, middle: float, scale: float) -> Column:
+    """A gate between 0 and 1 where there is nothing to fit one on."""
+    return 1 / (1 + F.exp(-(x - middle) / scale))
+
+
+def gate_weights(p: Column) -> dict[str, Column]:
+    """The weights of three sources at a gate's value (W74; fixed values)."""
+    unit = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
+    return {"gold": unit(0.2 + 0.8 * p), "yield": unit(1 - 0.7 * p), "risk": unit(0.3 + 0.7 * p)}
+
+
 def separability(df: DataFrame, features: list[str], is_live: Column) -> DataFrame:
     """AUC of a small forest that tells live rows from reference rows, on rows that it was not fitted on."""
     rows = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip").transform(df.withColumn("label", is_live.cast("double")))

@@ -56,6 +56,13 @@ def two_samples(df: DataFrame, value: str, key: list[str], is_live: Column) -> D
     return out.withColumn("p_value", F.when(lam < 0.2, 1.0).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))).select(*key, "ks", "p_value", "wasserstein")
 
 
+def correlation(a: str, b: str) -> Column:
+    """corr of the rows that have both; null, not an error, where one of them doesn't vary."""
+    both = c(a).isNotNull() & c(b).isNotNull()
+    x, y = F.when(both, c(a)), F.when(both, c(b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def long_form(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
     return df.unpivot(keep, features, "feature", "x")
 

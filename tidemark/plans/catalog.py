@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import clean_queries, context_queries, indicator_queries, join_queries, label_queries, model_queries, stat_queries, store_queries
+from tidemark.plans import clean_queries, context_queries, indicator_queries, join_queries, label_queries, model_queries, report_queries, stat_queries, store_queries
 
-MODULES = [indicator_queries, join_queries, clean_queries, stat_queries, label_queries, context_queries, store_queries, model_queries]
+MODULES = [indicator_queries, join_queries, clean_queries, stat_queries, label_queries, context_queries, store_queries, model_queries, report_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -156,13 +156,13 @@ def l15(spark, d):
 @add("G1_G2_tick_contract", f"""WITH {TICKS} SELECT rule, violations FROM (SELECT count(*) FILTER (symbol IS NULL) AS "not_null:symbol", count(*) FILTER (ts IS NULL) AS "not_null:ts", count(*) FILTER (bid IS NULL) AS "not_null:bid", count(*) FILTER (ask IS NULL) AS "not_null:ask", count(*) FILTER (NOT mid BETWEEN 5 AND 480) AS "bounds:mid",
     count(*) FILTER (NOT volume BETWEEN 0 AND 1e9) AS "bounds:volume", count(*) FILTER (symbol NOT IN ('click', 'error', 'purchase', 'signup', 'view')) AS "allowed:symbol", count(*) FILTER (NOT bid < ask) AS "invariant:uncrossed", count(*) FILTER (NOT mid BETWEEN bid AND ask) AS "invariant:mid_inside" FROM ticks) UNPIVOT (violations FOR rule IN (*))""")
 def g1(spark, d):
-    return G.TICK.check(ticks(spark, d))
+    return G.tick_contract(["click", "error", "purchase", "signup", "view"], (5.0, 480.0)).check(ticks(spark, d))
 
 
 @add("G2_bar_contract", f"""WITH {BARS} SELECT rule, violations FROM (SELECT count(*) FILTER (symbol IS NULL) AS "not_null:symbol", count(*) FILTER (ts IS NULL) AS "not_null:ts", count(*) FILTER (close IS NULL) AS "not_null:close", count(*) FILTER (NOT close BETWEEN 5 AND 480) AS "bounds:close",
     count(*) FILTER (high < greatest(open, close)) AS "invariant:high_is_highest", count(*) FILTER (low > least(open, close)) AS "invariant:low_is_lowest" FROM bars) UNPIVOT (violations FOR rule IN (*))""")
 def g2(spark, d):
-    return G.BAR.check(B.time_bars(ticks(spark, d)))
+    return G.bar_contract((5.0, 480.0)).check(B.time_bars(ticks(spark, d)))
 
 
 @add("G3_gates", """SELECT gate, round(value, 6) + 0.0 AS value, CASE WHEN gate = 'row_count' THEN value >= 100 ELSE value <= 0.3 END AS passed FROM (SELECT CAST(count(*) AS DOUBLE) AS row_count, avg(CAST(l.quality IS NULL AS INT)) AS "nulls:quality", avg(CAST(d.lang IS NULL AS INT)) AS "nulls:lang" FROM documents d LEFT JOIN labels l USING (doc_id)) UNPIVOT (value FOR gate IN (*))""")
