@@ -1,11 +1,42 @@
-"""Point-in-time joins without range explosion: both sides in one ordered frame, one shuffle by key."""
+"""Point-in-time joins without range explosion: both sides in one ordered frame, dealt by key and stretch of time.
+
+A key's rows of one stretch (CELL) are ordered in a task of their own; what was last known before a stretch follows from
+one row for each of a key's stretches, so a key with most of the rows is many tasks, and the answer is the same."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.frames import running
+#: Seconds of a stretch.
+CELL = 86_400
+
+
+def celled(df: DataFrame, key: list[str], t: str, seconds: int = CELL) -> DataFrame:
+    """df with _at, its key and stretch of time as one value (null keys and times are values too)."""
+    cell = F.floor(F.unix_micros(F.col(t).cast("timestamp")) / (seconds * 1_000_000))
+    return df.withColumn("_at", F.struct(*[F.col(k) for k in key], cell.alias("_cell")))
+
+
+def last_known(df: DataFrame, key: list[str], order: list[Column], value: str, out: str, ahead: bool = False) -> DataFrame:
+    """df (with _at) and out: the last non-null value up to each row in order, or with ahead the first from it on.
+
+    In two passes: inside the stretches, and over one row for each stretch."""
+    seen = F.col(value).isNotNull()
+    place = F.when(seen, F.struct(*order))
+    pick = F.min_by if ahead else F.max_by
+    ends = df.groupBy("_at").agg(pick(value, place).alias("_end"))
+    by = Window.partitionBy(*[F.col("_at")[k] for k in key]) if key else Window.partitionBy(F.lit(0))
+    by = by.orderBy(F.col("_at._cell"))
+    if ahead:
+        carry = F.first("_end", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
+        own = F.first(value, ignorenulls=True).over(Window.partitionBy("_at").orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
+    else:
+        carry = F.last("_end", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+        own = F.last(value, ignorenulls=True).over(Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    carried = ends.select(F.col("_at").alias("_to"), carry.alias("_carry"))
+    inside = df.withColumn("_own_value", own)
+    return inside.join(carried, F.col("_at") == F.col("_to"), "left").withColumn(out, F.coalesce("_own_value", "_carry")).drop("_to", "_carry", "_own_value")
 
 
 def merged(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, right_ts: str, values: list[str], last_right: bool) -> DataFrame:
@@ -19,28 +50,27 @@ def merged(left: DataFrame, right: DataFrame, key: list[str], left_ts: str, righ
     return a.unionByName(b)
 
 
-def asof(left: DataFrame, right: DataFrame, key: list[str], values: list[str], left_ts: str = "ts", right_ts: str = "ts", tie: Column | None = None, tolerance: str = "", keep_time: str = "") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: list[str], values: list[str], left_ts: str = "ts", right_ts: str = "ts", tie: Column | None = None, tolerance: str = "", keep_time: str = "", seconds: int = CELL) -> DataFrame:
     """Each left row with the values of the last right row at or before it (J1), null if none or older than tolerance.
 
-    right rows of one time: tie decides, the largest last. keep_time names a column for the matched row's time."""
+    key may be empty: one right series for all. right rows of one time: tie decides, the largest last. keep_time names a column for the
+    matched row's time. seconds: how long the stretches are that rows are dealt by."""
     order = [F.col("_t"), F.col("_side")] + ([F.col("_tie")] if tie is not None else [])
     if tie is not None:
         right = right.withColumn("_tie", tie)
     both = merged(left, right, key, left_ts, right_ts, [*values, *(["_tie"] if tie is not None else [])], last_right=False)
     if tie is not None:
         both = both.withColumn("_tie", F.col("_v._tie"))
-    frame = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_f", F.last("_v", ignorenulls=True).over(frame)).filter(F.col("_own").isNotNull())
+    found = last_known(celled(both, key, "_t", seconds), key, order, "_v", "_f").filter(F.col("_own").isNotNull())
     ok = F.lit(True) if not tolerance else (F.col("_f._at") >= F.col("_t") - F.expr(f"INTERVAL {tolerance}"))
     more = [F.when(ok, F.col("_f._at")).alias(keep_time)] if keep_time else []
     return found.select("_own.*", *[F.when(ok, F.col(f"_f.{v}")).alias(v) for v in values], *more)
 
 
-def asof_next(left: DataFrame, right: DataFrame, key: list[str], values: list[str], left_ts: str = "ts", right_ts: str = "ts", keep_time: str = "") -> DataFrame:
+def asof_next(left: DataFrame, right: DataFrame, key: list[str], values: list[str], left_ts: str = "ts", right_ts: str = "ts", keep_time: str = "", seconds: int = CELL) -> DataFrame:
     """Each left row with the values of the first right row at or after it."""
     both = merged(left, right, key, left_ts, right_ts, values, last_right=True)
-    frame = Window.partitionBy(*key).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_f", F.first("_v", ignorenulls=True).over(frame)).filter(F.col("_own").isNotNull())
+    found = last_known(celled(both, key, "_t", seconds), key, [F.col("_t"), F.col("_side")], "_v", "_f", ahead=True).filter(F.col("_own").isNotNull())
     return found.select("_own.*", *[F.col(f"_f.{v}").alias(v) for v in values], *([F.col("_f._at").alias(keep_time)] if keep_time else []))
 
 
@@ -63,9 +93,12 @@ def in_event_windows(rows: DataFrame, events: DataFrame, before_min: int, after_
     return rows.join(flags, [*key, "ts"], "left").select(*rows.columns, *none).withColumns(none)
 
 
-def forward_fill(df: DataFrame, columns: list[str], key: list[str], order: list[str]) -> DataFrame:
-    w = running(key, order)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+def forward_fill(df: DataFrame, columns: list[str], key: list[str], order: list[str], seconds: int = CELL) -> DataFrame:
+    """Nulls of the columns give way to the last value before them; the first of order is a time."""
+    out = celled(df, key, order[0], seconds)
+    for x in columns:
+        out = last_known(out, key, [F.col(o) for o in order], x, x)
+    return out.select(*df.columns)
 
 
 def common_times(df: DataFrame, n: int, key: str = "symbol", value: str = "close") -> DataFrame:

@@ -51,13 +51,13 @@ def activity_bars(ticks: DataFrame, amount: Column, size: float, whole_only: boo
     return bars.filter(F.col("amount") >= size - 1e-9) if whole_only else bars
 
 
-def in_buckets(bars: DataFrame, back: int, size: int = 100_000) -> DataFrame:
+def in_buckets(bars: DataFrame, back: int, size: int = 100_000, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Splits long symbols for windows of up to back earlier rows: columns bucket and halo.
 
     Windows by (symbol, bucket) give on rows without halo what windows by symbol give. A row's number comes from the
     days' counts and its place in the day; the last rows of a bucket stand in the next one too, as halo."""
     days = bars.withColumn("_day", F.to_date("ts"))
-    in_day = Window.partitionBy("symbol", "_day").orderBy("ts")
+    in_day = Window.partitionBy("symbol", "_day").orderBy(*order)
     before = Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     counts = days.groupBy("symbol", "_day").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.select("symbol", "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Roll, lag, series
+from tidemark.operators.bars import in_buckets
 
 c = F.col
 
@@ -32,19 +33,21 @@ def enforce(df: DataFrame, key: list[str], tie: str) -> DataFrame:
     return df.filter("bid < ask").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def bad_ticks(df: DataFrame, window: int = 20, z: float = 3.0, mad_z: float = 6.0, wide: float = 8.0) -> DataFrame:
+def bad_ticks(df: DataFrame, window: int = 20, z: float = 3.0, mad_z: float = 6.0, wide: float = 8.0, size: int = 100_000) -> DataFrame:
     """Prices far from the rows before them, unless the spread is wide too, give way to the median before.
 
-    The statistics leave the row itself out; a wide spread marks a quote that may be true."""
+    The statistics leave the row itself out; a wide spread marks a quote that may be true. A symbol's ticks are dealt out in
+    buckets of so many rows (size), each with the rows before it that its first frames need."""
     order = ("ts", "id")
-    before = Roll(window, 5, skip=1, order=order)
+    df = in_buckets(df, 2 * window + 1, size, order)
+    before = Roll(window, 5, skip=1, key=("symbol", "bucket"), order=order)
     x = c("mid")
     df = df.withColumns({"_m": before.avg(x), "_s": before.std(x), "_med": before.quantile(x, 0.5), "_sp": before.quantile(c("spread"), 0.5)})
     df = df.withColumn("_dev", F.abs(x - c("_med")))
     df = df.withColumn("_mad", before.quantile(c("_dev"), 0.5))
     far = (F.abs(x - c("_m")) / (c("_s") + 1e-9) > z) | (0.6745 * c("_dev") / (c("_mad") + 1e-9) > mad_z)
     bad = F.coalesce(far & ~(c("spread") > wide * c("_sp")), F.lit(False))
-    return df.withColumn("is_bad", bad).withColumn("mid", F.when(c("is_bad"), c("_med")).otherwise(x)).withColumns({"bid": c("mid") - c("spread") / 2, "ask": c("mid") + c("spread") / 2}).drop("_m", "_s", "_med", "_sp", "_dev", "_mad")
+    return df.withColumn("is_bad", bad).withColumn("mid", F.when(c("is_bad"), c("_med")).otherwise(x)).withColumns({"bid": c("mid") - c("spread") / 2, "ask": c("mid") + c("spread") / 2}).filter(~c("halo")).drop("_m", "_s", "_med", "_sp", "_dev", "_mad", "bucket", "halo")
 
 
 def in_market(ts: str = "ts") -> Column:

@@ -89,24 +89,24 @@ def calendar(rows: DataFrame, releases: DataFrame, near: float, most: float = 14
     releases: ts, actual, forecast, prior, one row for each time. The surprise is known wait minutes after its release."""
     from tidemark.operators.asof import asof, asof_next
 
-    one = releases.select(c("ts").alias("_e"), "actual", "forecast", "prior").withColumn("_k", F.lit(0))
-    past = asof(rows.withColumn("_k", F.lit(0)), one, ["_k"], ["actual", "forecast", "prior"], right_ts="_e", keep_time="_last")
-    both = asof_next(past, one.select("_k", (c("_e") - F.expr("INTERVAL 1 MICROSECOND")).alias("_e")), ["_k"], [], right_ts="_e", keep_time="_next")
+    one = releases.select(c("ts").alias("_e"), "actual", "forecast", "prior")
+    past = asof(rows, one, [], ["actual", "forecast", "prior"], right_ts="_e", keep_time="_last")
+    both = asof_next(past, one.select((c("_e") - F.expr("INTERVAL 1 MICROSECOND")).alias("_e")), [], [], right_ts="_e", keep_time="_next")
     minutes = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 6e7
     held = lambda x: F.least(F.coalesce(x, F.lit(most)), F.lit(most))
     nxt = c("_next") + F.expr("INTERVAL 1 MICROSECOND")
     both = both.withColumns({"since_last": held(minutes(c("ts"), c("_last"))), "to_next": held(minutes(nxt, c("ts")))})
     moved = F.greatest(F.least((c("actual") - c("forecast")) / F.when(F.abs("prior") > 1e-9, c("prior")), F.lit(widest)), F.lit(-widest))
     flags = {"release_flag": ((c("since_last") <= near) | (c("to_next") <= near)).cast("int"), "surprise": F.when(c("since_last") >= wait, F.coalesce(moved, F.lit(0.0))).otherwise(0.0)}
-    return both.withColumns(flags).drop("_k", "_last", "_next", "actual", "forecast", "prior")
+    return both.withColumns(flags).drop("_last", "_next", "actual", "forecast", "prior")
 
 
 def slope(long: DataFrame, short: DataFrame, value: str) -> DataFrame:
     """ts and slope: the long series less the last known value of the short one."""
     from tidemark.operators.asof import asof
 
-    other = short.select("ts", c(value).alias("_short")).withColumn("_k", F.lit(0))
-    return asof(long.withColumn("_k", F.lit(0)), other, ["_k"], ["_short"]).select("ts", (c(value) - c("_short")).alias("slope"))
+    other = short.select("ts", c(value).alias("_short"))
+    return asof(long, other, [], ["_short"]).select("ts", (c(value) - c("_short")).alias("slope"))
 
 
 def relative(returns: DataFrame, n: int = 20) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +20,44 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
+def exact_quantiles(df: DataFrame, value: str, key: list[str], shares: list[float], cells: int = 200) -> DataFrame:
+    """key and q, an array: exact quantiles, linear between ranks, of the non-null values of each key.
+
+    Approximate ones cut a key's values into cells; counts of cells give each rank's cell, and only the values of those cells are
+    ranked, cell by cell, so no task holds all values of a key."""
+    rows = df.filter(c(value).isNotNull()).select(*key, c(value).cast("double").alias("_v"))
+    cuts = rows.groupBy(*key).agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], 10_000).alias("_cuts"))
+    same = lambda names: [c(k).eqNullSafe(c(f"_{i}_k")) for i, k in enumerate(names)]
+    renamed = lambda t: t.select(*[c(k).alias(f"_{i}_k") for i, k in enumerate(key)], *[x for x in t.columns if x not in key])
+    every = lambda parts: functools.reduce(lambda a, b: a & b, parts, F.lit(True))
+    below = F.size(F.filter("_cuts", lambda e: e < c("_v")))
+    placed = rows.join(F.broadcast(renamed(cuts)), every(same(key))).select(*key, "_v", below.alias("_cell"))  # a row for each key
+    points = placed.groupBy(*key, "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ahead = Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1) if key else Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = points.groupBy(*key, "_cell").agg(F.sum("_n").alias("_m"))
+    sizes = sizes.withColumns({"_first": F.coalesce(F.sum("_m").over(ahead), F.lit(0)), "_all": F.sum("_m").over(Window.partitionBy(*key, F.lit(0)))})
+    ranks = F.array(*[F.struct(F.lit(i).alias("i"), ((c("_all") - 1) * F.lit(float(q))).alias("at")) for i, q in enumerate(shares)])
+    wanted = sizes.withColumn("_r", F.explode(ranks)).select(*key, "_cell", "_first", "_m", c("_r.i").alias("_i"), c("_r.at").alias("_rank"))
+    hit = lambda r: (r >= c("_first")) & (r < c("_first") + c("_m"))
+    wanted = wanted.filter(hit(F.floor("_rank")) | hit(F.ceil("_rank")))
+    up = Window.partitionBy(*key, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = points.withColumn("_upto", F.sum("_n").over(up))
+    met = every(same(key)) & (c("_cell") == c("_c"))
+    asked = renamed(wanted.withColumnRenamed("_cell", "_c"))
+    found = ranked.join(asked, met).withColumns({"_low": c("_first") + c("_upto") - c("_n"), "_high": c("_first") + c("_upto")})
+    inside = lambda r: (r >= c("_low")) & (r < c("_high"))
+    pair = found.groupBy(*key, "_i").agg(
+        F.max(F.when(inside(F.floor("_rank")), c("_v"))).alias("_a"), F.max(F.when(inside(F.ceil("_rank")), c("_v"))).alias("_z"), F.first("_rank").alias("_rank")
+    )
+    between = c("_a") + (c("_rank") - F.floor("_rank")) * (c("_z") - c("_a"))
+    return pair.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", between.alias("q")))), lambda x: x.q).alias("q"))
+
+
 def edges(reference: DataFrame, value: str, key: list[str], bins: int = 10, kind: str = "quantile") -> DataFrame:
     """By key an array of inner bin edges: the reference's quantiles, or equal steps from its least to its largest."""
     if kind == "quantile":
-        made = F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)]))
+        found = exact_quantiles(reference, value, key, [i / bins for i in range(1, bins)])
+        return found.select(*key, F.array_sort(F.array_distinct("q")).alias("edges"))
     else:
         lo, hi = F.min(value), F.max(value)
         made = F.array(*[lo + (hi - lo) * (i / bins) for i in range(1, bins)])

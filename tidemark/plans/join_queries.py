@@ -41,10 +41,8 @@ def j2(spark, d):
     """Microseconds to the next and since the last release, at most a day; releases are error events, known to all symbols."""
     t = ticks(spark, d)
     events = t.filter("symbol = 'error'").select("ts").distinct()
-    names = t.select("symbol").distinct().filter("symbol <> 'error'")  # a calendar is short and so are symbols: each gets it; Spark broadcasts by size
-    calendar = events.withColumn("_all", F.lit(1)).join(names.withColumn("_all", F.lit(1)), "_all").select("symbol", "ts", F.lit(1).alias("one"))
     b = time_bars(t).filter("symbol <> 'error'").select("symbol", "ts")
-    both = J.asof_next(J.asof(b, calendar, ["symbol"], [], keep_time="pv"), calendar, ["symbol"], [], keep_time="nx")
+    both = J.asof_next(J.asof(b, events, [], [], keep_time="pv"), events, [], [], keep_time="nx")
     day = F.lit(86_400_000_000)
     away = lambda a, z: F.least(F.coalesce(F.unix_micros(z.cast("timestamp")) - F.unix_micros(a.cast("timestamp")), day), day)
     return both.select("symbol", "ts", away(F.col("ts"), F.col("nx")).alias("us_to"), away(F.col("pv"), F.col("ts")).alias("us_since"))
@@ -53,9 +51,9 @@ def j2(spark, d):
 @add("J3_asof_tolerance", f"""WITH {TICKS}, v AS (SELECT ts, max_by(mid, id) AS anchor FROM ticks WHERE symbol = 'view' GROUP BY ts), p AS (SELECT id, ts FROM ticks WHERE symbol = 'purchase')
     SELECT p.id, p.ts, CASE WHEN v.ts >= p.ts - INTERVAL 10 MINUTE THEN round(v.anchor, 6) + 0.0 END AS anchor FROM p ASOF LEFT JOIN v ON p.ts >= v.ts""")
 def j3(spark, d):
-    t = ticks(spark, d).withColumn("day", F.lit(0))
-    views = t.filter("symbol = 'view'").groupBy("day", "ts").agg(F.max_by("mid", "id").alias("anchor"))
-    return J.asof(t.filter("symbol = 'purchase'").select("day", "id", "ts"), views, ["day"], ["anchor"], tolerance="10 MINUTES").drop("day")
+    t = ticks(spark, d)
+    views = t.filter("symbol = 'view'").groupBy("ts").agg(F.max_by("mid", "id").alias("anchor"))
+    return J.asof(t.filter("symbol = 'purchase'").select("id", "ts"), views, [], ["anchor"], tolerance="10 MINUTES")
 
 
 @add("J4_label_features", """SELECT d.doc_id, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
