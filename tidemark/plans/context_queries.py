@@ -329,13 +329,11 @@ def t15(spark, d):
 
 @add("T22_block_bootstrap", None)
 def t22(spark, d):
-    """Bands of the mean return from resampled blocks: starts by hash, rows by an equal join on their number."""
-    r = returns(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1)
-    n = r.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
-    starts = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(199)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((c("n") - 1) / 10).cast("int"))))
-    starts = starts.withColumn("i", F.pmod(F.xxhash64("symbol", "rep", "block"), c("n"))).withColumn("i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (c("i") + k) % c("n"))))
-    means = starts.join(r, ["symbol", "i"]).groupBy("symbol", "rep").agg(F.avg("r").alias("m"))
-    return means.groupBy("symbol").agg(F.percentile("m", 0.05).alias("low"), F.percentile("m", 0.5).alias("mid"), F.percentile("m", 0.95).alias("high"))
+    """Bands of the mean return from resampled blocks."""
+    from tidemark.operators import evaluation as E
+
+    r = returns(spark, d).withColumn("i", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("long"))
+    return E.bootstrap(r, "symbol", "i", "r", "block")
 
 
 @add("T23_promotion", "WITH m AS (SELECT l_returnflag AS model, avg(l_discount - 0.045) / stddev_samp(l_discount - 0.045) * sqrt(252) AS sharpe, CAST(count(*) AS DOUBLE) AS trades, avg(CAST(l_discount > 0.045 AS INT)) AS win_rate FROM lineitem GROUP BY 1), l AS (UNPIVOT m ON sharpe, trades, win_rate INTO NAME metric VALUE value) SELECT model, metric, round(value, 6) + 0.0 AS value, value >= CASE metric WHEN 'sharpe' THEN 1.5 WHEN 'trades' THEN 500 ELSE 0.5 END AS passed FROM l")
