@@ -462,6 +462,43 @@ def test_quality_shrinks_small_sites(spark, docs, empty):
     assert {r.evidence for r in quality.quality_scores(docs, quality.page_sites(pages), labels.limit(0), F.lit(True)).collect()} == {0.5}
 
 
+def test_quality_posteriors_equal_recomputation(spark):
+    d = "/root/testdata/sf0.001/"
+    docs, pages, labels = (spark.read.parquet(f"{d}{t}.parquet") for t in ("documents", "pages", "labels"))
+    learn, soft = F.col("doc_id") % 5 != 0, 0.05
+    got = quality.quality_scores(docs, quality.page_sites(pages), labels, learn).collect()
+    label = {r.doc_id: r.quality for r in labels.filter(learn).collect()}
+    good, n = defaultdict(float), defaultdict(float)
+    for r in got:
+        y = label.get(r.doc_id)
+        good[r.host, r.path] += y if y is not None else soft * r.evidence
+        n[r.host, r.path] += 1.0 if y is not None else soft
+
+    def strength(groups, parent):
+        total = sum(k for _, k in groups.values())
+        q = sum(k * (g / k - parent(x)) ** 2 for x, (g, k) in groups.items())
+        v = sum(parent(x) * (1 - parent(x)) for x in groups)
+        nv = sum(k * parent(x) * (1 - parent(x)) for x, (_, k) in groups.items())
+        return min(max(nv / total / max((q - v) / total, 1e-9) - 1, 1.0), 1e4)
+
+    hosts = defaultdict(lambda: [0.0, 0.0])
+    for (h, _), g in good.items():
+        hosts[h][0] += g
+    for (h, _), k in n.items():
+        hosts[h][1] += k
+    share = sum(g for g, _ in hosts.values()) / sum(k for _, k in hosts.values())
+    k1 = strength(hosts, lambda h: share)
+    at_host = {h: (g + k1 * share) / (k + k1) for h, (g, k) in hosts.items()}
+    paths = {x: (good[x], n[x]) for x in n}
+    k2 = strength(paths, lambda x: at_host[x[0]])
+    at_path = {x: (g + k2 * at_host[x[0]]) / (k + k2) for x, (g, k) in paths.items()}
+    logit = lambda p: np.log(p / (1 - p))
+    for r in got:
+        p = at_path[r.host, r.path]
+        assert (r.host_posterior, r.path_posterior) == pytest.approx((at_host[r.host], p))
+        assert r.quality == pytest.approx(1 / (1 + np.exp(-(logit(r.evidence) + logit(p) - logit(share)))))
+
+
 def test_quality_held_out(spark):
     got = quality.op8_quality(spark, "/root/testdata/sf0.01").filter("held_out").select("doc_id", "keep").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
     n, right = got.agg(F.count("*"), F.count_if(F.col("keep") == (F.col("quality") == 1))).first()

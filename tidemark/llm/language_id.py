@@ -145,13 +145,15 @@ class Model:
         return best, min(1.0, sure * votes[best] / (len(names) - 1))
 
 
-def fit(docs: DataFrame, learn_from, rows_per_language: int = 400, rows_in_all: int = 3000) -> Model:
-    """Learns from rows of (doc_id, text, lang, has_letter) for which learn_from holds; the sample's bounds are the last two."""
+def fit(docs: DataFrame, learn_from, rows_per_language: int = 400, rows_in_all: int = 3000, languages: int = 300) -> Model:
+    """Learns from rows of (doc_id, text, lang, has_letter) for which learn_from holds.
+
+    The sample's bounds: rows of a language, rows in all, and languages (the most frequent ones), which also bounds the pairs."""
     usable = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("has_letter"))
-    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rows_in_all // 10).collect()
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return Model(np.zeros((0, DIMENSIONS), np.float32), [])
-    each = min(rows_per_language, rows_in_all // len(sizes))
+    each = min(rows_per_language, max(1, rows_in_all // len(sizes)))
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(each / r["count"]))])
     picked = usable.filter(unit_hash("doc_id") < F.coalesce(rate[F.col("lang")], F.lit(0.0))).select("doc_id", "lang", "text")
 
@@ -187,7 +189,7 @@ def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str
     more = [F.col(carry)] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), *more)
     rows = rows.withColumn("has_letter", F.col("text").rlike(r"\p{L}"))
-    # models are a few vectors: at most rows_in_all / 10 languages of DIMENSIONS numbers and their pairs
+    # models are a few vectors: of the languages learnt and their pairs, DIMENSIONS numbers each
     learnt = fit(rows, learn_from, **bounds)
     model = docs.sparkSession.sparkContext.broadcast(calibrated(learnt, rows, learn_from) if novelty and learnt.langs else learnt)
 
