@@ -77,6 +77,17 @@ def test_exact_quantiles(spark, cells):
     assert np.allclose(stats.exact_quantiles(df, "v", [], shares, cells).first().q, np.quantile(t.v, shares))
 
 
+def test_sums_in_value_order(spark):
+    rng = np.random.default_rng(9)
+    t = pd.DataFrame({"k": rng.choice(["hot", "b"], 3000, p=[0.95, 0.05]), "x": rng.normal(0, 5, 3000).round(2), "n": rng.integers(1, 9, 3000)}).drop_duplicates(["k", "x"])
+    df = spark.createDataFrame(t, "k string, x double, n long").unionByName(spark.createDataFrame([(None, 1.0, 4)], "k string, x double, n long"))
+    got = stats.in_value_order(df, ["k"], "x", ["n"], 20).toPandas().sort_values(["k", "x"]).reset_index(drop=True)
+    want = t.sort_values(["k", "x"]).reset_index(drop=True)
+    assert len(got) == len(want) + 1 and got.upto_n.iloc[-1] == 4
+    assert (got.upto_n[:-1] == want.groupby("k").n.cumsum()).all()
+    assert np.array_equal(got.next_value[:-1], want.groupby("k").x.shift(-1), equal_nan=True)
+
+
 def test_series_are_dealt_out_by_time(spark):
     """With 95 % of the rows in one key, no task of the ordered frame holds more than a few times what others hold."""
     t = asof.celled(spark.createDataFrame(skewed(20_000)), ["k"], "ts", 3600)

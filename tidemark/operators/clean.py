@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Roll, lag, series
+from tidemark.operators.asof import celled, last_known
 from tidemark.operators.bars import in_buckets
 
 c = F.col
@@ -84,14 +85,24 @@ def gaps(df: DataFrame, every_s: int) -> DataFrame:
         F.coalesce(F.max(F.when(wide, c("_d"))), F.lit(0.0)).alias("longest_s"))
 
 
+def grid_of(span: DataFrame, step_s: int, name: str, many: int = 1000) -> DataFrame:
+    """symbol and name: the times from a to b, step_s seconds apart, by way of rows of many times each; no row holds a whole grid."""
+    micros = lambda x: F.unix_micros(c(x).cast("timestamp"))
+    steps = F.floor((micros("b") - micros("a")) / (step_s * 1_000_000))
+    parts = span.withColumn("_n", steps).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(c("_n") / many))))
+    nth = F.explode(F.sequence(c("_j") * many, F.least(c("_n"), c("_j") * many + many - 1)))
+    return parts.withColumn("_k", nth).select("symbol", (c("a") + F.make_dt_interval(secs=(c("_k") * step_s).cast("decimal(18,6)"))).alias(name))
+
+
 def fill_grid(bars: DataFrame, every: str, every_s: int, limit_s: int, policy: str = "ffill") -> DataFrame:
     """Bars on a regular grid: a missing close is the last one, or on the line to the next, up to limit_s after a bar."""
     span = bars.groupBy("symbol").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
-    grid = span.select("symbol", F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {every}"))).alias("ts"))
+    grid = grid_of(span, every_s, "ts")
     full = grid.join(bars.select("symbol", "ts", "close"), ["symbol", "ts"], "left")
     seen = F.when(c("close").isNotNull(), F.struct(c("ts").alias("t"), c("close").alias("x")))
-    back, ahead = series().rowsBetween(Window.unboundedPreceding, 0), series().rowsBetween(0, Window.unboundedFollowing)
-    full = full.withColumns({"_p": F.last(seen, ignorenulls=True).over(back), "_n": F.first(seen, ignorenulls=True).over(ahead)})
+    full = celled(full.withColumn("_seen", seen), ["symbol"], "ts")
+    full = last_known(full, ["symbol"], [c("ts")], "_seen", "_p")
+    full = last_known(full, ["symbol"], [c("ts")], "_seen", "_n", ahead=True)
     sec = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
     age = sec(c("_p.t"), c("ts"))
     line = c("_p.x") + (c("_n.x") - c("_p.x")) * age / F.nullif(sec(c("_p.t"), c("_n.t")), F.lit(0.0))
@@ -158,7 +169,7 @@ def missing_hours(df: DataFrame) -> DataFrame:
     """Hours of a symbol's span with no row, as runs: start, end, hours (C26); months work alike."""
     have = df.select("symbol", F.date_trunc("hour", c("ts").cast("timestamp")).alias("h")).distinct()
     span = have.groupBy("symbol").agg(F.min("h").alias("a"), F.max("h").alias("b"))
-    grid = span.select("symbol", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 HOUR"))).alias("h"))
+    grid = grid_of(span, 3600, "h")
     gone = grid.join(have, ["symbol", "h"], "left_anti")
     nth = F.row_number().over(Window.partitionBy("symbol").orderBy("h"))
     runs = gone.withColumn("_g", F.unix_timestamp("h") / 3600 - nth)

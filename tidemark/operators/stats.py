@@ -78,13 +78,32 @@ def psi(df: DataFrame, value: str, key: list[str], is_live: Column, bins: int =
     return shares.withColumn("term", (p - q) * F.log(p / q)).groupBy(*key).agg(F.sum("term").alias("psi"))
 
 
+def in_value_order(points: DataFrame, key: list[str], value: str, sums: list[str], cells: int = 200) -> DataFrame:
+    """points, a row for each distinct value of a key, with upto_<name>, the sum over all values up to its own, and next_value.
+
+    In two passes, so that no task holds all values of a key: over cells of values, cut by approximate quantiles, and inside each.
+    A null value is a key's first."""
+    cuts = points.groupBy(*key).agg(F.percentile_approx(value, [i / cells for i in range(1, cells)], 10_000).alias("_cuts"))
+    cuts = cuts.select(F.struct(*[c(k) for k in key], F.lit(0).alias("_0")).alias("_of"), "_cuts")
+    own = points.withColumn("_key", F.struct(*[c(k) for k in key], F.lit(0).alias("_0")))
+    below = F.coalesce(F.size(F.filter("_cuts", lambda e: e < c(value))), F.lit(0))
+    placed = own.join(F.broadcast(cuts), c("_key") == c("_of")).withColumn("_in", F.struct("_key", below.alias("_cell"))).drop("_of", "_cuts", "_key")
+    ends = placed.groupBy("_in").agg(*[F.sum(x).alias(f"_sum_{x}") for x in sums], F.min(value).alias("_least"))
+    run = Window.partitionBy("_in._key").orderBy("_in._cell")
+    before = [F.coalesce(F.sum(f"_sum_{x}").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_before_{x}") for x in sums]
+    ends = ends.select(c("_in").alias("_to"), *before, F.lead("_least").over(run).alias("_later"))
+    inside = Window.partitionBy("_in").orderBy(value)
+    upto = {f"_upto_{x}": F.sum(x).over(inside.rowsBetween(Window.unboundedPreceding, 0)) for x in sums}
+    both = placed.withColumns(upto | {"_next": F.lead(value).over(inside)}).join(ends, c("_in") == c("_to"))
+    return both.select(*points.columns, *[(c(f"_upto_{x}") + c(f"_before_{x}")).alias(f"upto_{x}") for x in sums], F.coalesce("_next", "_later").alias("next_value"))
+
+
 def two_samples(df: DataFrame, value: str, key: list[str], is_live: Column) -> DataFrame:
     """Kolmogorov-Smirnov statistic with its asymptotic p-value, and Wasserstein-1 distance, by key."""
     points = df.groupBy(*key, c(value).alias("x")).agg(F.count_if(is_live).alias("l"), F.count_if(~is_live).alias("r"))
-    w, run = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("x")
-    points = points.withColumns({"nl": F.sum("l").over(w), "nr": F.sum("r").over(w)})
-    up = run.rowsBetween(Window.unboundedPreceding, 0)
-    points = points.withColumns({"gap": F.abs(F.sum("l").over(up) / c("nl") - F.sum("r").over(up) / c("nr")), "step": F.lead("x").over(run) - c("x")})
+    whole = points.groupBy(*key).agg(F.sum("l").alias("nl"), F.sum("r").alias("nr"))
+    points = in_value_order(points, key, "x", ["l", "r"]).join(F.broadcast(whole), key)  # a row for each key
+    points = points.withColumns({"gap": F.abs(c("upto_l") / c("nl") - c("upto_r") / c("nr")), "step": c("next_value") - c("x")})
     out = points.groupBy(*key).agg(F.max("gap").alias("ks"), F.sum(c("gap") * c("step")).alias("wasserstein"), F.max("nl").alias("nl"), F.max("nr").alias("nr"))
     lam = F.sqrt(c("nl") * c("nr") / (c("nl") + c("nr"))) * c("ks")
     series = sum((2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * lam * lam) for k in range(1, 21)), F.lit(0.0))
@@ -105,8 +124,7 @@ def long_form(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
 def auc(df: DataFrame, key: list[str], score: str = "x", target: str = "y") -> DataFrame:
     """Rank-sum AUC with average ranks for ties, by key (T5): counts by distinct score, so ties cost one row."""
     points = df.groupBy(*key, c(score).alias("s")).agg(F.sum(c(target).cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
-    run = Window.partitionBy(*key).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    points = points.withColumn("rank", F.coalesce(F.sum("n").over(run), F.lit(0)) + (c("n") + 1) / 2)
+    points = in_value_order(points, key, "s", ["n"]).withColumn("rank", c("upto_n") - c("n") + (c("n") + 1) / 2)
     sums = points.groupBy(*key).agg(F.sum(c("p") * c("rank")).alias("r"), F.sum("p").alias("np"), F.sum("n").alias("nn"))
     return sums.withColumn("auc", F.try_divide(c("r") - c("np") * (c("np") + 1) / 2, c("np") * (c("nn") - c("np")))).select(*key, "auc")
 
