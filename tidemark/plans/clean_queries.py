@@ -31,7 +31,12 @@ def c1(spark, d):
     return C.standardise(raw, C.NAMES).select("id", "symbol", "ts", *QUOTE)
 
 
-@add("C2_enforce", f"WITH {TICKS} SELECT symbol, h AS ts, arg_min(id, id) AS id FROM (SELECT *, date_trunc('hour', ts) AS h FROM ticks) WHERE bid < ask GROUP BY ALL")
+@add(
+    "C2_enforce",
+    f"""WITH {TICKS}
+    SELECT symbol, h AS ts, arg_min(id, id) AS id FROM (SELECT *, date_trunc('hour', ts) AS h FROM ticks) WHERE bid < ask
+    GROUP BY ALL""",
+)
 def c2(spark, d):
     t = ticks(spark, d).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return C.enforce(t, ["symbol", "ts"], "id").select("symbol", "ts", "id")
@@ -40,7 +45,8 @@ def c2(spark, d):
 B4 = "OVER (PARTITION BY symbol ORDER BY ts, id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
 
 
-@add("C3_bad_ticks", f"""WITH {TICKS}, a AS (SELECT *, CASE WHEN count(mid) {B4} >= 5 THEN avg(mid) {B4} END AS m, CASE WHEN count(mid) {B4} >= 5 THEN stddev_samp(mid) {B4} END AS s,
+@add("C3_bad_ticks", f"""WITH {TICKS},
+    a AS (SELECT *, CASE WHEN count(mid) {B4} >= 5 THEN avg(mid) {B4} END AS m, CASE WHEN count(mid) {B4} >= 5 THEN stddev_samp(mid) {B4} END AS s,
     CASE WHEN count(mid) {B4} >= 5 THEN quantile_cont(mid, 0.5) {B4} END AS med, CASE WHEN count(mid) {B4} >= 5 THEN quantile_cont(spread, 0.5) {B4} END AS sp FROM ticks),
     b AS (SELECT *, abs(mid - med) AS dev FROM a), e AS (SELECT *, CASE WHEN count(dev) {B4} >= 5 THEN quantile_cont(dev, 0.5) {B4} END AS mad FROM b),
     f AS (SELECT *, coalesce((abs(mid - m) / (s + 1e-9) > 3 OR 0.6745 * dev / (mad + 1e-9) > 6) AND NOT spread > 8 * sp, false) AS is_bad FROM e),
@@ -54,14 +60,25 @@ def c4(spark, d):
     return ticks(spark, d).filter(C.in_market()).select("id", "ts")
 
 
-@add("C5_holidays", f"WITH {TICKS} SELECT id, ts FROM ticks WHERE CAST(ts AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) - INTERVAL '6 years' FROM orders WHERE o_totalprice > 400000) AND strftime(ts, '%m-%d') NOT IN ('01-01', '12-25')")
+@add(
+    "C5_holidays",
+    f"""WITH {TICKS}
+    SELECT id, ts FROM ticks WHERE CAST(ts AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) - INTERVAL '6 years'
+        FROM orders WHERE o_totalprice > 400000) AND strftime(ts, '%m-%d') NOT IN ('01-01', '12-25')""",
+)
 def c5(spark, d):
     """A calendar from the orders table, and the fixed days."""
     days = read(spark, d, "orders").filter("o_totalprice > 400000").select(F.to_date(F.col("o_orderdate") - F.expr("INTERVAL 6 YEARS")).alias("day")).distinct()
     return C.without_days(ticks(spark, d).filter(~F.date_format("ts", "MM-dd").isin("01-01", "12-25")), days).select("id", "ts")
 
 
-@add("C6_thin_days", f"WITH {TICKS}, v AS (SELECT CAST(ts AS DATE) AS day, sum(volume) AS v FROM ticks GROUP BY 1) SELECT id FROM ticks WHERE CAST(ts AS DATE) NOT IN (SELECT day FROM v WHERE v < 0.98 * (SELECT quantile_cont(v, 0.5) FROM v))")
+@add(
+    "C6_thin_days",
+    f"""WITH {TICKS},
+    v AS (SELECT CAST(ts AS DATE) AS day, sum(volume) AS v FROM ticks GROUP BY 1)
+    SELECT id FROM ticks WHERE CAST(ts AS DATE) NOT IN (SELECT day FROM v WHERE v < 0.98 * (SELECT quantile_cont(v, 0.5)
+        FROM v))""",
+)
 def c6(spark, d):
     t = ticks(spark, d)
     return C.without_days(t, C.thin_days(t, 0.98)).select("id")
@@ -89,7 +106,8 @@ def c9(spark, d):
 
 
 GRID = f"""WITH {TICKS}, b AS (SELECT symbol, time_bucket(INTERVAL '30 minutes', ts) AS ts, last(mid ORDER BY ts, id) AS close FROM ticks GROUP BY ALL),
-    g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts FROM b GROUP BY symbol), f AS (SELECT g.symbol, g.ts, b.close FROM g LEFT JOIN b USING (symbol, ts)),
+    g AS (SELECT symbol, unnest(generate_series(min(ts), max(ts), INTERVAL 30 MINUTE)) AS ts FROM b GROUP BY symbol),
+    f AS (SELECT g.symbol, g.ts, b.close FROM g LEFT JOIN b USING (symbol, ts)),
     p AS (SELECT f.*, x.ts AS pt, x.close AS px FROM f ASOF LEFT JOIN b x ON f.symbol = x.symbol AND f.ts >= x.ts),
     q AS (SELECT p.*, x.ts AS nt, x.close AS nx, epoch(p.ts - p.pt) AS age FROM p ASOF LEFT JOIN b x ON p.symbol = x.symbol AND p.ts <= x.ts)"""
 
@@ -99,7 +117,12 @@ def c10(spark, d):
     return C.fill_grid(time_bars(ticks(spark, d), "30 minutes"), "30 MINUTES", 1800, 7200)
 
 
-@add("C10_fill_interpolate", f"{GRID} SELECT symbol, ts, round(CASE WHEN close IS NOT NULL THEN close WHEN age <= 7200 THEN coalesce(px + (nx - px) * age / nullif(epoch(nt - pt), 0), px) END, 6) + 0.0 AS close, close IS NULL AND age <= 7200 AS filled FROM q")
+@add(
+    "C10_fill_interpolate",
+    f"""{GRID}
+    SELECT symbol, ts, round(CASE WHEN close IS NOT NULL THEN close WHEN age <= 7200 THEN coalesce(px + (nx - px) * age / nullif(epoch(nt - pt), 0), px) END,
+        6) + 0.0 AS close, close IS NULL AND age <= 7200 AS filled FROM q""",
+)
 def c10b(spark, d):
     return C.fill_grid(time_bars(ticks(spark, d), "30 minutes"), "30 MINUTES", 1800, 7200, "interpolate")
 
@@ -136,7 +159,9 @@ def c14(spark, d):
     return C.sanitise(ticks(spark, d).withColumn("x", x), ["x"], ["symbol"], ["ts", "id"]).select("id", "x")
 
 
-@add("C15_staleness", f"""WITH {BARS}, a AS (SELECT symbol, ts, CASE WHEN close > 250 THEN close END AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars),
+@add("C15_staleness", f"""WITH {BARS},
+    a AS (SELECT symbol, ts, CASE WHEN close > 250 THEN close END AS x, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn
+        FROM bars),
     b AS (SELECT *, max(CASE WHEN x IS NOT NULL THEN rn END) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS l FROM a)
     SELECT symbol, ts, CAST(x IS NULL AS INT) AS x_missing, CAST(l IS NULL AS INT) AS x_never_seen, CAST(rn - l AS INT) AS x_age FROM b""")
 def c15(spark, d):
@@ -144,12 +169,19 @@ def c15(spark, d):
     return C.staleness(b, "x").select("symbol", "ts", "x_missing", "x_never_seen", "x_age")
 
 
-@add("C16_robust_clip", f"WITH {TICKS}, q AS (SELECT symbol, quantile_cont(mid, 0.01) AS a, quantile_cont(mid, 0.99) AS b FROM ticks GROUP BY 1) SELECT id, round(least(greatest(mid, a), b), 6) + 0.0 AS mid FROM ticks JOIN q USING (symbol)")
+@add(
+    "C16_robust_clip",
+    f"""WITH {TICKS},
+    q AS (SELECT symbol, quantile_cont(mid, 0.01) AS a, quantile_cont(mid, 0.99) AS b FROM ticks GROUP BY 1)
+    SELECT id, round(least(greatest(mid, a), b), 6) + 0.0 AS mid FROM ticks JOIN q USING (symbol)""",
+)
 def c16(spark, d):
     return C.robust_clip(ticks(spark, d), "mid", ["symbol"]).select("id", "mid")
 
 
-@add("C17_row_quality", f"""WITH {BARS}, v AS (SELECT CAST(ts AS DATE) AS day, sum(volume) AS v FROM bars GROUP BY 1), thin AS (SELECT day FROM v WHERE v < 0.98 * (SELECT quantile_cont(v, 0.5) FROM v)),
+@add("C17_row_quality", f"""WITH {BARS},
+    v AS (SELECT CAST(ts AS DATE) AS day, sum(volume) AS v FROM bars GROUP BY 1),
+    thin AS (SELECT day FROM v WHERE v < 0.98 * (SELECT quantile_cont(v, 0.5) FROM v)),
     r AS (SELECT symbol, ts, CAST(NOT ({OPEN}) AS INT) AS bad_weekend, CAST(CAST(ts AS DATE) IN (SELECT day FROM thin) AS INT) AS bad_thin, CAST(high = low AND volume < 1 AS INT) AS bad_dead,
     CAST(coalesce(spread > 1.5 * {roll('q0.5', 'spread', 60, 20)}, false) AS INT) AS bad_spread FROM bars)
     SELECT *, CAST(bad_weekend + bad_thin + bad_dead + bad_spread = 0 AS INT) AS row_ok FROM r""")
@@ -180,7 +212,11 @@ def c20(spark, d):
     return read(spark, d, "pages").filter(F.col("url").rlike(r"(?i)example\.(com|org)")).select("page_id", F.coalesce(F.nullif(F.trim(title), F.lit("")), words).alias("headline"))
 
 
-@add("C21_list_overlap", "SELECT o_custkey, keys FROM (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS keys FROM orders GROUP BY 1) WHERE list_has_any(string_split(keys, ','), ['1-URGENT', '2-HIGH'])")
+@add(
+    "C21_list_overlap",
+    """SELECT o_custkey, keys FROM (SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS keys
+        FROM orders GROUP BY 1) WHERE list_has_any(string_split(keys, ','), ['1-URGENT', '2-HIGH'])""",
+)
 def c21(spark, d):
     keys = read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("keys"))
     return keys.filter(F.arrays_overlap(F.split("keys", ","), F.array(F.lit("1-URGENT"), F.lit("2-HIGH"))))
@@ -207,28 +243,40 @@ def c23(spark, d):
 KINDS = ["click", "error", "purchase", "signup", "view"]
 
 
-@add("C24_one_hot", f"SELECT date_trunc('hour', ts) AS ts, {', '.join(f'max(CAST(event_type = {k!r} AS INT)) AS is_{k}' for k in KINDS)} FROM events GROUP BY 1")
+@add(
+    "C24_one_hot",
+    f"""SELECT date_trunc('hour', ts) AS ts, {', '.join(f'max(CAST(event_type = {k!r} AS INT)) AS is_{k}' for k in KINDS)}
+    FROM events GROUP BY 1""",
+)
 def c24(spark, d):
     return read(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(*[F.max((F.col("event_type") == k).cast("int")).alias(f"is_{k}") for k in KINDS])
 
 
-@add("C25_sanity", f"""WITH {TICKS}, u AS (SELECT symbol, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT symbol, ts, count(*) AS n FROM ticks GROUP BY ALL) GROUP BY 1)
-    SELECT t.*, u.duplicates FROM (SELECT symbol, count(*) AS rows, count(*) FILTER (NOT mid BETWEEN 5 AND 480) AS out_of_range, count(*) FILTER (bid >= ask) AS crossed, count(*) FILTER (spread > 0.04) AS wide, count(*) FILTER (volume IS NULL) AS no_volume,
+@add("C25_sanity", f"""WITH {TICKS},
+    u AS (SELECT symbol, CAST(sum(n - 1) AS BIGINT) AS duplicates FROM (SELECT symbol, ts, count(*) AS n FROM ticks
+        GROUP BY ALL) GROUP BY 1)
+   
+    SELECT t.*, u.duplicates FROM (SELECT symbol, count(*) AS rows, count(*) FILTER (NOT mid BETWEEN 5 AND 480) AS out_of_range, count(*) FILTER (bid >= ask) AS crossed,
+        count(*) FILTER (spread > 0.04) AS wide, count(*) FILTER (volume IS NULL) AS no_volume,
     round(avg(spread), 6) + 0.0 AS avg_spread, round(max(spread), 6) + 0.0 AS max_spread FROM ticks GROUP BY 1) t JOIN u USING (symbol)""")
 def c25(spark, d):
     return C.sanity(ticks(spark, d), 5, 480)
 
 
-@add("C26_missing_hours", f"""WITH {TICKS}, h AS (SELECT DISTINCT symbol, date_trunc('hour', ts) AS h FROM ticks WHERE volume > 60), g AS (SELECT symbol, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM h GROUP BY 1),
+@add("C26_missing_hours", f"""WITH {TICKS},
+    h AS (SELECT DISTINCT user_id AS symbol, date_trunc('hour', ts) AS h FROM events),
+    g AS (SELECT symbol, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM h GROUP BY 1),
     m AS (SELECT *, epoch(h) / 3600 - row_number() OVER (PARTITION BY symbol ORDER BY h) AS k FROM g ANTI JOIN h USING (symbol, h)) SELECT symbol, min(h) AS start, max(h) AS "end", count(*) AS hours FROM m GROUP BY symbol, k""")
 def c26(spark, d):
-    return C.missing_hours(ticks(spark, d).filter("volume > 60"))
+    return C.missing_hours(read(spark, d, "events").select(F.col("user_id").alias("symbol"), "ts"))
 
 
-@add("C27_month_coverage", """WITH m AS (SELECT DISTINCT o_orderpriority AS k, date_trunc('month', o_orderdate) AS m FROM orders WHERE o_totalprice > 450000), g AS (SELECT k, unnest(generate_series((SELECT min(m) FROM m), (SELECT max(m) FROM m), INTERVAL 1 MONTH)) AS m FROM (SELECT DISTINCT k FROM m))
+@add("C27_month_coverage", """WITH m AS (SELECT DISTINCT o_custkey AS k, date_trunc('month', o_orderdate) AS m FROM orders),
+    g AS (SELECT k, unnest(generate_series((SELECT min(m) FROM m), (SELECT max(m) FROM m), INTERVAL 1 MONTH)) AS m
+        FROM (SELECT DISTINCT k FROM m))
     SELECT k, strftime(m, '%Y-%m') AS month FROM g ANTI JOIN (SELECT k, CAST(m AS TIMESTAMP) AS m FROM m) USING (k, m)""")
 def c27(spark, d):
-    have = read(spark, d, "orders").filter("o_totalprice > 450000").select(F.col("o_orderpriority").alias("k"), F.trunc("o_orderdate", "month").alias("m")).distinct()
+    have = read(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.trunc("o_orderdate", "month").alias("m")).distinct()
     span = have.agg(F.min("m").alias("a"), F.max("m").alias("b"))
     grid = have.select("k").distinct().join(F.broadcast(span)).select("k", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("m"))
     return grid.join(have, ["k", "m"], "left_anti").select("k", F.date_format("m", "yyyy-MM").alias("month"))
@@ -249,7 +297,9 @@ def c29(spark, d):
     return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(years.alias("years"), (years >= 6).alias("enough"))
 
 
-@add("C30_feed_report", f"""WITH {TICKS}, l AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap, mid = lag(mid) OVER w AND volume = lag(volume) OVER w AS same FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id))
+@add("C30_feed_report", f"""WITH {TICKS},
+    l AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap, mid = lag(mid) OVER w AND volume = lag(volume) OVER w AS same
+        FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id))
     SELECT symbol, count(*) AS rows, round(avg(gap), 6) + 0.0 AS cadence_s, count(*) FILTER (same) AS repeats, count(*) FILTER (gap > 3600) AS long_gaps, round(avg(CAST(volume IS NULL AS INT)), 6) + 0.0 AS null_volume FROM l GROUP BY 1""")
 def c30(spark, d):
     from tidemark.functions.frames import lag

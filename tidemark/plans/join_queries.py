@@ -23,7 +23,9 @@ def add(name, sql, digits=6):
     return put
 
 
-@add("J1_asof", f"""WITH {TICKS}, v AS (SELECT user_key, ts, max_by(mid, id) AS seen, max(id) AS mid_id FROM (SELECT e.user_id % 50 AS user_key, t.* FROM ticks t JOIN events e ON e.event_id = t.id) WHERE symbol = 'view' GROUP BY ALL),
+@add("J1_asof", f"""WITH {TICKS},
+    v AS (SELECT user_key, ts, max_by(mid, id) AS seen, max(id) AS mid_id FROM (SELECT e.user_id % 50 AS user_key, t.*
+        FROM ticks t JOIN events e ON e.event_id = t.id) WHERE symbol = 'view' GROUP BY ALL),
     p AS (SELECT e.user_id % 50 AS user_key, t.ts, t.id, t.mid FROM ticks t JOIN events e ON e.event_id = t.id WHERE symbol = 'purchase')
     SELECT p.id, p.user_key, p.ts, round(p.mid, 6) + 0.0 AS mid, round(v.seen, 6) + 0.0 AS seen FROM p ASOF LEFT JOIN v ON p.user_key = v.user_key AND p.ts >= v.ts + INTERVAL 1 MINUTE""")
 def j1(spark, d):
@@ -48,7 +50,9 @@ def j2(spark, d):
     return both.select("symbol", "ts", away(F.col("ts"), F.col("nx")).alias("us_to"), away(F.col("pv"), F.col("ts")).alias("us_since"))
 
 
-@add("J3_asof_tolerance", f"""WITH {TICKS}, v AS (SELECT ts, max_by(mid, id) AS anchor FROM ticks WHERE symbol = 'view' GROUP BY ts), p AS (SELECT id, ts FROM ticks WHERE symbol = 'purchase')
+@add("J3_asof_tolerance", f"""WITH {TICKS},
+    v AS (SELECT ts, max_by(mid, id) AS anchor FROM ticks WHERE symbol = 'view' GROUP BY ts),
+    p AS (SELECT id, ts FROM ticks WHERE symbol = 'purchase')
     SELECT p.id, p.ts, CASE WHEN v.ts >= p.ts - INTERVAL 10 MINUTE THEN round(v.anchor, 6) + 0.0 END AS anchor FROM p ASOF LEFT JOIN v ON p.ts >= v.ts""")
 def j3(spark, d):
     t = ticks(spark, d)
@@ -61,7 +65,9 @@ def j4(spark, d):
     return read(spark, d, "documents").select("doc_id", "n_chars").join(read(spark, d, "labels"), "doc_id")
 
 
-@add("J5_left_ffill", f"""WITH {BARS}, e AS (SELECT ts, max(mid) AS level FROM bars JOIN (SELECT time_bucket(INTERVAL '6 hours', ts) AS bts, mid FROM ticks WHERE symbol = 'signup' AND mid > 300) s ON s.bts = bars.ts GROUP BY ts)
+@add("J5_left_ffill", f"""WITH {BARS},
+    e AS (SELECT ts, max(mid) AS level FROM bars JOIN (SELECT time_bucket(INTERVAL '6 hours', ts) AS bts, mid FROM ticks
+        WHERE symbol = 'signup' AND mid > 300) s ON s.bts = bars.ts GROUP BY ts)
     SELECT symbol, ts, round(last_value(level IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS level FROM bars LEFT JOIN e USING (ts)""")
 def j5(spark, d):
     t = ticks(spark, d)
@@ -69,7 +75,9 @@ def j5(spark, d):
     return J.forward_fill(time_bars(t).select("symbol", "ts").join(levels, "ts", "left"), ["level"], ["symbol"], ["ts"]).select("symbol", "ts", "level")
 
 
-@add("J6_full_outer", f"""WITH {TICKS}, a AS (SELECT date_trunc('hour', ts) AS h, avg(mid) AS actual FROM ticks WHERE symbol = 'click' GROUP BY 1), f AS (SELECT date_trunc('hour', ts) AS h, avg(mid) AS forecast FROM ticks WHERE symbol = 'view' GROUP BY 1)
+@add("J6_full_outer", f"""WITH {TICKS},
+    a AS (SELECT date_trunc('hour', ts) AS h, avg(mid) AS actual FROM ticks WHERE symbol = 'click' GROUP BY 1),
+    f AS (SELECT date_trunc('hour', ts) AS h, avg(mid) AS forecast FROM ticks WHERE symbol = 'view' GROUP BY 1)
     SELECT coalesce(a.h, f.h) AS ts, round(actual, 6) + 0.0 AS actual, round(forecast, 6) + 0.0 AS forecast FROM a FULL JOIN f ON a.h = f.h""")
 def j6(spark, d):
     t = ticks(spark, d).withColumn("ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
@@ -126,7 +134,10 @@ def j13(spark, d):
     return hit.groupBy("id").agg(F.coalesce(F.max(F.when(away <= 900, 1.0 + 2.0 * (1 - away / 900.0))), F.lit(1.0)).alias("weight"))
 
 
-@add("J14_session_gap", f"""WITH {TICKS}, day AS (SELECT symbol, CAST(ts AS DATE) AS day, last(mid ORDER BY ts, id) FILTER (hour(ts) < 8) AS asia, first(mid ORDER BY ts, id) FILTER (hour(ts) BETWEEN 8 AND 15) AS london, min(ts) FILTER (hour(ts) BETWEEN 8 AND 15) AS ts FROM ticks GROUP BY ALL)
+@add("J14_session_gap", f"""WITH {TICKS},
+    day AS (SELECT symbol, CAST(ts AS DATE) AS day, last(mid ORDER BY ts, id) FILTER (hour(ts) < 8) AS asia, first(mid
+        ORDER BY ts, id) FILTER (hour(ts) BETWEEN 8 AND 15) AS london, min(ts) FILTER (hour(ts) BETWEEN 8 AND 15) AS ts
+        FROM ticks GROUP BY ALL)
     SELECT symbol, ts, round(london - asia, 6) + 0.0 AS gap FROM day WHERE ts IS NOT NULL""")
 def j14(spark, d):
     """The gap from the last Asian price to the first of London, at the time of the latter."""
@@ -137,7 +148,8 @@ def j14(spark, d):
     return day.filter("ts is not null").select("symbol", "ts", (F.col("l") - F.col("a")).alias("gap"))
 
 
-@add("J15_overlap", """WITH t AS (SELECT l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1), x AS (SELECT * FROM t WHERE l_orderkey % 10 = 0)
+@add("J15_overlap", """WITH t AS (SELECT l_orderkey, min(l_shipdate) AS a, max(l_shipdate) AS b FROM lineitem GROUP BY 1),
+    x AS (SELECT * FROM t WHERE l_orderkey % 10 = 0)
     SELECT t.l_orderkey FROM t WHERE l_orderkey % 10 <> 0 AND NOT EXISTS (SELECT 1 FROM x WHERE x.a <= t.b AND t.a <= x.b AND x.l_orderkey % 100 = t.l_orderkey // 10 % 10 * 10)""")
 def j15(spark, d):
     """Training ranges that overlap no test range of their group: purging, as an anti-join on equal group and overlap."""
@@ -163,7 +175,11 @@ def o2(spark, d):
     return read(spark, d, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
 
 
-@add("O3_top_per_key", "SELECT o_custkey, o_orderkey, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rk FROM orders) WHERE rk <= 3")
+@add(
+    "O3_top_per_key",
+    """SELECT o_custkey, o_orderkey, rk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INT) AS rk
+        FROM orders) WHERE rk <= 3""",
+)
 def o3(spark, d):
     from pyspark.sql import Window
 
@@ -177,13 +193,18 @@ def o4(spark, d):
         read(spark, d, "conversations").select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.length("text").cast("long").alias("n")))
 
 
-@add("O5_keep_first", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY ALL")
+@add(
+    "O5_keep_first",
+    """SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id
+    FROM events GROUP BY ALL""",
+)
 def o5(spark, d):
     at = F.struct("ts", "event_id")
     return read(spark, d, "events").groupBy("user_id", "event_type").agg(F.min_by("event_id", at).alias("first_id"), F.max_by("event_id", at).alias("last_id"))
 
 
-@add("O6_set_operations", """WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
+@add("O6_set_operations", """WITH c AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'),
+    p AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase')
     SELECT user_id, 'both' AS what FROM (SELECT * FROM c INTERSECT SELECT * FROM p) UNION ALL SELECT user_id, 'click only' FROM (SELECT * FROM c EXCEPT SELECT * FROM p)""")
 def o6(spark, d):
     e = read(spark, d, "events")

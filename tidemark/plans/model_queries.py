@@ -105,12 +105,25 @@ DET = "(y1y1 * x1x1 - y1x1 * y1x1)"
 LONG = f"(yy - (yy1 * x1x1 - yx1 * y1x1) / {DET} * yy1 - (yx1 * y1y1 - yy1 * y1x1) / {DET} * yx1)"
 
 
-@add("W70_granger", f"WITH {RETURNS}, l AS (SELECT symbol, ts, r, {slag('r')} AS r1 FROM r), j AS (SELECT a.symbol AS a, b.symbol AS b, b.r AS y, b.r1 AS y1, a.r1 AS x1 FROM l a JOIN l b ON a.ts = b.ts AND a.symbol <> b.symbol WHERE b.r1 IS NOT NULL AND a.r1 IS NOT NULL), s AS (SELECT a, b, count(*) AS n, {COVS} FROM j GROUP BY 1, 2) SELECT a, b, round(((yy - yy1 * yy1 / y1y1) - {LONG}) / ({LONG} / (n - 3)), 6) + 0.0 AS f FROM s")
+@add(
+    "W70_granger",
+    f"""WITH {RETURNS},
+    l AS (SELECT symbol, ts, r, {slag('r')} AS r1 FROM r),
+    j AS (SELECT a.symbol AS a, b.symbol AS b, b.r AS y, b.r1 AS y1, a.r1 AS x1 FROM l a JOIN l b ON a.ts = b.ts AND a.symbol <> b.symbol
+        WHERE b.r1 IS NOT NULL AND a.r1 IS NOT NULL),
+    s AS (SELECT a, b, count(*) AS n, {COVS} FROM j GROUP BY 1, 2)
+    SELECT a, b, round(((yy - yy1 * yy1 / y1y1) - {LONG}) / ({LONG} / (n - 3)), 6) + 0.0 AS f FROM s""",
+)
 def w70(spark, d):
     return M.granger(returns(spark, d))
 
 
-@add("W72_refit_fill", f"WITH {BARS}, f AS (SELECT symbol, ts, close AS refit FROM bars WHERE hour(ts) = 0 AND day(ts) % 5 = 0) SELECT b.symbol, b.ts, round(refit, 6) + 0.0 AS refit FROM bars b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts")
+@add(
+    "W72_refit_fill",
+    f"""WITH {BARS},
+    f AS (SELECT symbol, ts, close AS refit FROM bars WHERE hour(ts) = 0 AND day(ts) % 5 = 0)
+    SELECT b.symbol, b.ts, round(refit, 6) + 0.0 AS refit FROM bars b ASOF LEFT JOIN f ON b.symbol = f.symbol AND b.ts >= f.ts""",
+)
 def w72(spark, d):
     b = bars(spark, d)
     fits = b.filter((F.hour("ts") == 0) & (F.dayofmonth("ts") % 5 == 0)).select("symbol", "ts", c("close").alias("refit"))
@@ -126,7 +139,10 @@ def w74(spark, d):
     return M.expanding_gate(x.select("symbol", "ts", "rsi_14", "atr_6", "up", "block"), ["rsi_14", "atr_6"], "up").select("symbol", "ts", "gate")
 
 
-@add("W75_fused_sentiment", f"""WITH {TICKS}, h AS (SELECT symbol, date_trunc('hour', ts) AS ts, avg(CASE WHEN id % 2 = 0 THEN mid END) AS news, avg(CASE WHEN id % 2 = 1 THEN mid END) AS social FROM ticks GROUP BY 1, 2), z AS (SELECT symbol, ts, coalesce(news, 0.0) AS news, coalesce(social, 0.0) AS social FROM h),
+@add("W75_fused_sentiment", f"""WITH {TICKS},
+    h AS (SELECT symbol, date_trunc('hour', ts) AS ts, avg(CASE WHEN id % 2 = 0 THEN mid END) AS news, avg(CASE WHEN id % 2 = 1 THEN mid END) AS social
+        FROM ticks GROUP BY 1, 2),
+    z AS (SELECT symbol, ts, coalesce(news, 0.0) AS news, coalesce(social, 0.0) AS social FROM h),
     e AS (SELECT symbol, ts, {s_ema('news', 12)} AS n, {s_ema('social', 12)} AS s FROM z) SELECT symbol, ts, round(0.6 * n + 0.4 * s, 6) + 0.0 AS fused, round(abs(n - s), 6) + 0.0 AS disagreement FROM e""")
 def w75(spark, d):
     """Two sources by hour, each fading with time, their weighted sum and how far they part."""
@@ -135,7 +151,13 @@ def w75(spark, d):
     return e.select("symbol", "ts", (0.6 * c("n") + 0.4 * c("s")).alias("fused"), F.abs(c("n") - c("s")).alias("disagreement"))
 
 
-@add("W76_release_surprise", f"WITH {TICKS}, e AS (SELECT id, ts, mid, {roll('avg', 'mid', 20, 5, 1).replace('PARTITION BY symbol', 'PARTITION BY symbol').replace('ORDER BY ts', 'ORDER BY ts, id')} AS expected, {roll('stddev_samp', 'mid', 20, 5, 1).replace('ORDER BY ts', 'ORDER BY ts, id')} AS sd FROM ticks WHERE symbol = 'error') SELECT id, round((mid - expected) / (sd + 1e-9), 6) + 0.0 AS surprise FROM e")
+@add(
+    "W76_release_surprise",
+    f"""WITH {TICKS},
+    e AS (SELECT id, ts, mid, {roll('avg', 'mid', 20, 5, 1).replace('PARTITION BY symbol', 'PARTITION BY symbol').replace('ORDER BY ts', 'ORDER BY ts, id')} AS expected,
+        {roll('stddev_samp', 'mid', 20, 5, 1).replace('ORDER BY ts', 'ORDER BY ts, id')} AS sd FROM ticks WHERE symbol = 'error')
+    SELECT id, round((mid - expected) / (sd + 1e-9), 6) + 0.0 AS surprise FROM e""",
+)
 def w76(spark, d):
     before = Roll(20, 5, skip=1, order=("ts", "id"))
     e = ticks(spark, d).filter("symbol = 'error'")
@@ -173,7 +195,14 @@ def a14(spark, d):
     return M.long_ema(b, "close", 26)
 
 
-@add("A20_deltas", f"WITH x AS (SELECT l_returnflag, l_quantity, (ln(l_extendedprice / (l_quantity * 1000)) + 0.04 / 2 * l_linenumber / 12.0) / (0.2 * sqrt(l_linenumber / 12.0)) AS z FROM lineitem) SELECT l_returnflag, round(sum(l_quantity * {CDF('z')}), 3) + 0.0 AS delta, round(sum(l_quantity), 3) + 0.0 AS notional FROM x GROUP BY 1", 3)
+@add(
+    "A20_deltas",
+    f"""WITH x AS (SELECT l_returnflag, l_quantity, (ln(l_extendedprice / (l_quantity * 1000)) + 0.04 / 2 * l_linenumber / 12.0) / (0.2 * sqrt(l_linenumber / 12.0)) AS z
+        FROM lineitem)
+    SELECT l_returnflag, round(sum(l_quantity * {CDF('z')}), 3) + 0.0 AS delta, round(sum(l_quantity), 3) + 0.0 AS notional
+    FROM x GROUP BY 1""",
+    3,
+)
 def a20(spark, d):
     delta = M.black_delta(c("l_extendedprice"), c("l_quantity") * 1000, F.lit(0.2), c("l_linenumber") / 12.0)
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(c("l_quantity") * delta).alias("delta"), F.sum("l_quantity").alias("notional"))
@@ -203,7 +232,12 @@ def f12(spark, d):
     return M.topics(read(spark, d, "documents").select("doc_id", "text"))
 
 
-@add("F1_F2_F3_F4_F5_F6_scalars", "SELECT event_id, round(log10(value + 1), 6) + 0.0 AS lg, round(1 / (1 + exp(-value / 100)), 6) + 0.0 AS logistic, greatest(least(CAST(floor(value) AS BIGINT), 400), 50) AS clipped, isodow(ts) - 1 AS weekday, strftime(ts, '%Y-%m') AS month, upper(event_type[1:3]) AS tag, TRY_CAST(event_type AS DOUBLE) AS number FROM events")
+@add(
+    "F1_F2_F3_F4_F5_F6_scalars",
+    """SELECT event_id, round(log10(value + 1), 6) + 0.0 AS lg, round(1 / (1 + exp(-value / 100)), 6) + 0.0 AS logistic, greatest(least(CAST(floor(value) AS BIGINT), 400),
+        50) AS clipped, isodow(ts) - 1 AS weekday, strftime(ts, '%Y-%m') AS month, upper(event_type[1:3]) AS tag, TRY_CAST(event_type AS DOUBLE) AS number
+    FROM events""",
+)
 def f1(spark, d):
     v = c("value")
     return read(spark, d, "events").select("event_id", F.log10(v + 1).alias("lg"), (1 / (1 + F.exp(-v / 100))).alias("logistic"), F.greatest(F.least(F.floor(v), F.lit(400)), F.lit(50)).alias("clipped"), F.weekday("ts").cast("long").alias("weekday"), F.date_format("ts", "yyyy-MM").alias("month"), F.upper(F.substring("event_type", 1, 3)).alias("tag"), c("event_type").try_cast("double").alias("number"))
@@ -214,7 +248,16 @@ def f7(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k long").k.alias("k"))
 
 
-@add("G5_remediation", f"WITH {BARS}, q AS (SELECT symbol, quantile_cont(close, 0.05) AS a, quantile_cont(close, 0.95) AS b, quantile_cont(spread, 0.5) AS s FROM bars GROUP BY 1), f AS (SELECT symbol, ts, least(greatest(close, a), b) AS close, least(spread, 1.1 * s) AS spread, greatest(high, open, close) AS high, least(low, open, close) AS low FROM bars JOIN q USING (symbol) WHERE isodow(ts) < 6) SELECT symbol, ts, round(close, 6) + 0.0 AS close, round(spread, 6) + 0.0 AS spread, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low FROM f")
+@add(
+    "G5_remediation",
+    f"""WITH {BARS},
+    q AS (SELECT symbol, quantile_cont(close, 0.05) AS a, quantile_cont(close, 0.95) AS b, quantile_cont(spread, 0.5) AS s
+        FROM bars GROUP BY 1),
+    f AS (SELECT symbol, ts, least(greatest(close, a), b) AS close, least(spread, 1.1 * s) AS spread, greatest(high, open, close) AS high, least(low, open, close) AS low
+        FROM bars JOIN q USING (symbol) WHERE isodow(ts) < 6)
+    SELECT symbol, ts, round(close, 6) + 0.0 AS close, round(spread, 6) + 0.0 AS spread, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low
+    FROM f""",
+)
 def g5(spark, d):
     """Winsorised closes, capped spreads, repaired highs and lows, no weekends."""
     b = bars(spark, d)
@@ -223,7 +266,11 @@ def g5(spark, d):
     return j.select("symbol", "ts", F.least(F.greatest("close", "a"), "b").alias("close"), F.least(c("spread"), 1.1 * c("s")).alias("spread"), F.greatest("high", "open", "close").alias("high"), F.least("low", "open", "close").alias("low"))
 
 
-@add("G6_schema_drift", f"""WITH m AS (SELECT 'l_quantity' AS feature, l_quantity AS x, l_shipdate >= TIMESTAMP '1998-06-01' AS live FROM lineitem), e AS (SELECT list_sort(list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges FROM m WHERE NOT live), b AS (SELECT len(list_filter(edges, lambda v: v < x)) AS bin, count(*) FILTER (NOT live) AS r, count(*) FILTER (live) AS l FROM m, e GROUP BY 1),
+@add("G6_schema_drift", f"""WITH m AS (SELECT 'l_quantity' AS feature, l_quantity AS x, l_shipdate >= TIMESTAMP '1998-06-01' AS live FROM lineitem),
+    e AS (SELECT list_sort(list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges
+        FROM m WHERE NOT live),
+    b AS (SELECT len(list_filter(edges, lambda v: v < x)) AS bin, count(*) FILTER (NOT live) AS r, count(*) FILTER (live) AS l
+        FROM m, e GROUP BY 1),
     s AS (SELECT greatest(l / sum(l) OVER (), 1e-4) AS p, greatest(r / sum(r) OVER (), 1e-4) AS q FROM b) SELECT 'l_quantity' AS "column", CASE WHEN sum((p - q) * ln(p / q)) > 0.1 THEN 'moved' ELSE 'stable' END AS change FROM s UNION ALL SELECT 'l_tax', 'removed' UNION ALL SELECT 'l_linenumber', 'type' UNION ALL SELECT 'tax_rate', 'added'""")
 def g6(spark, d):
     """Columns that came, went or changed type against an expected schema, and whether a column that stayed has moved."""
@@ -233,18 +280,32 @@ def g6(spark, d):
     return G.schema_drift(dict(x.dtypes), now).unionByName(moved.select("column", F.when(c("psi") > 0.1, "moved").otherwise("stable").alias("change")))
 
 
-@add("G7_report", "SELECT o_orderstatus AS gate, o_orderpriority AS part, count(*) AS rows, count(*) FILTER (o_totalprice > 400000) AS breaches, CAST(grouping_id(o_orderstatus, o_orderpriority) AS BIGINT) AS level FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+@add(
+    "G7_report",
+    """SELECT o_orderstatus AS gate, o_orderpriority AS part, count(*) AS rows, count(*) FILTER (o_totalprice > 400000) AS breaches, CAST(grouping_id(o_orderstatus, o_orderpriority) AS BIGINT) AS level
+    FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)""",
+)
 def g7(spark, d):
     return read(spark, d, "orders").rollup(c("o_orderstatus").alias("gate"), c("o_orderpriority").alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(c("o_totalprice") > 400000).alias("breaches"), F.grouping_id().alias("level"))
 
 
-@add("G13_lineage", "SELECT l_returnflag AS stage, l_linestatus AS state, count(*) AS records, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1, 2")
+@add(
+    "G13_lineage",
+    """SELECT l_returnflag AS stage, l_linestatus AS state, count(*) AS records, min(l_shipdate) AS first, max(l_shipdate) AS last
+    FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' GROUP BY 1, 2""",
+)
 def g13(spark, d):
     rows = read(spark, d, "lineitem").filter(c("l_shipdate") >= F.lit("1996-01-01").cast("timestamp"))
     return rows.groupBy(c("l_returnflag").alias("stage"), c("l_linestatus").alias("state")).agg(F.count(F.lit(1)).alias("records"), F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
 
 
-@add("G14_incremental", f"WITH {BARS}, r AS (SELECT symbol, ts, {ret()} AS r FROM bars), v AS (SELECT symbol, ts, {roll('stddev_samp', 'r', 20)} AS vol_20 FROM r) SELECT symbol, ts, round(vol_20, 6) + 0.0 AS vol_20 FROM v WHERE ts >= TIMESTAMP '2024-01-20'")
+@add(
+    "G14_incremental",
+    f"""WITH {BARS},
+    r AS (SELECT symbol, ts, {ret()} AS r FROM bars),
+    v AS (SELECT symbol, ts, {roll('stddev_samp', 'r', 20)} AS vol_20 FROM r)
+    SELECT symbol, ts, round(vol_20, 6) + 0.0 AS vol_20 FROM v WHERE ts >= TIMESTAMP '2024-01-20'""",
+)
 def g14(spark, d):
     """New rows of a feature from the high-water mark on: only those and the warm-up before them are read."""
     mark, warm = F.lit("2024-01-20").cast("timestamp_ntz"), F.expr("INTERVAL 14 DAYS")
@@ -271,15 +332,24 @@ def materialise(df, names):
     return layers(df, *[{n: CATALOGUE[n][1]()} for n in done])
 
 
-@add("G15_C18_features", f"WITH {BARS}, r AS (SELECT symbol, ts, {ret()} AS r FROM bars), v AS (SELECT symbol, ts, {roll('sum', 'r', 20)} / ({roll('stddev_samp', 'r', 20)} + 1e-9) AS sharpe FROM r) SELECT symbol, ts, round(sharpe, 6) + 0.0 AS sharpe FROM v")
+@add(
+    "G15_C18_features",
+    f"""WITH {BARS},
+    r AS (SELECT symbol, ts, {ret()} AS r FROM bars),
+    v AS (SELECT symbol, ts, {roll('sum', 'r', 20)} / ({roll('stddev_samp', 'r', 20)} + 1e-9) AS sharpe FROM r)
+    SELECT symbol, ts, round(sharpe, 6) + 0.0 AS sharpe FROM v""",
+)
 def g15(spark, d):
     return materialise(bars(spark, d), ["sharpe"]).select("symbol", "ts", "sharpe")
 
 
-@add("C31_month_blocks", """WITH m AS (SELECT DISTINCT o_orderpriority AS k, date_trunc('month', o_orderdate) AS m FROM orders WHERE o_totalprice > 450000), g AS (SELECT k, unnest(generate_series((SELECT min(m) FROM m), (SELECT max(m) FROM m), INTERVAL 1 MONTH)) AS m FROM (SELECT DISTINCT k FROM m)), x AS (SELECT k, m FROM g ANTI JOIN (SELECT k, CAST(m AS TIMESTAMP) AS m FROM m) USING (k, m)),
+@add("C31_month_blocks", """WITH m AS (SELECT DISTINCT o_custkey AS k, date_trunc('month', o_orderdate) AS m FROM orders),
+    g AS (SELECT k, unnest(generate_series((SELECT min(m) FROM m), (SELECT max(m) FROM m), INTERVAL 1 MONTH)) AS m
+        FROM (SELECT DISTINCT k FROM m)),
+    x AS (SELECT k, m FROM g ANTI JOIN (SELECT k, CAST(m AS TIMESTAMP) AS m FROM m) USING (k, m)),
     i AS (SELECT *, year(m) * 12 + month(m) - row_number() OVER (PARTITION BY k ORDER BY m) AS b FROM x) SELECT k, strftime(min(m), '%Y-%m') AS first, strftime(max(m), '%Y-%m') AS last, count(*) AS months FROM i GROUP BY k, b""")
 def c31(spark, d):
-    have = read(spark, d, "orders").filter("o_totalprice > 450000").select(c("o_orderpriority").alias("k"), F.trunc("o_orderdate", "month").alias("m")).distinct()
+    have = read(spark, d, "orders").select(c("o_custkey").alias("k"), F.trunc("o_orderdate", "month").alias("m")).distinct()
     span = have.agg(F.min("m").alias("a"), F.max("m").alias("b"))
     gone = have.select("k").distinct().join(F.broadcast(span)).select("k", F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("m")).join(have, ["k", "m"], "left_anti")
     island = F.year("m") * 12 + F.month("m") - F.row_number().over(Window.partitionBy("k").orderBy("m"))
@@ -287,7 +357,12 @@ def c31(spark, d):
     return gone.withColumn("b", island).groupBy("k", "b").agg(month(F.min("m")).alias("first"), month(F.max("m")).alias("last"), F.count(F.lit(1)).alias("months")).drop("b")
 
 
-@add("C32_freshness", f"WITH {TICKS} SELECT symbol, max(ts) AS last, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-20') > 14 AS stale FROM ticks GROUP BY 1")
+@add(
+    "C32_freshness",
+    f"""WITH {TICKS}
+    SELECT symbol, max(ts) AS last, date_diff('day', CAST(max(ts) AS DATE), DATE '2024-02-20') > 14 AS stale FROM ticks
+    GROUP BY 1""",
+)
 def c32(spark, d):
     return ticks(spark, d).groupBy("symbol").agg(F.max("ts").alias("last")).withColumn("stale", F.datediff(F.lit("2024-02-20").cast("date"), F.to_date("last")) > 14)
 
@@ -328,7 +403,14 @@ def st8(spark, d):
     return jobs.to_files(jobs.keyed_state(s, jobs.lookahead_step(), [], ["corr", "alert"]))
 
 
-@add("ST13_trade_monitor", "WITH t AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_shipdate, l_discount - 0.05 AS r, l_extendedprice, l_partkey FROM lineitem) SELECT l_returnflag, l_orderkey, l_linenumber, round(CASE WHEN count(r) OVER w >= 50 THEN avg(r) OVER w / (stddev_samp(r) OVER w + 1e-9) END, 6) + 0.0 AS sharpe, round(CASE WHEN count(r) OVER w >= 50 THEN avg(CAST(r > 0 AS INT)) OVER w END, 6) + 0.0 AS win_rate FROM t WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)")
+@add(
+    "ST13_trade_monitor",
+    """WITH t AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_shipdate, l_discount - 0.05 AS r, l_extendedprice, l_partkey
+        FROM lineitem)
+    SELECT l_returnflag, l_orderkey, l_linenumber, round(CASE WHEN count(r) OVER w >= 50 THEN avg(r) OVER w / (stddev_samp(r) OVER w + 1e-9) END,
+        6) + 0.0 AS sharpe, round(CASE WHEN count(r) OVER w >= 50 THEN avg(CAST(r > 0 AS INT)) OVER w END, 6) + 0.0 AS win_rate
+    FROM t WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""",
+)
 def st13(spark, d):
     roll50 = Roll(50, key=("l_returnflag",), order=("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
     x = read(spark, d, "lineitem").withColumn("r", c("l_discount") - 0.05)

@@ -185,6 +185,7 @@ def g5_remedies(spark, d):
     "G7_gate_report",
     f"""WITH g AS (SELECT 'drift' AS part, * FROM ({DRIFT}) UNION ALL SELECT 'rows', 'row_count', CAST(count(*) AS DOUBLE), count(*) >= 100 FROM orders
         UNION ALL SELECT 'rows', 'nulls:o_custkey', avg(CAST(o_custkey IS NULL AS INT)), avg(CAST(o_custkey IS NULL AS INT)) <= 0.3 FROM orders)
+   
     SELECT part, gate, bool_and(passed) AS passed, CASE WHEN grouping_id(part, gate) = 0 THEN round(max(value), 6) + 0.0 END AS value, count(*) FILTER (NOT passed) AS failures,
            CAST(grouping_id(part, gate) AS BIGINT) AS level FROM g GROUP BY ROLLUP (part, gate)""",
 )
@@ -213,7 +214,9 @@ def g10_three(spark, d):
     f"""WITH {ROWS}, f AS (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS fold), r AS (SELECT fold, row, o_orderkey, CASE WHEN row < 400 + fold * 150 - 20 AND row >= 400 + fold * 150 - 320 THEN 'train'
         WHEN row >= 400 + fold * 150 AND row < 400 + (fold + 1) * 150 THEN 'test' END AS role FROM x, f),
     d AS (SELECT fold, row, count(DISTINCT role) AS k FROM r WHERE role IS NOT NULL GROUP BY 1, 2), s AS (SELECT fold, count(*) FILTER (k > 1) AS shared FROM d GROUP BY 1)
-    SELECT fold, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'test') AS other, round(avg(o_orderkey) FILTER (role = 'train'), 6) + 0.0 AS train_mean,
+   
+    SELECT fold, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'test') AS other, round(avg(o_orderkey) FILTER (role = 'train'),
+        6) + 0.0 AS train_mean,
            round(avg(o_orderkey) FILTER (role = 'test'), 6) + 0.0 AS other_mean, min(row) FILTER (role = 'test') - max(row) FILTER (role = 'train') - 1 AS gap, any_value(shared) AS shared
     FROM r JOIN s USING (fold) WHERE role IS NOT NULL GROUP BY 1""",
 )
@@ -224,7 +227,8 @@ def g10_online(spark, d):
 @add(
     "T15_isolation",
     f"""WITH {ROWS}, t AS (SELECT x.*, o_orderdate FROM x JOIN orders USING (o_orderkey)), f AS (SELECT CAST(unnest([0, 1, 2]) AS INT) AS fold),
-    r AS (SELECT fold, epoch_us(o_orderdate) / 1e6 AS t, CASE WHEN row < floor(n * 0.4) + fold * 100 THEN 'train' WHEN row >= floor(n * 0.4) + fold * 100 + CASE WHEN fold = 1 THEN 40 ELSE 2 END THEN 'test' END AS role FROM t, f),
+    r AS (SELECT fold, epoch_us(o_orderdate) / 1e6 AS t, CASE WHEN row < floor(n * 0.4) + fold * 100 THEN 'train' WHEN row >= floor(n * 0.4) + fold * 100 + CASE WHEN fold = 1 THEN 40 ELSE 2 END THEN 'test' END AS role
+        FROM t, f),
     e AS (SELECT fold, max(t) FILTER (role = 'train') AS train_last, min(t) FILTER (role = 'test') AS first FROM r WHERE role IS NOT NULL GROUP BY 1),
     d AS (SELECT fold, t - lag(t) OVER (PARTITION BY fold ORDER BY t) AS step FROM (SELECT DISTINCT fold, t FROM r WHERE role = 'train')),
     m AS (SELECT fold, quantile_disc(step, 0.5) AS med FROM d WHERE step IS NOT NULL GROUP BY 1), g AS (SELECT *, first - train_last AS gap, 10 * med AS need FROM e JOIN m USING (fold))
@@ -290,7 +294,9 @@ R19 = "l_discount - 0.05 + 0.001 * (l_linenumber - 3)"
 @add(
     "T19_deflated_sharpe",
     f"""WITH m AS (SELECT l_returnflag, count(*) AS n, avg(r) AS m1, avg(r ** 2) AS m2, avg(r ** 3) AS m3, avg(r ** 4) AS m4 FROM (SELECT l_returnflag, {R19} AS r FROM lineitem) GROUP BY 1),
-    v AS (SELECT *, m2 - m1 * m1 AS v FROM m), s AS (SELECT *, (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / pow(v, 1.5) AS sk, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 ** 4) / (v * v) AS ku, m1 / sqrt(v * n / (n - 1)) AS sr FROM v),
+    v AS (SELECT *, m2 - m1 * m1 AS v FROM m),
+    s AS (SELECT *, (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / pow(v, 1.5) AS sk, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 ** 4) / (v * v) AS ku,
+        m1 / sqrt(v * n / (n - 1)) AS sr FROM v),
     w AS (SELECT *, sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (n - 1)) AS wide FROM s), z AS (SELECT *, sr / wide AS z0, (sr - {BEST!r} / sqrt(252.0)) / wide AS z1 FROM w)
     SELECT l_returnflag, n, round(sr, 6) + 0.0 AS sharpe, round({CDF('z0')}, 6) + 0.0 AS psr, round({CDF('z1')}, 6) + 0.0 AS dsr FROM z""",
 )
@@ -306,7 +312,8 @@ RULES = ", ".join(f"('{n}', '{k}', {b!r})" for n, k, b in E.PROMOTION)
     "T23_promotion_gates",
     f"""WITH a AS (SELECT l_returnflag AS model, l_linestatus, l_discount - 0.045 AS r, l_tax FROM lineitem),
     g AS (SELECT model, max(s) / sum(s) AS regime_concentration FROM (SELECT model, l_linestatus, sum(abs(r)) AS s FROM a GROUP BY 1, 2) GROUP BY 1),
-    m AS (SELECT model, avg(r) / stddev_samp(r) * sqrt(252.0) AS sharpe, sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0) AS profit_factor, CAST(count(*) AS DOUBLE) AS trades, 0.1 * avg(l_tax) / avg(abs(r)) AS cost_share, avg(l_tax) AS max_drawdown FROM a GROUP BY 1),
+    m AS (SELECT model, avg(r) / stddev_samp(r) * sqrt(252.0) AS sharpe, sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0) AS profit_factor, CAST(count(*) AS DOUBLE) AS trades,
+        0.1 * avg(l_tax) / avg(abs(r)) AS cost_share, avg(l_tax) AS max_drawdown FROM a GROUP BY 1),
     k AS (SELECT m.*, regime_concentration, sharpe / max_drawdown AS sharpe_per_drawdown FROM m JOIN g USING (model)),
     u AS (UNPIVOT k ON sharpe, profit_factor, max_drawdown, trades, regime_concentration, cost_share, sharpe_per_drawdown INTO NAME metric VALUE value), p(metric, kind, bound) AS (VALUES {RULES})
     SELECT model, metric, round(value, 6) + 0.0 AS value, CASE kind WHEN 'floor' THEN value >= bound ELSE value <= bound END AS passed FROM u JOIN p USING (metric)""",
@@ -409,7 +416,11 @@ def w71(spark, d):
     return K.lead_lag_degrees(K.lead_lag(returns(spark, d)), 0.1)
 
 
-@add("W74_gate_weights", "SELECT event_id, round(least(greatest(0.2 + 0.8 * p, 0), 1), 6) + 0.0 AS gold, round(least(greatest(1 - 0.7 * p, 0), 1), 6) + 0.0 AS yield, round(least(greatest(0.3 + 0.7 * p, 0), 1), 6) + 0.0 AS risk FROM (SELECT event_id, 1 / (1 + exp(-(value - 245) / 80)) AS p FROM events)")
+@add(
+    "W74_gate_weights",
+    """SELECT event_id, round(least(greatest(0.2 + 0.8 * p, 0), 1), 6) + 0.0 AS gold, round(least(greatest(1 - 0.7 * p, 0), 1), 6) + 0.0 AS yield, round(least(greatest(0.3 + 0.7 * p, 0), 1),
+        6) + 0.0 AS risk FROM (SELECT event_id, 1 / (1 + exp(-(value - 245) / 80)) AS p FROM events)""",
+)
 def w74_weights(spark, d):
     """The logistic score that stands in where no gate can be fitted, and the weights that follow from a gate."""
     p = M.logistic_score(c("value"), 245.0, 80.0)
@@ -419,7 +430,8 @@ def w74_weights(spark, d):
 @add(
     "W76_calendar",
     f"""WITH {TICKS}, ev AS (SELECT ts, avg(mid) AS actual, avg(volume) AS forecast FROM ticks WHERE symbol = 'error' GROUP BY 1), b AS (SELECT symbol, id, ts FROM ticks WHERE symbol <> 'error'),
-    p AS (SELECT b.*, e.ts AS last, e.actual, e.forecast FROM b ASOF LEFT JOIN ev e ON b.ts >= e.ts), q AS (SELECT p.*, e.ts AS next FROM p ASOF LEFT JOIN ev e ON p.ts < e.ts),
+    p AS (SELECT b.*, e.ts AS last, e.actual, e.forecast FROM b ASOF LEFT JOIN ev e ON b.ts >= e.ts),
+    q AS (SELECT p.*, e.ts AS next FROM p ASOF LEFT JOIN ev e ON p.ts < e.ts),
     m AS (SELECT *, least(coalesce((epoch_us(ts) - epoch_us(last)) / 6e7, 1440), 1440) AS since, least(coalesce((epoch_us(next) - epoch_us(ts)) / 6e7, 1440), 1440) AS ahead FROM q)
     SELECT symbol, id, round(since, 6) + 0.0 AS since_last, round(ahead, 6) + 0.0 AS to_next, CAST(since <= 15 OR ahead <= 15 AS INT) AS release_flag,
            round(CASE WHEN since >= 1 THEN coalesce(least(greatest((actual - forecast) / 100, -5), 5), 0) ELSE 0.0 END, 6) + 0.0 AS surprise FROM m""",

@@ -55,13 +55,22 @@ for name, amount, text, size in (
     SQL[name] = activity_sql(text, size)
 
 
-@add("A5_spread_cap", f"WITH {TICKS}, m AS (SELECT symbol, quantile_cont(spread, 0.5) AS m FROM ticks GROUP BY 1) SELECT id, round(least(spread, 1.2 * m), 6) + 0.0 AS spread FROM ticks JOIN m USING (symbol)")
+@add(
+    "A5_spread_cap",
+    f"""WITH {TICKS},
+    m AS (SELECT symbol, quantile_cont(spread, 0.5) AS m FROM ticks GROUP BY 1)
+    SELECT id, round(least(spread, 1.2 * m), 6) + 0.0 AS spread FROM ticks JOIN m USING (symbol)""",
+)
 def a5(spark, d):
     t = ticks(spark, d)
     return t.join(t.groupBy("symbol").agg(F.percentile("spread", 0.5).alias("m")), "symbol").select("id", F.least(c("spread"), 1.2 * c("m")).alias("spread"))
 
 
-@add("A6_release_means", "SELECT o_orderdate AS ts, round(avg(o_totalprice), 6) + 0.0 AS actual, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 6) + 0.0 AS prior, count(*) AS n FROM orders GROUP BY 1")
+@add(
+    "A6_release_means",
+    """SELECT o_orderdate AS ts, round(avg(o_totalprice), 6) + 0.0 AS actual, round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 6) + 0.0 AS prior,
+        count(*) AS n FROM orders GROUP BY 1""",
+)
 def a6(spark, d):
     return read(spark, d, "orders").groupBy(c("o_orderdate").alias("ts")).agg(F.avg("o_totalprice").alias("actual"), F.avg(F.when(c("o_orderstatus") == "F", c("o_totalprice"))).alias("prior"), F.count(F.lit(1)).alias("n"))
 
@@ -76,18 +85,31 @@ def a8(spark, d):
     return read(spark, d, "documents").groupBy(F.trim(F.split_part("text", F.lit("."), F.lit(1))).alias("headline")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@add("A9_filtered", "SELECT lang, count(*) FILTER (n_chars > 2000) AS long, count(*) FILTER (source = 'src0') AS hot, round(avg(n_chars) FILTER (n_chars < 2000), 6) + 0.0 AS short_mean FROM documents GROUP BY 1")
+@add(
+    "A9_filtered",
+    """SELECT lang, count(*) FILTER (n_chars > 2000) AS long, count(*) FILTER (source = 'src0') AS hot, round(avg(n_chars) FILTER (n_chars < 2000), 6) + 0.0 AS short_mean
+    FROM documents GROUP BY 1""",
+)
 def a9(spark, d):
     return read(spark, d, "documents").groupBy("lang").agg(F.count_if(c("n_chars") > 2000).alias("long"), F.count_if(c("source") == "src0").alias("hot"), F.avg(F.when(c("n_chars") < 2000, c("n_chars"))).alias("short_mean"))
 
 
-@add("A10_hourly", "SELECT date_trunc('hour', ts) AS ts, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END), 6) + 0.0 AS inflow, round(sum(CASE WHEN event_type = 'error' THEN value ELSE 0.0 END), 6) + 0.0 AS outflow, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+@add(
+    "A10_hourly",
+    """SELECT date_trunc('hour', ts) AS ts, round(sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0.0 END), 6) + 0.0 AS inflow, round(sum(CASE WHEN event_type = 'error' THEN value ELSE 0.0 END),
+        6) + 0.0 AS outflow, count(DISTINCT user_id) AS users FROM events GROUP BY 1""",
+)
 def a10(spark, d):
     flow = lambda k: F.sum(F.when(c("event_type") == k, c("value")).otherwise(0.0))
     return read(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(flow("purchase").alias("inflow"), flow("error").alias("outflow"), F.countDistinct("user_id").alias("users"))
 
 
-@add("A11_best_day", f"WITH {TICKS} SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS ticks, count(DISTINCT symbol) AS symbols FROM ticks GROUP BY 1 ORDER BY symbols DESC, ticks DESC, day LIMIT 5")
+@add(
+    "A11_best_day",
+    f"""WITH {TICKS}
+    SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS ticks, count(DISTINCT symbol) AS symbols FROM ticks
+    GROUP BY 1 ORDER BY symbols DESC, ticks DESC, day LIMIT 5""",
+)
 def a11(spark, d):
     return ticks(spark, d).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("ticks"), F.countDistinct("symbol").alias("symbols")).orderBy(F.desc("symbols"), F.desc("ticks"), "day").limit(5)
 
@@ -95,25 +117,47 @@ def a11(spark, d):
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@add("A12_profile", "WITH m AS (SELECT feature, x FROM (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON * INTO NAME feature VALUE x)) SELECT feature, count(*) AS rows, count(*) FILTER (x IS NULL) AS nulls, CAST(0 AS BIGINT) AS undefined, count(DISTINCT x) AS \"distinct\", round(avg(x), 8) + 0.0 AS mean, round(stddev_samp(x), 8) + 0.0 AS std, min(x) AS min, max(x) AS max, round(quantile_cont(x, 0.25), 8) + 0.0 AS q25, round(quantile_cont(x, 0.5), 8) + 0.0 AS q50, round(quantile_cont(x, 0.75), 8) + 0.0 AS q75, count(DISTINCT x) <= 1 AS constant FROM m GROUP BY 1", 8)
+@add(
+    "A12_profile",
+    """WITH m AS (SELECT feature, x FROM (UNPIVOT (SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem) ON * INTO NAME feature VALUE x))
+    SELECT feature, count(*) AS rows, count(*) FILTER (x IS NULL) AS nulls, CAST(0 AS BIGINT) AS undefined, count(DISTINCT x) AS \"distinct\",
+        round(avg(x), 8) + 0.0 AS mean, round(stddev_samp(x), 8) + 0.0 AS std, min(x) AS min, max(x) AS max, round(quantile_cont(x, 0.25), 8) + 0.0 AS q25,
+        round(quantile_cont(x, 0.5), 8) + 0.0 AS q50, round(quantile_cont(x, 0.75), 8) + 0.0 AS q75, count(DISTINCT x) <= 1 AS constant
+    FROM m GROUP BY 1""",
+    8,
+)
 def a12(spark, d):
     return S.profile(read(spark, d, "lineitem"), FEATURES)
 
 
-@add("A13_scaler", "SELECT l_orderkey, l_linenumber, round((l_extendedprice - m) / s, 6) + 0.0 AS z FROM lineitem JOIN (SELECT l_returnflag, avg(l_extendedprice) AS m, stddev_pop(l_extendedprice) AS s FROM lineitem GROUP BY 1) USING (l_returnflag)")
+@add(
+    "A13_scaler",
+    """SELECT l_orderkey, l_linenumber, round((l_extendedprice - m) / s, 6) + 0.0 AS z FROM lineitem JOIN (SELECT l_returnflag, avg(l_extendedprice) AS m,
+        stddev_pop(l_extendedprice) AS s FROM lineitem GROUP BY 1) USING (l_returnflag)""",
+)
 def a13(spark, d):
     x = read(spark, d, "lineitem")
     stats = x.groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("m"), F.stddev_pop("l_extendedprice").alias("s"))
     return x.join(stats, "l_returnflag").select("l_orderkey", "l_linenumber", ((c("l_extendedprice") - c("m")) / c("s")).alias("z"))
 
 
-@add("A15_exposure", "WITH legs AS (SELECT 'n' || c_nationkey AS leg, c_acctbal AS x FROM customer UNION ALL SELECT 's' || c_mktsegment, -c_acctbal FROM customer) SELECT leg, round(sum(x), 6) + 0.0 AS exposure FROM legs GROUP BY 1")
+@add(
+    "A15_exposure",
+    """WITH legs AS (SELECT 'n' || c_nationkey AS leg, c_acctbal AS x FROM customer UNION ALL SELECT 's' || c_mktsegment, -c_acctbal
+        FROM customer)
+    SELECT leg, round(sum(x), 6) + 0.0 AS exposure FROM legs GROUP BY 1""",
+)
 def a15(spark, d):
     legs = F.explode(F.array(F.struct(F.concat(F.lit("n"), c("c_nationkey").cast("string")).alias("leg"), c("c_acctbal").alias("x")), F.struct(F.concat(F.lit("s"), c("c_mktsegment")).alias("leg"), (-c("c_acctbal")).alias("x"))))
     return read(spark, d, "customer").select(legs.alias("p")).groupBy("p.leg").agg(F.sum("p.x").alias("exposure"))
 
 
-@add("A16_tiers", "SELECT r_name, round(sum(c_acctbal), 6) + 0.0 AS lots, round(sum(CASE WHEN r_name IN ('AFRICA', 'MIDDLE EAST') THEN c_acctbal * 1.5 ELSE c_acctbal END), 6) + 0.0 AS adjusted, round(avg(CAST(r_name IN ('AFRICA', 'MIDDLE EAST') AS INT)), 6) + 0.0 AS illiquid FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+@add(
+    "A16_tiers",
+    """SELECT r_name, round(sum(c_acctbal), 6) + 0.0 AS lots, round(sum(CASE WHEN r_name IN ('AFRICA', 'MIDDLE EAST') THEN c_acctbal * 1.5 ELSE c_acctbal END),
+        6) + 0.0 AS adjusted, round(avg(CAST(r_name IN ('AFRICA', 'MIDDLE EAST') AS INT)), 6) + 0.0 AS illiquid
+    FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""",
+)
 def a16(spark, d):
     far = c("r_name").isin("AFRICA", "MIDDLE EAST")
     j = read(spark, d, "customer").join(read(spark, d, "nation").join(read(spark, d, "region"), c("n_regionkey") == c("r_regionkey")), c("c_nationkey") == c("n_nationkey"))
@@ -131,12 +175,23 @@ def pairs(x):
     return x.select(c("symbol").alias("a"), "ts", c("r").alias("x")).join(x.select(c("symbol").alias("b"), "ts", c("r").alias("y")), "ts").filter("a < b")
 
 
-@add("A17_correlations", f"WITH {RETURNS} SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r, b.r), 6) + 0.0 AS corr, abs(corr(a.r, b.r)) > 0.1 AS edge, count(*) AS n FROM r a JOIN r b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2")
+@add(
+    "A17_correlations",
+    f"""WITH {RETURNS}
+    SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r, b.r), 6) + 0.0 AS corr, abs(corr(a.r, b.r)) > 0.1 AS edge, count(*) AS n
+    FROM r a JOIN r b ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2""",
+)
 def a17(spark, d):
     return pairs(returns(spark, d)).groupBy("a", "b").agg(F.corr("x", "y").alias("corr"), F.count(F.lit(1)).alias("n")).withColumn("edge", F.abs("corr") > 0.1)
 
 
-@add("A18_parametric_var", f"WITH {RETURNS}, p AS (SELECT covar_samp(a.r, b.r) AS v FROM r a JOIN r b ON a.ts = b.ts GROUP BY a.symbol, b.symbol) SELECT round(1.6448536269514722 * sqrt(sum(v)), 6) + 0.0 AS var_95, round(2.0627128054846426 * sqrt(sum(v)), 6) + 0.0 AS cvar_95 FROM p")
+@add(
+    "A18_parametric_var",
+    f"""WITH {RETURNS},
+    p AS (SELECT covar_samp(a.r, b.r) AS v FROM r a JOIN r b ON a.ts = b.ts GROUP BY a.symbol, b.symbol)
+    SELECT round(1.6448536269514722 * sqrt(sum(v)), 6) + 0.0 AS var_95, round(2.0627128054846426 * sqrt(sum(v)), 6) + 0.0 AS cvar_95
+    FROM p""",
+)
 def a18(spark, d):
     """Value at risk of one unit of each symbol, from the covariances of all pairs."""
     r = returns(spark, d)
@@ -145,7 +200,13 @@ def a18(spark, d):
     return both.groupBy("a", "b").agg(F.covar_samp("x", "y").alias("v")).agg((1.6448536269514722 * total).alias("var_95"), (2.0627128054846426 * total).alias("cvar_95"))
 
 
-@add("A19_historical_var", f"WITH {RETURNS}, q AS (SELECT symbol, quantile_cont(r, 0.05) AS v FROM r GROUP BY 1) SELECT symbol, round(-any_value(v), 6) + 0.0 AS var_95, round(-avg(r), 6) + 0.0 AS cvar_95 FROM r JOIN q USING (symbol) WHERE r <= v GROUP BY 1")
+@add(
+    "A19_historical_var",
+    f"""WITH {RETURNS},
+    q AS (SELECT symbol, quantile_cont(r, 0.05) AS v FROM r GROUP BY 1)
+    SELECT symbol, round(-any_value(v), 6) + 0.0 AS var_95, round(-avg(r), 6) + 0.0 AS cvar_95 FROM r JOIN q USING (symbol)
+    WHERE r <= v GROUP BY 1""",
+)
 def a19(spark, d):
     r = returns(spark, d)
     return r.join(r.groupBy("symbol").agg(F.percentile("r", 0.05).alias("v")), "symbol").filter("r <= v").groupBy("symbol").agg((-F.max("v")).alias("var_95"), (-F.avg("r")).alias("cvar_95"))
@@ -159,19 +220,33 @@ def a21(spark, d):
     return ticks(spark, d).withColumn("gap", gap).groupBy("symbol").agg(F.avg(pips).alias("avg_pips"), F.min(pips).alias("min_pips"), F.max(pips).alias("max_pips"), F.avg("gap").alias("avg_gap"), F.max("gap").alias("max_gap"), F.count_if(c("gap") == 0).alias("same_time"))
 
 
-@add("A22_label_balance", "SELECT source, toxic, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) + 0.0 AS share FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
+@add(
+    "A22_label_balance",
+    """SELECT source, toxic, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY source), 6) + 0.0 AS share
+    FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2""",
+)
 def a22(spark, d):
     g = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "source"), "doc_id").groupBy("source", "toxic").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("share", c("n") / F.sum("n").over(Window.partitionBy("source")))
 
 
-@add("A23_execution_quality", "SELECT event_type, count(*) FILTER (event_id % 7 <> 0) AS fills, round(avg(CAST(event_id % 7 = 0 AS INT)), 6) + 0.0 AS rejection_rate, round(avg(value - floor(value)) FILTER (event_id % 7 <> 0), 6) + 0.0 AS mean_slip, round(max(value - floor(value)) FILTER (event_id % 7 <> 0), 6) + 0.0 AS max_slip FROM events GROUP BY 1")
+@add(
+    "A23_execution_quality",
+    """SELECT event_type, count(*) FILTER (event_id % 7 <> 0) AS fills, round(avg(CAST(event_id % 7 = 0 AS INT)), 6) + 0.0 AS rejection_rate, round(avg(value - floor(value)) FILTER (event_id % 7 <> 0),
+        6) + 0.0 AS mean_slip, round(max(value - floor(value)) FILTER (event_id % 7 <> 0), 6) + 0.0 AS max_slip
+    FROM events GROUP BY 1""",
+)
 def a23(spark, d):
     ok, slip = c("event_id") % 7 != 0, c("value") - F.floor("value")
     return read(spark, d, "events").groupBy("event_type").agg(F.count_if(ok).alias("fills"), F.avg((~ok).cast("int")).alias("rejection_rate"), F.avg(F.when(ok, slip)).alias("mean_slip"), F.max(F.when(ok, slip)).alias("max_slip"))
 
 
-@add("A24_readiness", f"WITH {TICKS} SELECT symbol, count(*) AS rows, CASE WHEN count(*) < 500 THEN 'fail' WHEN avg(CAST(volume IS NULL AS INT)) > 0.05 OR count(DISTINCT CAST(ts AS DATE)) < 30 THEN 'warn' ELSE 'pass' END AS status FROM ticks GROUP BY 1")
+@add(
+    "A24_readiness",
+    f"""WITH {TICKS}
+    SELECT symbol, count(*) AS rows, CASE WHEN count(*) < 500 THEN 'fail' WHEN avg(CAST(volume IS NULL AS INT)) > 0.05 OR count(DISTINCT CAST(ts AS DATE)) < 30 THEN 'warn' ELSE 'pass' END AS status
+    FROM ticks GROUP BY 1""",
+)
 def a24(spark, d):
     n, nulls, days = F.count(F.lit(1)), F.avg(c("volume").isNull().cast("int")), F.countDistinct(F.to_date("ts"))
     return ticks(spark, d).groupBy("symbol").agg(n.alias("rows"), F.when(n < 500, "fail").when((nulls > 0.05) | (days < 30), "warn").otherwise("pass").alias("status"))
@@ -185,26 +260,47 @@ def a25(spark, d):
 PNL = "(l_extendedprice * (l_discount - 0.05))"
 
 
-@add("A26_concentration", f"WITH g AS (SELECT l_returnflag, sum({PNL}) AS pnl, sum(abs({PNL})) AS gross, sum(l_extendedprice * l_tax * 0.1) AS cost FROM lineitem GROUP BY 1) SELECT l_returnflag, round(pnl / sum(abs(pnl)) OVER (), 6) + 0.0 AS share, round(cost / gross, 6) + 0.0 AS cost_share FROM g")
+@add(
+    "A26_concentration",
+    f"""WITH g AS (SELECT l_returnflag, sum({PNL}) AS pnl, sum(abs({PNL})) AS gross, sum(l_extendedprice * l_tax * 0.1) AS cost
+        FROM lineitem GROUP BY 1)
+    SELECT l_returnflag, round(pnl / sum(abs(pnl)) OVER (), 6) + 0.0 AS share, round(cost / gross, 6) + 0.0 AS cost_share
+    FROM g""",
+)
 def a26(spark, d):
     pnl = c("l_extendedprice") * (c("l_discount") - 0.05)
     g = read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.sum(pnl).alias("pnl"), F.sum(F.abs(pnl)).alias("gross"), F.sum(c("l_extendedprice") * c("l_tax") * 0.1).alias("cost"))
     return g.join(F.broadcast(g.agg(F.sum(F.abs("pnl")).alias("all"))), F.lit(True)).select("l_returnflag", (c("pnl") / c("all")).alias("share"), (c("cost") / c("gross")).alias("cost_share"))
 
 
-@add("A27_stage_summary", "SELECT o_orderstatus AS stage, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, round(avg(o_totalprice), 6) + 0.0 AS mean FROM orders GROUP BY 1")
+@add(
+    "A27_stage_summary",
+    """SELECT o_orderstatus AS stage, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, round(avg(o_totalprice), 6) + 0.0 AS mean
+    FROM orders GROUP BY 1""",
+)
 def a27(spark, d):
     return read(spark, d, "orders").groupBy(c("o_orderstatus").alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.avg("o_totalprice").alias("mean"))
 
 
-@add("A28_news_bundle", "SELECT d.source, round(avg(l.quality), 6) + 0.0 AS mean_score, count(*) AS articles, count(*) FILTER (l.toxic = 1) AS high, string_agg(CASE WHEN l.toxic = 1 THEN CAST(d.doc_id AS VARCHAR) END, ',' ORDER BY d.doc_id) AS high_ids FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+@add(
+    "A28_news_bundle",
+    """SELECT d.source, round(avg(l.quality), 6) + 0.0 AS mean_score, count(*) AS articles, count(*) FILTER (l.toxic = 1) AS high, string_agg(CASE WHEN l.toxic = 1 THEN CAST(d.doc_id AS VARCHAR) END,
+        ',' ORDER BY d.doc_id) AS high_ids FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""",
+)
 def a28(spark, d):
     j = read(spark, d, "documents").select("doc_id", "source").join(read(spark, d, "labels"), "doc_id", "left")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c("toxic") == 1, c("doc_id")))), lambda x: x.cast("string")), ",")
     return j.groupBy("source").agg(F.avg("quality").alias("mean_score"), F.count(F.lit(1)).alias("articles"), F.count_if(c("toxic") == 1).alias("high"), F.nullif(ids, F.lit("")).alias("high_ids"))
 
 
-@add("A29_day_completeness", f"WITH {TICKS}, n AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, symbol, count(*) AS n FROM ticks GROUP BY 1, 2), m AS (SELECT day, quantile_cont(n, 0.5) AS med FROM n GROUP BY 1) SELECT day, count(*) AS symbols, count(*) FILTER (n < 0.8 * med) AS stragglers, CAST(sum(n) AS BIGINT) AS ticks FROM n JOIN m USING (day) GROUP BY 1")
+@add(
+    "A29_day_completeness",
+    f"""WITH {TICKS},
+    n AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, symbol, count(*) AS n FROM ticks GROUP BY 1, 2),
+    m AS (SELECT day, quantile_cont(n, 0.5) AS med FROM n GROUP BY 1)
+    SELECT day, count(*) AS symbols, count(*) FILTER (n < 0.8 * med) AS stragglers, CAST(sum(n) AS BIGINT) AS ticks
+    FROM n JOIN m USING (day) GROUP BY 1""",
+)
 def a29(spark, d):
     n = ticks(spark, d).groupBy(F.to_date("ts").cast("string").alias("day"), "symbol").agg(F.count(F.lit(1)).alias("n"))
     return n.join(n.groupBy("day").agg(F.percentile("n", 0.5).alias("med")), "day").groupBy("day").agg(F.count(F.lit(1)).alias("symbols"), F.count_if(c("n") < 0.8 * c("med")).alias("stragglers"), F.sum("n").alias("ticks"))
@@ -248,7 +344,8 @@ LAM = "sqrt(nl * nr / (nl + nr)) * ks"
 
 @add("T2_T3_ks_wasserstein", f"""WITH {MELT}, p AS (SELECT feature, x, count(*) FILTER (live) AS l, count(*) FILTER (NOT live) AS r FROM m GROUP BY 1, 2),
     g AS (SELECT *, sum(l) OVER (PARTITION BY feature) AS nl, sum(r) OVER (PARTITION BY feature) AS nr FROM p),
-    h AS (SELECT *, abs(sum(l) OVER w / nl - sum(r) OVER w / nr) AS gap, lead(x) OVER (PARTITION BY feature ORDER BY x) - x AS step FROM g WINDOW w AS (PARTITION BY feature ORDER BY x ROWS UNBOUNDED PRECEDING)),
+    h AS (SELECT *, abs(sum(l) OVER w / nl - sum(r) OVER w / nr) AS gap, lead(x) OVER (PARTITION BY feature ORDER BY x) - x AS step
+        FROM g WINDOW w AS (PARTITION BY feature ORDER BY x ROWS UNBOUNDED PRECEDING)),
     o AS (SELECT feature, max(gap) AS ks, sum(gap * step) AS wasserstein, max(nl) AS nl, max(nr) AS nr FROM h GROUP BY 1)
     SELECT feature, {R('ks', 'wasserstein')}, round(CASE WHEN {LAM} < 0.2 THEN 1.0 ELSE greatest(least({' + '.join(f'{2 * (-1) ** (k - 1)} * exp({-2.0 * k * k} * ({LAM}) ** 2)' for k in range(1, 21))}, 1.0), 0.0) END, 6) + 0.0 AS p_value FROM o""")
 def t2(spark, d):
@@ -263,19 +360,26 @@ def labelled(spark, d):
 LABELLED = "m AS (SELECT feature, x, y FROM (UNPIVOT (SELECT CAST(n_chars AS DOUBLE) AS n_chars, CAST(length(regexp_replace(text, '[^A-Z]', '', 'g')) AS DOUBLE) AS capitals, quality AS y FROM documents JOIN labels USING (doc_id)) ON n_chars, capitals INTO NAME feature VALUE x))"
 
 
-@add("T4_information_value", f"""WITH {LABELLED}, e AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, {TENTHS}))) AS edges FROM m GROUP BY 1), b AS (SELECT m.feature, len(list_filter(e.edges, lambda v: v < m.x)) AS bin, sum(y) AS bad, sum(1.0 - y) AS good FROM m JOIN e USING (feature) GROUP BY ALL),
+@add("T4_information_value", f"""WITH {LABELLED},
+    e AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, {TENTHS}))) AS edges FROM m GROUP BY 1),
+    b AS (SELECT m.feature, len(list_filter(e.edges, lambda v: v < m.x)) AS bin, sum(y) AS bad, sum(1.0 - y) AS good
+        FROM m JOIN e USING (feature) GROUP BY ALL),
     s AS (SELECT feature, (good + 0.5) / (sum(good) OVER w + 0.5 * count(*) OVER w) AS g, (bad + 0.5) / (sum(bad) OVER w + 0.5 * count(*) OVER w) AS b FROM b WINDOW w AS (PARTITION BY feature)) SELECT feature, round(sum((g - b) * ln(g / b)), 6) + 0.0 AS iv FROM s GROUP BY 1""")
 def t4(spark, d):
     return S.information_value(labelled(spark, d), ["feature"])
 
 
-@add("T5_auc", f"""WITH {LABELLED}, r AS (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk FROM m)
+@add("T5_auc", f"""WITH {LABELLED},
+    r AS (SELECT feature, y, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk
+        FROM m)
     SELECT feature, round((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 6) + 0.0 AS auc FROM r GROUP BY 1""")
 def t5(spark, d):
     return S.auc(labelled(spark, d), ["feature"])
 
 
-@add("T6_leakage", f"""WITH {LABELLED}, r AS (SELECT feature, x, y, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk FROM m)
+@add("T6_leakage", f"""WITH {LABELLED},
+    r AS (SELECT feature, x, y, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rk
+        FROM m)
     SELECT feature, round(corr(x, y), 6) + 0.0 AS corr, abs((sum(rk) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2.0) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)) - 0.5) > 0.45 OR abs(corr(x, y)) > 0.95 AS leaks FROM r GROUP BY 1""")
 def t6(spark, d):
     x = labelled(spark, d)
@@ -283,14 +387,27 @@ def t6(spark, d):
     return out.select("feature", "corr", ((F.abs(c("auc") - 0.5) > 0.45) | (F.abs("corr") > 0.95)).alias("leaks"))
 
 
-@add("T9_share_drift", f"WITH a AS (SELECT l_returnflag AS k, sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem WHERE NOT {LIVE}) AS x FROM lineitem WHERE NOT {LIVE} GROUP BY 1), b AS (SELECT l_returnflag AS k, sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem WHERE {LIVE}) AS y FROM lineitem WHERE {LIVE} GROUP BY 1) SELECT coalesce(a.k, b.k) AS k, round(coalesce(y, 0) - coalesce(x, 0), 6) + 0.0 AS drift FROM a FULL JOIN b ON a.k = b.k")
+@add(
+    "T9_share_drift",
+    f"""WITH a AS (SELECT l_returnflag AS k, sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem WHERE NOT {LIVE}) AS x
+        FROM lineitem WHERE NOT {LIVE} GROUP BY 1),
+    b AS (SELECT l_returnflag AS k, sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem WHERE {LIVE}) AS y FROM lineitem
+        WHERE {LIVE} GROUP BY 1)
+    SELECT coalesce(a.k, b.k) AS k, round(coalesce(y, 0) - coalesce(x, 0), 6) + 0.0 AS drift FROM a FULL JOIN b ON a.k = b.k""",
+)
 def t9(spark, d):
     live = c("l_shipdate") >= F.lit("1998-06-01").cast("timestamp")
     g = read(spark, d, "lineitem").groupBy(c("l_returnflag").alias("k")).agg(F.sum(F.when(~live, c("l_quantity")).otherwise(0.0)).alias("x"), F.sum(F.when(live, c("l_quantity")).otherwise(0.0)).alias("y"))
     return g.join(F.broadcast(g.agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))), F.lit(True)).select("k", (c("y") / c("sy") - c("x") / c("sx")).alias("drift"))
 
 
-@add("T10_label_drift", "WITH s AS (SELECT toxic, count(*) FILTER (doc_id % 2 = 0) / (SELECT count(*) FROM labels WHERE doc_id % 2 = 0) AS a, count(*) FILTER (doc_id % 2 = 1) / (SELECT count(*) FROM labels WHERE doc_id % 2 = 1) AS b FROM labels GROUP BY 1) SELECT round(sum(abs(a - b)) / 2, 6) + 0.0 AS total_variation, round(sum((a - b) * ln(a / b)), 6) + 0.0 AS psi FROM s")
+@add(
+    "T10_label_drift",
+    """WITH s AS (SELECT toxic, count(*) FILTER (doc_id % 2 = 0) / (SELECT count(*) FROM labels WHERE doc_id % 2 = 0) AS a, count(*) FILTER (doc_id % 2 = 1) / (SELECT count(*)
+        FROM labels WHERE doc_id % 2 = 1) AS b FROM labels GROUP BY 1)
+    SELECT round(sum(abs(a - b)) / 2, 6) + 0.0 AS total_variation, round(sum((a - b) * ln(a / b)), 6) + 0.0 AS psi
+    FROM s""",
+)
 def t10(spark, d):
     even = c("doc_id") % 2 == 0
     g = read(spark, d, "labels").groupBy("toxic").agg(F.count_if(even).alias("a"), F.count_if(~even).alias("b"))
@@ -301,12 +418,20 @@ def t10(spark, d):
 UPW = "OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"
 
 
-@add("T12_page_hinkley", f"WITH a AS (SELECT *, value - avg(value) {UPW} - 0.5 AS dv FROM events), b AS (SELECT *, sum(dv) {UPW} AS s FROM a), e AS (SELECT event_id, s - least(min(s) {UPW}, 0.0) AS ph FROM b) SELECT event_id, {R('ph')}, ph > 800 AS drift FROM e")
+@add(
+    "T12_page_hinkley",
+    f"""WITH a AS (SELECT *, value - avg(value) {UPW} - 0.5 AS dv FROM events),
+    b AS (SELECT *, sum(dv) {UPW} AS s FROM a),
+    e AS (SELECT event_id, s - least(min(s) {UPW}, 0.0) AS ph FROM b)
+    SELECT event_id, {R('ph')}, ph > 800 AS drift FROM e""",
+)
 def t12(spark, d):
     return S.page_hinkley(read(spark, d, "events"), "value", ["event_type"], ["ts", "event_id"], 0.5, 800.0).select("event_id", "ph", "drift")
 
 
-@add("T13_ddm", f"""WITH a AS (SELECT *, CAST(value > 300 AS INT) AS err FROM events), b AS (SELECT *, count(err) {UPW} AS n, avg(err) {UPW} AS p FROM a), e AS (SELECT *, sqrt(p * (1 - p) / n) AS s FROM b),
+@add("T13_ddm", f"""WITH a AS (SELECT *, CAST(value > 300 AS INT) AS err FROM events),
+    b AS (SELECT *, count(err) {UPW} AS n, avg(err) {UPW} AS p FROM a),
+    e AS (SELECT *, sqrt(p * (1 - p) / n) AS s FROM b),
     f AS (SELECT *, min(CASE WHEN n >= 30 THEN {{'t': p + s, 'p': p, 's': s}} END) {UPW} AS b FROM e) SELECT event_id, CASE WHEN b IS NULL THEN 0 WHEN p + s > b.p + 3 * b.s THEN 2 WHEN p + s > b.p + 2 * b.s THEN 1 ELSE 0 END AS level FROM f""")
 def t13(spark, d):
     e = read(spark, d, "events").withColumn("err", (c("value") > 300).cast("int"))
@@ -316,14 +441,22 @@ def t13(spark, d):
 SCORE = "(1 / (1 + exp(-(n_chars - 1500.0) / 1500.0)))"
 
 
-@add("T16_calibration", f"""WITH s AS (SELECT {SCORE} AS p, quality AS y FROM documents JOIN labels USING (doc_id)), b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS conf, avg(y) AS acc, sum((p - y) ** 2) AS sq, sum(-(y * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)))) AS ll FROM s GROUP BY 1)
+@add("T16_calibration", f"""WITH s AS (SELECT {SCORE} AS p, quality AS y FROM documents JOIN labels USING (doc_id)),
+    b AS (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, avg(p) AS conf, avg(y) AS acc, sum((p - y) ** 2) AS sq, sum(-(y * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)))) AS ll
+        FROM s GROUP BY 1)
     SELECT round(sum(abs(conf - acc) * n) / sum(n), 6) + 0.0 AS ece, round(max(abs(conf - acc)), 6) + 0.0 AS mce, round(sum(sq) / sum(n), 6) + 0.0 AS brier, round(sum(ll) / sum(n), 6) + 0.0 AS nll FROM b""")
 def t16(spark, d):
     p = 1 / (1 + F.exp(-(c("n_chars") - 1500.0) / 1500.0))
     return S.calibration(read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select(p.alias("p"), c("quality").alias("y")))
 
 
-@add("T17_threshold_sweep", f"WITH s AS (SELECT {SCORE} AS p, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END AS r FROM documents JOIN labels USING (doc_id)), t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8]) AS threshold) SELECT threshold, count(*) AS n, round(avg(r) / nullif(stddev_samp(r), 0), 6) + 0.0 AS sharpe FROM s JOIN t ON p >= threshold GROUP BY 1")
+@add(
+    "T17_threshold_sweep",
+    f"""WITH s AS (SELECT {SCORE} AS p, CASE WHEN quality = 1 THEN 1.0 ELSE -1.0 END AS r FROM documents JOIN labels USING (doc_id)),
+    t AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7, 0.8]) AS threshold)
+    SELECT threshold, count(*) AS n, round(avg(r) / nullif(stddev_samp(r), 0), 6) + 0.0 AS sharpe FROM s JOIN t ON p >= threshold
+    GROUP BY 1""",
+)
 def t17(spark, d):
     """Each row counts for every threshold that it passes: rows times a fixed list, without a join."""
     p = 1 / (1 + F.exp(-(c("n_chars") - 1500.0) / 1500.0))
@@ -335,7 +468,8 @@ def t17(spark, d):
 PERF = "(l_discount - 0.05 + 0.001 * (l_linenumber - 3))"
 
 
-@add("T18_performance", f"""WITH a AS (SELECT l_returnflag, {PERF} AS r, exp(sum(ln(1 + {PERF})) OVER w) AS e, row_number() OVER w AS rn FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)),
+@add("T18_performance", f"""WITH a AS (SELECT l_returnflag, {PERF} AS r, exp(sum(ln(1 + {PERF})) OVER w) AS e, row_number() OVER w AS rn FROM lineitem
+        WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber ROWS UNBOUNDED PRECEDING)),
     b AS (SELECT *, e / greatest(max(e) OVER (PARTITION BY l_returnflag ORDER BY rn ROWS UNBOUNDED PRECEDING), 1.0) - 1 AS dd FROM a),
     g AS (SELECT l_returnflag, count(*) AS n, avg(CAST(r > 0 AS INT)) AS win_rate, sqrt(avg(least(r, 0) ** 2)) AS downside, min(dd) AS max_drawdown, avg(r) AS m, stddev_samp(r) AS s, sum(greatest(r, 0)) AS gain, sum(greatest(-r, 0)) AS loss, quantile_cont(r, 0.95) AS hi, quantile_cont(r, 0.05) AS lo FROM b GROUP BY 1)
     SELECT l_returnflag, n, {R('win_rate', 'downside', 'max_drawdown')}, round(m / s * sqrt(252), 6) + 0.0 AS sharpe, round(m / downside * sqrt(252), 6) + 0.0 AS sortino, round(m * 252 / abs(max_drawdown), 6) + 0.0 AS calmar, round(gain / loss, 6) + 0.0 AS omega, round(abs(hi / lo), 6) + 0.0 AS tail_ratio FROM g""")
@@ -349,21 +483,32 @@ T_ = "(1 / (1 + 0.2316419 * abs({x})))"
 TAIL = f"(exp(-(({{x}}) ** 2) / 2) / {math.sqrt(2 * math.pi)!r} * {T_} * (0.319381530 + {T_} * (-0.356563782 + {T_} * (1.781477937 + {T_} * (-1.821255978 + {T_} * 1.330274429)))))"
 
 
-@add("T19_probabilistic_sharpe", f"""WITH a AS (SELECT l_returnflag, {PERF} AS r FROM lineitem), m AS (SELECT l_returnflag, count(*) AS n, avg(r) AS m1, avg(r ** 2) AS m2, avg(r ** 3) AS m3, avg(r ** 4) AS m4 FROM a GROUP BY 1),
-    v AS (SELECT *, m2 - m1 * m1 AS v FROM m), s AS (SELECT *, (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / pow(v, 1.5) AS sk, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 ** 4) / (v * v) AS ku, m1 / sqrt(v * n / (n - 1)) AS sr FROM v),
+@add("T19_probabilistic_sharpe", f"""WITH a AS (SELECT l_returnflag, {PERF} AS r FROM lineitem),
+    m AS (SELECT l_returnflag, count(*) AS n, avg(r) AS m1, avg(r ** 2) AS m2, avg(r ** 3) AS m3, avg(r ** 4) AS m4
+        FROM a GROUP BY 1),
+    v AS (SELECT *, m2 - m1 * m1 AS v FROM m),
+    s AS (SELECT *, (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / pow(v, 1.5) AS sk, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 ** 4) / (v * v) AS ku,
+        m1 / sqrt(v * n / (n - 1)) AS sr FROM v),
     w AS (SELECT *, sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr) AS wide FROM s), z AS (SELECT *, sr * sqrt(n - 1) / wide AS z FROM w) SELECT l_returnflag, {R('sr')}, round({CDF('z')}, 6) + 0.0 AS psr, round(1 + wide * wide * (1.6448536269514722 / sr) ** 2, 6) + 0.0 AS min_length FROM z""")
 def t19(spark, d):
     return S.probabilistic_sharpe(read(spark, d, "lineitem").withColumn("r", c("l_discount") - 0.05 + 0.001 * (c("l_linenumber") - 3)), ["l_returnflag"])
 
 
-@add("T20_trades", f"SELECT l_returnflag, count(*) AS trades, round(avg(CAST({PNL} > 0 AS INT)), 6) + 0.0 AS win_rate, round(sum({PNL}) FILTER ({PNL} > 0) / -sum({PNL}) FILTER ({PNL} < 0), 6) + 0.0 AS profit_factor, round(avg({PNL}) FILTER ({PNL} > 0), 6) + 0.0 AS avg_win, round(avg({PNL}) FILTER ({PNL} < 0), 6) + 0.0 AS avg_loss FROM lineitem GROUP BY 1")
+@add(
+    "T20_trades",
+    f"""SELECT l_returnflag, count(*) AS trades, round(avg(CAST({PNL} > 0 AS INT)), 6) + 0.0 AS win_rate, round(sum({PNL}) FILTER ({PNL} > 0) / -sum({PNL}) FILTER ({PNL} < 0),
+        6) + 0.0 AS profit_factor, round(avg({PNL}) FILTER ({PNL} > 0), 6) + 0.0 AS avg_win, round(avg({PNL}) FILTER ({PNL} < 0), 6) + 0.0 AS avg_loss
+    FROM lineitem GROUP BY 1""",
+)
 def t20(spark, d):
     p = c("l_extendedprice") * (c("l_discount") - 0.05)
     win, loss = F.when(p > 0, p), F.when(p < 0, p)
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("trades"), F.avg((p > 0).cast("int")).alias("win_rate"), (F.sum(win) / -F.sum(loss)).alias("profit_factor"), F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"))
 
 
-@add("T21_equity", f"""WITH {BARS}, a AS (SELECT symbol, ts, spread, close, CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END AS pos, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS nx FROM bars),
+@add("T21_equity", f"""WITH {BARS},
+    a AS (SELECT symbol, ts, spread, close, CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END AS pos, lead(close) OVER (PARTITION BY symbol
+        ORDER BY ts) / close - 1 AS nx FROM bars),
     b AS (SELECT *, coalesce(pos * nx, 0) - 0.0001 * abs(pos - coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY ts), 0)) AS net FROM a) SELECT symbol, ts, {R('net')}, round(sum(ln(1 + greatest(net, -0.99))) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS log_equity FROM b""")
 def t21(spark, d):
     from tidemark.functions.frames import lead, running
@@ -374,19 +519,36 @@ def t21(spark, d):
     return b.select("symbol", "ts", "net", F.sum(F.log1p(F.greatest("net", F.lit(-0.99)))).over(running()).alias("log_equity"))
 
 
-@add("T25_slippage_law", "SELECT l_returnflag, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) + 0.0 AS slope, round(regr_intercept(ln(l_extendedprice), ln(l_quantity)), 6) + 0.0 AS intercept FROM lineitem GROUP BY 1")
+@add(
+    "T25_slippage_law",
+    """SELECT l_returnflag, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) + 0.0 AS slope, round(regr_intercept(ln(l_extendedprice), ln(l_quantity)),
+        6) + 0.0 AS intercept FROM lineitem GROUP BY 1""",
+)
 def t25(spark, d):
     x, y = F.log("l_quantity"), F.log("l_extendedprice")
     return read(spark, d, "lineitem").groupBy("l_returnflag").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
 
 
-@add("T26_annualisation", f"WITH {BARS} SELECT symbol, round(sqrt((count(*) - 1) / (epoch(max(ts) - min(ts)) / 31557600.0)), 6) + 0.0 AS factor FROM bars GROUP BY 1")
+@add(
+    "T26_annualisation",
+    f"""WITH {BARS}
+    SELECT symbol, round(sqrt((count(*) - 1) / (epoch(max(ts) - min(ts)) / 31557600.0)), 6) + 0.0 AS factor FROM bars
+    GROUP BY 1""",
+)
 def t26(spark, d):
     span = (F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(F.min("ts").cast("timestamp"))) / 31557600.0
     return B.time_bars(ticks(spark, d)).groupBy("symbol").agg(F.sqrt((F.count(F.lit(1)) - 1) / span).alias("factor"))
 
 
-@add("W45_W46_corr_delta", f"WITH {RETURNS}, p AS (SELECT a.symbol, a.ts, a.r AS x, b.r AS y FROM r a JOIN r b ON a.ts = b.ts AND b.symbol = 'view' AND a.symbol <> 'view'), k AS (SELECT *, {corr('x', 'y', 20)} AS k FROM p), e AS (SELECT symbol, ts, k, abs(k - (CASE WHEN count(k) {over(20)} >= 20 THEN avg(k) {over(20)} END)) AS corr_break FROM k) SELECT symbol, ts, {R('k', 'corr_break')}, round(k * k, 6) + 0.0 AS dependence FROM e")
+@add(
+    "W45_W46_corr_delta",
+    f"""WITH {RETURNS},
+    p AS (SELECT a.symbol, a.ts, a.r AS x, b.r AS y FROM r a JOIN r b ON a.ts = b.ts AND b.symbol = 'view' AND a.symbol <> 'view'),
+    k AS (SELECT *, {corr('x', 'y', 20)} AS k FROM p),
+    e AS (SELECT symbol, ts, k, abs(k - (CASE WHEN count(k) {over(20)} >= 20 THEN avg(k) {over(20)} END)) AS corr_break
+        FROM k)
+    SELECT symbol, ts, {R('k', 'corr_break')}, round(k * k, 6) + 0.0 AS dependence FROM e""",
+)
 def w45(spark, d):
     """Rolling correlation of each symbol with one other, how far it is from its mean, and its square."""
     r, roll = returns(spark, d), Roll(20)

@@ -73,7 +73,12 @@ def s8(spark, d):
     return S.diagonal([S.read_lines(spark, path + "/a", "id long, lang string"), S.read_csv(spark, path + "/b", "id long, role string")]).select("id", "lang", "role")
 
 
-@add("S10_S11_quotes", f"WITH {BARS} SELECT symbol, ts, round(close - CASE WHEN symbol = 'view' THEN 0.05 ELSE 0.01 END, 6) + 0.0 AS bid, round(close + CASE WHEN symbol = 'view' THEN 0.05 ELSE 0.01 END, 6) + 0.0 AS ask FROM bars")
+@add(
+    "S10_S11_quotes",
+    f"""WITH {BARS}
+    SELECT symbol, ts, round(close - CASE WHEN symbol = 'view' THEN 0.05 ELSE 0.01 END, 6) + 0.0 AS bid, round(close + CASE WHEN symbol = 'view' THEN 0.05 ELSE 0.01 END,
+        6) + 0.0 AS ask FROM bars""",
+)
 def s10(spark, d):
     return S.quotes_from_ohlc(time_bars(ticks(spark, d)), {"view": 0.05}, 0.01).select("symbol", "ts", "bid", "ask")
 
@@ -157,12 +162,25 @@ def st1(spark, d):
 CLOSED = "(SELECT max(date_trunc('milliseconds', ts)) FROM ticks) - INTERVAL 30 SECOND"
 
 
-@add("ST2_ST3_tumbling", f"WITH {TICKS}, w AS (SELECT symbol, time_bucket(INTERVAL '1 minute', ts) AS start, count(*) AS n, avg(mid) AS m, avg(spread) AS s FROM ticks GROUP BY 1, 2) SELECT symbol, start, n, round(m, 6) + 0.0 AS mean_mid, round(s, 6) + 0.0 AS mean_spread FROM w WHERE start + INTERVAL 1 MINUTE <= {CLOSED}")
+@add(
+    "ST2_ST3_tumbling",
+    f"""WITH {TICKS},
+    w AS (SELECT symbol, time_bucket(INTERVAL '1 minute', ts) AS start, count(*) AS n, avg(mid) AS m, avg(spread) AS s
+        FROM ticks GROUP BY 1, 2)
+    SELECT symbol, start, n, round(m, 6) + 0.0 AS mean_mid, round(s, 6) + 0.0 AS mean_spread FROM w WHERE start + INTERVAL 1 MINUTE <= {CLOSED}""",
+)
 def st2(spark, d):
     return J.to_files(J.windowed(stream_ticks(spark, d), "1 minute")).withColumn("start", c("start").cast("timestamp_ntz"))
 
 
-@add("ST4_sliding", f"WITH {TICKS}, x AS (SELECT *, unnest([0, 10, 20, 30, 40, 50]) AS o FROM ticks), w AS (SELECT symbol, time_bucket(INTERVAL '10 seconds', ts) - to_seconds(o) AS start, count(*) AS n, avg(mid) AS m, avg(spread) AS s FROM x GROUP BY 1, 2) SELECT symbol, start, n, round(m, 6) + 0.0 AS mean_mid, round(s, 6) + 0.0 AS mean_spread FROM w WHERE start + INTERVAL 1 MINUTE <= {CLOSED}")
+@add(
+    "ST4_sliding",
+    f"""WITH {TICKS},
+    x AS (SELECT *, unnest([0, 10, 20, 30, 40, 50]) AS o FROM ticks),
+    w AS (SELECT symbol, time_bucket(INTERVAL '10 seconds', ts) - to_seconds(o) AS start, count(*) AS n, avg(mid) AS m, avg(spread) AS s
+        FROM x GROUP BY 1, 2)
+    SELECT symbol, start, n, round(m, 6) + 0.0 AS mean_mid, round(s, 6) + 0.0 AS mean_spread FROM w WHERE start + INTERVAL 1 MINUTE <= {CLOSED}""",
+)
 def st4(spark, d):
     return J.to_files(J.windowed(stream_ticks(spark, d), "60 seconds", "10 seconds")).withColumn("start", c("start").cast("timestamp_ntz"))
 
@@ -216,7 +234,8 @@ def st7_ddm(spark, d):
     "ST7_eddm",
     f"""WITH {TICKS}, a AS (SELECT symbol, id, ts, {ERROR} AS e, row_number() OVER w AS n FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, id)),
     d AS (SELECT symbol, n, n - lag(n, 1, 0) OVER (PARTITION BY symbol ORDER BY n) AS d FROM a WHERE e = 1),
-    m AS (SELECT symbol, n, count(*) OVER w AS k, avg(d) OVER w + 2 * stddev_pop(d) OVER w AS reach FROM d WINDOW w AS (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING)),
+    m AS (SELECT symbol, n, count(*) OVER w AS k, avg(d) OVER w + 2 * stddev_pop(d) OVER w AS reach FROM d WINDOW w AS (PARTITION BY symbol
+        ORDER BY n ROWS UNBOUNDED PRECEDING)),
     r AS (SELECT symbol, n, k, reach / max(reach) OVER (PARTITION BY symbol ORDER BY n ROWS UNBOUNDED PRECEDING) AS ratio FROM m)
     SELECT a.symbol, a.id, CASE WHEN coalesce(r.k, 0) < 30 THEN 0.0 WHEN ratio < 0.90 THEN 2.0 WHEN ratio < 0.95 THEN 1.0 ELSE 0.0 END AS eddm
     FROM a ASOF LEFT JOIN r ON r.symbol = a.symbol AND r.n <= a.n WHERE {PASSED}""",
