@@ -188,13 +188,17 @@ def long_ema(df: DataFrame, x: str, span: int, size: int = 50_000) -> DataFrame:
 
     df has symbol, ts, and bucket and row as numbers in the symbol's order."""
     a = 2 / (span + 1)
+    keep = (1 - a) ** np.arange(1, 257)
+    fade = np.tril((1 - a) ** np.maximum(np.arange(256)[:, None] - np.arange(256), 0))
 
     def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row")
-        out, s = np.empty(len(pdf)), 0.0
-        for i, (v, r) in enumerate(zip(pdf[x].to_numpy(), pdf.row.to_numpy())):
-            s = v if r == 0 else s * (1 - a) + v * a
-            out[i] = s
+        v = pdf[x].to_numpy(float)
+        u, out, s = np.where(pdf.row.to_numpy() == 0, v, a * v), np.empty(len(v)), 0.0
+        for i in range(0, len(u), 256):  # block by block: what comes in, and what the start of the block leaves
+            n = min(256, len(u) - i)
+            out[i : i + n] = fade[:n, :n] @ u[i : i + n] + keep[:n] * s
+            s = out[i + n - 1]
         return pdf[["symbol", "ts", "bucket", "row"]].assign(local=out)
 
     local = df.select("symbol", "ts", "bucket", "row", x).groupBy("symbol", "bucket").applyInPandas(fold, df.select("symbol", "ts", "bucket", "row").schema.add("local", "double"))

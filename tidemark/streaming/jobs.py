@@ -297,20 +297,33 @@ def to_files(stream: DataFrame, folder: str | None = None, partition: list[str]
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def to_latest(stream: DataFrame, key: list[str], order: str, folder: str | None = None) -> DataFrame:
-    """Keeps the latest row of each key, batch by batch (foreachBatch), in versioned folders: a batch that runs again writes the same."""
+def to_latest(stream: DataFrame, key: list[str], order: str, folder: str | None = None, parts: int = 64) -> DataFrame:
+    """Keeps the latest row of each key, batch by batch (foreachBatch).
+
+    Keys are dealt into parts by hash; a batch writes the parts it touches anew, in a folder of its own, and a list of which folder
+    holds each part. A batch that runs again starts from the list before it and writes the same."""
     spark = stream.sparkSession
     folder = folder or work_folder(spark)
+    part = F.pmod(F.xxhash64(*key), F.lit(parts)).cast("int")
+
+    def held(number: int) -> dict[int, int]:
+        return {r.part: r.version for r in spark.read.parquet(f"{folder}/parts-{number}").collect()} if number >= 0 else {}  # parts rows at most
+
+    def read(places: dict[int, int]) -> DataFrame:
+        return spark.read.schema(stream.schema).parquet(*[f"{folder}/v{v}/_part={p}" for p, v in places.items()])
 
     def put(batch: DataFrame, number: int) -> None:
-        old = [batch.select(*stream.columns)]
-        if number > 0:
-            old.append(spark.read.schema(stream.schema).parquet(f"{folder}/v{number - 1}"))
-        rows = old[0] if len(old) == 1 else old[0].unionByName(old[1])
+        before = held(number - 1)
+        touched = {r[0] for r in batch.select(part.alias("p")).distinct().collect()}
+        rows = batch.select(*stream.columns)
+        if old := {p: v for p, v in before.items() if p in touched}:
+            rows = rows.unionByName(read(old))
         last = rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), order).alias("r")).select("r.*")
-        last.write.mode("overwrite").parquet(f"{folder}/v{number}")
+        last.withColumn("_part", part).write.mode("overwrite").partitionBy("_part").parquet(f"{folder}/v{number}")
+        now = before | dict.fromkeys(touched, number)
+        listed = batch.sparkSession.createDataFrame(sorted(now.items()), "part int, version int")
+        listed.coalesce(1).write.mode("overwrite").parquet(f"{folder}/parts-{number}")
         batch.sparkSession.createDataFrame([(number,)], "n long").write.mode("overwrite").parquet(f"{folder}/current")
 
     stream.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    number = spark.read.parquet(f"{folder}/current").first()[0]
-    return spark.read.schema(stream.schema).parquet(f"{folder}/v{number}")
+    return read(held(spark.read.parquet(f"{folder}/current").first()[0]))
