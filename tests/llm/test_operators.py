@@ -101,6 +101,20 @@ def test_simhash_keeps_one_of_each_group(clashing, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_shingles_of_many_texts_equal_the_librarys(words):
+    rng = np.random.default_rng(words)
+    data, start, size = rng.integers(0, 256, 20_000).astype(np.uint8), rng.integers(0, 9000, 2000), rng.integers(0, 200, 2000)
+    start[:3], size[:3] = 0, [5000, 4096, 4095]
+    assert simhash.xxh64(data, start, size).tolist() == [xxhash.xxh64_intdigest(data[a : a + n].tobytes(), 42) for a, n in zip(start, size)]
+    texts = ["", "  ", "a", "a b", " a  b\tc\n d ", "é ß 日本 x\u3000y", " ".join(f"w{i}" for i in range(500)), "x" * 9000 + " y z", "\x0b\x0c", "a b c d e f"]
+    h, count = simhash.shingles(texts, words)
+    for t, got in zip(texts, np.split(h, np.cumsum(count)[:-1])):
+        w = t.encode().split()
+        want = [xxhash.xxh64_intdigest(b" ".join(w[i : i + words]), 42) for i in range(max(1, len(w) - words + 1))] if w else []
+        assert got.tolist() == want
+
+
 def test_near_stage_holds_its_similarity_both_ways(spark):
     rng = np.random.default_rng(3)
     rows = []

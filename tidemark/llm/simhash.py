@@ -39,6 +39,9 @@ from tidemark.llm.common import ascii_lower, cut, salted_join, small, table, tex
 
 WORDS, SEED, MAX_BITS = 3, 42, 2
 FAN, GROUP, PAIRS = 8, 20_000, 200_000
+#: XXH64's primes (fixed values); bytes from which a string is hashed by itself; shingles that are hashed at once.
+PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+LONG, TOGETHER = 4096, 1 << 15
 #: Bands of minima for candidates of the near-dedup stage: at a similarity of 0.8 no band is shared with a chance of 4e-4.
 BANDS, ROWS = 20, 5
 #: Rounds of comparing with one text of a band before pairs are compared.
@@ -46,32 +49,107 @@ PIVOTS = 4
 _FACTORS: list[np.ndarray] = []
 
 
-def shingles(text: str, words: int = WORDS, seed: int = SEED, step: int = 1 << 15) -> Iterator[np.ndarray]:
-    """The XXH64 of a whole lower-cased text's word shingles, step by step; nothing for a text without a word."""
-    found = text.encode("utf-8", "surrogatepass").split()
-    if not found:
-        return
-    n = max(1, len(found) - words + 1)
-    for at in range(0, n, step):
-        part = found[at : min(at + step, n) + words - 1]
-        joined = b" ".join(part)
-        ends = np.cumsum([len(w) + 1 for w in part])
-        starts = (ends - [len(w) + 1 for w in part]).tolist()
-        last = (ends - 1).tolist()[words - 1 :] or [len(joined)]
-        yield np.array([xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, last)], "<u8")
-
+def xxh64(data: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """The XXH64 of many byte strings inside data, all at once; strings of LONG bytes or more one by one."""
+    u, one, two, three, four, five = np.uint64, *(np.uint64(p) for p in PRIMES)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    lane8 = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))
+    lane4 = np.ndarray(len(data) + 1, "<u4", padded.data, strides=(1,))
+    turned = lambda x, r: (x << u(r)) | (x >> u(64 - r))
+    step = lambda acc, lane: turned(acc + lane * two, 31) * one
+    with np.errstate(over="ignore"):
+        acc = np.full(len(start), u(seed) + five)
+        wide = np.flatnonzero((size >= 32) & (size < LONG))
+        if len(wide):
+            v = [np.full(len(wide), x) for x in (u(seed) + one + two, u(seed) + two, u(seed), u(seed) - one)]
+            stripes, at = size[wide] // 32, start[wide]
+            for k in range(int(stripes.max())):
+                on = np.flatnonzero(stripes > k) if k else slice(None)
+                for i in range(4):
+                    v[i][on] = step(v[i][on], lane8[at[on] + 32 * k + 8 * i])
+            sums = turned(v[0], 1) + turned(v[1], 7) + turned(v[2], 12) + turned(v[3], 18)
+            for x in v:
+                sums = (sums ^ step(u(0), x)) * one + four
+            acc[wide] = sums
+        acc += size.astype(u)
+        at, rest = start + size // 32 * 32, size % 32
+        for k in range(3):
+            on = np.flatnonzero(rest >= 8 * (k + 1))
+            acc[on] = turned(acc[on] ^ step(u(0), lane8[at[on] + 8 * k]), 27) * one + four
+        at, rest = at + rest // 8 * 8, rest % 8
+        on = np.flatnonzero(rest >= 4)
+        acc[on] = turned(acc[on] ^ (lane4[at[on]].astype(u) * one), 23) * two + three
+        at, rest = at + rest // 4 * 4, rest % 4
+        for k in range(3):
+            on = np.flatnonzero(rest > k)
+            acc[on] = turned(acc[on] ^ (data[at[on] + k].astype(u) * five), 11) * one
+        acc ^= acc >> u(33)
+        acc *= two
+        acc ^= acc >> u(29)
+        acc *= three
+        acc ^= acc >> u(32)
+    for k in np.flatnonzero(size >= LONG).tolist():
+        acc[k] = xxhash.xxh64_intdigest(data[start[k] : start[k] + size[k]].tobytes(), seed)
+    return acc
+
+
+def shingles(texts: list[str], words: int = WORDS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """The XXH64 of all word shingles of whole lower-cased texts, text after text, and how many each has: none without a word."""
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    flat = np.frombuffer(b" ".join(raw), np.uint8)
+    blank = (flat == 32) | ((flat >= 9) & (flat <= 13))
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]  # words and one blank after each
+    data = np.where(blank, np.uint8(32), flat)[keep]
+    first = np.flatnonzero(~blank & np.append(True, blank[:-1])[: len(flat)])  # where words start in flat
+    ends = np.flatnonzero(data == 32)
+    end = ends if len(ends) == len(first) else np.append(ends, len(data))
+    begin = np.append(0, end[:-1] + 1)[: len(first)]
+    size = np.array([len(r) + 1 for r in raw], np.int64)
+    owner = np.searchsorted(first, np.append(0, np.cumsum(size)))  # each text's first word
+    have = np.diff(owner)
+    count = np.where(have > 0, np.maximum(have - words + 1, 1), 0)
+    total = int(count.sum())
+    out = np.empty(total, np.uint64)
+    own = np.repeat(np.arange(len(texts)), count)
+    nth = np.arange(total) - np.repeat(np.cumsum(count) - count, count)
+    for at in range(0, total, TOGETHER):
+        k, w = own[at : at + TOGETHER], nth[at : at + TOGETHER]
+        low = owner[k] + w
+        high = np.minimum(low + words, owner[k + 1]) - 1
+        out[at : at + TOGETHER] = xxh64(data, begin[low], end[high] - begin[low], seed)
+    return out, count
+
+
+def majorities(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each text, bit by bit, what over half of its hashes have; nothing for a text without any."""
+    out = np.zeros(len(count), np.uint64)
+    ends = np.cumsum(count)
+    for k in np.flatnonzero(count).tolist():
+        ones = np.zeros(64, np.int64)
+        for at in range(ends[k] - count[k], ends[k], TOGETHER):
+            part = h[at : min(at + TOGETHER, ends[k])]
+            ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > count[k], bitorder="little").view("<u8")[0]
+    return out
+
+
+def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    """The fingerprint of a whole lower-cased text, unsigned."""
+    return int(majorities(*shingles([text], words, seed))[0])
 
-def majority(parts: list[np.ndarray]) -> int:
-    """Bit by bit, what over half of the hashes have."""
-    ones, n = np.zeros(64, np.int64), sum(map(len, parts))
-    for h in parts:
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]) if n else 0
 
-
-def fingerprint(text: str, words: int = WORDS, seed: int = SEED, step: int = 1 << 15) -> int:
-    """The fingerprint of a whole lower-cased text, unsigned."""
-    return majority(list(shingles(text, words, seed, step)))
+def pieces(texts: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
+    """Whole texts in lists of about so many characters, each with its place."""
+    some, n, at = [], 0, 0
+    for text in texts:
+        some.append(text.as_py())
+        n += len(some[-1])
+        if n >= size:
+            yield at, some
+            at, some, n = at + len(some), [], 0
+    if some:
+        yield at, some
 
 
 def fingerprints(docs: DataFrame, carry: str, text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -79,7 +157,8 @@ def fingerprints(docs: DataFrame, carry: str, text_col: str = "text", words: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(t.as_py(), words) for t in batch.column(0)], np.uint64).view(np.int64)
+            made = [majorities(*shingles(some, words)) for _, some in pieces(batch.column(0))]
+            fp = np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fp)], [carry, "fp"])
 
     schema = T.StructType([docs.schema[carry], T.StructField("fp", T.LongType())])
@@ -282,15 +361,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     return marked.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def least_hashes(parts: list[np.ndarray]) -> list[int]:
-    """For each band the hash of ROWS minima over all shingles, signed; equal sets give equal ones."""
+def least_hashes(h: np.ndarray) -> list[int]:
+    """For each band the hash of ROWS minima over all shingles, signed; equal sets give equal ones.
+
+    Minima are of 32 bits: they only choose candidates."""
     if not _FACTORS:
-        _FACTORS.append(np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), np.uint64))
-    mix, odd = _FACTORS[0][0], _FACTORS[0][1] | np.uint64(1)
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for h in parts:
-        for at in range(0, len(h), 512):
-            least = np.minimum(least, ((h[at : at + 512, None] ^ mix) * odd).min(0))
+        _FACTORS.append(np.random.default_rng(SEED).integers(0, 2**32, (2, BANDS * ROWS, 1), np.uint32))
+    mix, odd = _FACTORS[0][0], _FACTORS[0][1] | np.uint32(1)
+    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+    low = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    for at in range(0, len(low), 1024):
+        least = np.minimum(least, ((low[at : at + 1024] ^ mix) * odd).min(1))
     rows = least.reshape(BANDS, ROWS)
     return [signed(xxhash.xxh64_intdigest(r.tobytes(), k)) for k, r in enumerate(rows)]
 
@@ -300,13 +381,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp, bands = np.zeros(batch.num_rows, np.uint64), []
-            for i, t in enumerate(batch.column(0)):
-                parts = list(shingles(t.as_py(), words))
-                fp[i] = majority(parts)
-                bands.append(least_hashes(parts))
-            made = [pa.array(fp.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *made], ["doc_id", "h", "fp", "bands"])
+            for at, some in pieces(batch.column(0)):
+                h, count = shingles(some, words)
+                bands = [least_hashes(x) for x in np.split(h, np.cumsum(count)[:-1])]
+                made = [pa.array(majorities(h, count).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in batch.columns[1:]), *made], ["doc_id", "h", "fp", "bands"])
 
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("h", "fp")], T.StructField("bands", T.ArrayType(T.LongType()))])
     return docs.select(ascii_lower(text_of("text")).alias("text"), "doc_id").select("text", "doc_id", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
@@ -317,12 +396,12 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(t.as_py(), words)])).view(np.int64) for t in part.column(1)]
+            for at, some in pieces(batch.column(1)):
+                h, count = shingles(some, words)
+                sets = [np.unique(x).view(np.int64) for x in np.split(h, np.cumsum(count)[:-1])]
                 ends = np.cumsum([0, *map(len, sets)])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["h", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), lists], ["h", "shingles"])
 
     return texts.select("h", "text").mapInArrow(run, "h long, shingles array<long>")
 
