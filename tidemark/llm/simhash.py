@@ -42,8 +42,9 @@ FAN, GROUP, PAIRS = 8, 20_000, 200_000
 #: XXH64's primes (fixed values); bytes from which a string is hashed by itself; shingles that are hashed at once.
 PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 LONG, TOGETHER = 4096, 1 << 15
-#: Bands of minima for candidates of the near-dedup stage: at a similarity of 0.8 no band is shared with a chance of 4e-4.
-BANDS, ROWS = 20, 5
+#: Bands of minima for candidates of the near-dedup stage: at a similarity of 0.8 no band is shared with a chance of 6e-4, at 0.1
+#: one is with a chance of 4e-7, so texts with a passage in common seldom meet however many they are.
+BANDS, ROWS = 40, 8
 #: Rounds of comparing with one text of a band before pairs are compared.
 PIVOTS = 4
 _FACTORS: list[np.ndarray] = []
@@ -377,17 +378,18 @@ def least_hashes(h: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, h (of the lower-cased text), fp and bands of each row of docs (doc_id, text)."""
+    """doc_id, h (of the lower-cased text), fp, n (distinct shingles) and bands of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, some in pieces(batch.column(0)):
                 h, count = shingles(some, words)
                 bands = [least_hashes(x) for x in np.split(h, np.cumsum(count)[:-1])]
-                made = [pa.array(majorities(h, count).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in batch.columns[1:]), *made], ["doc_id", "h", "fp", "bands"])
+                n = [len(np.unique(x)) for x in np.split(h, np.cumsum(count)[:-1])]
+                made = [pa.array(majorities(h, count).view(np.int64)), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in batch.columns[1:]), *made], ["doc_id", "h", "fp", "n", "bands"])
 
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("h", "fp")], T.StructField("bands", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("h", "fp", "n")], T.StructField("bands", T.ArrayType(T.LongType()))])
     return docs.select(ascii_lower(text_of("text")).alias("text"), "doc_id").select("text", "doc_id", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
 
 
@@ -428,14 +430,16 @@ def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, leas
     by_fp = own.select("fp", "h").join(named, "fp").select(F.col("first").alias("u"), F.col("h").alias("v"))
     firsts = lambda x: named.select(F.col("fp").alias(x), F.col("first").alias(f"_{x}"))
     index = links(named.select("fp"), max_bits).join(firsts("u"), "u").join(firsts("v"), "v").select(F.col("_u").alias("u"), F.col("_v").alias("v"))
-    rows = own.select("h", F.explode("bands").alias("band"))
+    rows = own.select("h", "n", F.explode("bands").alias("band"))
+    # sets of too different sizes can't be that similar
+    alike = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b)
     several = rows.groupBy("band").agg(F.min("h").alias("a"), F.max("h").alias("z")).filter("a <> z").select("band")
     rows = cut(rows.join(several, "band", "left_semi"))
 
     def pivots(members: DataFrame, turn: int) -> DataFrame:
         # by an order that all bands share: texts that meet in several bands mostly have one pivot, so one pair, there
-        chosen = members.groupBy("band").agg(F.min_by(F.struct("h", "root"), F.xxhash64("h", F.lit(turn))).alias("p"))
-        return members.join(chosen, "band").filter("root <> p.root").select(F.col("p.h").alias("u"), F.col("h").alias("v"))
+        chosen = members.groupBy("band").agg(F.min_by(F.struct("h", "root", "n"), F.xxhash64("h", F.lit(turn))).alias("p"))
+        return members.join(chosen, "band").filter((F.col("root") != F.col("p.root")) & alike(F.col("n"), F.col("p.n"))).select(F.col("p.h").alias("u"), F.col("h").alias("v"))
 
     first = cut(pivots(rows.withColumn("root", F.col("h")), 0).union(index).union(by_fp).filter("u <> v").distinct())
     # the texts that any candidate can name become shingle sets, once for all rounds
@@ -446,7 +450,7 @@ def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, leas
     edges = similar(first, sets, least)
     for turn in range(1, PIVOTS + 1):
         roots = components(edges)
-        members = rows.join(roots, F.col("h") == F.col("node"), "left").select("band", "h", F.coalesce("root", "h").alias("root"))
+        members = rows.join(roots, F.col("h") == F.col("node"), "left").select("band", "h", "n", F.coalesce("root", "h").alias("root"))
         parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
         open_ = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count(F.lit(1)).alias("k")).filter("k > 1")
         open_ = cut(open_)
@@ -457,8 +461,9 @@ def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, leas
         if turn == PIVOTS or size["pairs"] <= 4 * size["n"]:
             break
         edges = edges.union(similar(pivots(members, turn), sets, least))
-    other = members.select("band", F.col("h").alias("v"), F.col("root").alias("_root"))
-    left = members.join(other, "band").filter("h < v and root <> _root").select(F.col("h").alias("u"), "v")
+    other = members.select("band", F.col("h").alias("v"), F.col("root").alias("_root"), F.col("n").alias("_n"))
+    met = (F.col("h") < F.col("v")) & (F.col("root") != F.col("_root")) & alike(F.col("n"), F.col("_n"))
+    left = members.join(other, "band").filter(met).select(F.col("h").alias("u"), "v")
     return components(edges.union(similar(left, sets, least)))
 
 
