@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm.common import table, text_of
+from tidemark.llm.common import settle, table, text_of
 from tidemark.llm.token_counts import RankMerger, byte_symbols, has_newer, splitter, vocabulary_bytes
 
 #: What the vocabulary's own description splits by (fixed value).
@@ -40,7 +40,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Characters in a piece of a text; symbols in a leaf of a word; tokens around a join of leaves at first.
 HALF, LEAF, WINDOW = 4096, 64, 4
 #: Words, and pairs of tokens, that a worker keeps.
-REMEMBERED, PAIRS = 200_000, 200_000
+REMEMBERED, PAIRS = 150_000, 200_000
 
 
 class TreeEncoder:
@@ -217,7 +217,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     raw = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))  # a vocabulary file: a few MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = codec(raw.value).both
+        own = codec(raw.value)
+        both = own.both
         for batch in batches:
             for at, texts in pieces(batch.column(1)):
                 flat, ends, decoded = [], [0], []
@@ -228,6 +229,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        own.known.clear()
+        settle()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

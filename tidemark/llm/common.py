@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +57,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tidemark-{uuid.uuid4().hex}"
 
 
+def settle() -> None:
+    """Gives memory that a task no longer needs back to the system: Spark keeps its Python workers for later tasks."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a working folder of this run that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

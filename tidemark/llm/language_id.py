@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fold, table, text_of, unit_hash
+from tidemark.llm.common import fold, settle, table, text_of, unit_hash
 from tidemark.llm.linear import sigmoid, svm
 
 #: Which languages are of one family (fixed values: ISO 639-1 codes by common classification).
@@ -202,6 +202,7 @@ def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str
             out = [answer(t.as_py()) if ok.as_py() else ("und", 0.0) for t, ok in zip(batch.column(1), batch.column(2))]
             made = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], ["doc_id", "lang_pred", "score", *more_names])
+        settle()
 
     more_names = [carry] if carry else []
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import ascii_lower, cut, salted_join, small, table, text_of
+from tidemark.llm.common import ascii_lower, cut, salted_join, settle, small, table, text_of
 
 WORDS, SEED, MAX_BITS = 3, 42, 2
 FAN, GROUP, PAIRS = 8, 20_000, 200_000
@@ -388,6 +388,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 n = [len(np.unique(x)) for x in np.split(h, np.cumsum(count)[:-1])]
                 made = [pa.array(majorities(h, count).view(np.int64)), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in batch.columns[1:]), *made], ["doc_id", "h", "fp", "n", "bands"])
+        settle()
 
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, T.LongType()) for n in ("h", "fp", "n")], T.StructField("bands", T.ArrayType(T.LongType()))])
     return docs.select(ascii_lower(text_of("text")).alias("text"), "doc_id").select("text", "doc_id", F.xxhash64("text").alias("h")).mapInArrow(run, schema)
