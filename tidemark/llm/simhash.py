@@ -12,9 +12,10 @@ whole pair of subtrees is dropped; at the bottom fingerprints are compared thems
 one component already are skipped, and a group gives only a spanning forest of its links, never all pairs.
 
 A group of more than GROUP fingerprints is dealt out again by the bits it leaves free, split the same way (the links
-inside agree in one of these parts too), twice at most: after that at most 19 bits are free, so a task holds at most
-2^19 fingerprints whatever the data are. Components come from the forests' edges by alternating large-star and small-star
-steps, each written to the checkpoint folder.
+inside agree in one of these parts too), twice at most. At two bits that leaves at most 19 bits free, so a task holds at
+most 2^19 fingerprints whatever the data are; at the six bits of the near-dedup stage 40 bits stay free, so there a task's
+share grows with fingerprints that agree in 24 bits. Components come from the forests' edges by alternating large-star and
+small-star steps, each written to the checkpoint folder.
 
 The near-dedup stage (keep_one) takes these links at six bits, and texts that share a band of least shingle hashes, as
 candidates only: each is verified by the exact Jaccard similarity of the whole texts' shingles before components form.
