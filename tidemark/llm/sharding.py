@@ -9,7 +9,7 @@ their turn, large ones first and otherwise by a hash, as long as its bound allow
 the room it had left when the round began. What it took in an earlier round it never gives up, so rows leave their
 first shard only where that shard is full; only they move when loads change. Where a round ends is one number a shard,
 so the plan is a list of a few numbers a round, and a row's shard follows from its path, its turn and the plan. If a lap of
-the ring leaves rows over (texts larger than what is left anywhere), the bounds grow by SLACK, 2 SLACK, 4 SLACK... of a
+the ring leaves rows over (texts larger than what is left anywhere), the bounds grow by SLACK, 4 SLACK, 16 SLACK... of a
 share until all are placed.
 
 The law that holds is `bytes`: shards' sizes are at most (1 + SLACK) times an equal share unless single texts don't fit,
@@ -166,7 +166,7 @@ def planned(rows: DataFrame, shards: int, slack: float) -> Plan:
             if not rest:
                 break
         plan.bound += grown * max(1.0, slack * (total or 0) / shards)
-        grown *= 2
+        grown *= 4
     return plan
 
 
@@ -249,7 +249,7 @@ def spelled(shards: int = SHARDS, slack: float = SLACK, laps: int = SQL_LAPS) ->
     ]
     k = 0
     for lap in range(laps):
-        more = f" + {2**lap - 1}.0e0 * greatest(1.0e0, {slack!r}::DOUBLE * total / {shards})" if lap else ""
+        more = f" + {(4**lap - 1) // 3}.0e0 * greatest(1.0e0, {slack!r}::DOUBLE * total / {shards})" if lap else ""
         for turn in range(1, shards + 1):
             k += 1
             parts += [
