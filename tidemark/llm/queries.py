@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe_codec, chat_format, decontaminate, exact_dedup, language_id, lexical, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
+from tidemark.llm import bpe_codec, chat_format, decontaminate, exact_dedup, hard_negatives, language_id, lexical, quality, sharding, simhash, suffix_dedup, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.op1_chat_format,
@@ -20,7 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_lexical": lexical.op11_lexical,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
     "op13_sharding": sharding.op13_sharding,
 }
 
-SQL: dict[str, str] = {**chat_format.SQL, **exact_dedup.SQL, **lexical.SQL, **sharding.SQL}
+SQL: dict[str, str] = {**chat_format.SQL, **exact_dedup.SQL, **lexical.SQL, **hard_negatives.SQL, **sharding.SQL}
