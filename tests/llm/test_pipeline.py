@@ -8,7 +8,7 @@ from tidemark.llm.queries import QUERIES, SQL
 
 def test_stages_are_in_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "SimHash near-dedup", "benchmark decontamination", "BPE encoding and decoding"]
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)} and set(SQL) <= set(QUERIES)
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)} and set(SQL) <= set(QUERIES)
 
 
 def test_pipeline_drops_what_it_must(spark, docs, sf_dir, tmp_path):

@@ -110,7 +110,7 @@ def fit(sample: np.ndarray, most: float, fan: int = FAN, leaf: int = LEAF) -> Tr
     waiting = [(None, 0, np.arange(len(x)))]  # (parent, place among its children, rows)
     while waiting:
         parent, at, rows = waiting.pop()
-        split = far_points(x[rows], fan, len(nodes)) if len(rows) > leaf or parent is None else []
+        split = far_points(x[rows], fan, len(nodes)) if len(rows) > leaf or (parent is None and len(rows)) else []
         if len(split) < 2 and parent is not None:
             nodes[parent].children[at] = -1 - leaves
             leaves += 1

@@ -197,8 +197,8 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha
     return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("row") - 1).alias("slot"))
 
 
-def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, nodes: int = NODES, slack: float = SLACK) -> DataFrame:
-    """The rows of docs with all their columns and the column shard, for writing: texts stay where they lie.
+def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, nodes: int = NODES, slack: float = SLACK, name: str = "shard") -> DataFrame:
+    """The rows of docs with all their columns and their shard in the column name, for writing.
 
     Rows that repeat in id, size and crc32 are alike for the plan; which of them goes where is not fixed."""
     keys = ["doc_id", "size", "text_crc32"]
@@ -206,7 +206,7 @@ def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ways = told.groupBy(*keys).agg(F.min("shard").alias("shard"), F.count(F.lit(1)).alias("shards"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(f"_{k}") for c, k in zip(measured(docs, id_col, text_col), keys)])
     met = F.col("_doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_size") == F.col("size")) & (F.col("_text_crc32") == F.col("text_crc32"))
-    one = whole.join(small(ways.filter("shards = 1").drop("shards")), met).select("_row.*", "shard")
+    one = whole.join(small(ways.filter("shards = 1").drop("shards")), met).select("_row.*", F.col("shard").alias(name))
     several = told.withColumn("shards", F.count(F.lit(1)).over(Window.partitionBy(*keys))).filter("shards > 1")
     if several.isEmpty():
         return one
@@ -214,7 +214,7 @@ def with_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nth = F.row_number().over(Window.partitionBy(*[f"_{k}" for k in keys]).orderBy(F.lit(0)))
     alike = whole.join(small(ways.filter("shards > 1").select(*keys)), met, "left_semi").withColumn("_nth", nth)
     within = (F.col("_nth") <= F.col("upto")) & (F.col("_nth") > F.col("upto") - F.col("n"))
-    return one.unionByName(alike.join(ranges, met & within).select("_row.*", "shard"))
+    return one.unionByName(alike.join(ranges, met & within).select("_row.*", F.col("shard").alias(name)))
 
 
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
