@@ -46,8 +46,9 @@ LONG, TOGETHER = 4096, 1 << 15
 #: Bands of minima for candidates of the near-dedup stage: at a similarity of 0.8 no band is shared with a chance of 6e-4, at 0.1
 #: one is with a chance of 4e-7, so texts with a passage in common seldom meet however many they are.
 BANDS, ROWS = 40, 8
-#: Rounds of comparing with one text of a band before pairs are compared.
-PIVOTS = 4
+#: Rounds of comparing with one text of a band at most before bands are compared as a whole; pairs a text for which the latter is done at
+#: once; texts of a band on one side of a comparison; shingles that are looked at together.
+PIVOTS, CHEAP, SIDE, COLUMNS = 4, 512, 512, 4096
 _FACTORS: list[np.ndarray] = []
 
 
@@ -360,7 +361,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BIT
     roots = components(links(ids.select("fp"), max_bits))
     placed = ids.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    told = placed.select("fp", "root").join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
+    return salted_join(marked, told, F.col("fp") == F.col("_fp"), ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def least_hashes(h: np.ndarray) -> list[int]:
@@ -425,8 +427,8 @@ def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, leas
     """node, root: the components of verified links among the text hashes of marked (h, fp, bands).
 
     Candidates: the fingerprint index's links, and texts that share a band. In a band each text is first compared with one
-    pivot, which joins most of what belongs together; then what a band still holds in several components is compared,
-    after some more pivots, pair by pair. So each two texts of a band are compared or in one component."""
+    pivot, which joins most of what belongs together; then bands that still hold several components are compared as a
+    whole, after some more pivots if they are large. So each two texts of a band are compared or in one component."""
     own = marked.dropDuplicates(["h"])
     named = cut(own.groupBy("fp").agg(F.min("h").alias("first")))
     by_fp = own.select("fp", "h").join(named, "fp").select(F.col("first").alias("u"), F.col("h").alias("v"))
@@ -453,20 +455,86 @@ def verified(marked: DataFrame, docs: DataFrame, words: int, max_bits: int, leas
     for turn in range(1, PIVOTS + 1):
         roots = components(edges)
         members = rows.join(roots, F.col("h") == F.col("node"), "left").select("band", "h", "n", F.coalesce("root", "h").alias("root"))
-        parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-        open_ = parts.groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-        open_ = cut(open_)
-        size = open_.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("s")) / 2).alias("pairs")).first()
+        parts = members.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("h")).alias("x"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s"))
+        counts = [F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("k"), F.bit_xor("x").alias("x"), F.sum("s").alias("s")]
+        # bands of the same texts are looked at once
+        open_ = parts.groupBy("band").agg(*counts).filter("k > 1").groupBy("n", "x", "s").agg(F.min("band").alias("band"), F.min("squares").alias("squares"))
+        open_ = cut(open_.select("band", "n", "squares"))
+        size = open_.agg(F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("pairs")).first()
         if not size["n"]:
             return roots
-        members = cut(members.join(open_.select("band"), "band", "left_semi"))
-        if turn == PIVOTS or size["pairs"] <= 4 * size["n"]:
+        if turn == PIVOTS or size["pairs"] <= CHEAP * size["n"]:
             break
-        edges = edges.union(similar(pivots(members, turn), sets, least))
-    other = members.select("band", F.col("h").alias("v"), F.col("root").alias("_root"), F.col("n").alias("_n"))
-    met = (F.col("h") < F.col("v")) & (F.col("root") != F.col("_root")) & alike(F.col("n"), F.col("_n"))
-    left = members.join(other, "band").filter(met).select(F.col("h").alias("u"), "v")
-    return components(edges.union(similar(left, sets, least)))
+        edges = edges.union(similar(pivots(cut(members.join(open_.select("band"), "band", "left_semi")), turn), sets, least))
+    return components(edges.union(compared(members.join(open_.select("band", F.col("n").alias("in_band")), "band"), sets, least)))
+
+
+def block_links(h: np.ndarray, root: np.ndarray, flat: np.ndarray, count: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join the same texts of a block as all its links between different components do; flat: the sets, one after another."""
+    n, owner = len(h), np.repeat(np.arange(len(h)), count)
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    several = times[column] > 1  # what only one text has is in no intersection
+    owner, column = owner[several], (np.cumsum(times > 1) - 1)[column[several]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((n, n), np.float32)  # whole numbers below 2^24
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, z = np.searchsorted(column, [low, low + COLUMNS])
+        has = np.zeros((n, COLUMNS), np.float32)
+        has[owner[a:z], column[a:z] - low] = 1
+        shared += has @ has.T
+    shared = shared.astype(float)
+    link = (shared >= least * (count[:, None] + count[None, :] - shared)) & (root[:, None] != root[None, :])
+    forest = Forest(n)
+    forest.union(*np.nonzero(np.triu(link)))
+    r = forest.find()
+    at = np.flatnonzero(r != np.arange(n))
+    return h[at], h[r[at]]
+
+
+def compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """u, v: edges for all links between different components in one band. members: band, h, root, in_band (texts of the band).
+
+    A large band is dealt into parts of about SIDE texts, and each two parts meet in a block of their own; a block's shingle
+    sets are compared at once where they lie, so neither sets nor pairs are multiplied out by pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            lists = t.column("shingles").combine_chunks()
+            count, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            key = [t.column(c).to_numpy() for c in ("band", "one", "two")]
+            h, root, ends = t.column("h").to_numpy(), t.column("root").to_numpy(), np.cumsum(np.append(0, count))
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            out = [(np.zeros(0, np.int64),) * 2]
+            for a, z in zip(np.append(0, cuts).tolist(), np.append(cuts, len(h)).tolist()):
+                if z - a > 1 and (root[a:z] != root[a]).any():
+                    out.append(block_links(h[a:z], root[a:z], flat[ends[a] : ends[z]], count[a:z], least))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["u", "v"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:  # the last block of a batch may go on in the next
+            key = [batch.column(c).to_numpy() for c in range(3)]
+            cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            first = [b.column(c)[0].as_py() for b in held[:1] for c in range(3)]
+            if held and first != [k[0] for k in key]:
+                yield edges(pa.Table.from_batches(held))
+                held = []
+            if len(cuts):
+                yield edges(pa.Table.from_batches([*held, batch.slice(0, cuts[-1])]))
+                held = []
+            held.append(batch.slice(cuts[-1] if len(cuts) else 0))
+        if held:
+            yield edges(pa.Table.from_batches(held))
+        settle()
+
+    parts = F.ceil(F.col("in_band") / SIDE).cast("int")
+    own = F.pmod(F.xxhash64("h", F.lit(3)), parts).cast("int")
+    met = members.select("band", "h", "root", own.alias("part"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    met = met.select("band", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "h", "root")
+    whole = met.join(sets, "h").select("band", "one", "two", "h", "root", "shingles")
+    dealt = whole.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
+    return cut(dealt.mapInArrow(run, "u long, v long"))
 
 
 def keep_one(docs: DataFrame, words: int = 5, max_bits: int = 6, least: float = 0.8) -> DataFrame:
