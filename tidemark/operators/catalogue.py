@@ -118,35 +118,50 @@ def as_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "name string, group string, type string, source string, needs array<string>")
 
 
-def extend(bars: DataFrame, path: str, names: list[str], warm_up: str, overlap: str | None = None) -> None:
-    """Brings a feature store up to date (G14): from its latest time on, features of new bars are appended by month.
-
-    Only the bars since that time less the warm-up are read. overlap: how far before it rows are made anew, for bars that came
-    late; the months this touches are written again with what the store has of them before."""
-    spark = bars.sparkSession
+def stored_features(spark: SparkSession, path: str) -> DataFrame | None:
+    """A feature store, or None where there is none yet."""
     try:
-        stored = spark.read.parquet(path)
-        mark = stored.agg(F.max("ts")).first()[0]
+        found = spark.read.option("mergeSchema", True).parquet(path)
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
-        mark = None
-    if mark is None:
-        new = materialise(bars, names)
+        return None
+    return None if found.isEmpty() else found
+
+
+def extend(bars: DataFrame, path: str, names: list[str], warm_up: str, overlap: str | None = None) -> None:
+    """Brings a feature store up to date (G14): bars later than what the store has of their symbol are appended by month.
+
+    Each symbol has a mark of its own, its latest time in the store, so one that lags behind is caught up; only its bars since that mark
+    less the warm-up are read. A feature that the store doesn't have yet has no mark: it is made for all bars, and one
+    that the store has is kept up though it isn't named. overlap: how far before its mark a symbol's rows are made
+    anew, for bars that came late. Where stored rows change, the months they are in are written again with the rest of what they hold."""
+    from tidemark.sources.store import kept
+
+    spark = bars.sparkSession
+    stored = stored_features(spark, path)
+    if stored is None:
+        new, rewrite = materialise(bars, names), False
     else:
-        kind = dict(bars.dtypes)["ts"]
-        at = F.lit(str(mark)).cast(kind)
-        since = at - F.expr(f"INTERVAL {overlap}") if overlap else at
-        fresh = materialise(bars.filter(F.col("ts") >= since - F.expr(f"INTERVAL {warm_up}")), names)
-        new = fresh.filter(F.col("ts") > since)
-        if overlap:
-            months = new.select(F.date_trunc("month", "ts").alias("_m")).distinct()
-            old = stored.filter(F.col("ts") <= since).withColumn("_m", F.date_trunc("month", "ts"))
-            new = new.unionByName(old.join(months, "_m", "left_semi").select(*new.columns))
+        had = [n for n in stored.columns if n in FEATURES]
+        every, fresh = list(dict.fromkeys([*had, *names])), [n for n in names if n not in had]
+        mark = F.max("ts") - F.expr(f"INTERVAL {overlap}") if overlap else F.max("ts")
+        marks = kept(stored.groupBy(F.col("symbol").alias("_of")).agg(mark.alias("_since")))
+        told = lambda df: df.join(F.broadcast(marks), F.col("symbol").eqNullSafe(F.col("_of")), "left").drop("_of")  # noqa: E731  a row a symbol
+        later = F.col("_since").isNull() | (F.col("ts") > F.col("_since"))
+        read = told(bars).filter(F.col("_since").isNull() | (F.col("ts") >= F.col("_since") - F.expr(f"INTERVAL {warm_up}")))
+        new = materialise(read, every, ("symbol", "ts", "_since")).filter(later).drop("_since")
+        rewrite = bool(fresh or overlap)
+        if rewrite:
+            old = told(stored).filter(~later).select("symbol", "ts", *had)
+            if fresh:
+                made = materialise(bars, fresh, ("symbol", "ts")).select(F.col("symbol").alias("_of"), F.col("ts").alias("_at"), *fresh)
+                old = old.join(made, F.col("symbol").eqNullSafe(F.col("_of")) & (F.col("ts") == F.col("_at")), "left").drop("_of", "_at")
+            else:
+                month = F.date_trunc("month", "ts")
+                touched = told(stored).filter(later).select("ts").unionByName(new.select("ts")).select(month.alias("_month")).distinct()
+                old = old.join(F.broadcast(touched), month == F.col("_month"), "left_semi")  # a row a month
+            new = kept(new.unionByName(old))  # the store is read and written
     laid = with_parts(new).drop("day")
-    if mark is not None and overlap:
-        from tidemark.sources.store import kept
-
-        laid = kept(laid)  # the store is read and written
-    mode = "overwrite" if overlap else "append"
+    mode = "overwrite" if rewrite else "append"
     laid.repartition("year", "month").sortWithinPartitions("symbol", "ts").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)

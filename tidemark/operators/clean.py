@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import Roll, lag, series
 from tidemark.operators.asof import celled, last_known
 from tidemark.operators.bars import in_buckets
+from tidemark.operators.stats import with_quantiles
 
 c = F.col
 
@@ -146,8 +147,8 @@ def staleness(df: DataFrame, column: str) -> DataFrame:
 
 def robust_clip(df: DataFrame, column: str, key: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Values within their key's quantiles."""
-    bounds = df.groupBy(*key).agg(F.percentile(column, low).alias("_a"), F.percentile(column, high).alias("_b"))
-    return df.join(bounds, key).withColumn(column, F.least(F.greatest(c(column), c("_a")), c("_b"))).drop("_a", "_b")
+    bounded = with_quantiles(df, column, key, {"_a": low, "_b": high})
+    return bounded.withColumn(column, F.least(F.greatest(c(column), c("_a")), c("_b"))).drop("_a", "_b")
 
 
 def unit_number(text: Column) -> Column:

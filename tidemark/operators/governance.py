@@ -268,12 +268,14 @@ def three_way(df: DataFrame, train: float, validate: float, embargo: int) -> Dat
     return df.withColumn("role", role).filter("role is not null")
 
 
-def online(df: DataFrame, first: int, size: int, folds: int, embargo: int, window: int | None = None) -> DataFrame:
-    """fold, row and role: each fold is tested on the next size rows and trains on all before, or the last window of them, less embargo."""
+def online(df: DataFrame, first: int | Column, size: int | Column, folds: int, embargo: int, window: int | Column | None = None) -> DataFrame:
+    """fold, row and role: each fold is tested on the next size rows and trains on all before, or the last window of them, less embargo.
+
+    first, size and window are rows, or columns, such as shares of n."""
     roles = []
     for k in range(folds):
         a = first + k * size
-        low = a - embargo - window if window else 0
+        low = 0 if window is None else a - embargo - window
         role = F.when((c("row") >= low) & (c("row") < a - embargo), "train").when((c("row") >= a) & (c("row") < a + size), "test")
         roles.append(F.struct(F.lit(k).alias("fold"), role.alias("role")))
     return df.withColumn("_r", F.explode(F.array(*roles))).select("*", "_r.fold", "_r.role").drop("_r").filter("role is not null")

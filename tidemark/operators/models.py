@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Roll, lag, series
+from tidemark.operators.scans import exponential_mean
 
 
 def c(name: str) -> Column:
@@ -182,32 +183,11 @@ def topics(texts: DataFrame, k: int = 4, terms: int = 2000) -> DataFrame:
     return model.transform(weighted).select("doc_id", *[vector_to_array("topicDistribution")[i].alias(f"topic_{i}") for i in range(k)])
 
 
-def long_ema(df: DataFrame, x: str, span: int, size: int = 50_000) -> DataFrame:
-    """The exponential mean of long series in two passes (A14): it is linear in where it starts, so each bucket is folded from
-    zero on its own, and the starts of buckets follow from one another through the buckets' ends, of which there are few.
+def long_ema(df: DataFrame, x: str, span: int) -> DataFrame:
+    """The exponential mean of long series (A14), as an affine scan over buckets of rows.
 
     df has symbol, ts, and bucket and row as numbers in the symbol's order."""
-    a = 2 / (span + 1)
-    keep = (1 - a) ** np.arange(1, 257)
-    fade = np.tril((1 - a) ** np.maximum(np.arange(256)[:, None] - np.arange(256), 0))
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row")
-        v = pdf[x].to_numpy(float)
-        u, out, s = np.where(pdf.row.to_numpy() == 0, v, a * v), np.empty(len(v)), 0.0
-        for i in range(0, len(u), 256):  # block by block: what comes in, and what the start of the block leaves
-            n = min(256, len(u) - i)
-            out[i : i + n] = fade[:n, :n] @ u[i : i + n] + keep[:n] * s
-            s = out[i + n - 1]
-        return pdf[["symbol", "ts", "bucket", "row"]].assign(local=out)
-
-    local = df.select("symbol", "ts", "bucket", "row", x).groupBy("symbol", "bucket").applyInPandas(fold, df.select("symbol", "ts", "bucket", "row").schema.add("local", "double"))
-    ends = local.groupBy("symbol", "bucket").agg(F.max_by("local", "row").alias("last"), F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("symbol").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    chain = F.aggregate(F.collect_list(F.struct("last", "n")).over(before), F.lit(0.0), lambda s, e: s * F.pow(F.lit(1 - a), e.n) + e.last)
-    starts = ends.select("symbol", "bucket", chain.alias("start"))
-    nth = F.row_number().over(Window.partitionBy("symbol", "bucket").orderBy("row"))
-    return local.join(starts, ["symbol", "bucket"]).withColumn("ema", c("local") + F.when(c("row") >= 0, c("start") * F.pow(F.lit(1 - a), nth)).otherwise(0.0)).select("symbol", "ts", "ema")
+    return exponential_mean(df.select("symbol", "ts", "row", "bucket", x), x, span, ["symbol"], ["row"], "bucket").select("symbol", "ts", "ema")
 
 
 def black_delta(spot: Column, strike: Column, vol: Column, years: Column) -> Column:

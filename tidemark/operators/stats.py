@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.scans import running
+
 c = F.col
 
 
@@ -20,37 +22,43 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
-def exact_quantiles(df: DataFrame, value: str, key: list[str], shares: list[float], cells: int = 200) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, key: list[str], shares: list[float], accuracy: int = 10_000) -> DataFrame:
     """key and q, an array: exact quantiles, linear between ranks, of the non-null values of each key.
 
-    Approximate ones cut a key's values into cells; counts of cells give each rank's cell, and only the values of those cells are
-    ranked, cell by cell, so no task holds all values of a key."""
-    rows = df.filter(c(value).isNotNull()).select(*key, c(value).cast("double").alias("_v"))
-    cuts = rows.groupBy(*key).agg(F.percentile_approx("_v", [i / cells for i in range(1, cells)], 10_000).alias("_cuts"))
-    same = lambda names: [c(k).eqNullSafe(c(f"_{i}_k")) for i, k in enumerate(names)]
-    renamed = lambda t: t.select(*[c(k).alias(f"_{i}_k") for i, k in enumerate(key)], *[x for x in t.columns if x not in key])
-    every = lambda parts: functools.reduce(lambda a, b: a & b, parts, F.lit(True))
-    below = F.size(F.filter("_cuts", lambda e: e < c("_v")))
-    placed = rows.join(F.broadcast(renamed(cuts)), every(same(key))).select(*key, "_v", below.alias("_cell"))  # a row for each key
-    points = placed.groupBy(*key, "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    ahead = Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1) if key else Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = points.groupBy(*key, "_cell").agg(F.sum("_n").alias("_m"))
-    sizes = sizes.withColumns({"_first": F.coalesce(F.sum("_m").over(ahead), F.lit(0)), "_all": F.sum("_m").over(Window.partitionBy(*key, F.lit(0)))})
-    ranks = F.array(*[F.struct(F.lit(i).alias("i"), ((c("_all") - 1) * F.lit(float(q))).alias("at")) for i, q in enumerate(shares)])
-    wanted = sizes.withColumn("_r", F.explode(ranks)).select(*key, "_cell", "_first", "_m", c("_r.i").alias("_i"), c("_r.at").alias("_rank"))
-    hit = lambda r: (r >= c("_first")) & (r < c("_first") + c("_m"))
-    wanted = wanted.filter(hit(F.floor("_rank")) | hit(F.ceil("_rank")))
-    up = Window.partitionBy(*key, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = points.withColumn("_upto", F.sum("_n").over(up))
-    met = every(same(key)) & (c("_cell") == c("_c"))
-    asked = renamed(wanted.withColumnRenamed("_cell", "_c"))
-    found = ranked.join(asked, met).withColumns({"_low": c("_first") + c("_upto") - c("_n"), "_high": c("_first") + c("_upto")})
-    inside = lambda r: (r >= c("_low")) & (r < c("_high"))
-    pair = found.groupBy(*key, "_i").agg(
-        F.max(F.when(inside(F.floor("_rank")), c("_v"))).alias("_a"), F.max(F.when(inside(F.ceil("_rank")), c("_v"))).alias("_z"), F.first("_rank").alias("_rank")
-    )
-    between = c("_a") + (c("_rank") - F.floor("_rank")) * (c("_z") - c("_a"))
-    return pair.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", between.alias("q")))), lambda x: x.q).alias("q"))
+    One sketch of each key gives brackets, two ranks' worth of its error to both sides, that a rank's value can't leave. One pass
+    then counts: values outside all brackets by the stretch between bracket ends that they lie in, values inside by themselves (a
+    few in accuracy, so a hot value is one row), and the ranks are looked up in these counts, stretch by stretch."""
+    rows = df.filter(c(value).isNotNull()).select(*[c(k).alias(f"_k{i}") for i, k in enumerate(key)], c(value).cast("double").alias("_v"))
+    own = [f"_k{i}" for i in range(len(key))]
+    ends = [[min(1.0, max(0.0, q + side * 2 / accuracy)) for q in shares] for side in (-1, 1)]
+    sketch = rows.groupBy(*own).agg(*[F.percentile_approx("_v", e, accuracy).alias(n) for n, e in zip(("_from", "_to"), ends)], F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+    few = c("_n") <= 4 * accuracy  # one rank is more than the margin there, so all values are inside
+    sketch = sketch.withColumns({"_from": F.when(few, F.array("_l")).otherwise(c("_from")), "_to": F.when(few, F.array("_h")).otherwise(c("_to"))})
+    told = sketch.select(*[c(k).alias(f"{k}b") for k in own], "_from", "_to", F.array_sort(F.array_distinct(F.concat("_from", "_to"))).alias("_ends"))
+    met = functools.reduce(lambda a, k: a & c(k).eqNullSafe(c(f"{k}b")), own, F.lit(True))
+    in_bracket = F.exists(F.arrays_zip("_from", "_to"), lambda b: (c("_v") >= b["_from"]) & (c("_v") <= b["_to"]))
+    stretch = F.size(F.filter("_ends", lambda e: e < c("_v")))
+    at = rows.join(F.broadcast(told), met).select(*own, stretch.alias("_cell"), F.when(in_bracket, c("_v")).alias("_v"))  # a row for each key
+    points = at.groupBy(*own, "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = points.groupBy(*own, "_cell").agg(F.sum("_n").alias("_m"))
+    before = Window.partitionBy(*own, F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*[c(k).alias(f"{k}b") for k in own], c("_cell").alias("_of"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_first"), F.sum("_m").over(Window.partitionBy(*own, F.lit(0))).alias("_all"))
+    inside = Window.partitionBy(*own, "_cell").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = points.withColumn("_upto", F.sum("_n").over(inside)).join(F.broadcast(sizes), met & (c("_cell") == c("_of")))  # a row for each key and stretch
+    ranked = ranked.withColumns({"_low": c("_first") + c("_upto") - c("_n"), "_high": c("_first") + c("_upto")})
+    has = lambda r: F.max(F.when((r >= c("_low")) & (r < c("_high")), c("_v")))
+    rank = [(c("_all") - 1) * F.lit(float(q)) for q in shares]
+    pair = ranked.groupBy(*own).agg(F.max("_all").alias("_all"), *[has(f(r)).alias(f"_{n}{i}") for i, r in enumerate(rank) for n, f in (("a", F.floor), ("z", F.ceil))])
+    between = [c(f"_a{i}") + (r - F.floor(r)) * (c(f"_z{i}") - c(f"_a{i}")) for i, r in enumerate(rank)]
+    return pair.select(*[c(f"_k{i}").alias(k) for i, k in enumerate(key)], F.array(*between).alias("q"))
+
+
+def with_quantiles(df: DataFrame, value: str, key: list[str], named: dict[str, float]) -> DataFrame:
+    """df with exact quantiles of a key's values in each of its rows, under the names given."""
+    found = exact_quantiles(df, value, key, list(named.values()))
+    found = found.select(*[c(k).alias(f"_k{i}") for i, k in enumerate(key)], *[c("q")[i].alias(n) for i, n in enumerate(named)])
+    met = functools.reduce(lambda a, i: a & c(key[i]).eqNullSafe(c(f"_k{i}")), range(len(key)), F.lit(True))
+    return df.join(F.broadcast(found), met, "left").drop(*[f"_k{i}" for i in range(len(key))])  # a row for each key
 
 
 def edges(reference: DataFrame, value: str, key: list[str], bins: int = 10, kind: str = "quantile") -> DataFrame:
@@ -147,14 +155,25 @@ def calibration(df: DataFrame, score: str = "p", target: str = "y", bins: int =
     return by.agg((F.sum(gap * c("n")) / F.sum("n")).alias("ece"), F.max(gap).alias("mce"), (F.sum("sq") / F.sum("n")).alias("brier"), (F.sum("ll") / F.sum("n")).alias("nll"))
 
 
-def performance(df: DataFrame, key: list[str], order: list[str], r: str = "r", periods: float = 252.0) -> DataFrame:
-    """Sharpe, Sortino, downside deviation, Calmar, omega, tail ratio, drawdown, win rate and profit factor, by key."""
-    up = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_e", F.exp(F.sum(F.log1p(c(r))).over(up))).withColumn("_dd", c("_e") / F.greatest(F.max("_e").over(up), F.lit(1.0)) - 1)
+def drawdowns(df: DataFrame, r: str, key: list[str], order: list[str], cell: Column | None = None) -> DataFrame:
+    """df with log_equity, the sum of log returns so far, and drawdown, how far below its best (at least the start) the equity stands."""
+    cell = F.trunc(order[0], "month") if cell is None else cell
+    df = running(df, key, order, cell, {"log_equity": ("sum", F.log1p(c(r)))})
+    df = running(df, key, order, cell, {"_best": ("max", c("log_equity"))})
+    return df.withColumn("drawdown", F.exp(c("log_equity") - F.greatest("_best", F.lit(0.0))) - 1).drop("_best")
+
+
+def performance(df: DataFrame, key: list[str], order: list[str], r: str = "r", periods: float = 252.0, cell: Column | None = None) -> DataFrame:
+    """Sharpe, Sortino, downside deviation, Calmar, omega, tail ratio, drawdown, win rate and profit factor, by key.
+
+    Drawdowns are scanned cell by cell (by default, of months)."""
+    df = drawdowns(df, r, key, order, cell).withColumn("_dd", c("drawdown"))
     gain, loss = F.sum(F.greatest(c(r), F.lit(0.0))), F.sum(F.greatest(-c(r), F.lit(0.0)))
     out = df.groupBy(*key).agg(
         F.avg(r).alias("m"), F.stddev_samp(r).alias("s"), F.sqrt(F.avg(F.pow(F.least(c(r), F.lit(0.0)), 2))).alias("downside"), F.min("_dd").alias("max_drawdown"),
-        gain.alias("gain"), loss.alias("loss"), F.percentile(r, 0.95).alias("hi"), F.percentile(r, 0.05).alias("lo"), F.avg((c(r) > 0).cast("int")).alias("win_rate"), F.count(F.lit(1)).alias("n"))
+        gain.alias("gain"), loss.alias("loss"), F.avg((c(r) > 0).cast("int")).alias("win_rate"), F.count(F.lit(1)).alias("n"))
+    tails = exact_quantiles(df, r, key, [0.05, 0.95]).select(*[c(k).alias(f"_k{i}") for i, k in enumerate(key)], c("q")[0].alias("lo"), c("q")[1].alias("hi"))
+    out = out.join(tails, functools.reduce(lambda a, i: a & c(key[i]).eqNullSafe(c(f"_k{i}")), range(len(key)), F.lit(True)), "left")
     year = math.sqrt(periods)
     return out.select(
         *key, "n", "win_rate", "downside", "max_drawdown", (F.try_divide(c("m"), c("s")) * year).alias("sharpe"), (F.try_divide(c("m"), c("downside")) * year).alias("sortino"),
@@ -172,28 +191,36 @@ def probabilistic_sharpe(df: DataFrame, key: list[str], r: str = "r", benchmark:
     return m.select(*key, "sr", normal_cdf((c("sr") - benchmark) * F.sqrt(c("n") - 1) / c("wide")).alias("psr"), (1 + c("wide") * c("wide") * F.pow(1.6448536269514722 / (c("sr") - benchmark), 2)).alias("min_length"))
 
 
-def page_hinkley(df: DataFrame, x: str, key: list[str], order: list[str], delta: float, threshold: float) -> DataFrame:
-    """The sum of x over its running mean less delta, against its least so far."""
-    up = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_d", c(x) - F.avg(x).over(up) - delta).withColumn("_s", F.sum("_d").over(up))
-    return df.withColumn("ph", c("_s") - F.least(F.min("_s").over(up), F.lit(0.0))).withColumn("drift", c("ph") > threshold).drop("_d", "_s")
+def page_hinkley(df: DataFrame, x: str, key: list[str], order: list[str], delta: float, threshold: float, cell: Column | None = None) -> DataFrame:
+    """The sum of x over its running mean less delta, against its least so far (T12); scanned cell by cell (by default, of days)."""
+    cell = F.to_date(order[0]) if cell is None else cell
+    df = running(df, key, order, cell, {"_n": ("count", c(x)), "_t": ("sum", c(x))})
+    df = running(df, key, order, cell, {"_s": ("sum", c(x) - c("_t") / c("_n") - delta)})
+    df = running(df, key, order, cell, {"_low": ("min", c("_s"))})
+    return df.withColumn("ph", c("_s") - F.least("_low", F.lit(0.0))).withColumn("drift", c("ph") > threshold).drop("_n", "_t", "_s", "_low")
+
 
+def ddm(df: DataFrame, error: str, key: list[str], order: list[str], least: int = 30, cell: Column | None = None) -> DataFrame:
+    """The published drift detection by error rate: level 1 beyond two, 2 beyond three deviations above the best so far.
 
-def ddm(df: DataFrame, error: str, key: list[str], order: list[str], least: int = 30) -> DataFrame:
-    """The published drift detection by error rate: level 1 beyond two, 2 beyond three deviations above the best so far."""
-    up = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({"_n": F.count(error).over(up), "_p": F.avg(c(error).cast("double")).over(up)}).withColumn("_s", F.sqrt(c("_p") * (1 - c("_p")) / c("_n")))
-    best = F.min(F.when(c("_n") >= least, F.struct((c("_p") + c("_s")).alias("t"), c("_p").alias("p"), c("_s").alias("s")))).over(up)
-    df = df.withColumn("_b", best)
+    Scanned cell by cell (by default, of days)."""
+    cell = F.to_date(order[0]) if cell is None else cell
+    df = running(df, key, order, cell, {"_n": ("count", c(error)), "_e": ("sum", c(error).cast("double"))})
+    df = df.withColumn("_p", c("_e") / c("_n")).withColumn("_s", F.sqrt(c("_p") * (1 - c("_p")) / c("_n")))
+    best = F.when(c("_n") >= least, F.struct((c("_p") + c("_s")).alias("t"), c("_p").alias("p"), c("_s").alias("s")))
+    df = running(df, key, order, cell, {"_b": ("min", best)})
     level = F.when(c("_b").isNull(), 0).when(c("_p") + c("_s") > c("_b.p") + 3 * c("_b.s"), 2).when(c("_p") + c("_s") > c("_b.p") + 2 * c("_b.s"), 1).otherwise(0)
-    return df.withColumn("level", level).drop("_n", "_p", "_s", "_b")
+    return df.withColumn("level", level).drop("_n", "_e", "_p", "_s", "_b")
 
 
 def profile(df: DataFrame, features: list[str]) -> DataFrame:
-    """By feature: nulls, undefined, distinct values, moments and quartiles."""
+    """By feature: nulls, undefined, distinct values, moments and quartiles (A12); distinct values are counted by distinct value, not in one set."""
     x = F.when(~F.isnan("x") & (F.abs("x") != float("inf")), c("x"))
     rows = long_form(df.select(*[c(f).cast("double").alias(f) for f in features]).withColumn("_k", F.lit(1)), ["_k"], features).withColumn("v", x)
-    return rows.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(c("x").isNull()).alias("nulls"), F.count_if(c("x").isNotNull() & c("v").isNull()).alias("undefined"), F.countDistinct("v").alias("distinct"),
-        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
-        *[F.percentile("v", q).alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]).withColumn("constant", c("distinct") <= 1)
+    counts = rows.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(c("x").isNull()).alias("nulls"), F.count_if(c("x").isNotNull() & c("v").isNull()).alias("undefined"),
+        F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    values = rows.filter("v is not null").groupBy("feature", "v").agg(F.lit(1).alias("one")).groupBy("feature").agg(F.count("one").alias("distinct"))
+    quartiles = exact_quantiles(rows, "v", ["feature"], [0.25, 0.5, 0.75]).select("feature", *[c("q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))])
+    out = counts.join(values, "feature", "left").join(quartiles, "feature", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
+    return out.select("feature", "rows", "nulls", "undefined", "distinct", "mean", "std", "min", "max", "q25", "q50", "q75").withColumn("constant", c("distinct") <= 1)

@@ -211,17 +211,20 @@ def g10_three(spark, d):
 
 @add(
     "G10_online",
-    f"""WITH {ROWS}, f AS (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS fold), r AS (SELECT fold, row, o_orderkey, CASE WHEN row < 400 + fold * 150 - 20 AND row >= 400 + fold * 150 - 320 THEN 'train'
-        WHEN row >= 400 + fold * 150 AND row < 400 + (fold + 1) * 150 THEN 'test' END AS role FROM x, f),
-    d AS (SELECT fold, row, count(DISTINCT role) AS k FROM r WHERE role IS NOT NULL GROUP BY 1, 2), s AS (SELECT fold, count(*) FILTER (k > 1) AS shared FROM d GROUP BY 1)
-   
-    SELECT fold, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'test') AS other, round(avg(o_orderkey) FILTER (role = 'train'),
-        6) + 0.0 AS train_mean,
-           round(avg(o_orderkey) FILTER (role = 'test'), 6) + 0.0 AS other_mean, min(row) FILTER (role = 'test') - max(row) FILTER (role = 'train') - 1 AS gap, any_value(shared) AS shared
+    f"""WITH {ROWS}, f AS (SELECT CAST(unnest([0, 1, 2, 3]) AS INT) AS fold),
+    a AS (SELECT fold, row, o_orderkey, n * 2 // 5 + fold * (n * 3 // 20) AS begins, n * 3 // 20 AS size, n * 3 // 10 AS wide FROM x, f),
+    r AS (SELECT fold, row, o_orderkey, CASE WHEN row < begins - 20 AND row >= begins - 20 - wide THEN 'train' WHEN row >= begins AND row < begins + size THEN 'test' END AS role FROM a),
+    d AS (SELECT fold, row, count(DISTINCT role) AS k FROM r WHERE role IS NOT NULL GROUP BY 1, 2),
+    s AS (SELECT fold, count(*) FILTER (k > 1) AS shared FROM d GROUP BY 1)
+    SELECT fold, count(*) FILTER (role = 'train') AS train, count(*) FILTER (role = 'test') AS other,
+           round(avg(o_orderkey) FILTER (role = 'train'), 6) + 0.0 AS train_mean, round(avg(o_orderkey) FILTER (role = 'test'), 6) + 0.0 AS other_mean,
+           min(row) FILTER (role = 'test') - max(row) FILTER (role = 'train') - 1 AS gap, any_value(shared) AS shared
     FROM r JOIN s USING (fold) WHERE role IS NOT NULL GROUP BY 1""",
 )
 def g10_online(spark, d):
-    return G.split_report(G.online(ordered(spark, d), 400, 150, 4, 20, 300), "o_orderkey")
+    """Four folds of shares of all orders."""
+    first, size, window = (F.expr(f"n * {a} div {b}") for a, b in ((2, 5), (3, 20), (3, 10)))
+    return G.split_report(G.online(ordered(spark, d), first, size, 4, 20, window), "o_orderkey")
 
 
 @add(
@@ -263,7 +266,7 @@ def g14_extend(spark, d):
     """A store made of the bars up to a day, then brought up to date twice."""
     path, b = store.shared(spark), bars(spark, d)
     last = F.lit("2024-01-20").cast("timestamp_ntz")
-    C.extend(b.filter(c("ts") < last), path, ["vol_20"], "14 DAYS")
+    C.extend(b.filter((c("ts") < last) | (c("symbol") == "click")), path, ["vol_20"], "14 DAYS")  # the other symbols lag behind
     C.extend(b, path, ["vol_20"], "14 DAYS")
     C.extend(b, path, ["vol_20"], "14 DAYS", overlap="2 DAYS")
     return spark.read.parquet(path).select("symbol", "ts", "vol_20")
@@ -433,7 +436,7 @@ def w74_weights(spark, d):
     p AS (SELECT b.*, e.ts AS last, e.actual, e.forecast FROM b ASOF LEFT JOIN ev e ON b.ts >= e.ts),
     q AS (SELECT p.*, e.ts AS next FROM p ASOF LEFT JOIN ev e ON p.ts < e.ts),
     m AS (SELECT *, least(coalesce((epoch_us(ts) - epoch_us(last)) / 6e7, 1440), 1440) AS since, least(coalesce((epoch_us(next) - epoch_us(ts)) / 6e7, 1440), 1440) AS ahead FROM q)
-    SELECT symbol, id, round(since, 6) + 0.0 AS since_last, round(ahead, 6) + 0.0 AS to_next, CAST(since <= 15 OR ahead <= 15 AS INT) AS release_flag,
+    SELECT symbol, id, CAST(round(since * 6e7) AS BIGINT) AS since_last, CAST(round(ahead * 6e7) AS BIGINT) AS to_next, CAST(since <= 15 OR ahead <= 15 AS INT) AS release_flag,
            round(CASE WHEN since >= 1 THEN coalesce(least(greatest((actual - forecast) / 100, -5), 5), 0) ELSE 0.0 END, 6) + 0.0 AS surprise FROM m""",
 )
 def w76(spark, d):
@@ -442,7 +445,9 @@ def w76(spark, d):
 
     t = ticks(spark, d)
     releases = t.filter("symbol = 'error'").groupBy("ts").agg(F.avg("mid").alias("actual"), F.avg("volume").alias("forecast")).withColumn("prior", F.lit(100.0))
-    return K.calendar(t.filter("symbol <> 'error'").select("symbol", "id", "ts"), releases, 15).select("symbol", "id", "since_last", "to_next", "release_flag", "surprise")
+    found = K.calendar(t.filter("symbol <> 'error'").select("symbol", "id", "ts"), releases, 15)
+    whole = [F.round(c(x) * 6e7).cast("long").alias(x) for x in ("since_last", "to_next")]  # microseconds, so that nothing is rounded twice
+    return found.select("symbol", "id", *whole, "release_flag", "surprise")
 
 
 @add(

@@ -63,7 +63,7 @@ for name, amount, text, size in (
 )
 def a5(spark, d):
     t = ticks(spark, d)
-    return t.join(t.groupBy("symbol").agg(F.percentile("spread", 0.5).alias("m")), "symbol").select("id", F.least(c("spread"), 1.2 * c("m")).alias("spread"))
+    return S.with_quantiles(t, "spread", ["symbol"], {"m": 0.5}).select("id", F.least(c("spread"), 1.2 * c("m")).alias("spread"))
 
 
 @add(
@@ -209,7 +209,8 @@ def a18(spark, d):
 )
 def a19(spark, d):
     r = returns(spark, d)
-    return r.join(r.groupBy("symbol").agg(F.percentile("r", 0.05).alias("v")), "symbol").filter("r <= v").groupBy("symbol").agg((-F.max("v")).alias("var_95"), (-F.avg("r")).alias("cvar_95"))
+    tail = S.with_quantiles(r, "r", ["symbol"], {"v": 0.05}).filter("r <= v")
+    return tail.groupBy("symbol").agg((-F.max("v")).alias("var_95"), (-F.avg("r")).alias("cvar_95"))
 
 
 @add("A21_tick_quality", f"""WITH {TICKS}, l AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY symbol ORDER BY ts, id))) / 1e6 AS gap FROM ticks)
@@ -511,12 +512,13 @@ def t20(spark, d):
         ORDER BY ts) / close - 1 AS nx FROM bars),
     b AS (SELECT *, coalesce(pos * nx, 0) - 0.0001 * abs(pos - coalesce(lag(pos) OVER (PARTITION BY symbol ORDER BY ts), 0)) AS net FROM a) SELECT symbol, ts, {R('net')}, round(sum(ln(1 + greatest(net, -0.99))) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS log_equity FROM b""")
 def t21(spark, d):
-    from tidemark.functions.frames import lead, running
+    from tidemark.functions.frames import lead
+    from tidemark.operators.scans import running
 
     pos = F.signum(c("close") - c("open"))
     b = B.time_bars(ticks(spark, d)).withColumns({"pos": pos, "nx": lead("close") / c("close") - 1})
     b = b.withColumn("net", F.coalesce(c("pos") * c("nx"), F.lit(0.0)) - 0.0001 * F.abs(c("pos") - F.coalesce(lag("pos"), F.lit(0.0))))
-    return b.select("symbol", "ts", "net", F.sum(F.log1p(F.greatest("net", F.lit(-0.99)))).over(running()).alias("log_equity"))
+    return running(b, ["symbol"], ["ts"], F.trunc("ts", "month"), {"log_equity": ("sum", F.log1p(F.greatest("net", F.lit(-0.99))))}).select("symbol", "ts", "net", "log_equity")
 
 
 @add(

@@ -9,6 +9,7 @@ from tidemark.functions.text import HIGH_IMPACT
 from tidemark.plans.sql import BARS, TICKS
 from tidemark.operators.bars import time_bars
 from tidemark.sources import store as S
+from tidemark.sources.snapshots import Table, sink
 from tidemark.sources.tables import read, ticks
 from tidemark.streaming import jobs as J
 
@@ -108,10 +109,8 @@ def s12(spark, d):
     wide = t.select("id", c("ts").alias("ts_event"), *[x.alias(n) for i in (0, 1) for n, x in level(i).items()])
     wide.write.parquet(path)
     start = t.agg(F.avg(F.unix_micros(c("ts").cast("timestamp"))).alias("m")).select(F.timestamp_seconds(F.floor(c("m") / 1000000)).cast("timestamp_ntz").cast("string")).first()[0]
-    rows = spark.read.parquet(path)
-    q = S.depth(rows, "ts_event", start)
-    ids = rows.select("id", c("ts_event").alias("ts"), "bid_px_00")
-    return q.join(ids.withColumn("bid", c("bid_px_00") / 1e9).drop("bid_px_00"), ["ts", "bid"]).select("id", "bid", "ask", "volume", "mid", c("levels")[1]["ask"].alias("second_ask"))
+    q = S.depth(spark.read.parquet(path), "ts_event", start, keep=("id",))
+    return q.select("id", "bid", "ask", "volume", "mid", c("levels")[1]["ask"].alias("second_ask"))
 
 
 @add("S15_latest", f"WITH {TICKS} SELECT symbol, arg_max(id, (ts, id)) AS id, max(ts) AS ts FROM ticks GROUP BY 1")
@@ -266,3 +265,44 @@ def st10(spark, d):
 def st11(spark, d):
     docs = J.table_stream(spark, d, "documents", 1000)
     return J.to_files(J.enriched(docs.select("doc_id", "text"))).select("doc_id", "high")
+
+
+@add("S3_snapshot_range", f"WITH {TICKS} SELECT id, symbol, ts FROM ticks WHERE {IN} AND symbol IN ('click', 'view')")
+def s3_snapshot(spark, d):
+    """A snapshot table; of its files only those of two keys and a week are opened."""
+    table = Table(spark, S.shared(spark))
+    table.append(ticks(spark, d))
+    return table.read(keys=["click", "view"], start=SPAN[0], end=SPAN[1]).select("id", "symbol", "ts")
+
+
+@add("S5_snapshot_refresh", f"WITH {TICKS} SELECT symbol, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM ticks WHERE symbol <> 'error' OR id % 2 = 0 GROUP BY 1")
+def s5_snapshot(spark, d):
+    """A refresh after one key lost rows, as one commit: files of the other keys are the ones that were there before."""
+    table, t = Table(spark, S.shared(spark)), ticks(spark, d)
+    table.refresh(t)
+    table.refresh(t.filter("symbol <> 'error' or id % 2 = 0"))
+    return table.read().groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"))
+
+
+@add("S16_snapshot_versions", f"WITH {BARS} SELECT symbol, ts, round(close, 6) + 0.0 AS close, 2 AS versions FROM bars WHERE {IN}")
+def s16_snapshot(spark, d):
+    """Two versions of a feature table; the older one is still read as it was when the newer one is there."""
+    table, b = Table(spark, S.shared(spark)), time_bars(ticks(spark, d))
+    first = table.append(b)
+    table.replace(b.withColumn("close", c("close") * 0), b.select(c("symbol").alias("key")).distinct(), first)
+    return table.read(first, start=SPAN[0], end=SPAN[1]).select("symbol", "ts", "close", F.lit(len(table.versions())).alias("versions"))
+
+
+@add("S14_snapshot_sink", f"WITH {TICKS} SELECT symbol, count(*) AS rows, CAST(sum(id) AS BIGINT) AS ids FROM ticks GROUP BY 1")
+def s14_snapshot(spark, d):
+    """Stream batches appended as snapshots, each of them delivered twice."""
+    table = Table(spark, S.shared(spark))
+    once = sink(table, "ticks")
+
+    def twice(df, batch_id):
+        once(df, batch_id)
+        once(df, batch_id)
+
+    stream = stream_ticks(spark, d).withColumn("ts", c("ts").cast("timestamp_ntz"))
+    stream.writeStream.foreachBatch(twice).option("checkpointLocation", J.work_folder(spark)).trigger(availableNow=True).start().awaitTermination()
+    return table.read().groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum("id").alias("ids"))

@@ -156,19 +156,26 @@ def read_export(spark: SparkSession, path: str, symbol: str, half_spread: float
     return out.filter("ts is not null and bid is not null and ask is not null")
 
 
-def depth(df: DataFrame, ts: str, start: str | None = None, end: str | None = None, inverted: bool = False) -> DataFrame:
+def price_scale(df: DataFrame, column: str = "bid_px_00") -> float:
+    """1e9 if a table's prices are in units of 1e-9 (half of them or more are above 10,000 in size), 1 otherwise."""
+    middle = df.agg(F.percentile_approx(F.abs(column), 0.5)).first()[0]
+    return 1e9 if middle is not None and middle > 10_000 else 1.0
+
+
+def depth(df: DataFrame, ts: str, start: str | None = None, end: str | None = None, inverted: bool = False, scale: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Quotes and levels from a market-by-price table with wide columns bid_px_00, bid_sz_00, ask_px_00 and so on.
 
-    ts, bid, ask, volume (mean size of the first level), mid, spread, and levels, an array with price and size of both sides
-    for each level that the table has. Prices in units of 1e-9 (above 10,000) are scaled, row by row; inverted: quotes of the other
-    currency. Only the range [start, end] is read."""
+    The columns keep, ts, bid, ask, volume (mean size of the first level), mid, spread, and levels, an array with price and size of
+    both sides for each level that the table has. scale: what prices are divided by, told from the whole table if not given, so that
+    small and negative prices are scaled like the others; inverted: quotes of the other currency. Only the range
+    [start, end] is read."""
     n = sum(f"bid_px_{i:02d}" in df.columns for i in range(100))
+    scale = price_scale(df) if scale is None else scale
     t = F.col(ts)
     if start:
         df = df.filter(t >= F.lit(start).cast(dict(df.dtypes)[ts]))
     if end:
         df = df.filter(t <= F.lit(end).cast(dict(df.dtypes)[ts]))
-    scale = F.when(F.col("bid_px_00") > 10_000, 1e9).otherwise(1.0)
     price = lambda side, i: F.col(f"{side}_px_{i:02d}") / scale
     level = lambda i: F.struct(*[x.cast("double").alias(n) for s in ("bid", "ask") for x, n in ((price(s, i), f"{s}"), (F.col(f"{s}_sz_{i:02d}"), f"{s}_size"))])
     bid, ask = price("bid", 0), price("ask", 0)
@@ -176,7 +183,7 @@ def depth(df: DataFrame, ts: str, start: str | None = None, end: str | None = No
         df = df.filter((F.col("bid_px_00") > 1e-12) & (F.col("ask_px_00") > 1e-12))
         bid, ask = 1 / ask, 1 / bid
     volume = (F.col("bid_sz_00") + F.col("ask_sz_00")) / 2.0
-    out = df.select(t.alias("ts"), bid.alias("bid"), ask.alias("ask"), volume.alias("volume"), F.array(*map(level, range(n))).alias("levels"))
+    out = df.select(*keep, t.alias("ts"), bid.alias("bid"), ask.alias("ask"), volume.alias("volume"), F.array(*map(level, range(n))).alias("levels"))
     return out.withColumns({"mid": (F.col("bid") + F.col("ask")) / 2, "spread": F.col("ask") - F.col("bid")})
 
 
