@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,10 +71,22 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Seconds between two looks for shuffles that nothing refers to, and when the last one was.
+SWEEP, _SWEPT = 3.0, [0.0]
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder that all executors share, and go on from those files."""
+    """Write df to the checkpoint folder that all executors share, and go on from those files.
+
+    Spark drops a shuffle's files once the driver's garbage collector has found that nothing refers to it. Operators of many short
+    rounds fill the disks long before the driver needs memory, so it is asked to look, every few seconds at most."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    if time.monotonic() - _SWEPT[0] > SWEEP:
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
+        _SWEPT[0] = time.monotonic()
+    return done
 
 
 #: Bytes that a row of a few narrow columns takes in a broadcast table.
