@@ -147,3 +147,21 @@ def test_small_and_negative_prices_are_scaled_with_the_rest(spark):
     plain = wide.withColumns({x: F.col(x) / 1e9 for x in ("bid_px_00", "ask_px_00")})
     assert all(abs(r.bid - prices[r.id]) < 1e-9 for r in store.depth(plain, "t", keep=("id",)).collect())
     assert {r.id: r.bid for r in store.depth(wide, "t", scale=1.0, keep=("id",)).collect()}[2] == 1.1e9
+
+
+# exports
+
+
+def test_a_folder_of_exports_in_three_forms(spark, tmp_path):
+    put = {
+        "a [1].csv": "Gmt time,Bid,Ask,Volume\n2024-01-02T10:00:00.123Z,1.1,1.2,5\n2024-01-02T10:00:01.000Z,1.3,1.4,6\nbroken,x,y,z\n",
+        "b.csv": "2024.01.02;10:00:02;1.5;1.6;7\n2024.01.02;10:00:03;1.7;1.8;8\n",
+        "c+d.txt": "Date\tTime\tOpen\tHigh\tLow\tClose\tVolume\n2024.01.02\t10:00\t1\t3\t0.5\t2\t9\n",
+        "empty.csv": "",
+    }
+    for name, text in put.items():
+        (tmp_path / name).write_text(text)
+    got = store.read_export(spark, str(tmp_path), F.regexp_extract("_file", "([^/]*)$", 1), half_spread=0.25)
+    found = sorted((r.ts.strftime("%H:%M:%S"), r.bid, r.ask, r.volume) for r in got.collect())
+    assert found == [("10:00:00", 1.1, 1.2, 5.0), ("10:00:00", 1.75, 2.25, 9.0), ("10:00:01", 1.3, 1.4, 6.0), ("10:00:02", 1.5, 1.6, 7.0), ("10:00:03", 1.7, 1.8, 8.0)]
+    assert got.select("symbol").distinct().count() == 3

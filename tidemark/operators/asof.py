@@ -74,23 +74,34 @@ def asof_next(left: DataFrame, right: DataFrame, key: list[str], values: list[st
     return found.select("_own.*", *[F.col(f"_f.{v}").alias(v) for v in values], *([F.col("_f._at").alias(keep_time)] if keep_time else []))
 
 
-def in_event_windows(rows: DataFrame, events: DataFrame, before_min: int, after_min: int, cell_min: int = 60, key: list[str] | None = None) -> DataFrame:
+def nearest_events(rows: DataFrame, events: DataFrame, key: list[str], before: str, after: str, seconds: int = CELL) -> DataFrame:
+    """rows with the times of the last event at or before each one, and of the first after it: two as-of joins, so no row meets
+    more than one event of a side, however dense both are. events: key and ts."""
+    tick = F.expr("INTERVAL 1 MICROSECOND")
+    one = events.select(*key, F.col("ts").alias("_e")).filter("_e is not null")
+    past = asof(rows, one, key, [], right_ts="_e", keep_time=before, seconds=seconds)
+    both = asof_next(past, one.withColumn("_e", F.col("_e") - tick), key, [], right_ts="_e", keep_time=after, seconds=seconds)
+    return both.withColumn(after, F.col(after) + tick)
+
+
+def in_event_windows(rows: DataFrame, events: DataFrame, before_min: int, after_min: int, key: list[str] | None = None, seconds: int = CELL) -> DataFrame:
     """Flags near_before and near_after: an event follows within before_min minutes, or came at most after_min ago.
 
-    Events go to the time cells that their windows touch, so the join is by equal cell. Flags are made once for each time
-    of a key and joined to the rows, so equal rows all stay and wide ones are no key; a row without a time is near nothing."""
-    key = key or []
-    cell = lambda t: F.floor(F.unix_timestamp(t.cast("timestamp")) / (60 * cell_min))
-    lo, hi = F.col("ev") - F.expr(f"INTERVAL {before_min} MINUTES"), F.col("ev") + F.expr(f"INTERVAL {after_min} MINUTES")
-    spread = events.select(*key, F.col("ts").alias("ev")).distinct().withColumn("_cell", F.explode(F.sequence(cell(lo), cell(hi))))
-    at = rows.select(*key, "ts").filter("ts is not null").distinct().withColumn("_cell", cell(F.col("ts")))
-    hit = at.join(spread, [*key, "_cell"], "left")
-    after = (F.col("ts") >= F.col("ev")) & (F.col("ts") <= hi)
-    ahead = (F.col("ts") < F.col("ev")) & (F.col("ts") >= lo)
-    flag = lambda x: F.max(F.coalesce(x, F.lit(False)).cast("int"))
-    flags = hit.groupBy(*key, "ts").agg(flag(ahead).alias("near_before"), flag(after).alias("near_after"))
-    none = {x: F.coalesce(F.col(x), F.lit(0)) for x in ("near_before", "near_after")}
-    return rows.join(flags, [*key, "ts"], "left").select(*rows.columns, *none).withColumns(none)
+    The nearest event on each side decides. Equal rows all stay; a row without a time is near nothing."""
+    both = nearest_events(rows, events, key or [], "_past", "_next", seconds)
+    after = F.col("ts") <= F.col("_past") + F.expr(f"INTERVAL {after_min} MINUTES")
+    ahead = F.col("ts") >= F.col("_next") - F.expr(f"INTERVAL {before_min} MINUTES")
+    flags = {n: F.coalesce(x, F.lit(False)).cast("int") for n, x in (("near_before", ahead), ("near_after", after))}
+    return both.select(*rows.columns, *[x.alias(n) for n, x in flags.items()])
+
+
+def nearness(rows: DataFrame, anchors: DataFrame, within_s: float, most: float, key: list[str] | None = None, name: str = "weight", seconds: int = CELL) -> DataFrame:
+    """rows with a weight of 1 far from any anchor, rising evenly to most at one, from within_s seconds on."""
+    both = nearest_events(rows, anchors, key or [], "_past", "_next", seconds)
+    micros = lambda x: F.unix_micros(F.col(x).cast("timestamp"))
+    away = F.least(micros("ts") - micros("_past"), micros("_next") - micros("ts")) / 1e6
+    near = F.when(away <= within_s, 1.0 + (most - 1.0) * (1 - away / within_s))
+    return both.select(*rows.columns, F.coalesce(near, F.lit(1.0)).alias(name))
 
 
 def forward_fill(df: DataFrame, columns: list[str], key: list[str], order: list[str], seconds: int = CELL) -> DataFrame:

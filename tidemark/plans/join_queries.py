@@ -127,11 +127,7 @@ def j12(spark, d):
 def j13(spark, d):
     """Rows near an anchor weigh more, the nearer the more."""
     t = ticks(spark, d)
-    cell = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 900)
-    anchors = t.filter("symbol = 'error'").select(F.col("ts").alias("e"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell")).distinct()
-    away = F.abs(F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("e").cast("timestamp"))) / 1e6
-    hit = t.filter("symbol <> 'error'").withColumn("cell", cell).join(anchors, "cell", "left")
-    return hit.groupBy("id").agg(F.coalesce(F.max(F.when(away <= 900, 1.0 + 2.0 * (1 - away / 900.0))), F.lit(1.0)).alias("weight"))
+    return J.nearness(t.filter("symbol <> 'error'").select("id", "ts"), t.filter("symbol = 'error'"), 900.0, 3.0).select("id", "weight")
 
 
 @add("J14_session_gap", f"""WITH {TICKS},

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import rounded
+from tidemark.operators import passage
 from tidemark.operators import bars as B
 from tidemark.operators import governance as G
 from tidemark.operators import indicators as I
@@ -40,15 +41,31 @@ def with_atr(spark, d):
     return I.atr(B.time_bars(ticks(spark, d)), (6,))
 
 
-@add("L1_triple_barrier", f"""WITH {ATR},
-    p AS (SELECT *, {LIST('bid_close', 2, 11)} AS pb, {LIST('ask_close', 2, 11)} AS pa, lead(ask_close) OVER w AS el, lead(bid_close) OVER w AS es,
-        lead(atr_6) OVER w AS a FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-    h AS (SELECT *, coalesce(len(pb), 0) = 10 AND a IS NOT NULL AS whole, {HIT('pb', 'v >= el + 1.2 * a')} AS lp, {HIT('pb', 'v <= el - 0.8 * a')} AS ls,
-        {HIT('pa', 'v <= es - 1.2 * a')} AS sp, {HIT('pa', 'v >= es + 0.8 * a')} AS ss FROM p),
-    o AS (SELECT *, CASE WHEN NOT whole THEN NULL WHEN lp IS NOT NULL AND (ls IS NULL OR lp <= ls) THEN 1 WHEN ls IS NOT NULL THEN -1 ELSE 0 END AS long_outcome, CASE WHEN NOT whole THEN NULL WHEN sp IS NOT NULL AND (ss IS NULL OR sp <= ss) THEN 1 WHEN ss IS NOT NULL THEN -1 ELSE 0 END AS short_outcome FROM h)
-    SELECT symbol, ts, long_outcome, short_outcome, CASE WHEN whole THEN CAST(coalesce(least(lp, ls), 10) AS INT) END AS long_time, CASE WHEN whole THEN CAST(coalesce(least(sp, ss), 10) AS INT) END AS short_time, CAST(long_outcome = 1 AS INT) - CAST(short_outcome = 1 AS INT) AS tb_label FROM o""")
+def barrier_sql(horizon, profit, stop):
+    side = lambda p, s: f"CASE WHEN NOT whole THEN NULL WHEN {p} IS NOT NULL AND ({s} IS NULL OR {p} <= {s}) THEN 1 WHEN {s} IS NOT NULL THEN -1 ELSE 0 END"
+    return f"""WITH {ATR},
+    p AS (SELECT *, {LIST('bid_close', 2, horizon + 1)} AS pb, {LIST('ask_close', 2, horizon + 1)} AS pa, lead(ask_close) OVER w AS el,
+        lead(bid_close) OVER w AS es, lead(atr_6) OVER w AS a FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    h AS (SELECT *, coalesce(len(pb), 0) = {horizon} AND a IS NOT NULL AS whole, {HIT('pb', f'v >= el + {profit} * a')} AS lp,
+        {HIT('pb', f'v <= el - {stop} * a')} AS ls, {HIT('pa', f'v <= es - {profit} * a')} AS sp, {HIT('pa', f'v >= es + {stop} * a')} AS ss FROM p),
+    o AS (SELECT *, {side('lp', 'ls')} AS long_outcome, {side('sp', 'ss')} AS short_outcome FROM h)
+    SELECT symbol, ts, long_outcome, short_outcome, CASE WHEN whole THEN CAST(coalesce(least(lp, ls), {horizon}) AS INT) END AS long_time,
+           CASE WHEN whole THEN CAST(coalesce(least(sp, ss), {horizon}) AS INT) END AS short_time,
+           CAST(long_outcome = 1 AS INT) - CAST(short_outcome = 1 AS INT) AS tb_label FROM o"""
+
+
+BARRIER = ["symbol", "ts", "long_outcome", "short_outcome", "long_time", "short_time", "tb_label"]
+
+
+@add("L1_long_barrier", barrier_sql(60, 5.0, 4.0))
+def l1_long(spark, d):
+    """A long horizon with far barriers, by tables of ranges' extremes."""
+    return passage.triple_barrier(with_atr(spark, d), 60, profit=5.0, stop=4.0).select(*BARRIER)
+
+
+@add("L1_triple_barrier", barrier_sql(10, 1.2, 0.8))
 def l1(spark, d):
-    return L.triple_barrier(with_atr(spark, d)).select("symbol", "ts", "long_outcome", "short_outcome", "long_time", "short_time", "tb_label")
+    return L.triple_barrier(with_atr(spark, d)).select(*BARRIER)
 
 
 @add("L2_L4_reward", f"""WITH {ATR},
@@ -110,15 +127,8 @@ def l7(spark, d):
         FROM p, g WHERE len(p) = 10 AND atr_6 IS NOT NULL),
     r AS (SELECT profit, CASE WHEN u IS NOT NULL AND (dn IS NULL OR u <= dn) THEN profit WHEN dn IS NOT NULL THEN -0.8 ELSE 0.0 END AS r FROM h) SELECT profit, count(*) AS n, round(avg(r), 6) + 0.0 AS mean_r, round(avg(CAST(r > 0 AS INT)), 6) + 0.0 AS win_rate FROM r GROUP BY 1""")
 def l8(spark, d):
-    """Each row's path is made once; a fixed list of parameters is folded over it."""
-    from tidemark.functions.frames import following
-
-    b = with_atr(spark, d).withColumn("p", F.collect_list("close").over(following(1, 10))).filter((F.size("p") == 10) & c("atr_6").isNotNull())
-    b = b.withColumn("profit", F.explode(F.array(*[F.lit(x) for x in (0.8, 1.2, 1.6)])))
-    u = L.first_hit("p", lambda v: v >= c("close") + c("profit") * c("atr_6"))
-    dn = L.first_hit("p", lambda v: v <= c("close") - 0.8 * c("atr_6"))
-    b = b.withColumns({"u": u, "dn": dn}).withColumn("r", F.when(c("u").isNotNull() & (c("dn").isNull() | (c("u") <= c("dn"))), c("profit")).when(c("dn").isNotNull(), -0.8).otherwise(0.0))
-    return b.groupBy("profit").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("mean_r"), F.avg((c("r") > 0).cast("int")).alias("win_rate"))
+    """One table of ranges' extremes a bucket serves all parameters."""
+    return passage.barrier_grid(with_atr(spark, d), [0.8, 1.2, 1.6], 0.8, 10)
 
 
 @add(

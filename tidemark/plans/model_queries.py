@@ -379,8 +379,9 @@ PASSED = "date_trunc('milliseconds', ts) < (SELECT max(date_trunc('milliseconds'
     SELECT symbol, id, sma, warm FROM x WHERE {PASSED}""",
 )
 def st5(spark, d):
-    s = jobs.parsed(jobs.as_messages(jobs.events(spark, d)))
-    return jobs.to_files(jobs.keyed_state(s, jobs.sma_step(20), [], ["sma", "warm"]))
+    from tidemark.plans.store_queries import stateful
+
+    return stateful(spark, d, jobs.sma_step(20), [], ["sma", "warm"])
 
 
 @add(
@@ -399,8 +400,9 @@ def st5(spark, d):
     FROM p LEFT JOIN h ON h.symbol = p.symbol AND h.n = p.n WHERE {PASSED.replace("ts)", "p.ts)", 1)}""",
 )
 def st8(spark, d):
-    s = jobs.parsed(jobs.as_messages(jobs.events(spark, d)))
-    return jobs.to_files(jobs.keyed_state(s, jobs.lookahead_step(), [], ["corr", "alert"]))
+    from tidemark.plans.store_queries import stateful
+
+    return stateful(spark, d, jobs.lookahead_step(), [], ["corr", "alert"])
 
 
 @add(

@@ -12,6 +12,7 @@ from tidemark.sources import store as S
 from tidemark.sources.snapshots import Table, sink
 from tidemark.sources.tables import read, ticks
 from tidemark.streaming import jobs as J
+from tidemark.streaming import state
 
 QUERIES, SQL = {}, {}
 
@@ -87,7 +88,7 @@ def s10(spark, d):
 @add("S11_tick_export", f"""SELECT event_type AS symbol, make_timestamp(2024, 1, 1 + event_id % 28, 10, 0, 0) AS ts, round(round(value, 2) - 0.01, 6) + 0.0 AS bid,
     round(round(value, 2) + 0.01, 6) + 0.0 AS ask, CAST(event_id % 7 AS DOUBLE) AS volume FROM events WHERE event_type IN ('click', 'view')""")
 def s11(spark, d):
-    """Two exports of different forms, written and read again: one with a header and one time column, one without and with two."""
+    """Two exports of different forms in one folder: one with a header and one time column, one without and with two."""
     e, path = read(spark, d, "events"), S.shared(spark)
     day = F.lpad((1 + c("event_id") % 28).cast("string"), 2, "0")
     price = F.round("value", 2)
@@ -96,7 +97,7 @@ def s11(spark, d):
     header = spark.createDataFrame([("Gmt time,Bid,Ask,Volume",)], "l string")
     header.unionByName(named).coalesce(1).write.text(path + "/click")  # a file has its header first
     e.filter("event_type = 'view'").select(F.concat_ws(";", F.concat(F.lit("2024.01."), day), F.lit("10:00:00"), *cells)).write.text(path + "/view")
-    return S.read_export(spark, path + "/click", "click").unionByName(S.read_export(spark, path + "/view", "view"))
+    return S.read_export(spark, [path + "/click", path + "/view"], F.regexp_extract("_file", "/(click|view)/[^/]+$", 1))
 
 
 @add("S12_depth_range", f"""WITH {TICKS}, w AS (SELECT avg(epoch_us(ts)) AS m FROM ticks)
@@ -153,6 +154,12 @@ def stream_ticks(spark, d):
     return J.parsed(J.as_messages(J.events(spark, d)))
 
 
+def stateful(spark, d, step, start, names, value=None):
+    """Ticks through a step in event order, with state in RocksDB."""
+    with state.rocksdb(spark):
+        return J.to_files(state.keyed_state(stream_ticks(spark, d), step, start, names, value))
+
+
 @add("S13_ST1_parse", f"WITH {TICKS} SELECT id, symbol, round(bid, 6) + 0.0 AS bid, round(ask, 6) + 0.0 AS ask FROM ticks")
 def st1(spark, d):
     return J.to_files(stream_ticks(spark, d)).select("id", "symbol", "bid", "ask")
@@ -197,7 +204,7 @@ IN_ORDER = "PARTITION BY symbol ORDER BY ts, id ROWS UNBOUNDED PRECEDING"
     SELECT symbol, id, round(e, 6) + 0.0 AS ema, round(m + 3.1e-8, 6) + 0.0 AS mean, round(s, 6) + 0.0 AS std FROM x WHERE {PASSED}""",
 )
 def st6(spark, d):
-    out = J.to_files(J.keyed_state(stream_ticks(spark, d), J.ema_step(20), [0.0] * 4, ["ema", "mean", "std"]))
+    out = stateful(spark, d, J.ema_step(20), [0.0] * 4, ["ema", "mean", "std"])
     return out.withColumn("mean", c("mean") + 3.1e-8)  # prices have two digits: off the ties of rounding
 
 
@@ -210,7 +217,7 @@ def st6(spark, d):
     4,
 )
 def st7(spark, d):
-    return J.to_files(J.keyed_state(stream_ticks(spark, d), J.page_hinkley_step(0.5), [0.0] * 4, ["ph"]))
+    return stateful(spark, d, J.page_hinkley_step(0.5), [0.0] * 4, ["ph"])
 
 
 ERROR = "CAST(mid > 250 AS INT)"
@@ -226,7 +233,7 @@ ERROR = "CAST(mid > 250 AS INT)"
     FROM l WHERE {PASSED}""",
 )
 def st7_ddm(spark, d):
-    return J.to_files(J.keyed_state(stream_ticks(spark, d), J.ddm_step(), [0.0] * 4, ["ddm"], c("mid") > 250))
+    return stateful(spark, d, J.ddm_step(), [0.0] * 4, ["ddm"], c("mid") > 250)
 
 
 @add(
@@ -240,12 +247,12 @@ def st7_ddm(spark, d):
     FROM a ASOF LEFT JOIN r ON r.symbol = a.symbol AND r.n <= a.n WHERE {PASSED}""",
 )
 def st7_eddm(spark, d):
-    return J.to_files(J.keyed_state(stream_ticks(spark, d), J.eddm_step(), [0.0] * 5, ["eddm"], c("mid") > 250))
+    return stateful(spark, d, J.eddm_step(), [0.0] * 5, ["eddm"], c("mid") > 250)
 
 
 @add("ST7_adwin_vote", None)
 def st7_vote(spark, d):
-    return J.to_files(J.keyed_state(stream_ticks(spark, d), J.vote_step(), [], ["hinkley", "ddm", "eddm", "adwin", "share"], c("mid") > 250))
+    return stateful(spark, d, J.vote_step(), [], ["hinkley", "ddm", "eddm", "adwin", "share"], c("mid") > 250)
 
 
 @add("ST9_S14_latest_sink", f"WITH {TICKS} SELECT symbol, arg_max(id, (ts, id)) AS id FROM ticks GROUP BY 1")

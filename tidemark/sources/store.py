@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -133,18 +134,40 @@ def export_format(first: str) -> dict:
     return {"sep": sep, "header": False, "columns": list(HEADLESS[len(cells)])}
 
 
-def read_export(spark: SparkSession, path: str, symbol: str, half_spread: float = 0.0) -> DataFrame:
-    """symbol, ts, bid, ask, volume from a tick or bar export of any of the known forms.
+def first_lines(spark: SparkSession, path: str | list[str]) -> dict[str, str]:
+    """The first line of each file under path, by file; a row for each file comes to the driver."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("nth"))
+    found = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "nth").alias("first"))
+    file = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))  # as a path, not as a URI
+    return {r[0]: r[1] for r in found.select(file, "first").collect()}
 
-    The form is told from the first line; files of one path have one form. Bars get a bid and an ask around their close,
-    half_spread away. Rows without a time or a price are left out."""
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        return spark.createDataFrame([], "symbol string, ts timestamp_ntz, bid double, ask double, volume double")
-    form = export_format(first[0][0])
-    names = [f"_{i}" for i in range(len(form["columns"]))]
-    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path, sep=form["sep"], header=form["header"], mode="PERMISSIVE", enforceSchema=True)
-    at = {what: F.trim(F.col(n)) for n, what in zip(names, form["columns"]) if what}
+
+EXPORT = "symbol string, ts timestamp_ntz, bid double, ask double, volume double"
+
+
+def read_export(spark: SparkSession, path: str | list[str], symbol: str | Column, half_spread: float = 0.0) -> DataFrame:
+    """symbol, ts, bid, ask, volume from tick or bar exports of any of the known forms.
+
+    The form of each file is told from its first line, so one folder may hold several; files of one form are read together, each of them in as
+    many tasks as it is long. symbol: a name for all, or a column made of _file, the file's path. Bars get a bid and an ask around their
+    close, half_spread away. Rows without a time or a price are left out."""
+    forms: dict[tuple, list[str]] = {}
+    for file, first in sorted(first_lines(spark, path).items()):
+        form = export_format(first)
+        forms.setdefault((form["sep"], form["header"], tuple(form["columns"])), []).append(file)
+    out = spark.createDataFrame([], EXPORT)
+    for (sep, header, columns), files in forms.items():
+        out = out.unionByName(exported(spark, files, sep, header, columns, symbol, half_spread))
+    return out
+
+
+def exported(spark: SparkSession, files: list[str], sep: str, header: bool, columns: tuple[str | None, ...], symbol: str | Column, half_spread: float) -> DataFrame:
+    """The rows of files that have one form."""
+    names = [f"_{i}" for i in range(len(columns))]
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", f) for f in files]  # a path is taken for a pattern
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(literal, sep=sep, header=header, mode="PERMISSIVE", enforceSchema=True)
+    rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+    at = {what: F.trim(F.col(n)) for n, what in zip(names, columns) if what}
     text = at["datetime"] if "datetime" in at else F.concat_ws(" ", at["date"], at.get("time", F.lit(None)))
     text = F.regexp_replace(F.regexp_replace(text, "(\\d)T(\\d)", "$1 $2"), r"(\.\d+)?( ?(Z|UTC|GMT))?$", "") if "datetime" in at else text
     clean = F.regexp_replace(text, r"(\d\d:\d\d:\d\d)[.,]\d+$", "$1")
@@ -152,7 +175,8 @@ def read_export(spark: SparkSession, path: str, symbol: str, half_spread: float
     number = lambda what: at[what].try_cast("double")
     bid, ask = (number("bid"), number("ask")) if "bid" in at else (number("close") - half_spread, number("close") + half_spread)
     volume = number("volume") if "volume" in at else F.lit(None).cast("double")
-    out = rows.select(F.lit(symbol).alias("symbol"), ts.alias("ts"), bid.alias("bid"), ask.alias("ask"), volume.alias("volume"))
+    named = F.lit(symbol) if isinstance(symbol, str) else symbol
+    out = rows.select(named.alias("symbol"), ts.alias("ts"), bid.alias("bid"), ask.alias("ask"), volume.alias("volume"))
     return out.filter("ts is not null and bid is not null and ask is not null")
 
 
