@@ -11,6 +11,7 @@ from tidemark.operators import bars as B
 from tidemark.operators import governance as G
 from tidemark.operators import indicators as I
 from tidemark.operators import models as M
+from tidemark.operators import order_stats
 from tidemark.operators import stats as S
 from tidemark.plans.indicator_queries import s_ema
 from tidemark.plans.sql import BARS, TICKS, ret, roll
@@ -417,3 +418,25 @@ def st13(spark, d):
     roll50 = Roll(50, key=("l_returnflag",), order=("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
     x = read(spark, d, "lineitem").withColumn("r", c("l_discount") - 0.05)
     return x.select("l_returnflag", "l_orderkey", "l_linenumber", (roll50.avg(c("r")) / (roll50.std(c("r")) + 1e-9)).alias("sharpe"), roll50.avg((c("r") > 0).cast("int")).alias("win_rate"))
+
+
+#: Bars of five minutes, enough for frames of a day and more.
+SHORT_BARS = BARS.replace("INTERVAL '6 hours'", "INTERVAL '5 minutes'")
+
+
+@add(
+    "W13_full_window",
+    f"""WITH {SHORT_BARS}, r AS (SELECT symbol, ts, {ret()} AS r FROM bars),
+    v AS (SELECT *, {roll('q0.05', 'r', 1440, 60, 1)} AS a, {roll('q0.01', 'r', 1440, 60, 1)} AS b FROM r)
+    SELECT symbol, ts, round(a, 6) + 0.0 AS var_95, round(b, 6) + 0.0 AS var_99, coalesce(CAST(r < a AS INT), 0) AS breach_95, coalesce(CAST(r < b AS INT), 0) AS breach_99 FROM v""",
+)
+def w13_full(spark, d):
+    """Historical value at risk over the last 1,440 bars."""
+    r = B.time_bars(ticks(spark, d), "5 minutes").select("symbol", "ts", log_return().alias("r"))
+    return order_stats.value_at_risk(r, "r").select("symbol", "ts", "var_95", "var_99", "breach_95", "breach_99")
+
+
+@add("W37_full_window", f"WITH {SHORT_BARS}, v AS (SELECT symbol, ts, spread / ({roll('q0.5', 'spread', 120)} + 1e-9) AS v FROM bars) SELECT symbol, ts, round(v, 6) + 0.0 AS liquidity_vacuum FROM v")
+def w37_full(spark, d):
+    """Spread over its median of the last 120 bars."""
+    return order_stats.vacuum(B.time_bars(ticks(spark, d), "5 minutes").select("symbol", "ts", "spread")).select("symbol", "ts", "liquidity_vacuum")
