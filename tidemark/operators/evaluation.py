@@ -60,6 +60,35 @@ def promotion(metrics: DataFrame, key: list[str], rules: tuple[tuple[str, str, f
     return metrics.select(*key, F.explode(F.array(*rows)).alias("r")).select(*key, "r.*")
 
 
+def promotion_metrics(trades: DataFrame, key: list[str], order: list[str], trials: int = 1, per_year: float = 252.0, least_drawdown: float = 0.01, cell: Column | None = None) -> DataFrame:
+    """key and the twelve metrics of PROMOTION out of trades with r (net return), regime, cost, latency_ms and day.
+
+    calmar is Sharpe over drawdown (at least least_drawdown), turnover is trades a day that has any, cost_share the costs in the
+    returns won, regime_concentration the largest share of a regime's net result in all regimes' absolute ones. The
+    drawdown comes from a scan in cells, so no task holds all trades of a model."""
+    from tidemark.operators.stats import drawdowns
+
+    won, lost = F.sum(F.when(c("r") > 0, c("r"))), -F.sum(F.when(c("r") < 0, c("r")))
+    plain = trades.groupBy(*key).agg(
+        F.count(F.lit(1)).cast("double").alias("trades"), (F.avg("r") / F.stddev_samp("r") * math.sqrt(per_year)).alias("sharpe"), F.try_divide(won, lost).alias("profit_factor"),
+        F.try_divide(F.sum("cost"), won).alias("cost_share"), F.avg("latency_ms").alias("_latency"),
+    )
+    days = trades.groupBy(*key, "day").agg(F.lit(1).alias("one")).groupBy(*key).agg(F.count("one").alias("_days"))
+    regimes = trades.groupBy(*key, "regime").agg(F.abs(F.sum("r")).alias("_net")).groupBy(*key).agg(F.try_divide(F.max("_net"), F.sum("_net")).alias("regime_concentration"))
+    deep = drawdowns(trades, "r", key, order, cell).groupBy(*key).agg((-F.min("drawdown")).alias("max_drawdown"))
+    chances = sharpe_tests(trades, key, trials, per_year).select(*key, "psr", "dsr")
+    out = plain
+    for part in (days, regimes, deep, chances):  # a row a key
+        out = out.join(part, key)
+    ratios = {
+        "calmar": c("sharpe") / F.greatest("max_drawdown", F.lit(least_drawdown)),
+        "sharpe_per_turnover": F.try_divide(c("sharpe"), c("trades") / c("_days")),
+        "sharpe_per_drawdown": F.when(c("max_drawdown") > 0, c("sharpe") / c("max_drawdown")).otherwise(c("sharpe") * 100),
+        "sharpe_per_latency": F.try_divide(c("sharpe"), c("_latency")),
+    }
+    return out.withColumns(ratios).drop("_latency", "_days")
+
+
 def fold_isolation(rows: DataFrame, role: str, ts: str, fold: list[str], embargo: int, share: float = 0.8) -> DataFrame:
     """fold, train_last, first, gap and need (seconds), overlap, tight, isolated: whether a fold's validation rows start after its
     training rows and far enough off, in embargo times the median step of the training times (T15).

@@ -331,6 +331,34 @@ def t23_gates(spark, d):
     return E.promotion(m.join(shares, "model").withColumn("sharpe_per_drawdown", c("sharpe") / c("max_drawdown")), ["model"])
 
 
+@add(
+    "T23_all_rules",
+    f"""WITH a AS (SELECT l_returnflag AS model, l_linestatus AS regime, l_shipdate AS day, l_discount - 0.045 AS r, 0.01 * l_tax AS cost, 10.0 + l_linenumber AS latency_ms,
+        row_number() OVER (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber) AS rn FROM lineitem),
+    e AS (SELECT *, sum(ln(1 + r)) OVER (PARTITION BY model ORDER BY rn) AS e FROM a),
+    f AS (SELECT model, -min(exp(e - greatest(b, 0.0)) - 1) AS max_drawdown FROM (SELECT *, max(e) OVER (PARTITION BY model ORDER BY rn) AS b FROM e) GROUP BY 1),
+    g AS (SELECT model, max(s) / sum(s) AS regime_concentration FROM (SELECT model, regime, abs(sum(r)) AS s FROM a GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT model, CAST(count(*) AS DOUBLE) AS trades, avg(r) / stddev_samp(r) AS sr, sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0) AS profit_factor,
+        sum(cost) / sum(r) FILTER (r > 0) AS cost_share, avg(latency_ms) AS latency, count(DISTINCT day) AS days,
+        avg(r) AS m1, avg(r ** 2) AS m2, avg(r ** 3) AS m3, avg(r ** 4) AS m4 FROM a GROUP BY 1),
+    v AS (SELECT *, m2 - m1 * m1 AS v FROM t),
+    s AS (SELECT *, (m3 - 3 * m1 * m2 + 2 * m1 ** 3) / pow(v, 1.5) AS sk, (m4 - 4 * m1 * m3 + 6 * m1 * m1 * m2 - 3 * m1 ** 4) / (v * v) AS ku FROM v),
+    w AS (SELECT *, sqrt((1 - sk * sr + (ku - 1) / 4 * sr * sr) / (trades - 1)) AS wide FROM s),
+    z AS (SELECT *, sr / wide AS z0, (sr - {BEST!r} / sqrt(252.0)) / wide AS z1, sr * sqrt(252.0) AS sharpe FROM w),
+    k AS (SELECT model, sharpe, profit_factor, max_drawdown, trades, regime_concentration, cost_share, sharpe / greatest(max_drawdown, 0.01) AS calmar,
+        {CDF('z0')} AS psr, {CDF('z1')} AS dsr, sharpe / (trades / days) AS sharpe_per_turnover, sharpe / max_drawdown AS sharpe_per_drawdown,
+        sharpe / latency AS sharpe_per_latency FROM z JOIN f USING (model) JOIN g USING (model)),
+    u AS (UNPIVOT k ON COLUMNS(* EXCLUDE (model)) INTO NAME metric VALUE value), p(metric, kind, bound) AS (VALUES {RULES})
+    SELECT model, metric, round(value, 4) + 0.0 AS value, CASE kind WHEN 'floor' THEN value >= bound ELSE value <= bound END AS passed FROM u JOIN p USING (metric)""",
+    4,
+)
+def t23_all(spark, d):
+    """All twelve rules, each metric computed from the rows of its model."""
+    x = read(spark, d, "lineitem").withColumns({"r": c("l_discount") - 0.045, "cost": 0.01 * c("l_tax"), "latency_ms": 10.0 + c("l_linenumber")})
+    x = x.withColumnsRenamed({"l_returnflag": "model", "l_linestatus": "regime"}).withColumn("day", c("l_shipdate"))
+    return E.promotion(E.promotion_metrics(x, ["model"], ["l_shipdate", "l_orderkey", "l_linenumber"], trials=40), ["model"])
+
+
 def numbered_returns(spark, d):
     return returns(spark, d).withColumn("i", (F.row_number().over(Window.partitionBy("symbol").orderBy("ts")) - 1).cast("long"))
 
