@@ -22,29 +22,29 @@ def normal_cdf(x: Column) -> Column:
     return F.when(x >= 0, 1 - upper).otherwise(upper)
 
 
-def exact_quantiles(df: DataFrame, value: str, key: list[str], shares: list[float], accuracy: int = 10_000) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, key: list[str], shares: list[float], accuracy: int = 2_000) -> DataFrame:
     """key and q, an array: exact quantiles, linear between ranks, of the non-null values of each key.
 
     One sketch of each key gives brackets, two ranks' worth of its error to both sides, that a rank's value can't leave. One pass
     then counts: values outside all brackets by the stretch between bracket ends that they lie in, values inside by themselves (a
-    few in accuracy, so a hot value is one row), and the ranks are looked up in these counts, stretch by stretch."""
+    small share, and a hot value is one row), and the ranks are looked up in these counts, stretch by stretch."""
     rows = df.filter(c(value).isNotNull()).select(*[c(k).alias(f"_k{i}") for i, k in enumerate(key)], c(value).cast("double").alias("_v"))
-    own = [f"_k{i}" for i in range(len(key))]
-    ends = [[min(1.0, max(0.0, q + side * 2 / accuracy)) for q in shares] for side in (-1, 1)]
-    sketch = rows.groupBy(*own).agg(*[F.percentile_approx("_v", e, accuracy).alias(n) for n, e in zip(("_from", "_to"), ends)], F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+    own, m = [f"_k{i}" for i in range(len(key))], len(shares)
+    ends = [min(1.0, max(0.0, q + side * 2 / accuracy)) for side in (-1, 1) for q in shares]
+    sketch = rows.groupBy(*own).agg(F.percentile_approx("_v", ends, accuracy).alias("_e"), F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
     few = c("_n") <= 4 * accuracy  # one rank is more than the margin there, so all values are inside
-    sketch = sketch.withColumns({"_from": F.when(few, F.array("_l")).otherwise(c("_from")), "_to": F.when(few, F.array("_h")).otherwise(c("_to"))})
-    told = sketch.select(*[c(k).alias(f"{k}b") for k in own], "_from", "_to", F.array_sort(F.array_distinct(F.concat("_from", "_to"))).alias("_ends"))
+    brackets = [F.when(few, c("_l" if i < m else "_h")).otherwise(c("_e")[i]).alias(f"_b{i}") for i in range(2 * m)]
+    told = sketch.select(*[c(k).alias(f"{k}b") for k in own], *brackets)
     met = functools.reduce(lambda a, k: a & c(k).eqNullSafe(c(f"{k}b")), own, F.lit(True))
-    in_bracket = F.exists(F.arrays_zip("_from", "_to"), lambda b: (c("_v") >= b["_from"]) & (c("_v") <= b["_to"]))
-    stretch = F.size(F.filter("_ends", lambda e: e < c("_v")))
-    at = rows.join(F.broadcast(told), met).select(*own, stretch.alias("_cell"), F.when(in_bracket, c("_v")).alias("_v"))  # a row for each key
+    inside = functools.reduce(lambda a, i: a | ((c("_v") >= c(f"_b{i}")) & (c("_v") <= c(f"_b{m + i}"))), range(m), F.lit(False))
+    stretch = functools.reduce(lambda a, i: a + (c(f"_b{i}") < c("_v")).cast("int"), range(2 * m), F.lit(0))
+    at = rows.join(F.broadcast(told), met).select(*own, stretch.alias("_cell"), F.when(inside, c("_v")).alias("_v"))  # a row for each key
     points = at.groupBy(*own, "_cell", "_v").agg(F.count(F.lit(1)).alias("_n"))
     sizes = points.groupBy(*own, "_cell").agg(F.sum("_n").alias("_m"))
     before = Window.partitionBy(*own, F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*[c(k).alias(f"{k}b") for k in own], c("_cell").alias("_of"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_first"), F.sum("_m").over(Window.partitionBy(*own, F.lit(0))).alias("_all"))
-    inside = Window.partitionBy(*own, "_cell").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = points.withColumn("_upto", F.sum("_n").over(inside)).join(F.broadcast(sizes), met & (c("_cell") == c("_of")))  # a row for each key and stretch
+    upto = Window.partitionBy(*own, "_cell").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = points.withColumn("_upto", F.sum("_n").over(upto)).join(F.broadcast(sizes), met & (c("_cell") == c("_of")))  # a row for each key and stretch
     ranked = ranked.withColumns({"_low": c("_first") + c("_upto") - c("_n"), "_high": c("_first") + c("_upto")})
     has = lambda r: F.max(F.when((r >= c("_low")) & (r < c("_high")), c("_v")))
     rank = [(c("_all") - 1) * F.lit(float(q)) for q in shares]
@@ -167,12 +167,12 @@ def performance(df: DataFrame, key: list[str], order: list[str], r: str = "r", p
     """Sharpe, Sortino, downside deviation, Calmar, omega, tail ratio, drawdown, win rate and profit factor, by key.
 
     Drawdowns are scanned cell by cell (by default, of months)."""
-    df = drawdowns(df, r, key, order, cell).withColumn("_dd", c("drawdown"))
+    plain, df = df, drawdowns(df, r, key, order, cell).withColumn("_dd", c("drawdown"))
     gain, loss = F.sum(F.greatest(c(r), F.lit(0.0))), F.sum(F.greatest(-c(r), F.lit(0.0)))
     out = df.groupBy(*key).agg(
         F.avg(r).alias("m"), F.stddev_samp(r).alias("s"), F.sqrt(F.avg(F.pow(F.least(c(r), F.lit(0.0)), 2))).alias("downside"), F.min("_dd").alias("max_drawdown"),
         gain.alias("gain"), loss.alias("loss"), F.avg((c(r) > 0).cast("int")).alias("win_rate"), F.count(F.lit(1)).alias("n"))
-    tails = exact_quantiles(df, r, key, [0.05, 0.95]).select(*[c(k).alias(f"_k{i}") for i, k in enumerate(key)], c("q")[0].alias("lo"), c("q")[1].alias("hi"))
+    tails = exact_quantiles(plain, r, key, [0.05, 0.95]).select(*[c(k).alias(f"_k{i}") for i, k in enumerate(key)], c("q")[0].alias("lo"), c("q")[1].alias("hi"))
     out = out.join(tails, functools.reduce(lambda a, i: a & c(key[i]).eqNullSafe(c(f"_k{i}")), range(len(key)), F.lit(True)), "left")
     year = math.sqrt(periods)
     return out.select(
