@@ -83,7 +83,7 @@ def cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     done = df.checkpoint(eager=True)
     if time.monotonic() - _SWEPT[0] > SWEEP:
-        gc.collect()
+        settle()  # what fits on the driver have left, too
         df.sparkSession._jvm.System.gc()
         _SWEPT[0] = time.monotonic()
     return done
