@@ -23,7 +23,6 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -148,22 +147,27 @@ class Model:
 def fit(docs: DataFrame, learn_from, rows_per_language: int = 400, rows_in_all: int = 3000, languages: int = 300) -> Model:
     """Learns from rows of (doc_id, text, lang, has_letter) for which learn_from holds.
 
-    The sample's bounds: rows of a language, rows in all, and languages (the most frequent ones), which also bounds the pairs."""
+    The sample's bounds, in expectation: rows of a language, rows in all, and languages (the most frequent ones), which also
+    bounds the pairs. All rows of one id are drawn together, and the least of them (by language and text) teaches for all.
+    A language beyond the bound is not learnt and so never predicted."""
     usable = docs.filter(learn_from & F.col("lang").isNotNull() & F.col("has_letter"))
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
     if not sizes:
         return Model(np.zeros((0, DIMENSIONS), np.float32), [])
     each = min(rows_per_language, max(1, rows_in_all // len(sizes)))
     rate = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(each / r["count"]))])
-    picked = usable.filter(unit_hash("doc_id") < F.coalesce(rate[F.col("lang")], F.lit(0.0))).select("doc_id", "lang", "text")
+    picked = usable.filter(unit_hash("doc_id") < F.coalesce(rate[F.col("lang")], F.lit(0.0)))
+    once = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row")).select(F.col("doc_id").cast("string"), "row.*")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype(str), "lang": pdf.lang, "x": [features(t).astype(np.float16).tobytes() for t in pdf.text]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["doc_id", "lang", "x"])
+        settle()
 
-    sample = picked.mapInPandas(run, "doc_id string, lang string, x binary").limit(2 * rows_in_all).toPandas().sort_values(["lang", "doc_id"])
-    x = np.array([np.frombuffer(v, np.float16) for v in sample.x], np.float32).reshape(-1, DIMENSIONS)
-    return Model(x, sample.lang.tolist())
+    sample = once.mapInArrow(run, "doc_id string, lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
+    x = np.array([np.frombuffer(v.as_py(), np.float16) for v in sample["x"]], np.float32).reshape(-1, DIMENSIONS)
+    return Model(x, sample["lang"].to_pylist())
 
 
 def calibrated(model: Model, docs: DataFrame, learn_from, rows: int = 3000) -> Model:
@@ -176,14 +180,16 @@ def calibrated(model: Model, docs: DataFrame, learn_from, rows: int = 3000) -> M
             own = [features(t.as_py()) for t in batch.column(0)]
             made = [pa.array([size_class(x) for x in own], pa.int32()), pa.array([model.nearness(x) for x in own], pa.float64())]
             yield pa.RecordBatch.from_arrays(made, ["size", "near"])
+        settle()
 
-    sample = picked.mapInArrow(run, "size int, near double").toPandas()
-    model.calibrate(sample["size"].to_numpy(), sample.near.to_numpy())
+    sample = picked.mapInArrow(run, "size int, near double").toArrow()
+    model.calibrate(sample["size"].to_numpy(), sample["near"].to_numpy())
     return model
 
 
-def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: str = "", novelty: bool = False, **bounds) -> DataFrame:
-    """doc_id, lang_pred, score for each row. learn_from: which rows may teach, as a Column over doc_id; carry: a column to keep beside.
+def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: str = "", within: int | None = None, novelty: bool = False, **bounds) -> DataFrame:
+    """doc_id, lang_pred, score for each row. learn_from: which rows may teach, as a Column over doc_id; carry: a column to keep beside; within:
+    which of its fields is the text, if it is a struct that has it, so that a text goes to the workers once.
 
     With novelty, a row that no learned language fits gets `und` and score 0 as well."""
     more = [F.col(carry)] if carry else []
@@ -199,16 +205,17 @@ def identify(docs: DataFrame, learn_from, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [answer(t.as_py()) if ok.as_py() else ("und", 0.0) for t, ok in zip(batch.column(1), batch.column(2))]
+            texts = batch.column(2) if within is None else batch.column(2).field(within)
+            out = [answer(t.as_py()) if ok.as_py() else ("und", 0.0) for t, ok in zip(texts, batch.column(1))]
             made = [pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[3:]], ["doc_id", "lang_pred", "score", *more_names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2 if within is not None else 3 :]], ["doc_id", "lang_pred", "score", *more_names])
         settle()
 
     more_names = [carry] if carry else []
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if carry:
         schema = schema.add(docs.schema[carry])
-    return rows.select("doc_id", "text", "has_letter", *more_names).mapInArrow(run, schema)
+    return rows.select("doc_id", "has_letter", *(["text"] if within is None else []), *more_names).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -220,7 +227,7 @@ def keep_identified(docs: DataFrame) -> DataFrame:
 
     The row travels with its text through the same pass: no join, so null and repeated ids are no special case."""
     whole = docs.select(F.col("doc_id"), F.col("text"), F.col("lang"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    found = identify(whole, ~held_out(), carry="_row", novelty=True)
+    found = identify(whole, ~held_out(), carry="_row", within=docs.columns.index("text"), novelty=True)
     return found.filter(F.col("lang_pred") != "und").select("_row.*")
 
 
