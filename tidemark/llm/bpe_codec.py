@@ -229,7 +229,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
-        own.known.clear()
+        del own, both  # a worker that waits for other work keeps neither words nor vocabulary
+        codec.cache_clear()
         settle()
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -9,6 +9,7 @@ import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +62,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def settle() -> None:
     """Gives memory that a task no longer needs back to the system: Spark keeps its Python workers for later tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

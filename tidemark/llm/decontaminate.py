@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, text_of
+from tidemark.llm.common import settle, table, text_of
 
 ERROR_RATE = 0.05
 BLOCK_BYTES = 4 << 20
@@ -142,6 +142,7 @@ def search(docs: DataFrame, items: list[tuple[int, str]], rate: float, carry: st
             found = [[dict(zip(names, m)) for m in find(t.as_py())] for t in batch.column(0)]
             kind = pa.list_(pa.struct([(n, pa.int64()) for n in names]))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, kind)], [carry, "found"])
+        settle()
 
     schema = T.StructType([docs.schema[carry], T.StructField("found", T.ArrayType(kinds))])
     return docs.select(normal(text_of("text")).alias("text"), carry).mapInArrow(run, schema)

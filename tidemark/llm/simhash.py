@@ -163,6 +163,7 @@ def fingerprints(docs: DataFrame, carry: str, text_col: str = "text", words: int
             made = [majorities(*shingles(some, words)) for _, some in pieces(batch.column(0))]
             fp = np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(fp)], [carry, "fp"])
+        settle()
 
     schema = T.StructType([docs.schema[carry], T.StructField("fp", T.LongType())])
     return docs.select(ascii_lower(text_of(text_col)).alias("text"), carry).mapInArrow(run, schema)
@@ -408,6 +409,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, sets)])
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), lists], ["h", "shingles"])
+        settle()
 
     return texts.select("h", "text").mapInArrow(run, "h long, shingles array<long>")
 
