@@ -535,3 +535,13 @@ def test_chat_perspectives(spark):
     parts = [got[9, "ann", k] for k in range(3)]
     assert [p.n_turns for p in parts] == [64, 64, 22] and [p.start_char for p in parts] == [0, len(parts[0].rendered), len(parts[0].rendered) + len(parts[1].rendered)]
     assert chat_format.perspectives(turns.limit(0)).count() == 0
+
+
+def test_language_sample_holds_each_id_once_in_any_order(spark):
+    words = {"de": "der hund und die katze", "fr": "le chien et la chatte"}
+    rows = [(i, f"{words[v]} {i}", v, True) for v, k in (("de", 0), ("fr", 1)) for i in range(k, 120, 2)]
+    rows += [(0, f"der hund {n}", "de", True) for n in range(400)] + [(None, "die katze", "de", True)] * 3
+    schema = "doc_id long, text string, lang string, has_letter boolean"
+    one, two = (language_id.fit(spark.createDataFrame(r, schema).repartition(n), F.lit(True), 40, 80) for r, n in ((rows, 2), (rows[::-1], 5)))
+    assert one.langs == two.langs == ["de", "fr"]
+    assert (one.centres == two.centres).all() and (one.pairs.keys() == two.pairs.keys())
