@@ -93,3 +93,12 @@ def test_series_are_dealt_out_by_time(spark):
     t = asof.celled(spark.createDataFrame(skewed(20_000)), ["k"], "ts", 3600)
     sizes = t.repartition(16, "_at").withColumn("p", F.spark_partition_id()).groupBy("p").count().toPandas()["count"]
     assert len(sizes) > 8 and sizes.max() < 4 * sizes.median()
+
+
+def test_joins_to_the_next_row_read_each_row_once(spark, capsys):
+    """A frame that ends with its partition is gone through anew for every row: quadratic in a stretch."""
+    a, b = frames(spark)[2:]
+    asof.asof_next(a.select("k", "ts", "id"), b.select("k", "ts", F.col("v").alias("w")), ["k"], ["w"]).explain(True)
+    asof.nearness(a, b, 60.0, 3.0).explain(True)
+    asof.in_event_windows(a, b, 15, 30).explain(True)
+    assert "unboundedfollowing" not in capsys.readouterr().out.lower()

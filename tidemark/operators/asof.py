@@ -21,19 +21,17 @@ def celled(df: DataFrame, key: list[str], t: str, seconds: int = CELL) -> DataFr
 def last_known(df: DataFrame, key: list[str], order: list[Column], value: str, out: str, ahead: bool = False) -> DataFrame:
     """df (with _at) and out: the last non-null value up to each row in order, or with ahead the first from it on.
 
-    In two passes: inside the stretches, and over one row for each stretch."""
+    In two passes: inside the stretches, and over one row for each stretch. Ahead is looked back over the rows in reverse: a frame
+    that ends with its partition is gone through anew for every row."""
     seen = F.col(value).isNotNull()
     place = F.when(seen, F.struct(*order))
     pick = F.min_by if ahead else F.max_by
     ends = df.groupBy("_at").agg(pick(value, place).alias("_end"))
     by = Window.partitionBy(*[F.col("_at")[k] for k in key]) if key else Window.partitionBy(F.lit(0))
-    by = by.orderBy(F.col("_at._cell"))
-    if ahead:
-        carry = F.first("_end", ignorenulls=True).over(by.rowsBetween(1, Window.unboundedFollowing))
-        own = F.first(value, ignorenulls=True).over(Window.partitionBy("_at").orderBy(*order).rowsBetween(0, Window.unboundedFollowing))
-    else:
-        carry = F.last("_end", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
-        own = F.last(value, ignorenulls=True).over(Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    turned = (lambda o: o.desc()) if ahead else (lambda o: o.asc())
+    by = by.orderBy(turned(F.col("_at._cell")))
+    carry = F.last("_end", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy("_at").orderBy(*map(turned, order)).rowsBetween(Window.unboundedPreceding, 0))
     carried = ends.select(F.col("_at").alias("_to"), carry.alias("_carry"))
     inside = df.withColumn("_own_value", own)
     return inside.join(carried, F.col("_at") == F.col("_to"), "left").withColumn(out, F.coalesce("_own_value", "_carry")).drop("_to", "_carry", "_own_value")
