@@ -190,10 +190,11 @@ def remedied(df: DataFrame, steps: list[tuple], key: str = "symbol", ts: str = "
             df = df.withColumns({x: F.last(x, ignorenulls=True).over(order) for x in rest[0]})
         elif name == "interpolate":
             at = F.unix_micros(c(ts).cast("timestamp"))
-            back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+            back = order.rowsBetween(Window.unboundedPreceding, 0)
+            ahead = Window.partitionBy(key).orderBy(c(ts).desc()).rowsBetween(Window.unboundedPreceding, 0)  # in reverse: each row is read once
             for x in rest[0]:
                 point = F.when(c(x).isNotNull(), F.struct(at.alias("t"), c(x).alias("v")))
-                df = df.withColumns({"_a": F.last(point, ignorenulls=True).over(back), "_z": F.first(point, ignorenulls=True).over(ahead)})
+                df = df.withColumns({"_a": F.last(point, ignorenulls=True).over(back), "_z": F.last(point, ignorenulls=True).over(ahead)})
                 share = (at - c("_a.t")) / (c("_z.t") - c("_a.t"))
                 df = df.withColumn(x, F.coalesce(c(x), c("_a.v") + share * (c("_z.v") - c("_a.v")))).drop("_a", "_z")
         elif name == "winsorise":
