@@ -3,6 +3,8 @@
 import datetime as dt
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +229,37 @@ def test_depth_is_scaled_and_inverted(spark):
     assert (r.bid, r.ask, r.volume, r.mid, r.spread, len(r.levels)) == (2.0, 4.0, 4.0, 3.0, 2.0, 1)
     r = store.depth(df, "ts_event", inverted=True).first()
     assert (r.bid, r.ask) == (0.25, 0.5) and store.depth(df, "ts_event", "2024-01-03").count() == 0
+
+
+def zero_bars(spark):
+    """Eighty five-minute bars with zeros among lows, opens and closes."""
+    rng = np.random.default_rng(4)
+    b = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-01", periods=80, freq="5min"), "open": rng.uniform(1, 9, 80), "close": rng.uniform(1, 9, 80)})
+    b["high"], b["low"] = b[["open", "close"]].max(axis=1) + 1, b[["open", "close"]].min(axis=1) / 2
+    b.loc[[30, 50], ["close", "low"]] = 0.0
+    b.loc[45, ["open", "close", "high", "low"]] = 0.0
+    return b, spark.createDataFrame(b, "symbol string, ts timestamp_ntz, open double, close double, high double, low double")
+
+
+@pytest.mark.parametrize("name", ["W9_realized_spread", "W61_range_volatility", "W62_garman_klass", "W13_full_window"])
+def test_zero_prices_as_in_sql(spark, name):
+    import duckdb
+
+    from tidemark.operators import indicators, order_stats
+    from tidemark.functions.frames import log_return, rounded
+    from tidemark.plans import catalog
+
+    b, df = zero_bars(spark)
+    con = duckdb.connect()
+    con.register("bars_", b)
+    sql = catalog.oracle_sql()[name]
+    head, tail = sql[: sql.index("bars AS (")], sql[sql.index("FROM ticks GROUP BY ALL)") + len("FROM ticks GROUP BY ALL)") :]
+    con.execute("CREATE VIEW events AS SELECT 'a' AS event_type, ts, 0 AS event_id, 1.0 AS value, '{}' AS props FROM bars_")
+    rows = con.execute(f"{head} bars AS (SELECT * FROM bars_) {tail}").fetchall()
+    want = [dict(zip([x[0] for x in con.description], r)) for r in rows]
+    made = {
+        "W9_realized_spread": indicators.realized_spread, "W61_range_volatility": indicators.range_volatility, "W62_garman_klass": indicators.implied_volatility,
+        "W13_full_window": lambda x: order_stats.value_at_risk(x.withColumn("r", log_return()), "r")}[name](df)
+    got = rounded(made.select(*want[0])).collect()
+    key = lambda r: str(r["ts"])
+    assert len(got) == 80 and [[str(v) for v in r.asDict().values()] for r in sorted(got, key=key)] == [[str(v) for v in r.values()] for r in sorted(want, key=key)]

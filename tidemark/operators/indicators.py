@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.frames import Roll, clip, lag, layers, log_return, running, series
+from tidemark.functions.frames import Roll, clip, lag, layers, ln, log_return, ratio, running, series
 
 c = F.col
 EPS = 1e-9
@@ -78,7 +78,7 @@ def vpin(df: DataFrame, bucket: int = 50, buckets: int = 50) -> DataFrame:
 
 def realized_spread(df: DataFrame, n: int = 10) -> DataFrame:
     e = F.exp(F.sqrt(c("_h") * c("_p")))
-    return layers(df, {"_h": F.log(c("high") / c("low"))}, {"_p": lag("_h")}, {"_s": 2 * (e - 1) / (1 + e)}, {"realized_spread": Roll(n).avg(c("_s"))}).drop("_h", "_p", "_s")
+    return layers(df, {"_h": ln(ratio(c("high"), c("low")))}, {"_p": lag("_h")}, {"_s": 2 * (e - 1) / (1 + e)}, {"realized_spread": Roll(n).avg(c("_s"))}).drop("_h", "_p", "_s")
 
 
 def volatility_terciles(df: DataFrame, n: int = 60) -> DataFrame:
@@ -197,7 +197,7 @@ def stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
 
 def implied_volatility(df: DataFrame, n: int = 20, per_year: float = 252.0) -> DataFrame:
     """iv_proxy: the yearly Garman-Klass volatility over n bars, null where the mean is below zero."""
-    own = 0.5 * F.pow(F.log("high") - F.log("low"), 2) - (2 * math.log(2) - 1) * F.pow(log_return(), 2)
+    own = 0.5 * F.pow(ln("high") - ln("low"), 2) - (2 * math.log(2) - 1) * F.pow(log_return(), 2)
     mean = Roll(n).avg(c("_gk"))
     return df.withColumn("_gk", own).withColumn("iv_proxy", F.when(mean >= 0, F.sqrt(mean) * math.sqrt(per_year))).drop("_gk")
 
@@ -431,7 +431,7 @@ def clock(df: DataFrame) -> DataFrame:
 def range_volatility(df: DataFrame, n: int = 20) -> DataFrame:
     """Volatility from highs and lows (Parkinson) and from opens too (Garman and Klass), against that of closes."""
     r = Roll(n)
-    hl, co = F.pow(F.log(c("high") / c("low")), 2), F.pow(F.log(c("close") / c("open")), 2)
+    hl, co = F.pow(ln(ratio(c("high"), c("low"))), 2), F.pow(ln(ratio(c("close"), c("open"))), 2)
     df = layers(df, {"_r": log_return(), "_p": hl, "_g": 0.5 * hl - (2 * math.log(2) - 1) * co})
     parkinson = F.sqrt(r.avg(c("_p")) / (4 * math.log(2)))
     return df.withColumns(
