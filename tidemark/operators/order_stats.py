@@ -30,10 +30,32 @@ class Rank:
     skip: int = 0
 
 
+def rank(x: np.ndarray, null: np.ndarray, r: Rank) -> np.ndarray:
+    """The rank of each row's frame. pandas leaves out what isn't finite; where there is such a value, places among all values are ranked."""
+    def rolling(v: np.ndarray):
+        return pd.Series(np.where(null, np.nan, v)).shift(r.skip).rolling(r.n, min_periods=r.n if r.least is None else r.least)
+
+    if np.isfinite(x[~null]).all():
+        return rolling(x).quantile(r.q).to_numpy()
+    values, places = np.unique(x, return_inverse=True)  # an undefined value comes last
+    frames = rolling(places.astype(float))
+    low, high = (frames.quantile(r.q, interpolation=how).to_numpy() for how in ("lower", "higher"))
+    at = r.q * (frames.count().to_numpy() - 1)
+    out, known = np.full(len(x), np.nan), ~np.isnan(low)
+    a, b = values[low[known].astype(int)], values[high[known].astype(int)]
+    share = (at - np.floor(at))[known]
+    with np.errstate(invalid="ignore"):
+        out[known] = np.where(a == b, a, a * (1 - share) + b * share)
+    return out
+
+
 def rolling_ranks(df: DataFrame, wanted: dict[str, Rank], size: int = 100_000, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """df (symbol, ts and more) with a column for each rank. Nulls are in no frame's count; a null symbol is a symbol."""
+    """df (symbol, ts and more) with a column for each rank. Nulls are in no frame's count; a null symbol is a symbol.
+
+    Infinite values count, and so do undefined ones, as the largest."""
     back = max(r.n + r.skip for r in wanted.values())
     nobody = df.withColumn("_missing", F.col("symbol").isNull()).withColumn("symbol", F.coalesce("symbol", F.lit("")))
+    nobody = nobody.withColumns({f"_null_{n}": F.col(r.column).isNull() for n, r in wanted.items()})
     dealt = in_buckets(nobody, back, max(size, back), order)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in wanted]])
 
@@ -41,8 +63,8 @@ def rolling_ranks(df: DataFrame, wanted: dict[str, Rank], size: int = 100_000, o
         # halo rows come first: they are the last rows of the bucket before
         pdf = pdf.sort_values(["halo", *order], ascending=[False, *[True] * len(order)], ignore_index=True)
         for name, r in wanted.items():
-            x = pd.Series(pdf[r.column].to_numpy(float, na_value=np.nan)).shift(r.skip)
-            pdf[name] = x.rolling(r.n, min_periods=r.n if r.least is None else r.least).quantile(r.q)
+            x = pdf[r.column].to_numpy(float, na_value=np.nan)
+            pdf[name] = rank(x, pdf[f"_null_{name}"].to_numpy(bool), r)
         own = pdf[~pdf["halo"]].copy()
         own.loc[own["_missing"], "symbol"] = None
         return own[schema.names]
