@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,11 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+def doubles(values: list[float]) -> pd.Series:
+    """A column in which an undefined number stays one and does not become null on its way to Spark."""
+    return pd.Series(pd.arrays.ArrowExtensionArray(pa.array([float(v) for v in values], pa.float64())))
+
+
 class InOrder(StatefulProcessor):
     """Gives step(numbers, x) for each tick of a key once the watermark has passed it, in the order of (at, id)."""
 
@@ -87,7 +93,7 @@ class InOrder(StatefulProcessor):
         for k in range(0, len(rows), ENTRY):
             some = rows.iloc[k : k + ENTRY]
             made = [self.step(held, v) for v in some["x"].tolist()]
-            yield pd.DataFrame({"symbol": key[0], "id": some["id"].to_numpy()} | {name: [float(m[i]) for m in made] for i, name in enumerate(self.names)})
+            yield pd.DataFrame({"symbol": key[0], "id": some["id"].to_numpy()} | {name: doubles([m[i] for m in made]) for i, name in enumerate(self.names)})
         self.numbers.update((held, following))
 
     def close(self) -> None:
