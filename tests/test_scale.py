@@ -115,3 +115,17 @@ def test_stability_index_looks_edges_up_where_the_rows_are(spark, capsys):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" not in capsys.readouterr().out
+
+
+def test_buckets_keep_null_symbols_and_times(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(s, w, i) for i, (s, w) in enumerate([(None, t), ("a", None), ("a", t), (None, None)])]
+    df = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, id int")
+    assert sorted(r.id for r in bars.in_buckets(df, 1, 10, ("ts", "id")).filter("not halo").collect()) == [0, 1, 2, 3]
+
+
+def test_trade_monitor_deals_flags_into_buckets(spark, sf_dir, capsys):
+    from tidemark.plans import catalog
+
+    catalog.queries()["ST13_trade_monitor"](spark, sf_dir).explain()
+    assert "bucket" in capsys.readouterr().out

@@ -55,14 +55,15 @@ def in_buckets(bars: DataFrame, back: int, size: int = 100_000, order: tuple[str
     """Splits long symbols for windows of up to back earlier rows: columns bucket and halo.
 
     Windows by (symbol, bucket) give on rows without halo what windows by symbol give. A row's number comes from the
-    days' counts and its place in the day; the last rows of a bucket stand in the next one too, as halo."""
+    days' counts and its place in the day; the last rows of a bucket stand in the next one too, as halo. A null symbol or time is one too."""
     days = bars.withColumn("_day", F.to_date("ts"))
     in_day = Window.partitionBy("symbol", "_day").orderBy(*order)
     before = Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     counts = days.groupBy("symbol", "_day").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("symbol", "_day", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    counts = counts.select(F.col("symbol").alias("_of"), F.col("_day").alias("_on"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    met = F.col("symbol").eqNullSafe(F.col("_of")) & F.col("_day").eqNullSafe(F.col("_on"))
     row = F.row_number().over(in_day) - 1 + F.col("_before")
-    placed_rows = days.join(counts, ["symbol", "_day"]).withColumn("_row", row).withColumn("_bucket", F.floor(F.col("_row") / size))
+    placed_rows = days.join(counts, met).withColumn("_row", row).withColumn("_bucket", F.floor(F.col("_row") / size))
     copies = F.when(F.col("_row") % size >= size - back, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     spread = placed_rows.withColumn("_step", F.explode(copies))
-    return spread.withColumn("bucket", F.col("_bucket") + F.col("_step")).withColumn("halo", F.col("_step") == 1).drop("_day", "_before", "_row", "_bucket", "_step")
+    return spread.withColumn("bucket", F.col("_bucket") + F.col("_step")).withColumn("halo", F.col("_step") == 1).drop("_day", "_of", "_on", "_before", "_row", "_bucket", "_step")

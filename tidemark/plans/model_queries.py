@@ -415,9 +415,12 @@ def st8(spark, d):
     FROM t WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)""",
 )
 def st13(spark, d):
-    roll50 = Roll(50, key=("l_returnflag",), order=("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))
-    x = read(spark, d, "lineitem").withColumn("r", c("l_discount") - 0.05)
-    return x.select("l_returnflag", "l_orderkey", "l_linenumber", (roll50.avg(c("r")) / (roll50.std(c("r")) + 1e-9)).alias("sharpe"), roll50.avg((c("r") > 0).cast("int")).alias("win_rate"))
+    """The last 50 trades of a flag, dealt into buckets of rows with the 49 before them as halo."""
+    order = ("ts", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+    x = read(spark, d, "lineitem").select(F.struct("l_returnflag").alias("symbol"), c("l_shipdate").alias("ts"), *order[1:], (c("l_discount") - 0.05).alias("r"))
+    roll50 = Roll(50, key=("symbol", "bucket"), order=order)
+    out = B.in_buckets(x, 49, order=order).withColumns({"sharpe": roll50.avg(c("r")) / (roll50.std(c("r")) + 1e-9), "win_rate": roll50.avg((c("r") > 0).cast("int"))})
+    return out.filter(~c("halo")).select("symbol.l_returnflag", "l_orderkey", "l_linenumber", "sharpe", "win_rate")
 
 
 #: Bars of five minutes, enough for frames of a day and more.
