@@ -50,3 +50,41 @@ def test_writes_follow_the_batch_and_not_the_backlog(spark, tmp_path):
     total = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"] and p["numInputRows"]]
     assert len(updated) == 10 and max(updated[1:]) <= max(updated[:2]) and total[-1] > total[0]
     assert spark.read.parquet(str(tmp_path / "out")).count() == 0  # all of it still waits
+
+
+def test_a_batch_is_ordered_in_runs_and_taken_out_by_entries(monkeypatch):
+    """A worker never holds a key's whole batch, neither when it comes nor when it goes."""
+
+    class Held(dict):
+        def updateValue(self, k, v): self[k] = v
+        def removeKey(self, k): del self[k]
+        def getValue(self, k): return self[k]
+        def iterator(self): return iter(list(self.items()))
+        def exists(self): return "v" in self
+        def get(self): return self["v"]
+        def update(self, v): self["v"] = v
+
+    class Handle:
+        def getValueState(self, *_): return Held()
+        def getMapState(self, *_): return Held()
+        def registerTimer(self, _): pass
+
+    class Clock:
+        def __init__(self, ms): self.ms = ms
+        def getCurrentWatermarkInMs(self): return self.ms
+
+    monkeypatch.setattr(state, "ENTRY", 100)
+    monkeypatch.setattr(state, "RUN", 1_000, raising=False)
+    most, concat = [], pd.concat
+    monkeypatch.setattr(state.pd, "concat", lambda x, **k: (lambda y: most.append(len(y)) or y)(concat(x, **k)))
+    step = lambda s, x: (s.__setitem__(0, s[0] + x) or s[0],)
+    runner = state.InOrder(step, [0.0], ["total"])
+    runner.init(Handle())
+    at = np.sort(np.random.default_rng(2).integers(0, 10**9, 20_000)) * 1000
+    came = np.argsort(np.arange(20_000) + np.random.default_rng(6).integers(0, 500, 20_000))
+    t = pd.DataFrame({"at": at, "id": np.arange(20_000), "x": np.arange(20_000, dtype=float)})
+    list(runner.handleInputRows(("a",), iter(t.iloc[p] for p in np.array_split(came, 100)), Clock(0)))
+    got = [f for f in (5 * 10**8, 10**9 + 1) for f in runner.handleExpiredTimer(("a",), Clock(f), None)]
+    out = concat(got, ignore_index=True)
+    assert out["id"].tolist() == list(range(20_000)) and out["total"].tolist() == np.cumsum(t.x).tolist()
+    assert max(most) <= 1_500

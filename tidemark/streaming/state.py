@@ -4,6 +4,9 @@ The same results as jobs.keyed_state, which rewrites a key's whole backlog in ea
 of their own (ENTRY ticks at most), and an index holds the earliest time of each entry. A timer fires when the watermark has passed an entry's first
 tick: what has passed goes through the step in the order of (ts, id), entries that are used up are removed, and only those that the
 watermark cuts through are written again. So the bytes written in a batch follow the batch, not the backlog.
+
+A batch is put in order RUN ticks at a time, and entries are merged by their first ticks when they are taken out, so a worker holds a run,
+or the entries that overlap at one time, and never a key's whole batch.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 #: Ticks of an entry, and of a frame that is given out.
 ENTRY = 10_000
+#: Ticks of a batch that are put in order at once.
+RUN = 200_000
 
 
 @contextmanager
@@ -63,21 +68,37 @@ class InOrder(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held, n = self.numbers.get() if self.numbers.exists() else (list(self.start), 0)
-        new = pd.concat([r[["at", "id", "x"]] for r in rows], ignore_index=True)
-        new = new[new["at"] >= timerValues.getCurrentWatermarkInMs() * 1000].sort_values(["at", "id"], kind="stable")  # later ones are left out
-        for k in range(0, len(new), ENTRY):
-            self.put(n, new.iloc[k : k + ENTRY])
-            n += 1
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        parts, many = [], 0
+
+        def flush() -> int:
+            new = pd.concat(parts, ignore_index=True).sort_values(["at", "id"], kind="stable")
+            parts.clear()
+            for k in range(0, len(new), ENTRY):
+                self.put(n + k // ENTRY, new.iloc[k : k + ENTRY])
+            return n + -(-len(new) // ENTRY)
+
+        for r in rows:
+            part = r[["at", "id", "x"]]
+            part = part[part["at"] >= passed]  # later ones are left out
+            if len(part):
+                parts.append(part)
+                many += len(part)
+            if many >= RUN:
+                n, many = flush(), 0
+        if parts:
+            n = flush()
         self.numbers.update((list(held), n))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        due = [n for (n,), (at,) in self.first.iterator() if at < passed]
+        due = sorted((at, n) for (n,), (at,) in self.first.iterator() if at < passed)
         if not due:
             return
-        parts = []
-        for n in due:
+        held, following = self.numbers.get()
+        held, parts = list(held), []
+        for place, (_, n) in enumerate(due):
             at, ids, x = self.ticks.getValue((n,))
             part = pd.DataFrame({"at": list(at), "id": list(ids), "x": list(x)})
             rest = part[part["at"] >= passed]
@@ -87,13 +108,14 @@ class InOrder(StatefulProcessor):
             else:
                 self.ticks.removeKey((n,))
                 self.first.removeKey((n,))
-        rows = pd.concat(parts, ignore_index=True).sort_values(["at", "id"], kind="stable")
-        held, following = self.numbers.get()
-        held = list(held)
-        for k in range(0, len(rows), ENTRY):
-            some = rows.iloc[k : k + ENTRY]
-            made = [self.step(held, v) for v in some["x"].tolist()]
-            yield pd.DataFrame({"symbol": key[0], "id": some["id"].to_numpy()} | {name: doubles([m[i] for m in made]) for i, name in enumerate(self.names)})
+            # what comes before all entries that follow is whole; the rest of these entries is kept
+            rows = pd.concat(parts, ignore_index=True).sort_values(["at", "id"], kind="stable")
+            whole = len(rows) if place + 1 == len(due) else int((rows["at"] < due[place + 1][0]).sum())
+            parts = [rows.iloc[whole:]]
+            for k in range(0, whole, ENTRY):
+                some = rows.iloc[k : min(k + ENTRY, whole)]
+                made = [self.step(held, v) for v in some["x"].tolist()]
+                yield pd.DataFrame({"symbol": key[0], "id": some["id"].to_numpy()} | {name: doubles([m[i] for m in made]) for i, name in enumerate(self.names)})
         self.numbers.update((held, following))
 
     def close(self) -> None:
