@@ -545,3 +545,23 @@ def test_language_sample_holds_each_id_once_in_any_order(spark):
     one, two = (language_id.fit(spark.createDataFrame(r, schema).repartition(n), F.lit(True), 40, 80) for r, n in ((rows, 2), (rows[::-1], 5)))
     assert one.langs == two.langs == ["de", "fr"]
     assert (one.centres == two.centres).all() and (one.pairs.keys() == two.pairs.keys())
+
+
+def test_language_model_and_floors_come_from_all_rows(spark):
+    words = {"de": "der hund und die katze im haus", "en": "the dog and the cat in a house", "fr": "le chien et la chatte dans une maison"}
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.permutation(words[v].split())[: rng.integers(2, 6)]) + f" {''.join(rng.choice(list('abcdefgh'), 4))}", v) for i, v in enumerate(rng.choice(list(words), 9000, p=[0.3, 0.5, 0.2]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("has_letter", F.lit(True)).repartition(5)
+    teaches = F.col("doc_id") % 2 == 0
+    model = language_id.calibrated(language_id.fit(docs, teaches), docs, teaches)
+    for k, lang in enumerate(model.langs):
+        mean = np.mean([language_id.features(t).astype(np.float16).astype(float) for i, t, v in rows if v == lang and i % 2 == 0], 0)
+        assert np.abs(model.centres[k] - mean / np.sqrt(mean @ mean)).max() < 1e-7
+    other = [language_id.features(t) for i, t, _ in rows if i % 2]
+    size, near = np.array([language_id.size_class(x) for x in other]), np.array([model.nearness(x) for x in other])
+    assert len(other) == 4500
+    for k in np.unique(size):
+        if (size == k).sum() >= 20:
+            assert abs(model.floors[k] - 0.75 * np.quantile(near[size == k], 0.01)) < 1e-9
+    again = language_id.fit(docs.repartition(2), teaches)
+    assert (again.first == model.first).all() and all((again.pairs[p] == model.pairs[p]).all() for p in model.pairs)

@@ -1,4 +1,4 @@
-"""Small linear models, fitted with numpy on a bounded sample of rows."""
+"""Small linear models, fitted with numpy on a bounded number of rows: a sample, or one part of all rows after another."""
 
 from __future__ import annotations
 
@@ -9,20 +9,21 @@ def sigmoid(z: np.ndarray | float):
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 15, seed: int = 7) -> np.ndarray:
+def svm(columns: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, width: int, c: float = 10.0, epochs: int = 15, seed: int = 7) -> np.ndarray:
     """Weights of a linear support vector machine (squared hinge loss) by dual coordinate descent; y is +1 or -1.
 
-    Append a constant column to x for a bias."""
+    A row is the columns in which it has values, and those. Give each a constant column for a bias."""
     n, rng = len(y), np.random.default_rng(seed)
-    w, alpha = np.zeros(x.shape[1], np.float64), np.zeros(n)
+    w, alpha = np.zeros(width, np.float64), np.zeros(n)
     extra = 1.0 / (2 * c)
-    diagonal = (x.astype(np.float64) ** 2).sum(1) + extra
+    diagonal = np.array([v @ v for v in values]) + extra
     for _ in range(epochs):
         for i in rng.permutation(n):
-            g = y[i] * float(x[i] @ w) - 1 + extra * alpha[i]
+            at, v = columns[i], values[i]
+            g = y[i] * float(w[at] @ v) - 1 + extra * alpha[i]
             new = max(alpha[i] - g / diagonal[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at] += (new - alpha[i]) * y[i] * v
                 alpha[i] = new
     return w
 
