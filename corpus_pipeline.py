@@ -1,5 +1,6 @@
 """A corpus pipeline of five stages; each takes (spark, docs, sf_dir), and the next reads what it wrote.
 
+Whole texts go to Python workers in short Arrow batches; the session keeps that setting.
 Columns beside those of documents go along through the filtering stages. Empty tables, nulls, repeated rows and texts of
 any length are as each stage's operator has them.
 """
@@ -9,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import bpe_codec, decontaminate, exact_dedup, language_id, simhash
-from tidemark.llm.common import checkpoint_dir, remove, table
+from tidemark.llm.common import checkpoint_dir, remove, short_batches, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without a letter, and those that no learned language fits."""
+    short_batches(spark)
     return language_id.keep_identified(docs)
 
 
@@ -24,11 +26,13 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicate groups the row with the smallest id stays: fingerprints and bands of minima name candidates, which exact similarity verifies."""
+    short_batches(spark)
     return simhash.keep_one(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which a benchmark item occurs."""
+    short_batches(spark)
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -36,6 +40,7 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The token ids of what is left, as counts and digests, with those of the decoded texts."""
     import public_tokenizers
 
+    short_batches(spark)
     return bpe_codec.digests(bpe_codec.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 

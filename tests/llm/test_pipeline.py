@@ -85,3 +85,31 @@ def test_stages_equal_brute_force(spark, docs, sf_dir, tmp_path):
         ids = plain.encode(r.text, add_special_tokens=False).ids
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(plain.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_stages_send_short_batches(spark, docs, sf_dir):
+    """After each stage that has Python workers: batches of rows, and of long texts, are short in the session that runs it."""
+    import pyarrow as pa
+
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), pa.array([b.nbytes], pa.int64())], ["n", "size"])
+
+    def largest(rows):
+        return rows.mapInArrow(sizes, "n long, size long").agg(F.max("n"), F.max("size"), F.sum("n")).first()
+
+    many, long = spark.range(2500, numPartitions=1), spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "exact dedup":
+            continue
+        try:
+            for n in names:
+                spark.conf.unset(n)
+            stage(spark, docs.limit(2), sf_dir)
+            assert largest(many)[0] <= 1000 and largest(many)[2] == 2500, name
+            assert largest(long)[1] < 10 << 20 and largest(long)[2] == 40, name
+        finally:
+            for n in names:
+                spark.conf.unset(n)

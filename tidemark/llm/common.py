@@ -67,6 +67,22 @@ def settle() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Rows, and bytes, of an Arrow batch of whole texts between Spark and its Python workers.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
+def short_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches hold at most BATCH_ROWS rows and end once they have BATCH_BYTES.
+
+    A batch stands several times over in memory on its way: as vectors and as a message on Spark's side, in the worker, and again on its
+    way back. Spark's side keeps what it once took, so with 10,000 whole rows a batch an executor's memory grows with each wide step."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).rstrip("b")
+        if now.lstrip("-").isdigit() and not 0 < int(now) <= most:  # a size in other units is somebody's choice
+            spark.conf.set(key, str(most))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a working folder of this run that nothing reads any more."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
