@@ -263,3 +263,22 @@ def test_zero_prices_as_in_sql(spark, name):
     got = rounded(made.select(*want[0])).collect()
     key = lambda r: str(r["ts"])
     assert len(got) == 80 and [[str(v) for v in r.asDict().values()] for r in sorted(got, key=key)] == [[str(v) for v in r.values()] for r in sorted(want, key=key)]
+
+
+def test_calendar_before_the_first_release_and_without_a_number_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from tidemark.operators import context
+    from tidemark.plans import catalog
+
+    events = [(0, at(0), "view", 3.0, '{"k": 1}'), (1, at(5), "error", 9.0, "{}"), (2, at(8), "view", 4.0, '{"k": 2}'), (3, at(20), "error", 7.0, '{"k": 900}'), (4, at(50), "click", 5.0, '{"k": 3}')]
+    events += [(5, None, "error", 250.0, '{"k": 1}'), (6, None, "view", 5.0, '{"k": 1}')]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(catalog.oracle_sql()["W76_calendar"]).fetchall())
+    names = [x[0] for x in con.description]
+    assert sorted(map(tuple, catalog.queries()["W76_calendar"](spark, str(tmp_path)).select(*names).collect())) == want
+    rows = spark.createDataFrame([(1, at(0)), (2, at(8)), (3, at(30))], "id int, ts timestamp_ntz")
+    releases = spark.createDataFrame([(at(5), 9.0, None, 2.0), (at(20), 9.0, 1.0, 0.0)], "ts timestamp_ntz, actual double, forecast double, prior double")
+    assert {r.surprise for r in context.calendar(rows, releases, 15).collect()} == {0.0}  # nothing is known, so nothing surprises

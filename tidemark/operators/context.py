@@ -83,21 +83,23 @@ def lead_lag_degrees(network: DataFrame, least: float) -> DataFrame:
     return out.join(into, "symbol").join(F.broadcast(e.agg(F.avg(on).alias("density"))))
 
 
-def calendar(rows: DataFrame, releases: DataFrame, near: float, most: float = 1440.0, wait: float = 1.0, widest: float = 5.0) -> DataFrame:
+def calendar(rows: DataFrame, releases: DataFrame, near: float, most: float = 1440.0, wait: float = 1.0, widest: float = 5.0, unknown: float = 0.0) -> DataFrame:
     """rows with since_last and to_next (minutes, most at the utmost), release_flag (one is within near) and surprise.
 
-    releases: ts, actual, forecast, prior, one row for each time. The surprise is known wait minutes after its release."""
+    releases: ts, actual, forecast, prior, one row for each time; one without a time counts for none. The surprise is known wait minutes
+    after its release; it is unknown before the first one, and where a number of the last one is missing or its prior is zero."""
     from tidemark.operators.asof import asof, asof_next
 
-    one = releases.select(c("ts").alias("_e"), "actual", "forecast", "prior")
+    one = releases.select(c("ts").alias("_e"), "actual", "forecast", "prior").filter("_e is not null")
     past = asof(rows, one, [], ["actual", "forecast", "prior"], right_ts="_e", keep_time="_last")
     both = asof_next(past, one.select((c("_e") - F.expr("INTERVAL 1 MICROSECOND")).alias("_e")), [], [], right_ts="_e", keep_time="_next")
     minutes = lambda a, b: (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 6e7
     held = lambda x: F.least(F.coalesce(x, F.lit(most)), F.lit(most))
     nxt = c("_next") + F.expr("INTERVAL 1 MICROSECOND")
     both = both.withColumns({"since_last": held(minutes(c("ts"), c("_last"))), "to_next": held(minutes(nxt, c("ts")))})
-    moved = F.greatest(F.least((c("actual") - c("forecast")) / F.when(F.abs("prior") > 1e-9, c("prior")), F.lit(widest)), F.lit(-widest))
-    flags = {"release_flag": ((c("since_last") <= near) | (c("to_next") <= near)).cast("int"), "surprise": F.when(c("since_last") >= wait, F.coalesce(moved, F.lit(0.0))).otherwise(0.0)}
+    moved = (c("actual") - c("forecast")) / F.when(F.abs("prior") > 1e-9, c("prior"))
+    moved = F.when(moved.isNotNull(), F.greatest(F.least(moved, F.lit(widest)), F.lit(-widest))).otherwise(F.lit(unknown))  # least and greatest pass over nulls
+    flags = {"release_flag": ((c("since_last") <= near) | (c("to_next") <= near)).cast("int"), "surprise": F.when(c("since_last") >= wait, moved).otherwise(0.0)}
     return both.withColumns(flags).drop("_last", "_next", "actual", "forecast", "prior")
 
 
