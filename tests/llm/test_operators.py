@@ -349,6 +349,38 @@ def test_suffix_columns_name_equal_windows(seed, block, tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir())
 
 
+def test_suffix_columns_through_the_folder_write_two_bytes_an_entry(tmp_path, monkeypatch):
+    monkeypatch.setattr(suffix_columns, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    strings = [bytes(rng.integers(97, 99, rng.integers(6, 12)).astype(np.uint8)) for _ in range(60)]
+    flat, size = np.frombuffer(b"".join(strings), np.uint8), np.array([len(s) for s in strings])
+    found, sizes = [], []
+    for held in (100, 1 << 20):
+        monkeypatch.setattr(suffix_columns, "HELD", held)
+        with suffix_columns.Files(f"file:{tmp_path}") as files:
+            found.append(suffix_columns.Columns(flat, size, 6, files).equal_windows())
+            sizes.append(sorted(p.stat().st_size for p in tmp_path.rglob("*") if p.is_file()))
+    assert all(np.array_equal(a, b) for a, b in zip(*found)) and not list(tmp_path.iterdir())
+    n = len(flat) + len(strings)  # the suffixes, empty ones too; one fewer round's in the other file
+    assert len(sizes[0]) == 3 and 2 * n in sizes[0] and max(sizes[0]) <= 2 * n and not sizes[1]
+
+
+def test_stretches_that_share_half_a_window_by_chance_stay_out_of_the_columns(monkeypatch):
+    rng = np.random.default_rng(6)
+    some = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    anchor, more = some(16), some(20)
+    strings = [some(34) + anchor + more + some(14) for _ in range(200)]
+    strings += [strings[0][:70] + some(13), some(33) + strings[1][33:]]  # these share windows
+    seen = []
+    columns = suffix_dedup.Columns
+    monkeypatch.setattr(suffix_dedup, "Columns", lambda flat, size, *a: seen.append(len(size)) or columns(flat, size, *a))
+    n = len(strings)
+    size, ids = np.array([len(s) for s in strings]), np.arange(n)
+    row, first, last, least = suffix_dedup.sort_stretches(np.frombuffer(b"".join(strings), np.uint8), size, np.full(n, 34), ids, ids, 50, suffix_dedup.Hasher(), None)
+    assert seen == [4]
+    assert sorted(zip(row.tolist(), first.tolist(), last.tolist(), least.tolist())) == [(200, 0, 20, 0), (201, 33, 34, 1)]
+
+
 def test_slices_of_long_texts_meet(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SLICE", 97)
     data = bytes(np.random.default_rng(1).integers(97, 100, 1000).astype(np.uint8))

@@ -10,7 +10,8 @@ that equal strings meet and unique text stays where it is:
 2. Stretches at shared anchors, each distinct one of a shard once with the least and largest id that has it, are
    shuffled by anchor into buckets. An anchor that many shards have is dealt by the bytes around it instead: its stretch
    is cut where windows start, so that each part's windows have more than the anchor in common. In a bucket, stretches
-   with nothing but the anchor in common are set apart. The suffixes of the others are put in order: Burrows-Wheeler
+   that have all but four of a window's bytes in common with no other (by hash: what differs is not equal) are set
+   apart, however many share the anchor and some more by chance. The suffixes of the others are put in order: Burrows-Wheeler
    transform and common prefixes are built column by column through sequential files (suffix_columns). Neighbours with a
    common prefix of `length` or more are equal windows; each class takes its least id.
 3. The classes that an id above their least takes part in go back to the shards, which mark and cut the bytes.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint_dir, table, text_of
+from tidemark.llm.common import checkpoint_dir, settle, table, text_of
 from tidemark.llm.suffix_columns import Columns, Files
 
 LENGTH = 50
@@ -50,6 +51,8 @@ LEVEL = 5
 HOT, PARTS = 256, 4
 #: What the number of a part of a hot stretch, from 1, adds to its anchor's offset.
 PART = 4096
+#: Ranges of windows' starts: strings at an anchor that share none of the ranges' common bytes have no window in common.
+RANGES = 7
 #: Bits of an anchor's hash that are kept.
 LOW = np.uint64((1 << 48) - 1)
 
@@ -174,10 +177,10 @@ def stretches(texts: list[bytes], length: int, hasher: Hasher, shared: np.ndarra
     return Stretches(found)
 
 
-def start_ranges(length: int) -> list[tuple[int, int]]:
-    """How far before its anchor a window starts, least and most, for each part of a hot stretch."""
+def start_ranges(length: int, parts: int) -> list[tuple[int, int]]:
+    """How far before its anchor a window starts, least and most, for each part of a hot stretch (or range)."""
     free = length - length // 3
-    cuts = [i * (free + 1) // PARTS for i in range(PARTS + 1)]
+    cuts = [i * (free + 1) // parts for i in range(parts + 1)]
     return [(a, b - 1) for a, b in zip(cuts, cuts[1:])]
 
 
@@ -190,7 +193,7 @@ def cut_hot(first, last, part, p, h, hot, length: int, hasher: Hasher, total: np
     bytes of the range's windows' overlap in common, which give the part's key."""
     kept = ~hot
     out = [(first[kept], last[kept], part[kept], (p - first)[kept], h[kept], h[kept])]
-    for g, (low, high) in enumerate(start_ranges(length)):
+    for g, (low, high) in enumerate(start_ranges(length, PARTS)):
         a, z = np.maximum(first, p - high), np.minimum(last, p - low)
         own = np.flatnonzero(hot & (a <= z))
         key = part_key(hasher.some(total, p[own] - low, p[own] - high + length), g)
@@ -247,15 +250,14 @@ def with_ids(docs: list[tuple[int | None, bytes]]) -> tuple[np.ndarray, list[byt
     return np.array([d[0] for d in own], np.int64), [d[1] for d in own]
 
 
-def with_keys(flat, start, size, off, hasher: Hasher, length: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """The hash of each string, its key, and the hashes of its anchor with the bytes before it and with those behind it (0: has none).
+def with_keys(flat, start, size, off, hasher: Hasher, length: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The hash of each string, its key, and for each of RANGES of windows' starts the hash of the bytes that all windows
+    which start there have in common, the anchor's among them (0: the string has no such window).
 
-    Each window at an anchor holds the one or the other, so a string that shares neither with another of its key has no
-    window of theirs. Parts of hot stretches have no sides."""
+    A string that shares none of these with another has no window of its. Parts of hot stretches have no ranges."""
     third = length // 3
-    half = (length - third) // 2  # a window starts so many bytes before the anchor, or fewer
-    h, left, right = (np.zeros(len(size), np.uint64) for _ in range(3))
-    key = np.zeros(len(size), np.int64)
+    ranges = [x for x in start_ranges(length, RANGES) if x[0] <= x[1]]
+    h, key, common = np.zeros(len(size), np.uint64), np.zeros(len(size), np.int64), [np.zeros(len(size), np.uint64) for _ in ranges]
     begins, begin = np.cumsum(size) - size, 0
     while begin < len(size):
         end = max(begin + 1, int(np.searchsorted(begins, begins[begin] + SLICE)))
@@ -265,24 +267,25 @@ def with_keys(flat, start, size, off, hasher: Hasher, length: int) -> tuple[np.n
         h[begin:end] = hasher.some(total, at, at + n)
         own = np.flatnonzero(o < PART)
         key[begin + own] = (hasher.some(total, (at + o)[own], (at + o)[own] + third) & LOW).astype(np.int64)
-        for g, (low, high) in enumerate(start_ranges(length)):
+        for g, (low, high) in enumerate(start_ranges(length, PARTS)):
             own = np.flatnonzero(o // PART == g + 1)
             p = (at + o % PART)[own]
             key[begin + own] = part_key(hasher.some(total, p - low, p - high + length), g)
-        for side, low, high in ((left, o - half, o + third), (right, o, o + length - half + 1)):
-            fits = np.flatnonzero((low >= 0) & (high <= n) & (o < PART))
-            side[begin + fits] = hasher.some(total, at[fits] + low[fits], at[fits] + high[fits]) | np.uint64(1)
+        for out, (low, high) in zip(common, ranges):
+            fits = np.flatnonzero((o >= low) & (o - high + length <= n) & (o < PART))
+            p = (at + o)[fits]
+            out[begin + fits] = hasher.some(total, p - low, p - high + length) | np.uint64(1)
         begin = end
-    return h, key, (left, right)
+    return h, key, common
 
 
-def shared_sides(key: np.ndarray, sides: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which of distinct strings share a side (0: none) with another of their key."""
-    out = np.zeros(len(key), bool)
-    for side in sides:
-        has = np.flatnonzero(side)
-        order = has[np.lexsort((side[has], key[has]))]
-        same = (key[order][1:] == key[order][:-1]) & (side[order][1:] == side[order][:-1])
+def shared_ranges(common: list[np.ndarray]) -> np.ndarray:
+    """Which of distinct strings share a range's common bytes (0: none) with another."""
+    out = np.zeros(len(common[0]), bool)
+    for x in common:
+        has = np.flatnonzero(x)
+        order = has[np.argsort(x[has])]
+        same = x[order][1:] == x[order][:-1]
         out[order[1:][same]] = True
         out[order[:-1][same]] = True
     return out
@@ -295,7 +298,7 @@ def sort_stretches(flat, size, off, low, high, length: int, hasher: Hasher, fold
     Rows of equal bytes go into the order as one. One that has no other of its key to share a window with is a class of
     its own, whose windows' least id is the rows'."""
     start = np.cumsum(size) - size
-    h, key, sides = with_keys(flat, start, size, off, hasher, length)
+    h, key, common = with_keys(flat, start, size, off, hasher, length)
     at = same_bytes(flat, start, size, h)
     model = np.zeros(at.max() + 1, np.int64)
     model[at[::-1]] = np.arange(len(at))[::-1]
@@ -304,7 +307,7 @@ def sort_stretches(flat, size, off, low, high, length: int, hasher: Hasher, fold
     np.minimum.at(least, at, low)
     own = key[model]
     _, group, members = np.unique(own, return_inverse=True, return_counts=True)
-    joint = (members[group] > 1) & (shared_sides(own, tuple(s[model] for s in sides)) | (off[model] >= PART))
+    joint = (members[group] > 1) & (shared_ranges([x[model] for x in common]) | (off[model] >= PART))
     several, alone = np.flatnonzero(joint), np.flatnonzero(~joint)
     several = several[np.argsort(own[several], kind="stable")]
     found = [(alone, np.zeros(len(alone), np.int64), size[model[alone]] - length, least[alone])]
@@ -444,6 +447,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 held.append(blob.as_py())
         if held:
             yield from sort(held)
+        settle()
 
     parts = sharded.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(at_shared, "bucket int, blob binary")
     found = parts.repartition(spread, "bucket").sortWithinPartitions("bucket").mapInArrow(classes, "shard int, blob binary")
