@@ -227,6 +227,16 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
 
+def hashes_at(flat: np.ndarray, place: np.ndarray, size: int, hasher: Hasher) -> np.ndarray:
+    """The hashes of the anchors (strings of one size) at the places."""
+    out, step = np.zeros(len(place), np.int64), SLICE // size + 1
+    for begin in range(0, len(place), step):
+        own = place[begin : begin + step]
+        at = np.arange(len(own)) * size
+        out[begin : begin + step] = (hasher.some(hasher.sums(gathered(flat, own, np.full(len(own), size))), at, at + size) & LOW).astype(np.int64)
+    return out
+
+
 def strings_of(flat: np.ndarray, size: np.ndarray) -> pa.Array:
     ends = np.append(0, np.cumsum(size)).astype(np.int32)
     return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(flat))])
@@ -433,7 +443,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             low, more, off = (t[c].to_numpy() for c in ("low", "more", "off"))
             row, a, b, least = sort_stretches(flat, size, off, low, low + more, length, hasher, folder)
             at = pa.array(row)
-            made = {"doc": t["doc"].take(at), "a": t["a"].take(at), "size": pa.array(size[row].astype(np.int16)), "part": pa.array(off[row] >= PART)}
+            made = {"doc": t["doc"].take(at), "a": t["a"].take(at), "size": pa.array(size[row].astype(np.int16)), "off": pa.array(off[row])}
             made |= {"first": pa.array(a.astype(np.int16)), "last": pa.array(b.astype(np.int16)), "least": pa.array(least)}
             yield from as_blobs(pa.table(made), t["shard"].to_numpy()[row], "shard").to_batches()
 
@@ -489,16 +499,12 @@ def covered(ids: np.ndarray, texts: list[bytes], begin: np.ndarray, told: pa.Tab
     """The spans to remove from a shard's texts laid end to end, from the runs of windows that the buckets tell of, each
     for one of the equal stretches of the shard."""
     hasher = Hasher()
-    doc, a, size, part, first, last, least = (told[c].to_numpy().astype(np.int64) for c in ("doc", "a", "size", "part", "first", "last", "least"))
-    whole = stretches(texts, length, hasher)
-    start = begin[whole.text] + whole.a
-    hot = np.flatnonzero(part)
-    if len(hot):  # the anchors whose stretches come in parts: told by where a part lies
-        at = np.searchsorted(start, begin[doc[hot]] + a[hot], "right") - 1
-        cut = np.unique(whole.h[at])
-        whole = stretches(texts, length, hasher, None, cut)
-        start = begin[whole.text] + whole.a
+    doc, a, size, off, first, last, least = (told[c].to_numpy().astype(np.int64) for c in ("doc", "a", "size", "off", "first", "last", "least"))
     flat = np.frombuffer(b"".join(texts), np.uint8)
+    place, told_at = np.unique(begin[doc] + a + off % PART, return_inverse=True)
+    h = hashes_at(flat, place, length // 3, hasher)[told_at]
+    whole = stretches(texts, length, hasher, np.unique(h), np.unique(h[off >= PART]))  # only those at the anchors told of
+    start = begin[whole.text] + whole.a
     n = whole.b - whole.a
     # a told stretch is one of the shard's: its place gives its row, that gives all rows of its bytes
     order = np.lexsort((n, start))
